@@ -6,24 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, simhash, suffix_dedup
+from . import block_dedup, mpegts, quality, simhash, suffix_dedup, warc
 from .common import table
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_index(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+OPS = (op4_media_columns, op6_suffix_array_dedup, op7_quality_classifier, op8_substring_dedup, op9_warc, op10_simhash_near_dedup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_suffix_array_dedup, op8_substring_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in OPS}
 
 
 def oracle_sql() -> dict[str, str]:
