@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, mixing, mpegts, quality, simhash, suffix_dedup, tiling, toxicity, warc
+from . import block_dedup, mixing, mpegts, quality, simhash, suffix_dedup, tiling, toxicity, warc, wrappers
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-OPS = (op2_mixing, op3_toxicity, op4_media_columns, op5_decontamination, op6_suffix_array_dedup, op7_quality_classifier, op8_substring_dedup, op9_warc, op10_simhash_near_dedup)
+OPS = (op1_html_extraction, op2_mixing, op3_toxicity, op4_media_columns, op5_decontamination, op6_suffix_array_dedup, op7_quality_classifier, op8_substring_dedup, op9_warc, op10_simhash_near_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
