@@ -138,3 +138,24 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
     known = measured.join(one_label(labels, "quality"), "doc_id").where(~held_out(F.col("doc_id"), folds, fold))
     scored = score(measured, fit(known))
     return scored.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, fold: int = 0) -> DataFrame:
+    """Rows of ``docs``, unchanged, that the classifier accepts.
+
+    The decision is made row by row where the text is, so nothing is joined or
+    shuffled; without labels of both classes every row stays.
+    """
+    known = cut(measure(docs), "statistics").join(one_label(labels, "quality"), "doc_id").where(~held_out(F.col("doc_id"), folds, fold))
+    model = fit(known)
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([statistics(t) for t in text_bytes(b.column(at))])
+                yield b.filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(mapper, docs.schema)

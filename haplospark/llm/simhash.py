@@ -259,3 +259,13 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     lowest = known.groupBy("label").agg(F.min("low").alias("component_id"))
     by_fp = known.join(lowest, "label").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs``, unchanged, one of each near-duplicate group: that with the smallest doc_id.
+
+    Of repeated rows with that id one stays; a group without ids keeps one row.
+    """
+    groups = near_duplicate_groups(docs, **options)
+    kept = groups.groupBy("component_id").agg(F.max(F.when(F.col("doc_id") == F.col("component_id"), F.col("doc_id"))).alias("__id")).select("__id").distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])

@@ -143,3 +143,26 @@ def cut_text(text: bytes, cuts: list[tuple[int, int]]) -> str:
         at = y
     out.append(text[at:])
     return b"".join(out).decode("utf-8", "replace")
+
+
+def _rewrite(columns: list[str]):
+    text_at, chars_at, spans_at = columns.index("text"), columns.index("n_chars"), len(columns)
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [cut_text(raw, merged(spans, len(raw))) if spans else raw.decode() for raw, spans in zip(text_bytes(b.column(text_at)), b.column(spans_at).to_pylist())]
+            out = list(b.columns[:spans_at])
+            out[text_at], out[chars_at] = pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    return mapper
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 4096) -> DataFrame:
+    """``docs`` with texts rewritten: repeated bytes go, cuts narrowed to whole characters; ``n_chars`` follows.
+
+    All rows stay, a text that is repeated whole becomes empty, a null text too.
+    """
+    cols = docs.columns
+    rows = _with_spans(docs, length, hot, *(c for c in cols if c != "text")).select(*cols, "spans")
+    return rows.mapInArrow(_rewrite(cols), docs.schema)
