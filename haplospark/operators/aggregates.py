@@ -7,7 +7,7 @@ define("D1_fragment_collapse", "w long, read_id long, n long, positions string,
 SELECT w, read_id, count(*) AS n, LAGG(pos|pos) AS positions, LAGG(allele|pos) AS alleles, sum(weight) AS score FROM (SELECT w, read_id, pos, CASE WHEN plus > minus THEN 1 ELSE -1 END AS allele, greatest(:lo, least(:hi, round(abs(plus - minus), 6))) AS weight FROM (
 SELECT w, read_id, pos, sum(CASE WHEN allele > 0 THEN coalesce(w2, 0.5) ELSE 0.0 END) AS plus, sum(CASE WHEN allele < 0 THEN coalesce(w2, 0.5) ELSE 0.0 END) AS minus FROM {obs} WHERE allele <> 0 GROUP BY w, read_id, pos) AS x WHERE abs(plus - minus) > 0.000001) AS y
 GROUP BY w, read_id HAVING count(*) >= :min_sites""", lo=0.05, hi=10.0, min_sites=2)
-define("D2_best_observation", "w long, read_id long, pos long, idx long, allele int", "SELECT w, read_id, pos, idx, allele FROM (SELECT *, row_number() OVER (PARTITION BY w, read_id, pos ORDER BY baseq + mapq DESC, idx) AS rn FROM {obs}) AS x WHERE rn = 1")
+define("D2_best_observation", "w long, read_id long, pos long, idx long, allele int", "SELECT w, read_id, pos, idx, allele FROM (SELECT *, row_number() OVER (PARTITION BY w, read_id, pos ORDER BY baseq + mapq DESC, idx, baseq, allele, delta, conf, amb) AS rn FROM {obs}) AS x WHERE rn = 1")
 SUPPORT = """SELECT w, pos, sum(CASE WHEN allele > 0 THEN wt ELSE 0.0 END) AS alt, sum(CASE WHEN allele < 0 THEN wt ELSE 0.0 END) AS ref, count(*) AS n FROM (
 SELECT w, pos, allele, coalesce(w2, greatest(0.0, least(1.0, baseq / 40.0)) * greatest(0.0, least(1.0, mapq / 60.0))) * (1.0 + 0.2 * conf) * (CASE WHEN abs(delta) >= 0.75 THEN 1.05 ELSE 1.0 END) AS wt
 FROM (SELECT *, count(*) OVER (PARTITION BY w, read_id) AS linked FROM {obs}) AS o WHERE linked >= 2 AND amb = 0 AND allele <> 0 AND NOT (abs(delta) >= 0.75 AND delta * allele < 0)) AS x GROUP BY w, pos"""
@@ -18,7 +18,7 @@ SELECT w, pos, total, bias, CASE WHEN total > 0 THEN (alt - ref) / total + 0.2 *
 SELECT s.w, s.pos, coalesce(x.alt, 0.0) AS alt, coalesce(x.ref, 0.0) AS ref, coalesce(x.alt + x.ref, 0.0) AS total, ((s.pos * 13 + s.w) % 21 - 10) / 10.0 AS bias FROM {{sites}} s LEFT JOIN ({SUPPORT}) x ON x.w = s.w AND x.pos = s.pos) AS y) AS z"""
 define("D4_read_donor_combine", "w long, pos long, state int, conf double", COMBINE)
 define("D5_bundle_score", "w long, read_id long, n long, score double", """
-SELECT w, read_id, count(*) AS n, 3.0 * (count(*) - 1) + count(*) + 0.25 * sum(0.5 + 0.5 * least(1.0, baseq / 40.0) * least(1.0, mapq / 60.0)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY w, read_id, pos ORDER BY baseq + mapq DESC, idx) AS rn FROM {obs}) AS x WHERE rn = 1 GROUP BY w, read_id""")
+SELECT w, read_id, count(*) AS n, 3.0 * (count(*) - 1) + count(*) + 0.25 * sum(0.5 + 0.5 * least(1.0, baseq / 40.0) * least(1.0, mapq / 60.0)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY w, read_id, pos ORDER BY baseq + mapq DESC, idx, baseq, allele, delta, conf, amb) AS rn FROM {obs}) AS x WHERE rn = 1 GROUP BY w, read_id""")
 SUMMARY = """SELECT w, block_id, s, e, informative, abstained, signed, total, CASE WHEN total > 0 THEN signed / total ELSE 0.0 END AS bias, CASE WHEN informative > 0 THEN total / informative ELSE 0.0 END AS mean_conf,
 CASE WHEN total > 0 THEN abs(signed) / total ELSE 0.0 END AS coherence FROM (SELECT w, block_id, min(pos) AS s, max(pos) AS e, sum(CASE WHEN state <> 0 THEN 1 ELSE 0 END) AS informative, sum(CASE WHEN state = 0 THEN 1 ELSE 0 END) AS abstained,
 sum(state * conf) AS signed, sum(CASE WHEN state <> 0 THEN conf ELSE 0.0 END) AS total FROM {calls} WHERE block_id <> 'unassigned' GROUP BY w, block_id) AS x"""
