@@ -69,4 +69,5 @@ LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w, pos ORDER
 define("B16_guard_sweep", "cfg string, w long, n long", """
 SELECT cfg, w, count(*) AS n FROM {obsedges} CROSS JOIN (VALUES ('loose', 1, 0.5), ('mid', 2, 0.7), ('strict', 3, 0.9)) AS t(cfg, reads, conf) WHERE plus + minus >= reads AND greatest(pw, mw) / (pw + mw) >= conf GROUP BY cfg, w""")
 define("B17_split_assignment", "w long, split string", "SELECT w, CASE WHEN w % 5 = 0 THEN 'holdout' WHEN reads >= :reads AND snps >= :snps AND e > s THEN 'train' ELSE 'skip' END AS split FROM {manifest}", reads=40, snps=60)
+# The suffixes of window labels that tell replicate depths apart.
 define("B18_physical_group", "w long, grp string", "SELECT w, replace(replace(replace(label, '_illumina30x_phase7a', ''), '_illumina35x_phase7a', ''), '_phase7a', '') AS grp FROM {manifest}")
