@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import cut
+
 LEVELS = ("domain", "lang", "source")
 #: The order key has 60 bits; its upper 12 number the buckets of a leaf.
 KEY_BITS, BUCKET_BITS = 60, 12
@@ -102,21 +104,22 @@ def mix(docs: DataFrame, target: Target | None = None, domain: Column | None = N
     together; other columns are ignored; an empty table gives no rows.
     """
     target = target or Target()
-    rows = _numbered(docs, default_domain() if domain is None else domain).where("n_tokens > 0")
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    budgets = leaf_budgets(leaves, target).select(*LEVELS, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("left"))
+    rows = cut(_numbered(docs, default_domain() if domain is None else domain).where("n_tokens > 0"), "token-counts")
+    leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    # written, so that the planner knows its size and broadcasts it only if it is small
+    budgets = cut(leaf_budgets(leaves, target).select(*LEVELS, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("left")), "budgets")
     text = F.concat_ws(":", F.lit(str(target.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     keyed = rows.join(budgets, list(LEVELS)).withColumn("key", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"))
     keyed = keyed.withColumn("bucket", F.shiftright("key", KEY_BITS - BUCKET_BITS))
     sums = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("s"), F.first("left").alias("left"))
     run = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sums.withColumn("upto", F.sum("s").over(run)).where("upto > left").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("s")).alias("base"))).alias("e"))
-    ends = ends.select(*LEVELS, F.col("e.bucket").alias("last"), F.col("e.base").alias("base"))
-    placed = keyed.join(ends, list(LEVELS))  # left < tokens, so every leaf ends in some bucket
-    sure = placed.where("bucket <> last").withColumn("more", (F.col("bucket") < F.col("last")).cast("int"))
-    peers = Window.partitionBy(*LEVELS).orderBy("key", "doc_id")
-    edge = placed.where("bucket = last").withColumn("more", (F.col("base") + F.sum("n_tokens").over(peers) <= F.col("left")).cast("int"))
-    used = sure.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("more")).cast("long")).where("copies > 0")
+    # joined by leaf and bucket, so that a leaf with most of the rows is dealt to all tasks
+    sums = sums.withColumn("base", F.sum("s").over(run) - F.col("s")).select(*LEVELS, "bucket", "s", "base")
+    placed = keyed.join(sums, [*LEVELS, "bucket"])
+    whole = placed.where("base + s <= left or base > left").withColumn("more", (F.col("base") + F.col("s") <= F.col("left")).cast("int"))
+    peers = Window.partitionBy(*LEVELS, "bucket").orderBy("key", "doc_id")
+    edge = placed.where("base + s > left and base <= left").withColumn("more", (F.col("base") + F.sum("n_tokens").over(peers) <= F.col("left")).cast("int"))
+    used = whole.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("more")).cast("long")).where("copies > 0")
     return used.select("doc_id", *LEVELS, "n_tokens", "copies")
 
 
