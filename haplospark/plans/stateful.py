@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import learning, stateful as st
 from ..operators.aggregates import ORIENT  # noqa: F401
 from ..operators.windows import _STATES
-from .fixtures import Tables, _INPUT
-from .operator import Operator
+from .fixtures import FIXTURES, Tables, _INPUT, needed
+from .operator import Operator, render
 
 _READS = "w long, read_id long"
 
@@ -96,3 +96,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "I50_feature_pruning": _learn(lambda s, t: s.createDataFrame(learning.prune(_labelled(t), {f: [f] for f in _FEATURES}), "step int, dropped string, metric double")),
         "F6_importances": _learn(lambda s, t: s.createDataFrame(learning.importances(_labelled(t), _FEATURES), "feature string, gain double")),
     }
+
+
+def _recursive(uses: list[str], ctes: str, select: str) -> str:
+    plain = lambda x: _INPUT.sub(r"\1", render(x, False))
+    own = ", ".join(f"{n} AS ({plain(FIXTURES[n])})" for n in needed(uses))
+    return f"WITH RECURSIVE {own}, {ctes} {select}"
+
+
+def oracle_sql() -> dict[str, str]:
+    """Recursive SQL of those that have a practical form."""
+    split = "s.n >= 24 OR r.pos - s.start > 1500"
+    return {
+        "I16_components": _recursive(
+            ["frags"],
+            """link AS (SELECT DISTINCT x.w, x.pos AS a, y.pos AS b FROM frags x JOIN frags y ON x.w = y.w AND x.read_id = y.read_id),
+            reach AS (SELECT w, a, b FROM link UNION SELECT r.w, r.a, l.b FROM reach r JOIN link l ON l.w = r.w AND l.a = r.b),
+            root AS (SELECT w, a AS pos, min(b) AS root FROM reach GROUP BY w, a)""",
+            "SELECT CAST(w AS BIGINT) AS w, CAST(pos AS BIGINT) AS pos, CAST(dense_rank() OVER (PARTITION BY w ORDER BY root) - 1 AS BIGINT) AS comp FROM root",
+        ),
+        "E8_component_split": _recursive(
+            ["comps"],
+            f"""r AS (SELECT w, pos, row_number() OVER (PARTITION BY w ORDER BY pos) AS rn FROM comps),
+            s AS (SELECT w, rn, pos, pos AS start, 1 AS n, 0 AS piece FROM r WHERE rn = 1 UNION ALL
+            SELECT r.w, r.rn, r.pos, CASE WHEN {split} THEN r.pos ELSE s.start END, CASE WHEN {split} THEN 1 ELSE s.n + 1 END, s.piece + CASE WHEN {split} THEN 1 ELSE 0 END FROM s JOIN r ON r.w = s.w AND r.rn = s.rn + 1)""",
+            "SELECT CAST(w AS BIGINT) AS w, CAST(pos AS BIGINT) AS pos, CAST(piece AS BIGINT) AS piece FROM s",
+        ),
+    }
