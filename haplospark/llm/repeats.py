@@ -95,7 +95,15 @@ def segments(units: np.ndarray, spec: Spec) -> Iterator[tuple[np.ndarray, ...]]:
         yield h[low[first]], at + first, np.diff(np.append(first, len(low))), low[first] - first
 
 
-ANCHORS = "akey long, seg long, t1 long, t2 int, pack long"
+ANCHORS = "akey long, seg long, t1 long, t2 int, packs array<long>"
+
+
+def _grouped(akey: np.ndarray, seg: np.ndarray, pack: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A document's segments, equal ones as one row: keys, places, and where each row's places begin."""
+    order = np.lexsort((pack, seg, akey))
+    akey, seg, pack = akey[order], seg[order], pack[order]
+    at = bucket_runs([akey, seg])
+    return akey[at], seg[at], pack, at
 
 
 def _pack(lo, n, off):
@@ -110,8 +118,10 @@ def _anchors(spec: Spec):
             size = 0
 
             def flush():
-                cols = [np.concatenate(c) for c in zip(*out)]
-                return pa.RecordBatch.from_arrays([pa.array(as_int64(cols[0])), pa.array(as_int64(cols[1])), pa.array(cols[2]), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])], names=["akey", "seg", "t1", "t2", "pack"])
+                akey, seg, one, two, pack = (np.concatenate(c) for c in list(zip(*out))[:5])
+                sizes = np.concatenate([np.diff(np.append(o[5], len(o[4]))) for o in out])
+                packs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(pack))
+                return pa.RecordBatch.from_arrays([pa.array(as_int64(akey)), pa.array(as_int64(seg)), pa.array(one), pa.array(two.astype(np.int32)), packs], names=["akey", "seg", "t1", "t2", "packs"])
 
             for i, text in enumerate(text_bytes(b.column(0))):
                 units = spec.units(text)
@@ -119,11 +129,14 @@ def _anchors(spec: Spec):
                     continue
                 raw, width = units.tobytes(), units.itemsize
                 wide = _BYTES[units] if width == 1 else units
+                mine = []
                 for akey, lo, n, off in segments(wide, spec):
                     ends = lo + n + spec.length - 1
                     seg = np.fromiter((xxhash.xxh3_64_intdigest(raw[x * width : y * width]) for x, y in zip(lo.tolist(), ends.tolist())), np.uint64, len(lo))
-                    out.append((akey, seg, np.full(len(lo), t1[i]), np.full(len(lo), t2[i]), _pack(lo, n, off)))
-                    size += len(lo)
+                    mine.append((akey, seg, _pack(lo, n, off)))
+                akey, seg, pack, at = _grouped(*(np.concatenate(c) for c in zip(*mine)))
+                out.append((akey, seg, np.full(len(at), t1[i]), np.full(len(at), t2[i]), pack, at))
+                size += len(pack)
                 if size > 100_000:
                     yield flush()
                     out, size = [], 0
@@ -244,9 +257,12 @@ def repeated_spans(docs: DataFrame, spec: Spec, solver, dtype, block_bytes: int
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = docs.select("text", "t1", "t2").mapInArrow(_anchors(spec), ANCHORS)
-    repeated = found.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("akey")
-    kept = cut(found.join(repeated, "akey", "left_semi").groupBy("akey", "seg", "t1", "t2", "pack").agg(F.count(F.lit(1)).alias("many")), "anchors")
-    distinct = kept.groupBy("akey", "seg").agg(F.sum("many").alias("many"), F.min(F.struct("t1", "t2", "pack")).alias("at"))
+    repeated = found.groupBy("akey").agg(F.sum(F.size("packs")).alias("c")).where("c > 1").select("akey")
+    # dealt anew for the count: a join right below an aggregate on its key could not split a common anchor
+    dealt = found.join(repeated, "akey", "left_semi").repartition(parts, "akey", "seg", "t1", "t2")
+    kept = cut(dealt.groupBy("akey", "seg", "t1", "t2").agg(F.first("packs").alias("packs"), F.count(F.lit(1)).alias("copies")), "anchors")
+    many = F.sum(F.col("copies") * F.size("packs"))
+    distinct = kept.groupBy("akey", "seg").agg(many.alias("many"), F.min(F.struct("t1", "t2", F.col("packs")[0].alias("pack"))).alias("at"))
     hot = distinct.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > spec.hot).select("akey", F.lit(True).alias("hot"))
     want = (
         distinct.join(hot, "akey", "left")
@@ -262,8 +278,8 @@ def repeated_spans(docs: DataFrame, spec: Spec, solver, dtype, block_bytes: int
     hits = windows.join(twice, ["w1", "w2"], "left_semi").select("akey", "seg", F.col("i").cast("int").alias("a"), (F.col("i") + 1).cast("int").alias("b"))
     hits = hits.groupBy("akey", "seg").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("r"))
     runs = runs.groupBy("akey", "seg").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("r")).union(hits)
-    lo = F.shiftright("pack", 24)
-    spans = kept.join(runs, ["akey", "seg"]).select("t1", "t2", F.transform("r", lambda x: F.struct((lo + x["a"]).alias("a"), (lo + x["b"] + (spec.length - 1)).alias("b"))).alias("r"))
+    shift = lambda p, x: F.struct((F.shiftright(p, 24) + x["a"]).alias("a"), (F.shiftright(p, 24) + x["b"] + (spec.length - 1)).alias("b"))
+    spans = kept.join(runs, ["akey", "seg"]).select("t1", "t2", F.flatten(F.transform("packs", lambda p: F.transform("r", lambda x: shift(p, x)))).alias("r"))
     return spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("r")).alias("spans"))
 
 
