@@ -30,8 +30,12 @@ def _panel_rows(t: Tables, state: bool = False) -> DataFrame:
     return _sql(t, "SELECT c.w, c.pos, c.state, h.hap, h.allele FROM {calls} c JOIN {smallpanel} h ON h.k = IDIV(c.pos - 1000|100) WHERE h.hap < 40", "w long, pos long, state int, hap long, allele int")
 
 
+_CHAIN = """SELECT k.w, k.comp, sum(CASE WHEN k.state = t.tstate THEN 1 ELSE 0 END) AS plus, sum(CASE WHEN k.state = -t.tstate THEN 1 ELSE 0 END) AS minus, round(coalesce(max(e.pw - e.mw), 0.0), 6) AS link
+FROM {comps} k LEFT JOIN {truth} t ON t.w = k.w AND t.pos = k.pos LEFT JOIN {obsedges} e ON e.w = k.w AND e.b = k.comp AND e.a = k.comp - 1 GROUP BY k.w, k.comp"""
+
+
 def _chain(t: Tables) -> DataFrame:
-    return _sql(t, "SELECT k.w, k.comp, sum(CASE WHEN k.state = t.tstate THEN 1 ELSE 0 END) AS plus, sum(CASE WHEN k.state = -t.tstate THEN 1 ELSE 0 END) AS minus, coalesce(max(e.pw - e.mw), 0.0) AS link FROM {comps} k LEFT JOIN {truth} t ON t.w = k.w AND t.pos = k.pos LEFT JOIN {obsedges} e ON e.w = k.w AND e.b = k.comp AND e.a = k.comp - 1 GROUP BY k.w, k.comp", "w long, comp long, plus long, minus long, link double")
+    return _sql(t, _CHAIN, "w long, comp long, plus long, minus long, link double")
 
 
 _LABELS = "w long, comp long, block long, orientation int"
@@ -101,7 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _recursive(uses: list[str], ctes: str, select: str) -> str:
     plain = lambda x: _INPUT.sub(r"\1", render(x, False))
     own = ", ".join(f"{n} AS ({plain(FIXTURES[n])})" for n in needed(uses))
-    return f"WITH RECURSIVE {own}, {ctes} {select}"
+    return f"WITH RECURSIVE {own}, {plain(ctes)} {select}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -115,6 +119,16 @@ def oracle_sql() -> dict[str, str]:
             root AS (SELECT w, a AS pos, min(b) AS root FROM reach GROUP BY w, a)""",
             "SELECT CAST(w AS BIGINT) AS w, CAST(pos AS BIGINT) AS pos, CAST(dense_rank() OVER (PARTITION BY w ORDER BY root) - 1 AS BIGINT) AS comp FROM root",
         ),
+        "I27_chain_orientation": _recursive(
+            ["comps", "truth", "obsedges"],
+            f"""chain AS ({_CHAIN}), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY comp) AS i, count(*) OVER (PARTITION BY w) AS n FROM chain),
+            f AS (SELECT w, i, n, comp, CAST(minus AS DOUBLE) AS b0, CAST(plus AS DOUBLE) AS b1, 0 AS k0, 0 AS k1, plus, minus, link FROM r WHERE i = 1 UNION ALL
+            SELECT r.w, r.i, r.n, r.comp, r.minus + CASE WHEN f.b1 + r.link < f.b0 - 1e-9 THEN f.b1 + r.link ELSE f.b0 END, r.plus + CASE WHEN f.b1 < f.b0 + r.link - 1e-9 THEN f.b1 ELSE f.b0 + r.link END,
+            CASE WHEN f.b1 + r.link < f.b0 - 1e-9 THEN 1 ELSE 0 END, CASE WHEN f.b1 < f.b0 + r.link - 1e-9 THEN 1 ELSE 0 END, r.plus, r.minus, r.link FROM f JOIN r ON r.w = f.w AND r.i = f.i + 1),
+            g AS (SELECT w, i, comp, CASE WHEN b1 < b0 - 1e-9 THEN 1 ELSE 0 END AS s, k0, k1, plus, minus, link FROM f WHERE i = n UNION ALL
+            SELECT f.w, f.i, f.comp, CASE WHEN g.s = 1 THEN g.k1 ELSE g.k0 END, f.k0, f.k1, f.plus, f.minus, f.link FROM g JOIN f ON f.w = g.w AND f.i = g.i - 1)""",
+            "SELECT CAST(w AS BIGINT) AS w, CAST(comp AS BIGINT) AS comp, CAST(CASE WHEN s = 1 AND NOT (abs(minus - plus) < 0.75 AND link = 0) THEN -1 ELSE 1 END AS INT) AS orientation, CAST(abs(minus - plus) AS DOUBLE) AS margin FROM g",
+        ),
         "E8_component_split": _recursive(
             ["comps"],
             f"""r AS (SELECT w, pos, row_number() OVER (PARTITION BY w ORDER BY pos) AS rn FROM comps),
