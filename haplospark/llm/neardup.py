@@ -22,7 +22,7 @@ from .simhash import GrayIndex, _gray_rank, fingerprint
 SHINGLE, SIMILARITY = 5, 0.8
 #: Share of differing bits that the tables are laid out for (the mean is 0.118 at a five-word similarity of 0.8; short texts spread), and the radius that holds nearly all such pairs.
 DIFFER, RADIUS = 0.15, 14
-#: Neighbours that a text proposes in a bucket; fingerprints of a bucket that are searched together.
+#: Neighbours that a text proposes in a bucket at first; fingerprints of a bucket that are searched together.
 NEAREST, BLOCK = 3, 16_384
 
 
@@ -73,67 +73,99 @@ def _deal(picked: np.ndarray):
     return mapper
 
 
-def _propose(radius: int, ratio: float, nearest: int, block: int):
-    """Rows sorted by (table, key, Gray rank): links of each text to its nearest neighbours of like length in the bucket."""
-
-    def links(t, fp, n):
-        for at in range(0, len(t), block):
-            bt, bf, bn = t[at : at + block], fp[at : at + block], n[at : at + block]
-            index = GrayIndex(bf)
-            for x in range(0, len(bf), 256):
-                i, j = index.pairs(bf[x : x + 256], x, radius)
-                like = np.minimum(bn[i], bn[j]) >= ratio * np.maximum(bn[i], bn[j])
-                yield bt, bf, i[like], j[like]
-
-    def out(t, fp, n):
-        a, b, d = [], [], []
-        for bt, bf, i, j in links(t, fp, n):
-            if len(i):
-                a.append(np.concatenate([bt[i], bt[j]])), b.append(np.concatenate([bt[j], bt[i]]))
-                d.append(np.tile(np.bitwise_count(bf[i] ^ bf[j]), 2))
-            if a and sum(map(len, a)) > 2_000_000:
-                a, b, d = ([x] for x in keep(np.concatenate(a), np.concatenate(b), np.concatenate(d)))
-        return keep(np.concatenate(a), np.concatenate(b), np.concatenate(d)) if a else None
+def _propose(radius: int, ratio: float, nearest: int, limit: int):
+    """Rows sorted by (table, key, sub, Gray rank): links of each text to its nearest neighbours of like length and another label in the bucket.
+
+    Of a bucket that has more neighbours than these the texts are given back, a
+    null; of a bucket over ``limit`` (if not 0) likewise, b null.
+    """
+
+    def links(fp, n, label):
+        """Chunks of directed pairs (i, j) with another label: all of them."""
+        index = GrayIndex(fp)
+        names, counts = np.unique(label, return_counts=True)
+        if counts.max() * 2 <= len(fp):
+            for x in range(0, len(fp), 256):
+                i, j = index.pairs(fp[x : x + 256], x, radius)
+                yield np.concatenate([i, j]), np.concatenate([j, i])
+        else:  # only the texts outside the largest group are looked for
+            large = label == names[counts.argmax()]
+            rest = np.flatnonzero(~large)
+            for x in range(0, len(rest), 256):
+                own = rest[x : x + 256]
+                q, j = index.pairs(fp[own], -len(own), radius)
+                i = own[q + len(own)]
+                yield np.concatenate([i, j[large[j]]]), np.concatenate([j, i[large[j]]])
+
+    def out(t, fp, n, label):
+        a, b, d, more = [], [], [], False
+        for i, j in links(fp, n, label):
+            fit = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]))
+            i, j = i[fit], j[fit]
+            a.append(t[i]), b.append(t[j]), d.append(np.bitwise_count(fp[i] ^ fp[j]))
+            if sum(map(len, a)) > 2_000_000:
+                *kept, over = keep(np.concatenate(a), np.concatenate(b), np.concatenate(d))
+                a, b, d = ([x] for x in kept)
+                more |= over
+        if not a:
+            return t[:0], t[:0], False
+        a, b, _, over = keep(np.concatenate(a), np.concatenate(b), np.concatenate(d))
+        return a, b, more or over
 
     def keep(a, b, d):
         order = np.lexsort((b, d, a))
         a, b, d = a[order], b[order], d[order]
         first = bucket_runs([a])
         place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-        return a[place < nearest], b[place < nearest], d[place < nearest]
+        own = place < nearest
+        return a[own], b[own], d[own], not own.all()
+
+    def rows(cols, a, b):
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["table", "key", "sub", "a", "b"])
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = spilled = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(5)]
+            cols = [batch.column(i).to_numpy() for i in range(7)]
+            if spilled is not None:
+                own = (cols[0] == spilled[0]) & (cols[1] == spilled[1]) & (cols[2] == spilled[2])
+                if own.any():
+                    yield rows([c[own] for c in cols[:3]], cols[3][own], pa.nulls(int(own.sum())))
+                    cols = [c[~own] for c in cols]
             if not len(cols[0]):
                 continue
+            spilled = None
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            at = bucket_runs(cols[:2]).tolist()
+            at = bucket_runs(cols[:3]).tolist()
             yield from work(cols, at)
             held = [c[at[-1] :] for c in cols]
-            if len(held[0]) > 8 * block:  # a bucket that outgrows memory is searched in stretches of Gray order
-                yield from work(held, [0, len(held[0])])
-                held = [c[-block:] for c in held]
+            if limit and len(held[0]) > limit:
+                yield rows(held[:3], held[3], pa.nulls(len(held[0])))
+                held, spilled = None, [c[0] for c in held[:3]]
         if held is not None:
             yield from work(held, [0, len(held[0])])
 
     def work(cols, at):
-        t, fp, n = cols[2], cols[3].view(np.uint64), cols[4]
-        a, b = [], []
+        t, fp, n, label = cols[3], cols[4].view(np.uint64), cols[5], cols[6]
+        a, b, unfinished = [], [], []
         for x, y in zip(at, at[1:]):
             if y - x == 2:
-                like = min(n[x], n[x + 1]) >= ratio * max(n[x], n[x + 1])
+                like = label[x] != label[x + 1] and min(n[x], n[x + 1]) >= ratio * max(n[x], n[x + 1])
                 if like and int(fp[x] ^ fp[x + 1]).bit_count() <= radius:
                     a.append(t[x : x + 1]), b.append(t[x + 1 : x + 2])
             elif y - x > 2:
-                got = out(t[x:y], fp[x:y], n[x:y])
-                if got is not None:
-                    a.append(got[0]), b.append(got[1])
+                i, j, more = out(t[x:y], fp[x:y], n[x:y], label[x:y])
+                a.append(i), b.append(j)
+                if more:
+                    unfinished.append(np.arange(x, y))
+        if unfinished:
+            own = np.concatenate(unfinished)
+            yield rows([c[own] for c in cols[:3]], pa.nulls(len(own)), t[own])
         if a:
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            zero = np.zeros(len(a), np.int64)
+            yield rows([zero.astype(np.int32), zero, zero], np.minimum(a, b), np.maximum(a, b))
 
     return mapper
 
@@ -143,33 +175,76 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t) for t in text_bytes(b.column(1))], pa.list_(pa.int64()))], names=["t", "s"])
 
 
+def _proposals(dealt: DataFrame, radius: int, similarity: float, nearest: int, limit: int) -> DataFrame:
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "table", "key", "sub").sortWithinPartitions("table", "key", "sub", "rank").select("table", "key", "sub", "t", "fp", "n", "label")
+    return cut(dealt.mapInArrow(_propose(radius, similarity, nearest, limit), "table int, key long, sub long, a long, b long"), "proposals")
+
+
+def _verified(rows: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose texts have the similarity."""
+    edges = cut(edges.distinct(), "edges")
+    wanted = edges.select(F.col("a").alias("t")).union(edges.select("b")).distinct()
+    sets = cut(rows.join(wanted, "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(_sets, "t long, s array<long>"), "shingles")
+    pairs = edges.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return pairs.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _merged(known: DataFrame, linked: DataFrame) -> DataFrame:
+    """``known`` with the labels that the links join made one."""
+    of = known.select("t", "label")
+    ends = linked.join(of.withColumnsRenamed({"t": "a", "label": "x"}), "a").join(of.withColumnsRenamed({"t": "b", "label": "y"}), "b")
+    labels = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    joined = known.join(labels.withColumnRenamed("label", "lowest"), F.col("label") == F.col("node"), "left")
+    return cut(joined.withColumn("label", F.coalesce("lowest", "label")).select(*known.columns), "known")
+
+
+def _known(docs: DataFrame, similarity: float, radius: int, recall: float, limit: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, t`` of each row, and ``t, fp, n, low, label`` of each distinct text.
+
+    A search proposes each text's nearest neighbours and merges the verified
+    ones; the buckets where a text has more neighbours of another label are
+    searched again for four times as many, until none is left over: then each
+    pair within the radius in any bucket is merged or was tested.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    marked = cut(rows.mapInArrow(_features, "doc_id long, t long, fp long, n long"), "features")
+    known = cut(marked.groupBy("t").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("doc_id").alias("low")).withColumn("label", F.col("t")), "nodes")
+    rank = _gray_rank(F.col("fp")).alias("rank")
+    picked = tables(known.count(), recall)
+    dealt = known.where("n > 0").select("t", "fp", "n", rank).mapInArrow(_deal(picked), "table int, key long, t long, fp long, n long, rank long")
+    found = _proposals(dealt.withColumns({"sub": F.lit(0).cast("long"), "label": F.col("t")}), radius, similarity, NEAREST, limit)
+    over = found.where("b is null").select("table", "key", F.col("a").alias("t"))
+    if not over.isEmpty():  # a bucket over the limit is dealt in parts, each with each: every pair still meets
+        of = over.groupBy("table", "key").agg(F.ceil(F.count("t") * 2 / limit).alias("m"))
+        split = over.join(F.broadcast(of), ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("t"), F.col("m")))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+        split = split.withColumn("sub", 1 + F.least("own", "other") * F.col("m") + F.greatest("own", "other"))
+        found = found.union(_proposals(split.join(known, "t").withColumn("rank", rank), radius, similarity, NEAREST, 0))
+    nearest = NEAREST
+    while True:
+        known = _merged(known, _verified(rows, found.where("a is not null and b is not null").select("a", "b"), similarity))
+        left = found.where("a is null").select("table", "key", "sub", F.col("b").alias("t"))
+        if left.isEmpty():
+            break
+        nearest *= 4
+        found = _proposals(left.join(known, "t").withColumn("rank", rank), radius, similarity, nearest, 0)
+    return marked.select("doc_id", "t"), known
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, recall: float = 0.97) -> DataFrame:
     """``doc_id, group_id`` for each row: the smallest doc_id among the texts that links of ``similarity`` or more connect.
 
     Equal texts are one node.  Distinct texts are dealt by sampled fingerprint
     bits into enough tables to meet a pair at the threshold with chance
-    ``recall``; in a bucket the Gray-ordered index gives each text its nearest
-    neighbours within ``radius`` bits and of like length; the share of common
-    five-word shingles decides.  Null and empty texts are equal to each other;
-    repeated rows share their group; other columns are ignored.
+    ``recall``; in a bucket the Gray-ordered index finds the neighbours within
+    ``radius`` bits and of like length; the share of common five-word shingles
+    decides.  Null and empty texts are equal to each other; repeated rows share
+    their group; other columns are ignored.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    marked = cut(rows.mapInArrow(_features, "doc_id long, t long, fp long, n long"), "features")
-    nodes = cut(marked.groupBy("t").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("doc_id").alias("low")), "nodes")
-    picked = tables(nodes.count(), recall)
-    dealt = nodes.where("n > 0").select("t", "fp", "n", _gray_rank(F.col("fp")).alias("rank")).mapInArrow(_deal(picked), "table int, key long, t long, fp long, n long, rank long")
-    dealt = dealt.repartition(parts, "table", "key").sortWithinPartitions("table", "key", "rank").select("table", "key", "t", "fp", "n")
-    edges = cut(dealt.mapInArrow(_propose(radius, similarity, NEAREST, BLOCK), "a long, b long").distinct(), "proposals")
-    wanted = edges.select(F.col("a").alias("t")).union(edges.select("b")).distinct()
-    sets = cut(rows.join(wanted, "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(_sets, "t long, s array<long>"), "shingles")
-    pairs = edges.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    linked = pairs.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
-    labels = connected_components(linked)
-    known = nodes.join(labels, F.col("t") == F.col("node"), "left").select("t", "low", F.coalesce("label", "t").alias("label")).checkpoint()
+    marked, known = _known(docs, similarity, radius, recall)
     lowest = known.groupBy("label").agg(F.min("low").alias("group_id"))
     return marked.join(known.join(lowest, "label").select("t", "group_id"), "t").select("doc_id", "group_id")
 

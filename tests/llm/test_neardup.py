@@ -49,3 +49,31 @@ def test_groups_against_brute_force(spark):
     kept = [r.doc_id for r in neardup.keep_first(df).collect()]
     assert len(kept) == len(set(kept)) == len({r.group_id for r in got}) and set(kept) == {r.group_id for r in got}
     assert neardup.near_groups(df.limit(0)).count() == 0
+
+
+def crowd(rng, size, words=160, edits=3):
+    """A base and copies that are alike to it to 0.8, but not to each other."""
+    base = ["b%d" % k for k in range(words)]
+    copies = []
+    for c in range(size):
+        copy = list(base)
+        for k in rng.choice(np.arange(4, words - 4), edits, replace=False):
+            copy[k] = "e%d_%d" % (c, k)
+        copies.append(" ".join(copy))
+    return [" ".join(base), *copies]
+
+
+def test_crowd_around_one_base(spark):
+    texts = crowd(np.random.default_rng(3), 2000)
+    assert min(jaccard(texts[0], x) for x in texts[1:]) >= 0.8 and np.mean([jaccard(texts[k], texts[k + 1]) < 0.8 for k in range(1, 200)]) > 0.9
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in neardup.near_groups(df).collect()}
+    joined = np.mean([g == 0 for g in got.values()])
+    assert joined >= 0.97
+
+
+def test_pairs_of_a_split_bucket(spark, monkeypatch):
+    texts = crowd(np.random.default_rng(4), 150)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    groups = lambda limit: {r.t: r.label for r in neardup._known(df, 0.8, 14, 0.97, limit)[1].collect()}
+    assert groups(8) == groups(10_000)
