@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -70,9 +71,10 @@ def tile(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> list
 
     The search length falls from the item's length to ``min_match``; at each,
     unmarked windows of both sides are compared by Karp-Rabin value, hits are
-    checked and extended token by token, and the longest are marked first.  A
-    match that turns out longer than twice the search length restarts the scan
-    at its length.  Token 0 matches nothing.
+    checked and extended token by token, and the longest are marked first.  The
+    free parts of a match that a longer tile cuts queue again, so that no match
+    of the search length is left.  A match that turns out longer than twice the
+    search length restarts the scan at its length.  Token 0 matches nothing.
     """
     n, m = len(item), len(text)
     free_item, free_text = item != 0, np.isin(text, item) & (text != 0)
@@ -95,6 +97,8 @@ def tile(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> list
             hit = np.isin(value, np.fromiter(table, np.uint64, len(table)))
             for t, h in zip(at_t[hit].tolist(), value[hit].tolist()):
                 for i in table[h]:
+                    if i and t and item[i - 1] == text[t - 1] and free_item[i - 1] and free_text[t - 1]:
+                        continue  # part of the match that starts before it
                     if not np.array_equal(item[i : i + length], text[t : t + length]):
                         continue
                     size = length
@@ -105,10 +109,20 @@ def tile(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> list
         if longer > 2 * length:
             length = longer
             continue
-        for i, t, size in sorted(matches, key=lambda x: (-x[2], x[0], x[1])):
-            if free_item[i : i + size].all() and free_text[t : t + size].all():
+        queue = [(-size, i, t) for i, t, size in matches]
+        heapify(queue)
+        while queue:
+            size, i, t = heappop(queue)
+            size = -size
+            free = free_item[i : i + size] & free_text[t : t + size]
+            if free.all():
                 free_item[i : i + size] = free_text[t : t + size] = False
                 tiles.append((i, t, size))
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if b - a >= length:
+                    heappush(queue, (a - b, i + a, t + a))
         if length == min_match:
             break
         length = max(min_match, length // 2 if length > 2 * min_match else min_match)

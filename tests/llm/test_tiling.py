@@ -40,6 +40,23 @@ def test_tiles_against_brute_force():
         assert sum(k for *_, k in tiles) >= 0.7 * brute_tiles(item, text, min(4, len(item)))
 
 
+def test_tiles_cover_as_much_as_brute_force():
+    r = random.Random(5)
+    w = list(range(1, 17))
+    cut = w[:6] + [90] + w[4:11] + [91] + w[11:]
+    assert sum(k for *_, k in tiling.tile(np.array(w, np.uint64), np.array(cut, np.uint64), 4)) == 16
+    for _ in range(150):
+        item = [r.randrange(1, 30) for _ in range(r.randrange(8, 40))]
+        text = []
+        for _ in range(r.randrange(1, 6)):  # pieces of the item that overlap
+            a = r.randrange(len(item))
+            text += [r.randrange(1, 40), *item[a : a + r.randrange(2, 16)]]
+        if r.random() < 0.3:
+            item, text = [x % 4 + 1 for x in item], [x % 4 + 1 for x in text]
+        tiles = tiling.tile(np.array(item, np.uint64), np.array(text, np.uint64), 4)
+        assert sum(k for *_, k in tiles) == brute_tiles(item, text, 4)
+
+
 def test_contamination(spark):
     r = random.Random(1)
     word = lambda: "w%d" % r.randrange(5000)
