@@ -249,8 +249,14 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = R
     return marked.join(known.join(lowest, "label").select("t", "group_id"), "t").select("doc_id", "group_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs``, unchanged, one of each group: that with the smallest doc_id, once.  A group without ids keeps one row."""
-    groups = near_groups(docs, **options)
-    kept = groups.groupBy("group_id").agg(F.max(F.when(F.col("doc_id") == F.col("group_id"), F.col("doc_id"))).alias("__id")).select("__id").distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, recall: float = 0.97) -> DataFrame:
+    """Rows of ``docs``, unchanged, one of each group: that with the smallest doc_id, once.
+
+    Groups are told apart by their texts: a group without ids keeps one row, and
+    different texts that share a doc_id, or have none, stay if their groups differ.
+    """
+    _, known = _known(docs, similarity, radius, recall)
+    first = known.groupBy("label").agg(F.min(F.struct(F.col("low").isNull(), "low", "t")).alias("x")).select(F.col("x.t").alias("__t"), F.col("x.low").alias("__low"))
+    marked = docs.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = (marked["__t"] == first["__t"]) & marked["doc_id"].cast("long").eqNullSafe(first["__low"])
+    return marked.join(first, own, "left_semi").dropDuplicates(["__t"]).drop("__t")

@@ -77,3 +77,10 @@ def test_pairs_of_a_split_bucket(spark, monkeypatch):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
     groups = lambda limit: {r.t: r.label for r in neardup._known(df, 0.8, 14, 0.97, limit)[1].collect()}
     assert groups(8) == groups(10_000)
+
+
+def test_different_texts_with_one_id_or_none_stay(spark):
+    words = lambda k: " ".join(f"v{k}_{i}" for i in range(30))
+    rows = [(None, words(k)) for k in range(6)] + [(None, words(0)), (1, words(10)), (1, words(11)), (2, words(12)), (None, words(12)), (3, words(12)), (2, words(12))]
+    kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, words(k)) for k in range(6)] + [(1, words(10)), (1, words(11)), (2, words(12))])
