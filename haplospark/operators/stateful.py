@@ -7,13 +7,15 @@ and returns pandas frames and knows nothing of Spark.
 
 from __future__ import annotations
 
-from itertools import product
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-EXACT_SITES = 14
+EXACT_SITES = 18
+#: Phasings that an exact solver holds at once.
+MASKS = 4096
 
 
 def per_window(df: DataFrame, fn, schema: str, *keys: str) -> DataFrame:
@@ -103,14 +105,18 @@ def cost(m: np.ndarray, x: np.ndarray) -> np.ndarray:
 def solve_exact(m: np.ndarray) -> tuple[np.ndarray, float, float]:
     """All phasings with the first site +1: the first minimum, its cost, and the margin to the next."""
     n = m.shape[1]
-    masks = np.arange(1 << (n - 1))
-    x = np.ones((len(masks), n))
-    for k in range(1, n):
-        x[:, k] = np.where(masks >> (k - 1) & 1, -1, 1)
-    c = np.round(cost(m, x), 9)
+
+    def phasings(masks):
+        x = np.ones((len(masks), n))
+        for k in range(1, n):
+            x[:, k] = np.where(masks >> (k - 1) & 1, -1, 1)
+        return x
+
+    most = 1 << (n - 1)
+    c = np.concatenate([np.round(cost(m, phasings(np.arange(a, min(a + MASKS, most)))), 9) for a in range(0, most, MASKS)])
     best = int(c.argmin())
     rest = np.delete(c, best)
-    return x[best], float(c[best]), float(rest.min() - c[best]) if len(rest) else 0.0
+    return phasings(np.array([best]))[0], float(c[best]), float(rest.min() - c[best]) if len(rest) else 0.0
 
 
 def refine(m: np.ndarray, x: np.ndarray, sweeps: int = 5) -> np.ndarray:
@@ -179,7 +185,7 @@ def solve_window(frags: pd.DataFrame, exact_sites: int = EXACT_SITES, chunk: int
 SOLVED = "w long, pos long, block_id string, state int, solver string, objective double, margin double, conf double"
 
 
-def solve_with_priors(frags: pd.DataFrame, beam: int = 256, anchor: float = 0.75, switch: float = 0.10, exact_sites: int = 12) -> pd.DataFrame:
+def solve_with_priors(frags: pd.DataFrame, beam: int = 256, anchor: float = 0.75, switch: float = 0.10, exact_sites: int = EXACT_SITES) -> pd.DataFrame:
     """Regions of at most 24 sites with site priors and a cost for each switch; exact, or beam search rescored."""
     w = frags["w"].iloc[0]
     rows = []
@@ -195,8 +201,11 @@ def solve_with_priors(frags: pd.DataFrame, beam: int = 256, anchor: float = 0.75
             return cost(m, x) - anchor * (x @ prior) * 0.1 + switch * (x[:, 1:] != x[:, :-1]).sum(1)
 
         if len(sites) <= exact_sites:
-            x = np.array(list(product((1.0, -1.0), repeat=len(sites))))
-            solver = "exact"
+            n, solver = len(sites), "exact"
+            masks = np.arange(1 << n)
+            signs = lambda own: np.where(own[:, None] >> np.arange(n - 1, -1, -1) & 1, -1.0, 1.0)
+            c = np.concatenate([np.round(total(signs(masks[a : a + MASKS])), 9) for a in range(0, len(masks), MASKS)])
+            x = signs(np.argsort(c, kind="stable")[:2])
         else:
             x = np.array([[1.0], [-1.0]])
             for k in range(1, len(sites)):
@@ -246,7 +255,7 @@ def superread_merge(frags: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["w", "read_id", "superread"])
 
 
-def informative_reads(frags: pd.DataFrame, most: int = 60) -> pd.DataFrame:
+def informative_reads(frags: pd.DataFrame, most: int = 5000) -> pd.DataFrame:
     """Greedy choice by base score less a penalty for sites that are covered already."""
     base = {}
     for r, g in frags.groupby("read_id"):
@@ -254,14 +263,20 @@ def informative_reads(frags: pd.DataFrame, most: int = 60) -> pd.DataFrame:
         base[r] = (n * n + 0.002 * (g["pos"].max() - g["pos"].min()) + 2 * (n - 1) + 0.5 * g["weight"].mean() * n, g["pos"].tolist())
     cover: dict[int, int] = {}
     out = []
-    while base and len(out) < most:
-        score, r = max((round(s - sum(min(3.0, 0.4 * cover.get(p, 0)) for p in pos), 9), -r) for r, (s, pos) in base.items())
-        r = -r
-        if score <= 0:
+    score = lambda r: round(base[r][0] - sum(min(3.0, 0.4 * cover.get(p, 0)) for p in base[r][1]), 9)
+    queue = [(-score(r), r) for r in base]
+    heapify(queue)
+    while queue and len(out) < most:
+        bound, r = heappop(queue)
+        now = score(r)
+        if now < -bound:  # scores only fall, so that one at the head that has not fallen is the best
+            heappush(queue, (-now, r))
+            continue
+        if now <= 0:
             break
-        for p in base.pop(r)[1]:
+        for p in base[r][1]:
             cover[p] = cover.get(p, 0) + 1
-        out.append((frags["w"].iloc[0], r, score, len(out)))
+        out.append((frags["w"].iloc[0], r, now, len(out)))
     return pd.DataFrame(out, columns=["w", "read_id", "score", "rank"])
 
 

@@ -79,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "I11_informative_reads": _window("frags", st.informative_reads, _READS + ", score double, rank long"),
         "I16_components": _window("frags", st.components, "w long, pos long, comp long"),
         "I17_I18_wmec_solve": _window("frags", st.solve_window, st.SOLVED),
-        "I21_wmec_exact_only": _window("frags", lambda p: st.solve_window(p, exact_sites=12), st.SOLVED),
+        "I21_wmec_legacy": _window("frags", st.solve_window, st.SOLVED),
         "I22_connectivity_regions": _window("frags", lambda p: st.split_component(st.components(p)[["w", "pos"]]), "w long, pos long, piece long"),
         "I23_active_reads": _window("frags", st.active_reads, "w long, region long, read_id long, score double"),
         "I24_probabilistic_merge": _window("frags", st.probabilistic_merge, _READS + ", cluster long"),

@@ -111,3 +111,19 @@ def test_read_selection():
         own = f[f["read_id"].isin(merged[merged == s].index)]
         assert (own.groupby("pos")["allele"].nunique() == 1).all()
     assert st.informative_reads(f)["rank"].is_monotonic_increasing and len(st.active_reads(f)) and len(st.probabilistic_merge(f))
+
+
+def test_limits_of_the_reference():
+    rng = np.random.default_rng(8)
+    chain = lambda n: pd.DataFrame([(0, r, 100 * p, int(rng.choice([-1, 1])), float(rng.integers(1, 9))) for r in range(3 * n) for p in (r % (n - 1), r % (n - 1) + 1)], columns=["w", "read_id", "pos", "allele", "weight"])
+    f = chain(16)
+    got = st.solve_window(f)
+    _, m = st._matrix(f)
+    masks = np.arange(1 << 15)
+    x = np.where(masks[:, None] >> np.arange(15) & 1, -1.0, 1.0)
+    c = np.round(st.cost(m, np.c_[np.ones(len(x)), x]), 9)
+    assert set(got["solver"]) == {"exact"} and got["objective"].iloc[0] == c.min() and got["margin"].iloc[0] == np.sort(c)[1] - c.min()
+    assert set(st.solve_with_priors(f)["solver"]) == {"exact"}
+    assert set(st.solve_window(chain(18))["solver"]) == {"exact"} and set(st.solve_window(chain(19))["solver"]) == {"greedy"}
+    reads = pd.DataFrame([(0, r, 1000 * r + k, 1, 1.0) for r in range(100) for k in (1, 2)], columns=["w", "read_id", "pos", "allele", "weight"])
+    assert len(st.informative_reads(reads)) == 100
