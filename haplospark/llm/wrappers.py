@@ -52,7 +52,7 @@ def _chrome(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    if not names.strip():
+    if not names.strip() or tag in ("html", "body", "main", "article"):  # hints there name the page, not chrome
         return False
     for name in names.split():
         words = set(_PART.split(_CAMEL.sub(" ", name).lower()))
@@ -66,16 +66,20 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
     out: list[tuple[tuple[str, ...], str, int, bool]] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, signature, chrome, inside main
     text: list[str] = []
-    links = linked = 0
+    anchors: list[str] = []  # the part of the text inside links
+    links = 0
     at, size = 0, len(page)
 
     def close():
-        nonlocal text, linked
+        nonlocal text, anchors
         if text:
             flat = " ".join(entities.unescape("".join(text)).split())
             if flat:
-                out.append((tuple(s[1] for s in stack), flat, min(linked, len(flat)), bool(stack) and stack[-1][2]))
-            text, linked = [], 0
+                inside = " ".join(entities.unescape("".join(anchors)).split())
+                free = len("".join(flat.split())) - len("".join(inside.split()))
+                linked = min(len(inside), len(flat) - 1) if free else len(flat)
+                out.append((tuple(s[1] for s in stack), flat, linked, bool(stack) and stack[-1][2]))
+            text, anchors = [], []
 
     silent = 0
     while at < size:
@@ -84,7 +88,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if start > at and not silent:
             text.append(page[at:start])
             if links:
-                linked += start - at
+                anchors.append(page[at:start])
         if not m:
             break
         at = m.end()
@@ -305,8 +309,9 @@ def apply_rule(found: list[tuple], rule: dict | None) -> str | None:
     if rule is None:
         return None
     main = tuple(rule["main"])
+    whole = bool(main) and main[-1].split(".")[0] in ("article", "main")  # named as the main text: all of it is
     fixed = {tuple(p): t for p, t in rule["fixed"]}
-    kept = [t for p, t, linked, chrome in found if not chrome and p[: len(main)] == main and fixed.get(p) != t and (linked < len(t) or len(found) == 1 or p[-1:] == ("p",))]
+    kept = [t for p, t, linked, chrome in found if not chrome and p[: len(main)] == main and (whole or fixed.get(p) != t and (linked < len(t) or len(found) == 1 or p[-1:] and p[-1].split(".")[0] in ("p", "h1")))]
     return " ".join(kept) if kept else None
 
 

@@ -40,3 +40,17 @@ def test_extract(spark):
     assert by_id[100] == by_id[103] == "Head Only one." and by_id[101] == by_id[102] == "" and by_id[None] == "alone"
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert wrappers.extract(df.limit(0)).count() == 0
+
+
+def test_article_keeps_links_and_repeated_text():
+    body = lambda i: f"""<html class="no-ads"><body class="has-sidebar"><nav><p>Menu</p></nav><article class="post widget"><h1><a href="/{i}">Title {i}</a></h1><p class="lead"><a href="#">Lead {i}</a></p>
+<p>{" ".join(f"word{i}_{k}" for k in range(30))}</p><ul><li><a href="#">Source {i}</a></li></ul><h2>Methods</h2><p>See <a href="#">A &amp;  B &amp;   C</a></p></article></body></html>"""
+    pages = [wrappers.blocks(body(i)) for i in range(4)]
+    w = wrappers.Wrapper()
+    for found in pages:
+        w.add(found)
+    for i, found in enumerate(pages):
+        text = wrappers.main_text(found, w.rule())
+        assert text == f"Title {i} Lead {i} " + " ".join(f"word{i}_{k}" for k in range(30)) + f" Source {i} Methods See A & B & C"
+    (block,) = wrappers.blocks("<div>See <a>A &amp; B &amp; C</a></div>")
+    assert block[2] < len(block[1])
