@@ -12,14 +12,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 U64 = np.uint64
 
 
+#: Removes a job's shuffle files as soon as its rows are written.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder of
-    this machine is set instead.
+    Only in local mode without that setting (tests, a laptop) a temporary folder
+    of this machine is set instead; a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -34,10 +40,41 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut` wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hub_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", least: int = 2_000) -> DataFrame:
+    """``big`` joined with ``small``, a written table of one row a key that counts big's rows of the key in ``rows``.
+
+    Rows of a key over ``least`` and over a ten thousandth of all meet its row by
+    broadcast, where they are: these keys are ten thousand at most.
+    """
+    total = small.agg(F.sum("rows")).first()[0] or 0
+    limit = max(least, total // 10_000)
+    hubs = small.where(F.col("rows") > limit)
+    small = small.where(F.col("rows") <= limit).drop("rows")
+    if hubs.isEmpty():
+        return big.join(small, keys, how)
+    hubs = hubs.drop("rows")
+    warm = big.join(F.broadcast(hubs), keys, how)
+    return big.join(F.broadcast(hubs.select(*keys)), keys, "left_anti").join(small, keys, how).unionByName(warm)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,6 +100,28 @@ def bucket_runs(keys: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Edges at one node from which they are not sent to the task of that node.
+HUB = 100_000
+
+
+def _lowest(edges: DataFrame, count: int) -> DataFrame:
+    """``u, v, m`` for each edge, m the least neighbour of u.
+
+    The rows of a hub meet its one value by broadcast: over ``HUB`` and a ten
+    thousandth of all edges there are ten thousand hubs at most.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+    if count <= HUB:
+        return edges.join(low.select("u", "m"), "u")
+    low = low.withColumn("hub", F.col("c") > max(HUB, count // 10_000)).checkpoint()
+    hubs = low.where("hub")
+    if hubs.isEmpty():
+        return edges.join(low.select("u", "m"), "u")
+    marked = edges.join(F.broadcast(hubs.select("u", F.col("m").alias("h"))), "u", "left")
+    rest = marked.where("h is null").select("u", "v").join(low.where("not hub").select("u", "m"), "u")
+    return rest.select("u", "v", "m").union(marked.where("h is not null").select("u", "v", F.col("h").alias("m")))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as ``(a, b)`` longs.
 
@@ -70,7 +129,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for nodes that have an edge.  Alternating large-star and small-star rounds;
     each round is checkpointed in the shared folder.  Only row counts and two
     sums reach the driver.  Stars of any size are fine: a round keeps a minimum
-    per node, which is combined before the shuffle.
+    per node, which is combined before the shuffle, and a hub's edges stay where
+    they are.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     mark = F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
@@ -81,11 +141,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = _lowest(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         e = (
-            large.join(low, "u")
+            _lowest(large, now[0])
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v").where("u <> v").distinct().checkpoint()
         )

@@ -16,14 +16,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_int64, bucket_runs, connected_components, cut, text_bytes
+from .common import as_int64, bucket_runs, connected_components, cut, drop, text_bytes
 from .simhash import GrayIndex, _gray_rank, fingerprint
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Share of differing bits that the tables are laid out for (the mean is 0.118 at a five-word similarity of 0.8; short texts spread), and the radius that holds nearly all such pairs.
 DIFFER, RADIUS = 0.15, 14
-#: Neighbours that a text proposes in a bucket at first; fingerprints of a bucket that are searched together.
-NEAREST, BLOCK = 3, 16_384
+#: Neighbours that a text proposes in a bucket at first; fingerprints of a bucket that are searched together; 64-bit words of the largest bitmap.
+NEAREST, BLOCK, MOST_WORDS = 3, 16_384, 512
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -63,24 +63,83 @@ def _deal(picked: np.ndarray):
             for at in range(0, b.num_rows, 4000):
                 part = b.slice(at, 4000)
                 fp = part.column(1).to_numpy().view(np.uint64)
-                cols = [part.column(i).to_numpy() for i in range(4)]
+                cols = [part.column(i).to_numpy() for i in (0, 2, 3)]
                 for t, bits in enumerate(picked):
                     key = np.zeros(len(fp), np.uint64)
                     for k, bit in enumerate(bits.tolist()):
                         key |= (fp >> np.uint64(bit) & np.uint64(1)) << np.uint64(k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(as_int64(key)), *map(pa.array, cols)], names=["table", "key", "t", "fp", "n", "rank"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(as_int64(key)), *map(pa.array, cols)], names=["table", "key", "t", "n", "rank"])
 
     return mapper
 
 
+def bitmap(shingle: np.ndarray) -> np.ndarray:
+    """Words of a bit set with at least eight bits a shingle, up to :data:`MOST_WORDS`; half of it, folded, is the next smaller one."""
+    words = 1
+    while words * 8 < len(shingle) and words < MOST_WORDS:
+        words *= 2
+    at = shingle.view(np.uint64) & np.uint64(words * 64 - 1)
+    flags = np.zeros(words * 64, np.uint8)
+    flags[at.astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+class Bound:
+    """Upper bounds of the shingle similarity of pairs, from bitmaps.
+
+    Every bit that A has and B lacks stands for at least one shingle of A
+    outside B, so the bounds never fall below the similarity itself: no pair is
+    lost by them.
+    """
+
+    def __init__(self, n: np.ndarray, bitmaps: list[bytes]):
+        self.n = n
+        size = np.array([len(x) // 8 for x in bitmaps])
+        self.size, self.rows, self.at = size, {}, np.zeros(len(n), np.int64)
+        for w in np.unique(size).tolist():
+            own = np.flatnonzero(size == w)
+            self.rows[w] = np.frombuffer(b"".join(bitmaps[k] for k in own.tolist()), np.uint64).reshape(len(own), w)
+            self.at[own] = np.arange(len(own))
+
+    def _bits(self, k: np.ndarray, w: int) -> np.ndarray:
+        out = np.empty((len(k), w), np.uint64)
+        for own in np.unique(self.size[k]).tolist():
+            mine = self.size[k] == own
+            x = self.rows[own][self.at[k[mine]]]
+            while x.shape[1] > w:
+                x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+            out[mine] = x
+        return out
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i))
+        small = np.minimum(self.size[i], self.size[j])
+        for w in np.unique(small).tolist():
+            own = np.flatnonzero(small == w)
+            step = max(1, 2_000_000 // w)
+            for x in range(0, len(own), step):
+                k = own[x : x + step]
+                a, b = self._bits(i[k], w), self._bits(j[k], w)
+                both = np.minimum(self.n[i[k]] - np.bitwise_count(a & ~b).sum(1), self.n[j[k]] - np.bitwise_count(b & ~a).sum(1))
+                out[k] = both / (self.n[i[k]] + self.n[j[k]] - both)
+        return out
+
+
+#: Rows of a bucket as they are dealt, sorted by (table, key, sub, Gray rank); label null: each text its own.
+DEALT = ("table", "key", "sub", "t", "rank", "n", "label", "bits")
+PROPOSED = "table int, key long, sub long, a long, b long"
+
+
 def _propose(radius: int, ratio: float, nearest: int, limit: int):
-    """Rows sorted by (table, key, sub, Gray rank): links of each text to its nearest neighbours of like length and another label in the bucket.
+    """Links of each text to its nearest neighbours of like length and another label in its bucket.
 
-    Of a bucket that has more neighbours than these the texts are given back, a
-    null; of a bucket over ``limit`` (if not 0) likewise, b null.
+    Where bitmaps are there, pairs that they prove to be below the similarity go,
+    the rest is nearest by them, and of two labels that meet the best pairs are
+    taken only.  Of neighbours beyond these the texts are given back, a null; all
+    of a bucket over ``limit`` (if not 0) likewise, b null.
     """
 
-    def links(fp, n, label):
+    def links(fp, label):
         """Chunks of directed pairs (i, j) with another label: all of them."""
         index = GrayIndex(fp)
         names, counts = np.unique(label, return_counts=True)
@@ -97,36 +156,76 @@ def _propose(radius: int, ratio: float, nearest: int, limit: int):
                 i = own[q + len(own)]
                 yield np.concatenate([i, j[large[j]]]), np.concatenate([j, i[large[j]]])
 
-    def out(t, fp, n, label):
-        a, b, d, more = [], [], [], False
-        for i, j in links(fp, n, label):
+    def first(keys: list[np.ndarray], far: np.ndarray) -> np.ndarray:
+        """Which rows are among the ``nearest`` of their keys."""
+        order = np.lexsort((far, *keys[::-1]))
+        at = bucket_runs([k[order] for k in keys])
+        place = np.arange(len(order)) - np.repeat(at, np.diff(np.append(at, len(order))))
+        own = np.zeros(len(order), bool)
+        own[order] = place < nearest
+        return own
+
+    def keep(i, j, far, label, grouped, over):
+        own = first([i], far)
+        if grouped:
+            x, y = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+            own &= first([x, y], far)
+        over[i[~own]] = over[j[~own]] = True
+        return i[own], j[own], far[own]
+
+    def out(fp, n, label, bits):
+        held, size, over = [], 0, np.zeros(len(fp), bool)
+        bound = Bound(n, bits) if bits is not None else None
+        for i, j in links(fp, label):
             fit = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]))
             i, j = i[fit], j[fit]
-            a.append(t[i]), b.append(t[j]), d.append(np.bitwise_count(fp[i] ^ fp[j]))
-            if sum(map(len, a)) > 2_000_000:
-                *kept, over = keep(np.concatenate(a), np.concatenate(b), np.concatenate(d))
-                a, b, d = ([x] for x in kept)
-                more |= over
-        if not a:
-            return t[:0], t[:0], False
-        a, b, _, over = keep(np.concatenate(a), np.concatenate(b), np.concatenate(d))
-        return a, b, more or over
-
-    def keep(a, b, d):
-        order = np.lexsort((b, d, a))
-        a, b, d = a[order], b[order], d[order]
-        first = bucket_runs([a])
-        place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-        own = place < nearest
-        return a[own], b[own], d[own], not own.all()
+            if bound is None:
+                far = np.bitwise_count(fp[i] ^ fp[j]).astype(float)
+            else:
+                most = bound(i, j)
+                fit = most >= ratio - 1e-9
+                i, j, far = i[fit], j[fit], -most[fit]
+            held.append((i, j, far))
+            size += len(i)
+            if size > 2_000_000:
+                held = [keep(*(np.concatenate(x) for x in zip(*held)), label, bound is not None, over)]
+                size = len(held[0][0])
+        if not size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), over
+        i, j, _ = keep(*(np.concatenate(x) for x in zip(*held)), label, bound is not None, over)
+        return i, j, over
 
     def rows(cols, a, b):
         return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["table", "key", "sub", "a", "b"])
 
+    def work(cols, at):
+        t, rank, n, label, bits = cols[3], cols[4].view(np.uint64), cols[5], cols[6], cols[7]
+        fp = rank ^ (rank >> np.uint64(1))
+        a, b, unfinished = [], [], []
+        for x, y in zip(at, at[1:]):
+            if y - x == 2:
+                like = label[x] != label[x + 1] and min(n[x], n[x + 1]) >= ratio * max(n[x], n[x + 1])
+                if like and int(fp[x] ^ fp[x + 1]).bit_count() <= radius:
+                    a.append(t[x : x + 1]), b.append(t[x + 1 : x + 2])
+            elif y - x > 2:
+                i, j, over = out(fp[x:y], n[x:y], label[x:y], None if bits[x] is None else bits[x:y].tolist())
+                a.append(t[x + i]), b.append(t[x + j])
+                unfinished.append(x + np.flatnonzero(over))
+        own = np.concatenate(unfinished) if unfinished else np.zeros(0, np.int64)
+        if len(own):
+            yield rows([c[own] for c in cols[:3]], pa.nulls(len(own)), t[own])
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            zero = np.zeros(len(a), np.int64)
+            yield rows([zero.astype(np.int32), zero, zero], a, b)
+
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = spilled = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(7)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            if batch.column(6).null_count:
+                cols[6] = cols[3]
             if spilled is not None:
                 own = (cols[0] == spilled[0]) & (cols[1] == spilled[1]) & (cols[2] == spilled[2])
                 if own.any():
@@ -146,56 +245,42 @@ def _propose(radius: int, ratio: float, nearest: int, limit: int):
         if held is not None:
             yield from work(held, [0, len(held[0])])
 
-    def work(cols, at):
-        t, fp, n, label = cols[3], cols[4].view(np.uint64), cols[5], cols[6]
-        a, b, unfinished = [], [], []
-        for x, y in zip(at, at[1:]):
-            if y - x == 2:
-                like = label[x] != label[x + 1] and min(n[x], n[x + 1]) >= ratio * max(n[x], n[x + 1])
-                if like and int(fp[x] ^ fp[x + 1]).bit_count() <= radius:
-                    a.append(t[x : x + 1]), b.append(t[x + 1 : x + 2])
-            elif y - x > 2:
-                i, j, more = out(t[x:y], fp[x:y], n[x:y], label[x:y])
-                a.append(i), b.append(j)
-                if more:
-                    unfinished.append(np.arange(x, y))
-        if unfinished:
-            own = np.concatenate(unfinished)
-            yield rows([c[own] for c in cols[:3]], pa.nulls(len(own)), t[own])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            zero = np.zeros(len(a), np.int64)
-            yield rows([zero.astype(np.int32), zero, zero], np.minimum(a, b), np.maximum(a, b))
-
     return mapper
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t) for t in text_bytes(b.column(1))], pa.list_(pa.int64()))], names=["t", "s"])
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            found = [shingles(t) for t in text_bytes(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["t", "s"])
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        s = b.column(1)
+        values, at = s.values.to_numpy(), s.offsets.to_numpy()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(values[x:y]).tobytes() for x, y in zip(at, at[1:])], pa.binary())], names=["t", "bits"])
 
 
 def _proposals(dealt: DataFrame, radius: int, similarity: float, nearest: int, limit: int) -> DataFrame:
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "table", "key", "sub").sortWithinPartitions("table", "key", "sub", "rank").select("table", "key", "sub", "t", "fp", "n", "label")
-    return cut(dealt.mapInArrow(_propose(radius, similarity, nearest, limit), "table int, key long, sub long, a long, b long"), "proposals")
+    dealt = dealt.select(*DEALT).repartition(parts, "table", "key", "sub").sortWithinPartitions("table", "key", "sub", "rank")
+    return cut(dealt.mapInArrow(_propose(radius, similarity, nearest, limit), PROPOSED), "proposals")
 
 
-def _verified(rows: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose texts have the similarity."""
-    edges = cut(edges.distinct(), "edges")
-    wanted = edges.select(F.col("a").alias("t")).union(edges.select("b")).distinct()
-    sets = cut(rows.join(wanted, "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(_sets, "t long, s array<long>"), "shingles")
-    pairs = edges.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b")
+    pairs = edges.distinct().join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return pairs.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return cut(pairs.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "verified")
 
 
 def _merged(known: DataFrame, linked: DataFrame) -> DataFrame:
     """``known`` with the labels that the links join made one."""
     of = known.select("t", "label")
     ends = linked.join(of.withColumnsRenamed({"t": "a", "label": "x"}), "a").join(of.withColumnsRenamed({"t": "b", "label": "y"}), "b")
-    labels = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    labels = cut(connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels")
     joined = known.join(labels.withColumnRenamed("label", "lowest"), F.col("label") == F.col("node"), "left")
     return cut(joined.withColumn("label", F.coalesce("lowest", "label")).select(*known.columns), "known")
 
@@ -203,34 +288,50 @@ def _merged(known: DataFrame, linked: DataFrame) -> DataFrame:
 def _known(docs: DataFrame, similarity: float, radius: int, recall: float, limit: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``doc_id, t`` of each row, and ``t, fp, n, low, label`` of each distinct text.
 
-    A search proposes each text's nearest neighbours and merges the verified
-    ones; the buckets where a text has more neighbours of another label are
-    searched again for four times as many, until none is left over: then each
-    pair within the radius in any bucket is merged or was tested.
+    A first search proposes each text's nearest neighbours by fingerprint, which
+    are verified and merged.  Where a text has more neighbours of another label
+    the bucket is searched again, now with bitmaps, for four times as many, until
+    none is left over: then each pair within the radius in any bucket is merged,
+    was tested, or is proven to be below the similarity.  A bucket over the limit
+    is searched in parts first, and again with each part against each other.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
     marked = cut(rows.mapInArrow(_features, "doc_id long, t long, fp long, n long"), "features")
     known = cut(marked.groupBy("t").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("doc_id").alias("low")).withColumn("label", F.col("t")), "nodes")
     rank = _gray_rank(F.col("fp")).alias("rank")
-    picked = tables(known.count(), recall)
-    dealt = known.where("n > 0").select("t", "fp", "n", rank).mapInArrow(_deal(picked), "table int, key long, t long, fp long, n long, rank long")
-    found = _proposals(dealt.withColumns({"sub": F.lit(0).cast("long"), "label": F.col("t")}), radius, similarity, NEAREST, limit)
-    over = found.where("b is null").select("table", "key", F.col("a").alias("t"))
-    if not over.isEmpty():  # a bucket over the limit is dealt in parts, each with each: every pair still meets
+    none = {"label": F.lit(None).cast("long"), "bits": F.lit(None).cast("binary")}
+    dealt = known.where("n > 0").select("t", "fp", "n", rank).mapInArrow(_deal(tables(known.count(), recall)), "table int, key long, t long, n long, rank long")
+    found = [_proposals(dealt.withColumns({"sub": F.lit(0).cast("long"), **none}), radius, similarity, NEAREST, limit)]
+    left = found[0].where("a is null").select("table", "key", "sub", F.col("b").alias("t"))
+    over = found[0].where("b is null").select("table", "key", F.col("a").alias("t"))
+    if not over.isEmpty():
         of = over.groupBy("table", "key").agg(F.ceil(F.count("t") * 2 / limit).alias("m"))
-        split = over.join(F.broadcast(of), ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("t"), F.col("m")))
+        split = cut(over.join(of, ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("t"), F.col("m"))), "parts")
+        alone = split.withColumn("sub", F.col("own")).join(known.select("t", "n", rank), "t")
+        found.append(_proposals(alone.withColumns(none), radius, similarity, NEAREST, 0))
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
         split = split.withColumn("sub", 1 + F.least("own", "other") * F.col("m") + F.greatest("own", "other"))
-        found = found.union(_proposals(split.join(known, "t").withColumn("rank", rank), radius, similarity, NEAREST, 0))
-    nearest = NEAREST
+        left = left.union(split.select("table", "key", "sub", "t"))
+    edges = [f.where("a is not null and b is not null").select("a", "b") for f in found]
+    edges = edges[0] if len(edges) == 1 else edges[0].union(edges[1])
+    wanted = edges.select(F.col("a").alias("t")).union(edges.select("b")).union(left.select("t")).distinct()
+    sets = cut(rows.select("t", "text").join(wanted, "t", "left_semi").dropDuplicates(["t"]).mapInArrow(_sets, "t long, s array<long>"), "shingles")
+    bits, nearest = None, NEAREST
     while True:
-        known = _merged(known, _verified(rows, found.where("a is not null and b is not null").select("a", "b"), similarity))
-        left = found.where("a is null").select("table", "key", "sub", F.col("b").alias("t"))
+        verified = _verified(edges, sets, similarity)
+        before, known = known, _merged(known, verified)
+        drop(before, verified)
         if left.isEmpty():
             break
+        if bits is None:  # later rounds search among these texts only
+            bits = cut(sets.join(left.select("t").distinct(), "t", "left_semi").mapInArrow(_bitmaps, "t long, bits binary"), "bitmaps")
         nearest *= 4
-        found = _proposals(left.join(known, "t").withColumn("rank", rank), radius, similarity, nearest, 0)
+        before, found = found, [_proposals(left.join(known.select("t", "label", "n", rank).join(bits, "t"), "t"), radius, similarity, nearest, 0)]
+        drop(*before)
+        left = found[0].where("a is null").select("table", "key", "sub", F.col("b").alias("t"))
+        edges = found[0].where("a is not null and b is not null").select("a", "b")
+    drop(sets, *found)
     return marked.select("doc_id", "t"), known
 
 
