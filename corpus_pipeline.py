@@ -10,6 +10,8 @@ from haplospark.llm import mixing, neardup, quality, suffix_dedup, tiling
 from haplospark.llm.common import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Length of a repeat that is cut: 50 words of five bytes, the space included, so that a longer passage holds one whatever its words.
+PASSAGE_BYTES = 250
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +25,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that occur elsewhere too."""
-    return suffix_dedup.remove_repeats(docs.select(*COLUMNS))
+    """Texts without the passages that occur elsewhere too."""
+    return suffix_dedup.remove_repeats(docs.select(*COLUMNS), PASSAGE_BYTES)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
