@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,40 +27,67 @@ def block_size(length: int) -> int:
     return (length + 1) // 2
 
 
-def extend_blocks(block: Block, spec: Spec) -> Iterator[tuple[int, np.ndarray]]:
+def _split(group: np.ndarray, word: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Groups (-1: none) by one word more; a group of one occurrence ends."""
+    out = np.full(len(group), -1)
+    own = np.flatnonzero(group >= 0)
+    if len(own):
+        _, new = np.unique((group[own].astype(np.uint64) << np.uint64(32)) | word[own], return_inverse=True)
+        out[own] = np.where(np.bincount(new, weight[own])[new] > 1, new, -1)
+    return out
+
+
+def extend_blocks(block: Block, spec: Spec, indexed: Callable[[np.ndarray], np.ndarray] = lambda aligned: aligned) -> Iterator[tuple[int, np.ndarray]]:
     """Mark the repeated windows of a block of buckets.
 
-    Each segment's non-overlapping reference blocks (word positions that are
-    multiples of the block size, counted in its document) are indexed.  Every
-    rolling window of block size, in any segment, probes the index.  Hits are
-    extended to left and right over every full-length window around them, and
-    what occurs at least twice with all its words is a repeat; runs of such
-    windows are the maximal exact repeats.
+    1. Index: each segment's non-overlapping reference blocks, the word positions
+       in its document that are multiples of the block size.  Every window holds
+       one of its own document whole.  ``indexed`` may leave some out.
+    2. Probe: every rolling window of block size.  Those that hit a reference
+       block, with another occurrence than the reference itself, go on.
+    3. Extension: hits of one block are extended word by word, all at once: to
+       the left and to the right they split into groups by the next word, and a
+       group that is down to one occurrence ends.  Where left and right reach the
+       window's length together, in two occurrences of which one is a reference,
+       the window is part of an exact repeat; runs of such windows are the
+       maximal ones.
     """
     length, size = spec.length, block_size(spec.length)
+    more = length - size
     parts = [np.frombuffer(c, np.uint64) for c in block.content]
     units = np.concatenate(parts)
     sizes = np.array([len(p) for p in parts])
     starts = np.cumsum(sizes) - sizes
-    rolled = Rolling(units)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(units)) - starts[owner]
-    whole = place + size <= sizes[owner]
-    grams = np.zeros(len(units), np.uint64)
-    grams[: len(units) - size + 1] = rolled.grams(size)
-    aligned = whole & ((block.lo[owner] + place) % size == 0)
-    index = np.unique(grams[aligned])
-    hit = np.zeros(len(units) + 1, np.int64)
-    hit[1:] = np.cumsum(whole & np.isin(grams, index))
-    window = np.flatnonzero(place + length <= sizes[owner])
-    reached = window[hit[np.minimum(window + length - size + 1, len(units))] > hit[window]]
-    if not len(reached):
+    at = np.flatnonzero(place + size <= sizes[owner])
+    grams = Rolling(units).grams(size)[at]
+    reference = indexed((block.lo[owner[at]] + place[at]) % size == 0)
+    index = np.unique(grams[reference])
+    if not len(index):
+        return
+    entry = np.minimum(np.searchsorted(index, grams), len(index) - 1)
+    weight = block.many[owner[at]]
+    hit = index[entry] == grams
+    hit[hit] = np.bincount(entry[hit], weight[hit])[entry[hit]] > 1
+    at, reference, weight, group = at[hit], reference[hit], weight[hit], entry[hit]
+    if not len(at):
         return
-    full = rolled.grams(length)[reached]
-    _, group = np.unique(full, return_inverse=True)
-    total = np.bincount(group, weights=block.many[owner[reached]])
+    _, word = np.unique(units, return_inverse=True)
+    word = word.astype(np.uint64)
+    before, after = place[at], sizes[owner[at]] - place[at] - size  # words that the segment has on either side
+    left, right = [group], [group]
+    for k in range(more):
+        left.append(_split(np.where(before > k, left[k], -1), word[at - np.minimum(k + 1, before)], weight))
+        right.append(_split(np.where(after > k, right[k], -1), word[at + size - 1 + np.minimum(k + 1, after)], weight))
     mark = np.zeros(len(units), bool)
-    mark[reached] = total[group] > 1
+    for k in range(more + 1):
+        own = np.flatnonzero((left[k] >= 0) & (right[more - k] >= 0))
+        if not len(own):
+            continue
+        _, same = np.unique((left[k][own].astype(np.uint64) << np.uint64(32)) | right[more - k][own].astype(np.uint64), return_inverse=True)
+        repeat = (np.bincount(same, weight[own]) > 1) & (np.bincount(same, reference[own]) > 0)
+        mark[at[own[repeat[same]]] - k] = True
     for i in np.unique(owner[mark]).tolist():
         yield i, mark[starts[i] : starts[i] + sizes[i] - length + 1]
 

@@ -13,8 +13,10 @@ content starts anywhere else, in the same document too.
 3. Equal segments are merged with their number of occurrences, again before
    the shuffle, so a passage shared by a third of all documents is one row.
 4. Each bucket's distinct segments go through the operator's own solver.  A
-   bucket with more than ``hot`` distinct segments is dealt anew by window
-   content, counted before the shuffle.
+   bucket with more than ``hot`` of them is dealt anew in pieces: windows whose
+   anchor lies in one range of offsets, by what all of these hold of the text.
+   The pieces go through the same solver; in the last deal a piece is a window,
+   and all that meet are equal, so that every bucket comes below the limit.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_int64, bucket_runs, cut, text_bytes
+from .common import as_int64, bucket_runs, cut, drop, hub_join, text_bytes
 
 #: Window starts that are worked on at once; bounds the memory for a very long text.
 CHUNK = 1 << 19
@@ -149,6 +151,7 @@ def _anchors(spec: Spec):
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 FETCHED = "akey long, seg long, off int, lo long, many long, hot boolean, content binary"
+PIECES = "akey long, seg long, shift int, bkey long, piece long, off int, lo long, many long, content binary"
 
 
 def _fetch(spec: Spec):
@@ -173,6 +176,7 @@ def _fetch(spec: Spec):
 
 
 FETCHED_TYPES = [("akey", pa.int64()), ("seg", pa.int64()), ("off", pa.int32()), ("lo", pa.int64()), ("many", pa.int64()), ("hot", pa.bool_()), ("content", pa.binary())]
+PIECE_TYPES = [("akey", pa.int64()), ("seg", pa.int64()), ("shift", pa.int32()), ("bkey", pa.int64()), ("piece", pa.int64()), ("off", pa.int32()), ("lo", pa.int64()), ("many", pa.int64()), ("content", pa.binary())]
 FOUND_TYPES = [("akey", pa.int64()), ("seg", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]
 FOUND = "akey long, seg long, a int, b int"
 
@@ -227,27 +231,49 @@ def _solved(spec: Spec, solver: Callable[[Block, Spec], Iterator[tuple[int, np.n
     return mapper
 
 
-def _window_keys(spec: Spec, dtype):
-    """One row for each window of a segment, by content."""
+def _pieces(spec: Spec, width: int, item: int):
+    """Segments cut into pieces: windows whose anchor offsets fall in one range of ``width``, dealt by what every window of the range holds."""
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = b.to_pydict()
-            out = []
-            for akey, seg, many, content in zip(d["akey"], d["seg"], d["many"], d["content"]):
-                units = np.frombuffer(content, dtype)
-                width, n = units.itemsize, len(units) - spec.length + 1
-                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(content[i * width : (i + spec.length) * width]) for i in range(n)), np.int64).reshape(-1, 2)
-                out.append((np.full(n, akey), np.full(n, seg), np.full(n, many), np.arange(n), keys[:, 0], keys[:, 1]))
-                if len(out) > 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["akey", "seg", "many", "i", "w1", "w2"])
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["akey", "seg", "many", "i", "w1", "w2"])
+            rows: list[tuple] = []
+            for akey, seg, off, lo, many, content in zip(*(b.column(i).to_pylist() for i in range(6))):
+                n = len(content) // item - spec.length + 1
+                last = off  # anchor offset of the first window; it falls by one a window
+                while last > off - n:
+                    low = last // width * width
+                    i, j = off - last, min(n, off - low + 1)
+                    core = content[(off - low) * item : (off - low - width + 1 + spec.length) * item]
+                    part = content[i * item : (j - 1 + spec.length) * item]
+                    bkey = xxhash.xxh3_64_intdigest(core, (akey ^ low) & 0xFFFFFFFFFFFFFFFF)
+                    rows.append((akey, seg, i, bkey - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63), off - i, lo + i, many, part))
+                    last = low - 1
+                if len(rows) > 2000:
+                    yield _rows(rows, PIECE_TYPES)
+                    rows = []
+            if rows:
+                yield _rows(rows, PIECE_TYPES)
 
     return mapper
 
 
+def _runs(rows: DataFrame, spec: Spec, solver, block_bytes: int, item: int, widths: list[int]) -> DataFrame:
+    """``akey, seg, a, b``: runs of repeated windows of distinct segments (akey, seg, off, lo, many, hot, content)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.where("not hot").repartition(parts, "akey").sortWithinPartitions("akey", "seg").drop("hot")
+    found = own.mapInArrow(_solved(spec, solver, block_bytes), FOUND)
+    hot = rows.where("hot")
+    if not widths or hot.isEmpty():
+        return found
+    pieces = cut(hot.drop("hot").mapInArrow(_pieces(spec, widths[0], item), PIECES), "pieces")
+    same = cut(pieces.groupBy("bkey", "piece").agg(F.sum("many").alias("many"), F.min(F.struct("lo", "off", "content")).alias("x")), "pieces-distinct")
+    over = same.groupBy("bkey").agg((F.count(F.lit(1)) > spec.hot).alias("hot"))
+    again = cut(same.join(over, "bkey").select(F.col("bkey").alias("akey"), F.col("piece").alias("seg"), "x.off", "x.lo", "many", "hot", "x.content"), "pieces-dealt")
+    deeper = _runs(again, spec, solver, block_bytes, item, widths[1:])
+    back = pieces.select("akey", "seg", "shift", "bkey", "piece").join(deeper.select(F.col("akey").alias("bkey"), F.col("seg").alias("piece"), "a", "b"), ["bkey", "piece"])
+    return found.union(back.select("akey", "seg", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b")))
+
+
 def repeated_spans(docs: DataFrame, spec: Spec, solver, dtype, block_bytes: int = 1 << 20) -> DataFrame:
     """Spans of repeated windows for each text of ``docs`` (columns text, t1, t2).
 
@@ -256,31 +282,34 @@ def repeated_spans(docs: DataFrame, spec: Spec, solver, dtype, block_bytes: int
     equal texts share one row.  Texts without repeats have no row.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.select("text", "t1", "t2").mapInArrow(_anchors(spec), ANCHORS)
-    repeated = found.groupBy("akey").agg(F.sum(F.size("packs")).alias("c")).where("c > 1").select("akey")
+    found = cut(docs.select("text", "t1", "t2").mapInArrow(_anchors(spec), ANCHORS), "anchors")
+    repeated = cut(found.groupBy("akey").agg(F.sum(F.size("packs")).alias("c"), F.count(F.lit(1)).alias("rows")).where("c > 1").select("akey", "rows"), "repeated")
     # dealt anew for the count: a join right below an aggregate on its key could not split a common anchor
-    dealt = found.join(repeated, "akey", "left_semi").repartition(parts, "akey", "seg", "t1", "t2")
-    kept = cut(dealt.groupBy("akey", "seg", "t1", "t2").agg(F.first("packs").alias("packs"), F.count(F.lit(1)).alias("copies")), "anchors")
+    dealt = hub_join(found, repeated, ["akey"], "left_semi").repartition(parts, "akey", "seg", "t1", "t2")
+    kept = cut(dealt.groupBy("akey", "seg", "t1", "t2").agg(F.first("packs").alias("packs"), F.count(F.lit(1)).alias("copies")), "kept")
+    drop(found, repeated)
     many = F.sum(F.col("copies") * F.size("packs"))
-    distinct = kept.groupBy("akey", "seg").agg(many.alias("many"), F.min(F.struct("t1", "t2", F.col("packs")[0].alias("pack"))).alias("at"))
-    hot = distinct.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > spec.hot).select("akey", F.lit(True).alias("hot"))
+    at = F.min(F.struct("t1", "t2", F.col("packs")[0].alias("pack")))
+    distinct = cut(kept.groupBy("akey", "seg").agg(many.alias("many"), F.count(F.lit(1)).alias("rows"), at.alias("at")), "distinct")
+    over = distinct.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > spec.hot).select("akey", F.lit(True).alias("hot"))
     want = (
-        distinct.join(hot, "akey", "left")
+        distinct.join(over, "akey", "left")
         .groupBy("at.t1", "at.t2")
         .agg(F.collect_list(F.struct("akey", "seg", "many", F.coalesce("hot", F.lit(False)).alias("hot"), F.col("at.pack").alias("pack"))).alias("want"))
     )
+    want = cut(want, "want")
     texts = docs.select("text", "t1", "t2").join(want, ["t1", "t2"]).select("text", "want")
     fetched = cut(texts.mapInArrow(_fetch(spec), FETCHED).dropDuplicates(["akey", "seg"]), "segments")
-    cold = fetched.where("not hot").repartition(parts, "akey").sortWithinPartitions("akey", "seg")
-    runs = cold.mapInArrow(_solved(spec, solver, block_bytes), FOUND)
-    windows = fetched.where("hot").select("akey", "seg", "many", "content").mapInArrow(_window_keys(spec, dtype), "akey long, seg long, many long, i long, w1 long, w2 long")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("many").alias("c")).where("c > 1").select("w1", "w2")
-    hits = windows.join(twice, ["w1", "w2"], "left_semi").select("akey", "seg", F.col("i").cast("int").alias("a"), (F.col("i") + 1).cast("int").alias("b"))
-    hits = hits.groupBy("akey", "seg").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("r"))
-    runs = runs.groupBy("akey", "seg").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("r")).union(hits)
+    widths = list(dict.fromkeys((max(1, (spec.length - spec.gram + 1) // 16), 1)))
+    runs = _runs(fetched.select("akey", "seg", "off", "lo", "many", "hot", "content"), spec, solver, block_bytes, np.dtype(dtype).itemsize, widths)
+    runs = runs.groupBy("akey", "seg").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("r"))
+    runs = cut(runs.join(distinct.select("akey", "seg", "rows"), ["akey", "seg"]), "runs")
+    drop(fetched, want, distinct)
     shift = lambda p, x: F.struct((F.shiftright(p, 24) + x["a"]).alias("a"), (F.shiftright(p, 24) + x["b"] + (spec.length - 1)).alias("b"))
-    spans = kept.join(runs, ["akey", "seg"]).select("t1", "t2", F.flatten(F.transform("packs", lambda p: F.transform("r", lambda x: shift(p, x)))).alias("r"))
-    return spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("r")).alias("spans"))
+    spans = hub_join(kept, runs, ["akey", "seg"]).select("t1", "t2", F.flatten(F.transform("packs", lambda p: F.transform("r", lambda x: shift(p, x)))).alias("r"))
+    spans = cut(spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("r")).alias("spans")), "spans")
+    drop(kept, runs)
+    return spans
 
 
 def keyed(docs: DataFrame, *cols: str) -> DataFrame:

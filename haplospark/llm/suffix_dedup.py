@@ -13,7 +13,8 @@ from .common import bucket_runs, text_bytes
 from .repeats import Block, Spec, keyed, merged, repeated_spans
 
 LENGTH = 400
-PERIOD = 32
+#: Period of the difference cover, and suffixes that are sorted at once.
+PERIOD, AT_ONCE = 13, 1 << 18
 
 
 def difference_cover(v: int) -> np.ndarray:
@@ -30,59 +31,72 @@ def _rank(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
 
 
-def sort_block(block: Block, spec: Spec, period: int = PERIOD) -> Iterator[tuple[int, np.ndarray]]:
-    """Mark the repeated windows of a block of suffix buckets.
+def _widened(rank: np.ndarray, width: int, target: int) -> np.ndarray:
+    """Ranks by the first ``target`` bytes from those by ``width``, by doubling."""
+    while width < target:
+        step = min(width, target - width)
+        rank = _rank((rank[:-step] << np.uint64(32)) | rank[step:])
+        width += step
+    return rank
 
-    All suffixes of the block are sorted by their first ``length`` bytes.  Up to
-    ``period`` bytes are compared outright (8-byte words, doubled).  Longer ties
-    are resolved by ranks of a difference-cover sample that was sorted before:
-    its members lie at positions whose residue is in the cover, so any two
-    suffixes reach sampled positions after one common shift below ``period``;
-    equal ranks there and an equal tail of ``period`` bytes make the tie whole.
-    Segments are laid out with their anchors on multiples of the period, and
-    equal windows have their anchors at equal offsets, so that shift is one
-    table look-up.
+
+def sort_block(block: Block, spec: Spec, period: int = PERIOD, at_once: int = AT_ONCE) -> Iterator[tuple[int, np.ndarray]]:
+    """Mark the repeated windows of a block: suffixes that tie over ``length`` bytes.
+
+    1. The suffixes at sampled positions, whose residue lies in the difference
+       cover, are ranked once for the whole block by doubling: steps are multiples
+       of the period, so they stay inside the sample.
+    2. Suffixes are dealt to buckets by their first ``period`` bytes; one bucket,
+       or few, of at most about ``at_once`` suffixes is sorted at a time.
+    3. Ties go by the sample ranks: for any two suffixes there is a shift below
+       the period that takes both to sampled positions.  So each tie of equal
+       windows is seen at one shift at least, and at each shift suffixes with
+       equal front, sample rank behind the shift, and tail are equal whole.
     """
-    length, cover = spec.length, difference_cover(period)
+    length = spec.length
+    v = min(period, max(2, length // 3))
+    cover = np.zeros(v, bool)
+    cover[difference_cover(v)] = True
     sizes = np.array([len(c) for c in block.content])
-    starts, at = [], 0
-    for size, off in zip(sizes.tolist(), block.off.tolist()):
-        at += (-(at + off)) % period
-        starts.append(at)
-        at += size
-    text = np.zeros(at + length + period, np.uint8)
-    for s, c in zip(starts, block.content):
-        text[s : s + len(c)] = np.frombuffer(c, np.uint8)
-    raw = text.tobytes()
-    words = np.lib.stride_tricks.sliding_window_view(text, 8)
-    rank = _rank(np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64))
-    width = 8
-    while width < period:
-        rank = _rank((rank[:-width] << np.uint64(32)) | rank[width:])
-        width *= 2
-    starts = np.array(starts)
+    starts = np.cumsum(sizes) - sizes
+    text = np.frombuffer(b"".join([*block.content, bytes(length + 2 * v + 8)]), np.uint8)
+    total = int(sizes.sum())
+    if v >= 8:
+        words = np.lib.stride_tricks.sliding_window_view(text, 8)
+        front = _widened(_rank(np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64)), 8, v)
+    else:
+        front = _widened(text.astype(np.uint64), 1, v)
+    tail = _widened(front, v, 2 * v)
+    sample = np.flatnonzero(cover[np.arange(total) % v])
+    number = np.cumsum(cover[np.arange(total) % v]) - 1  # of the sampled position at or before each one
+    depth, width, rank = (length - v) // v * v, v, front[sample]
+    while width < depth:
+        step = min(width, depth - width)
+        rank = _rank((rank << np.uint64(32)) | rank[number[np.minimum(sample + step, sample[-1])]])
+        width += step
     counts = sizes - length + 1
     owner = np.repeat(np.arange(len(starts)), counts)
-    inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    head = starts[owner] + inside
-    depth = length - period
-    shift = np.array([min((c - r) % period for c in cover) for r in range(period)])
-    reach = head + shift[head % period]
-    sample = np.unique(reach)
-    order = sorted(range(len(sample)), key=(slices := [raw[p : p + depth] for p in sample.tolist()]).__getitem__)
-    step = np.fromiter((x != y for x, y in zip((slices[i] for i in order[1:]), (slices[i] for i in order))), bool, max(0, len(order) - 1))
-    sampled = np.zeros(len(sample), np.uint64)
-    sampled[order] = np.concatenate([[0], np.cumsum(step)]).astype(np.uint64)
-    tie = sampled[np.searchsorted(sample, reach)]
-    front, tail = rank[head], rank[head + depth]
-    order = np.lexsort((tail, tie, front, shift[head % period]))
-    first = bucket_runs([front[order], tie[order], tail[order], shift[head % period][order]])
-    group = np.zeros(len(order), np.int64)
-    group[first[1:]] = 1
-    group = np.cumsum(group)
-    total = np.bincount(group, weights=block.many[owner[order]])
+    head = starts[owner] + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     hit = np.zeros(len(head), bool)
-    hit[order] = total[group] > 1
+    order = np.argsort(front[head], kind="stable")
+    edges = np.append(bucket_runs([front[head[order]]]), len(order))
+    at = 0
+    while at < len(edges) - 1:
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + at_once, "right")) - 1)
+        own = order[edges[at] : edges[to]]
+        at = to
+        weight = block.many[owner[own]]
+        group = _rank((front[head[own]] << np.uint64(32)) | tail[head[own] + length - 2 * v])
+        for shift in range(v):
+            open_ = np.bincount(group.astype(np.int64), weight * ~hit[own]) > 0
+            more = (np.bincount(group.astype(np.int64), weight) > 1) & open_
+            left = more[group.astype(np.int64)]
+            own, weight, group = own[left], weight[left], group[left]
+            if not len(own):
+                break
+            here = np.flatnonzero(cover[(head[own] + shift) % v])
+            _, tie = np.unique((group[here] << np.uint64(32)) | rank[number[head[own[here]] + shift]], return_inverse=True)
+            hit[own[here[np.bincount(tie, weight[here])[tie] > 1]]] = True
     ends = np.cumsum(counts)
     for i in range(len(starts)):
         mine = hit[ends[i] - counts[i] : ends[i]]

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from haplospark.llm import block_dedup, suffix_dedup
+from haplospark.llm import block_dedup, repeats, suffix_dedup
 
 
 def brute(rows, split, join, length):
@@ -64,8 +64,36 @@ def test_empty(spark):
     assert suffix_dedup.removal_report(df).count() == 0 and block_dedup.removal_report(df).count() == 0
 
 
+def test_index_decides(spark):
+    """Without reference blocks nothing is found; one reference of two is enough."""
+    units = np.arange(1, 61, dtype=np.uint64)
+    text = [np.concatenate([units[:k], units[10:50], units[:9] + np.uint64(100 + k)]).tobytes() for k in (3, 7)]
+    block = repeats.Block(np.zeros(2, np.int64), np.arange(2), np.zeros(2, np.int64), np.zeros(2, np.int64), np.ones(2, np.int64), text)
+    spec = block_dedup.spec(20)
+    found = {i: np.flatnonzero(x).tolist() for i, x in block_dedup.extend_blocks(block, spec)}
+    assert found == {0: list(range(3, 24)), 1: list(range(7, 28))}
+    assert not list(block_dedup.extend_blocks(block, spec, lambda aligned: aligned & False))
+    half = lambda aligned: aligned & (np.arange(len(aligned)) < 43)  # noqa: E731  those of the first text
+    assert {i: np.flatnonzero(x).tolist() for i, x in block_dedup.extend_blocks(block, spec, half)} == found
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 7])
+def test_suffix_buckets_and_cover_ranks(at_once):
+    """Windows of a block that tie, at all residues and one bucket at a time."""
+    rng = np.random.default_rng(2)
+    shared = bytes(rng.integers(97, 101, 90).tolist())
+    content = [bytes(rng.integers(97, 101, int(n)).tolist()) + shared[k % 5 :] + b"ab" * int(n) for k, n in enumerate(rng.integers(0, 40, 30))]
+    n = len(content)
+    block = repeats.Block(np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, np.int64), content)
+    for length in (20, 41, 60):
+        seen = Counter(c[i : i + length] for c in content for i in range(len(c) - length + 1))
+        want = {k: w for k, c in enumerate(content) if any(w := [seen[c[i : i + length]] > 1 for i in range(len(c) - length + 1)])}
+        got = {k: m.tolist() for k, m in suffix_dedup.sort_block(block, suffix_dedup.spec(length), at_once=at_once) if len(content[k]) >= length}
+        assert got == want
+
+
 def test_difference_cover():
-    for v in (8, 32, 64):
+    for v in (2, 8, 13, 32, 64):
         d = suffix_dedup.difference_cover(v)
         assert {(a - b) % v for a in d.tolist() for b in d.tolist()} == set(range(v))
 
