@@ -1,7 +1,10 @@
 """Main text of web pages by wrappers inferred for each host.
 
 A wrapper is a union-free expression over a host's token streams: tags in
-order, text slots, and groups that are optional or repeated.
+order, text slots, and groups that are optional or repeated.  Pages are aligned
+with it one by one; what their slots held tells template text (one text on all
+pages) from content (varying), and where content gathers.  A page is then read
+by matching it with the expression: its blocks belong to the slots they meet.
 """
 
 from __future__ import annotations
@@ -10,10 +13,12 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 from urllib.parse import urlsplit
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
@@ -30,41 +35,47 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CHROME = {"nav", "footer", "aside", "form", "menu", "dialog"}
 ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 KEEPS_P_OPEN = {"body", "html"}
+# Names of adverts and reader comments, which vary from page to page like content does.
+FOREIGN = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "disqus", "promo", "promotion", "replies", "respond", "sponsor", "sponsored"}
+# Names that count only together with what the slot held.
 HINTS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer",
-    "gdpr", "legal", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promotion", "related",
-    "recommended", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
+    "banner", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "copyright", "footer", "gdpr", "header", "legal", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
+    "notice", "notices", "notification", "pager", "pagination", "popup", "related", "recommended", "search", "share", "sharing", "sidebar", "signup", "social", "subscribe", "toolbar", "topbar", "widget",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_DIGITS = re.compile(r"\d+")
 _PART = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-#: Share of a host's text that the main container holds at least, and pages from which equal text at one place is boilerplate.
-MAIN_SHARE, SAME_ON = 0.6, 3
+#: Share of a host's content that the main container holds at least; different pages on which equal text in one slot is template text; members of a list of tokens from which it is written as one repeated group of optionals; levels of nesting that are told apart.
+MAIN_SHARE, SAME_ON, LONG, DEPTH = 0.6, 3, 40, 100
 
 
-def _chrome(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
+def _role(tag: str, attrs: dict[str, str], inside_main: bool) -> int:
+    """2: not main text by its element, role or state, or by name an advert or a comment; 1: its name hints at it; 0: nothing known."""
     if tag in CHROME or tag == "header" and not inside_main or attrs.get("role", "").lower() in ROLES or "hidden" in attrs:
-        return True
+        return 2
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    if not names.strip() or tag in ("html", "body", "main", "article"):  # hints there name the page, not chrome
-        return False
-    for name in names.split():
-        words = set(_PART.split(_CAMEL.sub(" ", name).lower()))
-        if words & HINTS or "header" in words and not inside_main and not words & {"article", "entry", "post"}:
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """(path of block elements, text, characters inside links, inside chrome) of each block of text, in page order."""
-    out: list[tuple[tuple[str, ...], str, int, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, signature, chrome, inside main
+        return 2
+    if tag in ("html", "body", "main", "article"):  # names there tell of the page
+        return 0
+    words = set(_PART.split(_CAMEL.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
+    return 2 if words & FOREIGN else 1 if words & HINTS else 0
+
+
+@cache
+def _closes(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b", re.I)
+
+
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
+    """(path of block elements, text, characters inside links, role) of each block of text, in page order."""
+    out: list[tuple[tuple[str, ...], str, int, int]] = []
+    stack: list[tuple[str, str, int, bool]] = []  # tag, signature, role, inside main
     text: list[str] = []
     anchors: list[str] = []  # the part of the text inside links
     links = 0
@@ -78,7 +89,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                 inside = " ".join(entities.unescape("".join(anchors)).split())
                 free = len("".join(flat.split())) - len("".join(inside.split()))
                 linked = min(len(inside), len(flat) - 1) if free else len(flat)
-                out.append((tuple(s[1] for s in stack), flat, linked, bool(stack) and stack[-1][2]))
+                out.append((tuple(s[1] for s in stack), flat, linked, stack[-1][2] if stack else 0))
             text, anchors = [], []
 
     silent = 0
@@ -100,7 +111,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             at = end.end() if end else size
             continue
         if tag in SILENT:
-            silent = max(0, silent + (-1 if ending else 1))
+            if ending:
+                silent = max(0, silent - 1)
+            elif not m[0].endswith("/>") and (tag == "head" or _closes(tag).search(page, at)):  # else it holds nothing that could be left out
+                silent += 1
             continue
         if silent and tag == "body":
             silent = 0
@@ -122,22 +136,33 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                 if shut and stack and stack[-1][0] in shut:
                     stack.pop()
                 attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[3])} if m[3] else {}
-                chrome, main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+                role, main = (stack[-1][2], stack[-1][3]) if stack else (0, False)
                 main = main or tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
-                name = ".".join([tag, *sorted(attrs.get("class", "").split()), *(["#" + re.sub(r"\d+", "0", attrs["id"])] if attrs.get("id") else [])])
-                stack.append((tag, name, chrome or _chrome(tag, attrs, main), main))
+                names = [*sorted(attrs.get("class", "").split()), *(["#" + attrs["id"]] if attrs.get("id") else [])]
+                name = f"{tag}.{_DIGITS.sub('0', '.'.join(names))}" if names else tag
+                stack.append((tag, name, max(role, _role(tag, attrs, main)), main))
             links = 0
     close()
     return out
 
 
-# A wrapper node is [signature, optional, repeated, children]; a text slot has the signature "#text".
+# A node is [signature, optional, repeated, children, slot, blocks].  A text slot has the signature "#text" and
+# slot = [characters, in links, hinted, hash of its one text or None, hashes of up to SAME_ON pages]; a repeated
+# group of optionals has the signature "*".  blocks numbers a page's own blocks of text; a wrapper has none.
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text)
 
 
 def _same(a: list, b: list) -> bool:
     return a[0] == b[0]
 
 
+def _tags(nodes: list[list]) -> list[str]:
+    return [x[0] for x in nodes]
+
+
 def collapse(nodes: list[list]) -> list[list]:
     """Neighbouring runs of one group (of up to three signatures) become one repeated group."""
     for size in (1, 2, 3):
@@ -160,39 +185,78 @@ def collapse(nodes: list[list]) -> list[list]:
 
 
 def _join(a: list, b: list, repeated: bool = False) -> list:
-    return [a[0], a[1] or b[1], repeated or a[2] or b[2], align(a[3], b[3])]
-
-
-def align(a: list[list], b: list[list]) -> list[list]:
-    """Align two token sequences; what one lacks becomes optional, then runs become repeated groups."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [_join(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
+    slot = None
+    if a[4] is not None:
+        x, y = a[4], b[4]
+        slot = [x[0] + y[0], x[1] + y[1], x[2] or y[2], x[3] if x[3] == y[3] and not repeated else None, sorted({*x[4], *y[4]})[:SAME_ON]]
+    return [a[0], a[1] or b[1], repeated or a[2] or b[2], align(a[3], b[3]), slot, [*a[5], *b[5]]]
+
+
+def matching(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence of two lists of signatures; of very long and different ones a common one found in one pass."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    n, m = len(a) - low, len(b) - low
+    pairs = [(k, k) for k in range(low)]
+    if n * m > 1_000_000:
+        j = low
+        for i in range(low, len(a)):
+            k = next((k for k in range(j, len(b)) if a[i] == b[k]), None)
+            if k is not None:
+                pairs.append((i, k))
+                j = k + 1
+        return pairs
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _same(a[i], b[j]) else max(best[i + 1][j], best[i][j + 1])
-    out: list[list] = []
+            best[i][j] = best[i + 1][j + 1] + 1 if a[low + i] == b[low + j] else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and _same(a[i], b[j]):
-            out.append(_join(a[i], b[j]))
+    while i < n and j < m:
+        if a[low + i] == b[low + j]:
+            pairs.append((low + i, low + j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], True, a[i][2], a[i][3]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([b[j][0], True, b[j][2], b[j][3]])
             j += 1
-    return collapse(out)
+    return pairs
+
 
+def _group(nodes: list[list]) -> list[list]:
+    """One repeated group of optionals, (a? b? ...)+, in place of the tokens."""
+    own: dict[str, list] = {}
+    for x in nodes:
+        for y in x[3] if x[0] == "*" else [x]:
+            own[y[0]] = _join(own[y[0]], y, True) if y[0] in own else [y[0], True, True, *y[3:]]
+    return [["*", False, True, list(own.values()), None, []]]
 
-def tree(found: list[tuple]) -> list[list]:
-    """A page's own expression, from the paths of its blocks of text."""
+
+def align(a: list[list], b: list[list]) -> list[list]:
+    """Align two token sequences; what one lacks becomes optional, then runs become repeated groups."""
+    if _tags(a) == _tags(b) and not any(x[0] == "*" for x in a):
+        return [_join(x, y) for x, y in zip(a, b)]
+    if any(x[0] == "*" for x in (*a, *b)):
+        return _group([*a, *b])
+    out: list[list] = []
+    i = j = 0
+    for x, y in [*matching(_tags(a), _tags(b)), (len(a), len(b))]:
+        out += [[n[0], True, *n[2:]] for n in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(_join(a[x], b[y]))
+        i, j = x + 1, y + 1
+    out = collapse(out)
+    return _group(out) if len(out) > LONG else out
+
+
+def tree(found: list[tuple], numbered: bool = False) -> list[list]:
+    """A page's own expression, from its blocks of text; ``numbered``: with the numbers of the blocks."""
+    mark = _hash(" ".join(t for _, t, _, role in found if not role))
     root: list[list] = []
     last: tuple[str, ...] = ()
     open_: list[list] = [["", False, False, root]]
-    for path, *_ in found:
+    for k, (path, text, linked, role) in enumerate(found):
+        path = path[:DEPTH]
         same = 0
         while same < min(len(last), len(path)) and last[same] == path[same]:
             same += 1
@@ -202,10 +266,11 @@ def tree(found: list[tuple]) -> list[list]:
             done = open_.pop()
             done[3][:] = collapse(done[3])
         for name in path[same:]:
-            node = [name, False, False, []]
+            node = [name, False, False, [], None, []]
             open_[-1][3].append(node)
             open_.append(node)
-        open_[-1][3].append(["#text", False, False, []])
+        slot = [len(text) if role < 2 else 0, linked if role < 2 else 0, role == 1, _hash(text), [mark]]
+        open_[-1][3].append(["#text", False, False, [], slot, [k] if numbered else []])
         last = path
     while len(open_) > 1:
         done = open_.pop()
@@ -214,113 +279,117 @@ def tree(found: list[tuple]) -> list[list]:
 
 
 class Wrapper:
-    """Expression of a host and what its text slots held."""
+    """Expression of a host, with what its text slots held."""
 
-    def __init__(self):
-        self.pages = 0
-        self.nodes: list[list] | None = None
-        self.shapes: set[str] = set()
-        #: path: [pages, characters, characters in links, in chrome, the one text it ever held on a page or None]
-        self.slots: dict[tuple[str, ...], list] = {}
+    def __init__(self, nodes: list[list] | None = None):
+        self.nodes = nodes
 
     def add(self, found: list[tuple]) -> None:
-        self.pages += 1
-        shape = json.dumps(own := tree(found))
-        if shape not in self.shapes:
-            if len(self.shapes) < 1000:
-                self.shapes.add(shape)
-            self.nodes = own if self.nodes is None else align(self.nodes, own)
-        seen: dict[tuple[str, ...], list] = {}
-        for path, text, linked, chrome in found:
-            s = seen.get(path)
-            if s is None:
-                seen[path] = [1, len(text), linked, chrome, text if len(text) <= 300 else None]
-            else:
-                s[1] += len(text)
-                s[2] += linked
-                s[4] = None
-        self._slots(seen)
-
-    def _slots(self, other: dict) -> None:
-        for path, s in other.items():
-            mine = self.slots.get(path)
-            if mine is None:
-                self.slots[path] = list(s)
-            else:
-                mine[0] += s[0]
-                mine[1] += s[1]
-                mine[2] += s[2]
-                mine[4] = mine[4] if mine[4] == s[4] else None
+        self.merge(Wrapper(tree(found)))
 
     def merge(self, other: Wrapper) -> None:
-        self.pages += other.pages
         if other.nodes is not None:
             self.nodes = other.nodes if self.nodes is None else align(self.nodes, other.nodes)
-        self._slots(other.slots)
 
     def dumps(self) -> bytes:
-        return json.dumps([self.pages, self.nodes, [[list(p), s] for p, s in self.slots.items()]]).encode()
+        return json.dumps(self.nodes).encode()
 
     @staticmethod
     def loads(raw: bytes) -> Wrapper:
-        w = Wrapper()
-        w.pages, w.nodes, slots = json.loads(raw)
-        w.slots = {tuple(p): s for p, s in slots}
-        return w
-
-    def paths(self) -> set[tuple[str, ...]]:
-        """Paths of text slots that the expression has."""
-        out: set[tuple[str, ...]] = set()
-
-        def walk(nodes, path):
-            for name, _, _, children in nodes:
-                if name == "#text":
-                    out.add(path)
-                else:
-                    walk(children, (*path, name))
-
-        walk(self.nodes or [], ())
-        return out
-
-    def rule(self) -> dict:
-        """Which slots hold the main text: the container and the slots of template text inside it."""
-        known = self.paths()
-        good = {p: s for p, s in self.slots.items() if p in known and not s[3] and s[2] * 2 <= s[1]}
-        fixed = {p for p, s in good.items() if s[0] >= SAME_ON and s[4] is not None}
-        weight: dict[tuple[str, ...], int] = {}
-        total = 0
-        for p, s in good.items():
-            if p in fixed:
-                continue
-            total += s[1] - s[2]
-            for k in range(len(p) + 1):
-                weight[p[:k]] = weight.get(p[:k], 0) + s[1] - s[2]
-        named = [p for p in weight if p and p[-1].split(".")[0] in ("article", "main") and weight[p] * 4 >= total]
+        return Wrapper(json.loads(raw))
+
+    def rule(self) -> list:
+        """The expression as [signature, children, mark]: mark 1 for slots of main text, 2 for the container, 3 for one named as main text."""
+        template = lambda s: s[3] is not None and len(s[4]) >= SAME_ON
+        varies = lambda s: s[3] is None and len(s[4]) > 1
+        weight: dict[int, int] = {}
+        found: list[tuple[int, list]] = []  # depth, element
+
+        def weigh(node: list, depth: int) -> int:
+            s = node[4]
+            if s is not None:
+                content = not template(s) and s[1] * 2 <= s[0] and (not s[2] or varies(s))
+                out = s[0] - s[1] if content else 0
+            else:
+                out = sum(weigh(x, depth + 1) for x in node[3])
+                if node[0] != "*":
+                    found.append((depth, node))
+            weight[id(node)] = out
+            return out
+
+        root = ["", False, False, self.nodes or [], None, []]
+        total = weigh(root, 0)
+        tag = lambda node: node[0].split(".")[0]
+        named = [(d, x) for d, x in found if tag(x) in ("article", "main") and weight[id(x)] * 4 >= total]
         if named:
-            main = max(named, key=lambda p: (weight[p] * 10 >= 9 * max(weight[q] for q in named), p[-1].split(".")[0] == "article", weight[p], -len(p)))
+            most = max(weight[id(x)] for _, x in named)
+            _, main = max(named, key=lambda p: (weight[id(p[1])] * 10 >= 9 * most, tag(p[1]) == "article", weight[id(p[1])], -p[0]))
         else:
-            holders = [p for p in weight if weight[p] >= MAIN_SHARE * total and p and p[-1].split(".")[0] not in ("p", "h1", "h2", "h3", "li")]
-            main = max(holders, key=lambda p: (len(p), weight[p]), default=())
-        return {"main": list(main), "fixed": [[list(p), self.slots[p][4]] for p in sorted(fixed) if p[: len(main)] == main]}
+            holders = [(d, x) for d, x in found if weight[id(x)] >= MAIN_SHARE * total and (not d or tag(x) not in {"p", "li", *HEADINGS})]
+            _, main = max(holders, key=lambda p: (p[0], weight[id(p[1])]))
+        lone = len(found) <= 2  # one block
+
+        def keeps(s: list, parent: str) -> bool:
+            if named:
+                return not (s[2] and (template(s) or s[1] * 2 > s[0]))
+            if total and template(s) or s[2] and not varies(s):
+                return False
+            return s[1] < s[0] or parent in {"p", *HEADINGS} or lone
+
+        def write(node: list, parent: str) -> list:
+            if node[4] is not None:
+                return [node[0], [], int(keeps(node[4], parent))]
+            name = parent if node[0] == "*" else tag(node)
+            return [node[0], [write(x, name) for x in node[3]], (3 if named else 2) if node is main else 0]
+
+        return write(root, "")
+
+
+def read(rule: list, found: list[tuple]) -> list[int] | None:
+    """Numbers of the blocks of main text, by matching the page with the expression; None if it lacks the container."""
+    kept: list[int] = []
+    seen = False
+
+    def rest(node: list, named: bool) -> None:
+        """Of tokens in the container that the expression lacks."""
+        kept.extend(k for k in node[5] if found[k][3] == 0)
+        for x in node[3]:
+            rest(x, named)
+
+    def walk(rules: list[list], nodes: list[list], inside: bool) -> None:
+        nonlocal seen
+        if len(rules) == 1 and rules[0][0] == "*":
+            at = {r[0]: r for r in rules[0][1]}
+            pairs = [(at.get(x[0]), x) for x in nodes]
+        else:
+            met = {j: rules[i] for i, j in matching([r[0] for r in rules], _tags(nodes))}
+            pairs = [(met.get(j), x) for j, x in enumerate(nodes)]
+        for r, x in pairs:
+            if r is None:
+                if inside:
+                    rest(x, False)
+            elif x[4] is not None:
+                if inside and r[2]:
+                    kept.extend(k for k in x[5] if found[k][3] < 2)
+            else:
+                seen = seen or r[2] > 1
+                walk(r[1], x[3], inside or r[2] > 1)
+
+    seen = rule[2] > 1
+    walk(rule[1], tree(found, True), seen)
+    return sorted(kept) if seen else None
 
 
-def apply_rule(found: list[tuple], rule: dict | None) -> str | None:
-    """Text of the blocks in the rule's container; None if the page has none there."""
-    if rule is None:
-        return None
-    main = tuple(rule["main"])
-    whole = bool(main) and main[-1].split(".")[0] in ("article", "main")  # named as the main text: all of it is
-    fixed = {tuple(p): t for p, t in rule["fixed"]}
-    kept = [t for p, t, linked, chrome in found if not chrome and p[: len(main)] == main and (whole or fixed.get(p) != t and (linked < len(t) or len(found) == 1 or p[-1:] and p[-1].split(".")[0] in ("p", "h1")))]
-    return " ".join(kept) if kept else None
+def apply_rule(found: list[tuple], rule: list | None) -> str | None:
+    """Text of the main blocks; None if the page has none by the rule."""
+    got = read(rule, found) if rule else None
+    return " ".join(found[k][1] for k in got) if got else None
 
 
-def main_text(found: list[tuple], rule: dict | None) -> str:
+def main_text(found: list[tuple], rule: list | None) -> str:
     text = apply_rule(found, rule)
     if text is None and found:  # another template than its host's: the page is its own wrapper
-        own = Wrapper()
-        own.add(found)
-        text = apply_rule(found, own.rule())
+        text = apply_rule(found, Wrapper(tree(found)).rule())
     return text or ""
 
 
@@ -364,11 +433,11 @@ def _merged(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _ruled(frame: pd.DataFrame) -> pd.DataFrame:
     w = Wrapper.loads(_merged(frame)["wrapper"][0])
-    return pd.DataFrame({"host": [frame.iloc[0]["host"]], "rule": [json.dumps(w.rule())], "pages": [w.pages]})
+    return pd.DataFrame({"host": [frame.iloc[0]["host"]], "rule": [json.dumps(w.rule())]})
 
 
 def host_rules(pages: DataFrame) -> DataFrame:
-    """``host, rule, pages``: a rule for each host, from all its pages.
+    """``host, rule``: a rule for each host, from all its pages.
 
     A task aligns the pages it reads into one partial wrapper a host, so that a
     host with a third of all pages sends one small row a task; these are merged
@@ -376,11 +445,11 @@ def host_rules(pages: DataFrame) -> DataFrame:
     """
     schema = "host string, salt int, wrapper binary"
     partial = pages.select("url", "html").mapInArrow(_partial, "host string, wrapper binary").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)).cast("int"))
-    return partial.groupBy("host", "salt").applyInPandas(_merged, schema).groupBy("host").applyInPandas(_ruled, "host string, rule string, pages long")
+    return partial.groupBy("host", "salt").applyInPandas(_merged, schema).groupBy("host").applyInPandas(_ruled, "host string, rule string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rules: dict[str | None, dict | None] = {None: None}
+    rules: dict[str | None, list | None] = {None: None}
     for b in batches:
         text = []
         for page, rule in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
@@ -395,10 +464,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each page.
 
-    The main text: blocks in the container that the host's wrapper marks, without
-    chrome (navigation, forms, adverts and so on by element, role or class) and
-    without text that the template repeats.  A page that lacks the container is
-    its own wrapper.  A null or empty html gives an empty text; pages without a
+    The main text: blocks in the container that the host's wrapper marks, in
+    slots of content.  Not content are navigation, forms and the like by element
+    or role, adverts and comments by name, slots with one text on three different
+    pages (outside an article or main element, or if their name hints at it), and
+    lists of links.  A page that lacks the container is its own wrapper.  Elements
+    that never close leave nothing out; of a very deep page the outer 100 levels
+    are told apart.  A null or empty html gives an empty text; pages without a
     URL share the host ''; repeated rows stay; other columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))

@@ -54,3 +54,65 @@ def test_article_keeps_links_and_repeated_text():
         assert text == f"Title {i} Lead {i} " + " ".join(f"word{i}_{k}" for k in range(30)) + f" Source {i} Methods See A & B & C"
     (block,) = wrappers.blocks("<div>See <a>A &amp; B &amp; C</a></div>")
     assert block[2] < len(block[1])
+
+
+def texts(pages):
+    w = wrappers.Wrapper()
+    found = [wrappers.blocks(p) for p in pages]
+    for f in found:
+        w.add(f)
+    return [wrappers.main_text(f, w.rule()) for f in found]
+
+
+def prose(i, n=30):
+    return " ".join(f"word{i}_{k}" for k in range(n))
+
+
+def test_slot_of_the_expression_decides():
+    """A constant paragraph before the heading and varying ones behind it have one path, but two slots."""
+    page = lambda i: f"<body><div><p>We use cookies to serve you.</p><h1>Title {i}</h1><p>{prose(i)}</p><p>{prose(i + 50)}</p></div></body>"
+    assert texts([page(i) for i in range(4)]) == [f"Title {i} {prose(i)} {prose(i + 50)}" for i in range(4)]
+    flat = [t for t in wrappers.blocks(page(0))]
+    own = wrappers.Wrapper(wrappers.tree(flat))  # one page tells nothing of what varies
+    assert wrappers.main_text(flat, own.rule()).startswith("We use cookies")
+
+
+def test_long_notice_on_all_pages():
+    notice = "This notice stands on all pages of the host and is long. " * 7
+    page = lambda i: f"<body><div><h1>T{i}</h1><p>{prose(i, 80)}</p><div>{notice}</div></div></body>"
+    assert texts([page(i) for i in range(10)]) == [f"T{i} {prose(i, 80)}" for i in range(10)]
+
+
+def test_elements_that_never_close():
+    assert texts(['<article><p>one two three</p><svg viewBox="0 0 1 1"/><p>four five six</p></article>']) == ["one two three four five six"]
+    assert texts(["<article><p>one two three</p><button>x<p>four five six</p></article>"]) == ["one two three x four five six"]
+    assert texts(["<article><p>one</p><button>x</button><svg><text>y</text></svg><p>two</p></article>"]) == ["one two"]
+
+
+def test_names_inside_an_article():
+    page = lambda i: f"""<body><article><h1>T{i}</h1><p>{prose(i)}</p><div class="legal">Court of {prose(i, 5)}</div><div class="share">Share this</div><div class="ad">{prose(-i, 4)}</div>
+<section id="comments"><p>I, too, {i}</p></section></article></body>"""
+    assert texts([page(i) for i in range(4)]) == [f"T{i} {prose(i)} Court of {prose(i, 5)}" for i in range(4)]
+
+
+def test_optional_and_repeated_parts():
+    extra = lambda i: f"<h2>Part {i}</h2><p>{prose(i + 9)}</p>" * (i % 3) + (f"<table><tr><td>{prose(i + 30, 6)}</td></tr></table>" if i % 2 else "")
+    page = lambda i: f"<body><div id='top'><a href='/'>Home</a></div><div id='mid'><h1>T{i}</h1><p>{prose(i)}</p>{extra(i)}</div><div id='end'>All rights</div></body>"
+    plain = lambda h: " ".join(re.sub(r"<[^>]+>", " ", h).split())
+    assert texts([page(i) for i in range(8)]) == [plain(f"T{i} {prose(i)} {extra(i)}") for i in range(8)]
+
+
+def test_irregular_pages_become_one_group():
+    rng = __import__("random").Random(1)
+    body = lambda i: "".join(f"<{t}>{prose(f'{i}_{k}', 6)}</{t}>" for k, t in enumerate(rng.choice(["p", "h2", "pre", "blockquote", "h3"]) for _ in range(rng.randint(40, 90))))
+    bodies = [body(i) for i in range(30)]
+    got = texts([f"<body><nav>Menu</nav><div>{b}</div><footer>End</footer></body>" for b in bodies])
+    assert got == [" ".join(re.sub(r"<[^>]+>", " ", b).split()) for b in bodies]
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 3000 + "<p>" + prose(1) + "</p>" + "</div>" * 3000
+    long = "<article>" + "".join(f"<p>{prose(k, 8)}</p><h2>{k}</h2>" for k in range(3000)) + "</article>"
+    df = spark.createDataFrame([(1, "http://d.org/", deep), (2, "http://l.org/", long), (3, "http://b.org/", "<p <div><<a href=' </p> &#xZZ; &bogus; <article")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in wrappers.extract(df).collect()}
+    assert got[1].text == prose(1) and got[2].text.count("word") == 24000 and got[3].n_chars == len(got[3].text)
