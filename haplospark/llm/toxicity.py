@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,15 @@ def _self_many(a: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.nd
     return total
 
 
+#: Characters up to which a string is compared by its subsequences, and different letters of landmarks up to which their table is kept.
+SHORT, MOST_LETTERS = 18, 64
+
+
+def _subsequences(m: int) -> list[tuple[tuple[int, ...], float]]:
+    """Places of all subsequences of a string of m characters, with their weights."""
+    return [(at, DECAY ** (at[-1] - at[0] + 1)) for at in combinations(range(m), ORDER)]
+
+
 def _pairs(s: str, gap: int) -> set[str]:
     return {s[i] + s[j] for i in range(len(s)) for j in range(i + 1, min(len(s), i + 2 + gap))}
 
@@ -121,11 +131,43 @@ class Landmarks:
             self.need.append(-(-len(own) * 3 // 5))
             for p in own:
                 self.index.setdefault(p, []).append(k)
+        self.letters = np.unique(self.codes[self.codes > 0])
+        n = len(self.letters) + 1
+        self.weights = np.zeros((n**ORDER if n <= MOST_LETTERS else 0, len(self.strings)), np.float32)
+        if len(self.weights):  # the landmarks' own subsequences
+            for k, s in enumerate(self.strings):
+                code = np.searchsorted(self.letters, [ord(c) for c in s]) + 1
+                for at, value in _subsequences(len(s)):
+                    self.weights[self._place(code, at), k] += value
+
+    def _place(self, code: np.ndarray, at: tuple[int, ...]) -> np.ndarray:
+        out = 0
+        for i in at:
+            out = out * (len(self.letters) + 1) + code[..., i]
+        return out
+
+    def raw(self, codes: np.ndarray) -> np.ndarray:
+        """Kernel of rows of codes to each landmark: by their subsequences if they are short, else by dynamic programming."""
+        size = (codes != 0).sum(1)
+        out = np.zeros((len(codes), len(self.strings)), np.float32)
+        short = size <= SHORT if len(self.weights) else size < 0
+        for m in np.unique(size[short]).tolist():
+            own = np.flatnonzero(size == m)
+            x = codes[own, :m]
+            code = np.searchsorted(self.letters, x)
+            code = np.where(np.append(self.letters, 0)[code] == x, code + 1, 0)
+            total = np.zeros((len(own), len(self.strings)), np.float32)
+            for at, value in _subsequences(m):
+                total += self.weights[self._place(code, at)] * np.float32(value)
+            out[own] = total
+        if not short.all():
+            out[~short] = raw_kernel(codes[~short], self.codes)
+        return out
 
     def near(self, piece: str) -> bool:
         """Has three fifths of the adjacent letter pairs of some toxic landmark, at most one character inserted in each.
 
-        The kernel is local: pieces that are not near have no similarity.
+        Chooses strings to learn from; no string that is scored is passed over.
         """
         count: dict[int, int] = {}
         index = self.index
@@ -139,10 +181,11 @@ class Landmarks:
     def similarity(self, strings: list[str]) -> np.ndarray:
         """Kernel to each landmark."""
         out = np.zeros((len(strings), len(self.strings)), np.float32)
-        for i in range(0, len(strings), 1000):
-            codes = _codes(strings[i : i + 1000], PIECE)
+        for i in range(0, len(strings), 8000):
+            codes = _codes(strings[i : i + 8000], PIECE)
+            codes = codes[:, : max(1, int((codes != 0).sum(1).max()))]
             norm = np.sqrt(np.maximum(_self_many(codes), 1e-12))
-            out[i : i + 1000] = (raw_kernel(codes, self.codes) / norm[:, None] / self.norm) ** POWER
+            out[i : i + 8000] = (self.raw(codes) / norm[:, None] / self.norm) ** POWER
         return out
 
 
@@ -177,14 +220,13 @@ class Scorer:
         self.model, self.bound, self.known = model, bound, {}
 
     def _learn(self, words: set[str]) -> None:
-        known, near, bias = self.known, self.model.landmarks.near, self.model.bias
+        known, bias = self.known, self.model.bias
         todo, owner = [], []
         for w in words:
             known[w] = bias
             for s in strings_of(w):
                 for p in pieces(s):
-                    if near(p):
-                        todo.append(p), owner.append(w)
+                    todo.append(p), owner.append(w)
         if todo:
             for w, f in zip(owner, self.model.decisions(todo).tolist()):
                 if f > known[w]:
@@ -253,7 +295,7 @@ def _diverse(strings: list[str], count: int, most: float = 0.5) -> list[str]:
     return [strings[i] for i in taken]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, n_toxic: int = 24, n_other: int = 16, n_strings: int = 10_000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, n_toxic: int = 24, n_other: int = 16, n_strings: int = 10_000, n_bad: int = 5_000) -> Model | None:
     """Train on at most ``per_class`` labelled documents of each class, taken by a hash of their id.
 
     The ids (at most 2 * per_class) are broadcast, so that no text is shuffled.
@@ -262,7 +304,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, n_toxic: i
     finds closest to them.  A sentence counts as toxic if its document is and it
     holds a string likelier there; sentences of other documents are negative;
     each stands for its string closest to a landmark, at most ``n_strings``
-    distinct ones a class.  None without labels of both classes or landmarks.
+    distinct ones a class; of the strings likelier in toxic documents the
+    ``n_bad`` most frequent count.  None without labels of both classes or landmarks.
     """
     by_hash = (F.xxhash64("doc_id"), "doc_id")
     picked = labels.where("label = 1").orderBy(*by_hash).limit(per_class).union(labels.where("label = 0").orderBy(*by_hash).limit(per_class))
@@ -297,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, n_toxic: i
     plain = counts.where((ratio < 1) & (F.col("neg") > 1)).select("s").mapInArrow(closeness, "s string, close double")
     close = [r["s"] for r in plain.groupBy("s").agg(F.max("close").alias("close")).orderBy(F.desc(F.round("close", 4)), "s").limit(8 * n_other).collect()]
     marks = Landmarks(toxic, _diverse(close, n_other))
-    bad = {r["s"] for r in counts.where(likelier).orderBy(F.desc("pos"), "s").limit(5000).collect()}
+    bad = {r["s"] for r in counts.where(likelier).orderBy(F.desc("pos"), "s").limit(n_bad).collect()}
 
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

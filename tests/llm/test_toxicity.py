@@ -28,6 +28,17 @@ def test_kernel_against_enumeration():
     assert np.allclose(toxicity._self_many(codes), np.diag(want), rtol=1e-4)
 
 
+def test_short_strings_by_subsequences():
+    """The table of the landmarks' subsequences gives what dynamic programming gives, for all strings."""
+    rng = np.random.default_rng(4)
+    marks = toxicity.Landmarks(["idiot", "zwurgle", "aaa"], ["ideal", "pliff.or"])
+    words = ["^^" + "".join(rng.choice(list("idiotzwurgleaxé.")) for _ in range(n)) for n in rng.integers(1, 19, 300)] + ["^^", "a", "^^ixxdxxixxoxxt"]
+    codes = toxicity._codes(words, toxicity.PIECE)
+    assert np.allclose(marks.raw(codes), toxicity.raw_kernel(codes, marks.codes), rtol=1e-4, atol=1e-7)
+    marks.weights = marks.weights[:0]
+    assert np.allclose(marks.raw(codes), toxicity.raw_kernel(codes, marks.codes), rtol=1e-6)
+
+
 def test_learns_and_tolerates_gaps(spark):
     rng = np.random.default_rng(0)
     vocab = ["".join(chr(97 + k) for k in rng.integers(0, 20, n)) for n in rng.integers(3, 9, 300)]
