@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import cut, drop
+
 SEED, MIN_MATCH, COVERAGE = 5, 4, 0.8
 #: Characters of benchmark text that one pass over the documents takes along.
 BLOCK_CHARS = 16_000_000
@@ -197,7 +199,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     in any order, cover ``coverage`` of its words, and one run of ``seed`` words
     (the whole item if shorter) is shared.  No text is shuffled: the benchmark is
     carried to the tasks in blocks of about ``block_chars`` characters, one pass
-    over the documents for each block, so its size has no limit.  Null and empty
+    over the documents and one written table for each block; the driver holds one
+    block at a time, so the benchmark's size has no limit.  Null and empty
     texts contain nothing, null and empty items are in nothing; repeated items
     are reported each.
     """
@@ -216,7 +219,11 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
                 got = [(old or []) + (matcher(t) if t else []) for t, old in zip(b.column(at).to_pylist(), b.column(slot).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:slot], pa.array(got, _MATCHES)], names=b.schema.names)
 
-        out = out.mapInArrow(mapper, out.schema)
+        before, out = out, out.mapInArrow(mapper, out.schema)
+        if k < blocks - 1:
+            out = cut(out, "tiling")
+            if k:
+                drop(before)
     return out
 
 
