@@ -138,6 +138,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CAPTURE_TYPES)] + [pa.array(range(len(run)), pa.int64())], names=[*_CAPTURE_NAMES, "place"])
 
 
+#: Captures of a range.
+RANGE_ROWS = 100_000
+
+
 class LoserTree:
     """k-way merge: each inner node keeps the loser of its match, the root the winner."""
 
@@ -198,11 +202,12 @@ def capture_index(archives: DataFrame) -> DataFrame:
 
     A task reads an archive and sorts its captures into a run.  Runs are dealt by
     ranges of (URL key, timestamp, page), so one host or URL may span many
-    ranges; each range merges its slices of the runs by a loser tree.  Ordered
-    by ``range_no, position`` the result is in global order.
+    ranges; each range merges its slices of the runs by a loser tree.  There are
+    as many ranges as keep each at about ``RANGE_ROWS`` captures, which is what a
+    task holds.  Ordered by ``range_no, position`` the result is in global order.
     """
-    parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = cut(archives.mapInArrow(_read, CAPTURE + ", place long"), "captures")
+    parts = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
     dealt = runs.repartitionByRange(parts, "urlkey", "timestamp", "page_id").sortWithinPartitions("archive", "place")
     return dealt.mapInArrow(_merge, CAPTURE + ", range_no int, position long")
 
