@@ -8,14 +8,15 @@ SELECT w, read_id, count(*) AS n, LAGG(pos|pos) AS positions, LAGG(allele|pos) A
 SELECT w, read_id, pos, sum(CASE WHEN allele > 0 THEN coalesce(w2, 0.5) ELSE 0.0 END) AS plus, sum(CASE WHEN allele < 0 THEN coalesce(w2, 0.5) ELSE 0.0 END) AS minus FROM {obs} WHERE allele <> 0 GROUP BY w, read_id, pos) AS x WHERE abs(plus - minus) > 0.000001) AS y
 GROUP BY w, read_id HAVING count(*) >= :min_sites""", lo=0.05, hi=10.0, min_sites=2)
 define("D2_best_observation", "w long, read_id long, pos long, idx long, allele int", "SELECT w, read_id, pos, idx, allele FROM (SELECT *, row_number() OVER (PARTITION BY w, read_id, pos ORDER BY baseq + mapq DESC, idx, baseq, allele, delta, conf, amb) AS rn FROM {obs}) AS x WHERE rn = 1")
-SUPPORT = """SELECT w, pos, sum(CASE WHEN allele > 0 THEN wt ELSE 0.0 END) AS alt, sum(CASE WHEN allele < 0 THEN wt ELSE 0.0 END) AS ref, count(*) AS n FROM (
-SELECT w, pos, allele, coalesce(w2, greatest(0.0, least(1.0, baseq / 40.0)) * greatest(0.0, least(1.0, mapq / 60.0))) * (1.0 + 0.2 * conf) * (CASE WHEN abs(delta) >= 0.75 THEN 1.05 ELSE 1.0 END) AS wt
+#: Sums of exact decimals: the same in any order.
+SUPPORT = """SELECT w, pos, CAST(round(sum(CASE WHEN allele > 0 THEN wt ELSE CAST(0 AS DECIMAL(24, 12)) END), 6) AS DOUBLE) AS alt, CAST(round(sum(CASE WHEN allele < 0 THEN wt ELSE CAST(0 AS DECIMAL(24, 12)) END), 6) AS DOUBLE) AS ref, count(*) AS n FROM (
+SELECT w, pos, allele, CAST(coalesce(w2, greatest(0.0, least(1.0, baseq / 40.0)) * greatest(0.0, least(1.0, mapq / 60.0))) * (1.0 + 0.2 * conf) * (CASE WHEN abs(delta) >= 0.75 THEN 1.05 ELSE 1.0 END) AS DECIMAL(24, 12)) AS wt
 FROM (SELECT *, count(*) OVER (PARTITION BY w, read_id) AS linked FROM {obs}) AS o WHERE linked >= 2 AND amb = 0 AND allele <> 0 AND NOT (abs(delta) >= 0.75 AND delta * allele < 0)) AS x GROUP BY w, pos"""
 define("D3_site_support", "w long, pos long, alt double, ref double, n long", SUPPORT)
 COMBINE = f"""SELECT w, pos, CASE WHEN total <= 0 THEN CASE WHEN bias > 0.2 THEN 1 WHEN bias < -0.2 THEN -1 ELSE 0 END WHEN comb > 0.05 THEN 1 WHEN comb < -0.05 THEN -1 ELSE 0 END AS state,
 CASE WHEN total <= 0 THEN 0.5 * abs(bias) WHEN abs(comb) > 0.05 THEN greatest(0.5, least(1.0, abs(comb))) ELSE 0.0 END AS conf FROM (
 SELECT w, pos, total, bias, CASE WHEN total > 0 THEN (alt - ref) / total + 0.2 * bias ELSE bias END AS comb FROM (
-SELECT s.w, s.pos, coalesce(x.alt, 0.0) AS alt, coalesce(x.ref, 0.0) AS ref, coalesce(x.alt + x.ref, 0.0) AS total, ((s.pos * 13 + s.w) % 21 - 10) / 10.0 AS bias FROM {{sites}} s LEFT JOIN ({SUPPORT}) x ON x.w = s.w AND x.pos = s.pos) AS y) AS z"""
+SELECT s.w, s.pos, coalesce(x.alt, 0.0) AS alt, coalesce(x.ref, 0.0) AS ref, coalesce(x.alt + x.ref, 0.0) AS total, coalesce(d.bias, 0.0) AS bias FROM {{sites}} s LEFT JOIN ({SUPPORT}) x ON x.w = s.w AND x.pos = s.pos LEFT JOIN {{bias}} d ON d.w = s.w AND d.pos = s.pos) AS y) AS z"""
 define("D4_read_donor_combine", "w long, pos long, state int, conf double", COMBINE)
 define("D5_bundle_score", "w long, read_id long, n long, score double", """
 SELECT w, read_id, count(*) AS n, 3.0 * (count(*) - 1) + count(*) + 0.25 * sum(0.5 + 0.5 * least(1.0, baseq / 40.0) * least(1.0, mapq / 60.0)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY w, read_id, pos ORDER BY baseq + mapq DESC, idx, baseq, allele, delta, conf, amb) AS rn FROM {obs}) AS x WHERE rn = 1 GROUP BY w, read_id""")
@@ -30,10 +31,10 @@ TAGGED = """SELECT w, read_id, block_id, n, c1, c2, abs(c1 - c2) AS margin, CASE
 SELECT *, row_number() OVER (PARTITION BY w, read_id ORDER BY abs(c1 - c2) DESC, first_pos) AS rn FROM (SELECT o.w, o.read_id, c.block_id, count(*) AS n, min(o.pos) AS first_pos, sum(CASE WHEN o.allele <> c.state THEN o.baseq ELSE 0 END) AS c1, sum(CASE WHEN o.allele = c.state THEN o.baseq ELSE 0 END) AS c2
 FROM {obs} o JOIN {calls} c ON o.w = c.w AND o.pos = c.pos WHERE o.allele <> 0 AND c.state <> 0 GROUP BY o.w, o.read_id, c.block_id) AS x) AS y WHERE rn = 1"""
 define("D8_haplotag", "w long, read_id long, block_id string, n long, c1 long, c2 long, margin long, hp string", TAGGED, min_margin=5)
-_ANCHORED = """(SELECT t.w, t.pos, t.i, a.pos AS apos, a.i AS ai, a.state, a.block_id, abs(a.pos - t.pos) AS d, CASE WHEN a.pos < t.pos THEN 'L' ELSE 'R' END AS side FROM (
-SELECT *, row_number() OVER (PARTITION BY w, pos, CASE WHEN apos < pos THEN 'L' ELSE 'R' END ORDER BY abs(apos - pos), apos) AS rn FROM (SELECT f.w, f.pos, IDIV(f.pos - 1000|100) AS i, c.pos AS apos FROM {fills} f JOIN {calls} c ON f.w = c.w AND c.pos BETWEEN f.pos - 500 AND f.pos + 500 AND c.pos <> f.pos WHERE c.state <> 0) AS q) t
-JOIN (SELECT w, pos, state, block_id, IDIV(pos - 1000|100) AS i FROM {calls} WHERE state <> 0) a ON a.w = t.w AND a.pos = t.apos WHERE rn <= 4)"""
-_HAPS = f"""(SELECT n.w, n.pos, n.apos, n.block_id, n.state, n.d, n.side, x.hap, x.donor, x.grp, x.allele AS target, y.allele AS anchor FROM {_ANCHORED} n JOIN {{smallpanel}} x ON x.k = n.i % 64 JOIN {{smallpanel}} y ON y.k = n.ai % 64 AND y.hap = x.hap)"""
+_ANCHORED = """(SELECT w, pos, apos, state, block_id, abs(apos - pos) AS d, CASE WHEN apos < pos THEN 'L' ELSE 'R' END AS side FROM (
+SELECT *, row_number() OVER (PARTITION BY w, pos, CASE WHEN apos < pos THEN 'L' ELSE 'R' END ORDER BY abs(apos - pos), apos) AS rn FROM (SELECT f.w, f.pos, c.pos AS apos, c.state, c.block_id FROM (SELECT DISTINCT w, pos, IDIV(pos|500) + d AS bucket FROM {fills} CROSS JOIN (VALUES (-1), (0), (1)) AS n(d)) f
+JOIN (SELECT w, pos, state, block_id, IDIV(pos|500) AS bucket FROM {calls} WHERE state <> 0) c ON f.w = c.w AND f.bucket = c.bucket AND abs(c.pos - f.pos) <= 500 AND c.pos <> f.pos) AS q) AS t WHERE rn <= 4)"""
+_HAPS = f"""(SELECT n.w, n.pos, n.apos, n.block_id, n.state, n.d, n.side, x.hap, x.donor, x.grp, x.allele AS target, y.allele AS anchor FROM {_ANCHORED} n JOIN {{psites}} vx ON vx.pos = n.pos JOIN {{panel}} x ON x.k = vx.k JOIN {{psites}} vy ON vy.pos = n.apos JOIN {{panel}} y ON y.k = vy.k AND y.hap = x.hap)"""
 define("D9_panel_ld_vote", "w long, pos long, block_id string, plus double, minus double, haps long, samples long, anchors long", f"""
 SELECT w, pos, block_id, sum(CASE WHEN target * anchor * state > 0 THEN 1.0 / (1.0 + d / 5000.0) ELSE 0.0 END) AS plus, sum(CASE WHEN target * anchor * state < 0 THEN 1.0 / (1.0 + d / 5000.0) ELSE 0.0 END) AS minus,
 count(*) AS haps, count(DISTINCT donor) AS samples, count(DISTINCT apos) AS anchors FROM {_HAPS} AS h GROUP BY w, pos, block_id HAVING count(DISTINCT donor) >= :min_samples""", min_samples=5)
@@ -52,16 +53,17 @@ define("D13_donor_features", "w long, pos long, plus double, minus double, lft d
 SELECT w, pos, sum(greatest(s, 0.0)) AS plus, sum(greatest(-s, 0.0)) AS minus, sum(l) AS lft, sum(r) AS rgt, max(abs(s)) AS top1, CASE WHEN sum(s * s) > 0 THEN sum(abs(s)) * sum(abs(s)) / sum(s * s) ELSE 0.0 END AS effn,
 ln(sum(abs(s)) + 0.000001) - sum(abs(s) * ln(abs(s) + 0.000001)) / (sum(abs(s)) + 0.000001) AS entropy, CASE WHEN sum(abs(l)) > 0 AND sum(abs(r)) > 0 THEN 1 ELSE 0 END AS two_sided, CASE WHEN sum(l) * sum(r) > 0.000001 THEN 1 ELSE 0 END AS agree, ln(1.0 + abs(sum(s))) AS log_margin
 FROM (SELECT w, pos, donor, sum(v) AS s, sum(CASE WHEN side = 'L' THEN v ELSE 0.0 END) AS l, sum(CASE WHEN side = 'R' THEN v ELSE 0.0 END) AS r FROM (SELECT w, pos, donor, side, target * anchor * state * exp(-d / 50000.0) AS v FROM {_HAPS} AS h) AS g GROUP BY w, pos, donor) AS x GROUP BY w, pos""")
-_TOP = f"""(SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY round(score, 9) DESC, hap) AS rn FROM (SELECT w, pos, hap, grp, max(target) AS target, sum(CASE WHEN anchor = state THEN exp(-d / 1000.0) ELSE 0.0 END) AS score, sum(CASE WHEN anchor <> state THEN exp(-d / 1000.0) ELSE 0.0 END) AS other,
-sum(CASE WHEN anchor = state AND side = 'L' THEN exp(-d / 1000.0) ELSE 0.0 END) AS ls, min(d) AS nearest FROM {_HAPS} AS h GROUP BY w, pos, hap, grp) AS hs)"""
+_SCORED = f"""(SELECT w, pos, hap, grp, max(target) AS target, sum(CASE WHEN anchor = state THEN exp(-d / 1000.0) ELSE 0.0 END) AS score, sum(CASE WHEN anchor <> state THEN exp(-d / 1000.0) ELSE 0.0 END) AS other,
+sum(CASE WHEN anchor = state AND side = 'L' THEN exp(-d / 1000.0) ELSE 0.0 END) AS ls, min(d) AS nearest FROM {_HAPS} AS h GROUP BY w, pos, hap, grp)"""
+_TOP = f"""(SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY round(score, 9) DESC, hap) AS rn FROM {_SCORED} AS hs)"""
 define("D14_match_features", "w long, pos long, alt_support double, ref_support double, haps long, best double", f"""
 SELECT w, pos, sum(CASE WHEN target > 0 THEN score ELSE 0.0 END) AS alt_support, sum(CASE WHEN target < 0 THEN score ELSE 0.0 END) AS ref_support, count(*) AS haps, max(score) AS best FROM {_TOP} AS t WHERE rn <= :top GROUP BY w, pos""", top=16)
 define("D15_copying_features", "w long, pos long, context string, alt_prob double, entropy double, nearest double", f"""
 SELECT w, pos, context, sum(CASE WHEN target > 0 THEN p ELSE 0.0 END) AS alt_prob, -sum(p * ln(p + 0.000000001)) AS entropy, avg(nearest) AS nearest FROM (SELECT w, pos, context, target, nearest, exp(v - max(v) OVER (PARTITION BY w, pos, context)) / sum(exp(v)) OVER (PARTITION BY w, pos, context) * exp(max(v) OVER (PARTITION BY w, pos, context)) AS p
 FROM (SELECT w, pos, target, nearest, context, CASE context WHEN 'all' THEN score WHEN 'left' THEN ls ELSE score - ls END AS v FROM {_TOP} AS t CROSS JOIN (VALUES ('all'), ('left'), ('right')) AS c(context) WHERE rn <= :top) AS a) AS b GROUP BY w, pos, context""", top=16)
 define("D16_ancestry_features", "w long, pos long, weighted double, plain double, delta double, groups long", f"""
-SELECT h.w, h.pos, sum(h.target * h.score * p.prior) AS weighted, sum(h.target * h.score) AS plain, sum(h.target * h.score * p.prior) - sum(h.target * h.score) AS delta, count(DISTINCT h.grp) AS groups FROM {_TOP} AS h
-JOIN (SELECT w, pos, grp, mass / sum(mass) OVER (PARTITION BY w, pos) AS prior FROM (SELECT w, pos, grp, avg(score) + 0.000001 AS mass FROM {_TOP} AS t GROUP BY w, pos, grp) AS g) p ON p.w = h.w AND p.pos = h.pos AND p.grp = h.grp GROUP BY h.w, h.pos""")
+SELECT w, pos, sum(sg * mass / whole) AS weighted, sum(sg) AS plain, sum(sg * mass / whole) - sum(sg) AS delta, count(*) AS groups FROM (SELECT *, sum(mass) OVER (PARTITION BY w, pos) AS whole FROM (
+SELECT w, pos, grp, sum(target * score) AS sg, avg(score) + 0.000001 AS mass FROM {_SCORED} AS h GROUP BY w, pos, grp) AS g) AS p GROUP BY w, pos""")
 define("D17_scaffold_block_choice", "w long, pos long, block_id string, two_sided int, n long, mean_d double", f"""
 SELECT w, pos, block_id, two_sided, n, mean_d FROM (SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY two_sided DESC, n DESC, round(mean_d, 6), min_d, block_id) AS rn FROM (SELECT w, pos, block_id, CASE WHEN count(DISTINCT side) = 2 THEN 1 ELSE 0 END AS two_sided, count(*) AS n, avg(d) AS mean_d, min(d) AS min_d
 FROM {_ANCHORED} AS n GROUP BY w, pos, block_id) AS x) AS y WHERE rn = 1""")
@@ -74,15 +76,15 @@ SELECT w, a, b, same, flip, CASE WHEN same >= flip THEN 1 ELSE -1 END AS relatio
 SELECT w, a, b, sum(s) AS same, sum(f) AS flip, sum(s + f) * sum(s + f) / (sum((s + f) * (s + f)) + 0.000001) AS effn FROM (SELECT *, row_number() OVER (PARTITION BY w, a, b ORDER BY round(s + f, 9) DESC, hap) AS rn FROM (SELECT w, a, b, hap, least(ap, bp) + least(am, bm) AS s, least(ap, bm) + least(am, bp) AS f FROM (
 SELECT e.w, e.a, e.b, h.hap, sum(CASE WHEN e.side = 'a' AND h.allele = e.state THEN 1.0 ELSE 0.0 END) AS ap, sum(CASE WHEN e.side = 'a' AND h.allele <> e.state THEN 1.0 ELSE 0.0 END) AS am, sum(CASE WHEN e.side = 'b' AND h.allele = e.state THEN 1.0 ELSE 0.0 END) AS bp, sum(CASE WHEN e.side = 'b' AND h.allele <> e.state THEN 1.0 ELSE 0.0 END) AS bm
 FROM (SELECT p.w, p.a, p.b, 'a' AS side, x.pos, x.state FROM {_PAIR} AS p JOIN {_EDGE} AS x ON x.w = p.w AND x.block_id = p.a AND x.last_rn <= 12 UNION ALL SELECT p.w, p.a, p.b, 'b' AS side, x.pos, x.state FROM {_PAIR} AS p JOIN {_EDGE} AS x ON x.w = p.w AND x.block_id = p.b AND x.first_rn <= 12) AS e
-JOIN {{smallpanel}} h ON h.k = IDIV(e.pos - 1000|100) % 64 GROUP BY e.w, e.a, e.b, h.hap) AS m) AS n) AS o WHERE rn <= :top GROUP BY w, a, b) AS z""", top=64)
+JOIN {{psites}} vh ON vh.pos = e.pos JOIN {{panel}} h ON h.k = vh.k GROUP BY e.w, e.a, e.b, h.hap) AS m) AS n) AS o WHERE rn <= :top GROUP BY w, a, b) AS z""", top=64)
 define("D20_group_donor_prior", "w long, pos long, grp string, score double, rn int", """
 SELECT w, pos, grp, score, rn FROM (SELECT w, pos, grp, score, row_number() OVER (PARTITION BY w, pos ORDER BY round(score, 9) DESC, grp) AS rn FROM (SELECT q.w, q.pos, p.grp, sum(a.conf / (1.0 + abs(a.pos - q.pos) / 100.0) * ln((p.pl + 1.0) / (p.mi + 1.0)) * a.state) AS score
-FROM (SELECT DISTINCT w, pos FROM {scores}) q JOIN {calls} a ON a.w = q.w AND a.pos BETWEEN q.pos - 1200 AND q.pos + 1200 AND a.pos <> q.pos AND a.state <> 0
-JOIN (SELECT grp, k, sum(CASE WHEN allele > 0 THEN 1.0 ELSE 0.0 END) AS pl, sum(CASE WHEN allele < 0 THEN 1.0 ELSE 0.0 END) AS mi FROM {smallpanel} GROUP BY grp, k) p ON p.k = IDIV(a.pos - 1000|100) % 64 GROUP BY q.w, q.pos, p.grp) AS x) AS y WHERE rn <= :top""", top=2)
+FROM (SELECT DISTINCT w, pos, IDIV(pos|1200) + d AS bucket FROM {scores} CROSS JOIN (VALUES (-1), (0), (1)) AS n(d)) q JOIN (SELECT *, IDIV(pos|1200) AS bucket FROM {calls} WHERE state <> 0) a ON a.w = q.w AND a.bucket = q.bucket AND abs(a.pos - q.pos) <= 1200 AND a.pos <> q.pos
+JOIN {psites} va ON va.pos = a.pos JOIN (SELECT grp, k, sum(CASE WHEN allele > 0 THEN 1.0 ELSE 0.0 END) AS pl, sum(CASE WHEN allele < 0 THEN 1.0 ELSE 0.0 END) AS mi FROM {panel} GROUP BY grp, k) p ON p.k = va.k GROUP BY q.w, q.pos, p.grp) AS x) AS y WHERE rn <= :top""", top=2)
 define("D21_local_donor_prior", "w long, pos long, support double, oppose double, donors long", """
 SELECT w, pos, sum(CASE WHEN target > 0 THEN greatest(score, 0.0) ELSE 0.0 END) AS support, sum(CASE WHEN target < 0 THEN greatest(score, 0.0) ELSE 0.0 END) AS oppose, count(*) AS donors FROM (SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY round(score, 9) DESC, agree DESC, hap) AS rn FROM (
-SELECT q.w, q.pos, h.hap, max(t.allele) AS target, sum(CASE WHEN h.allele = a.state THEN 1 ELSE -1 END * greatest(0.1, a.conf)) AS score, sum(CASE WHEN h.allele = a.state THEN 1 ELSE 0 END) AS agree FROM (SELECT DISTINCT w, pos FROM {scores}) q JOIN {calls} a ON a.w = q.w AND a.pos BETWEEN q.pos - 800 AND q.pos + 800 AND a.pos <> q.pos AND a.state <> 0
-JOIN {smallpanel} h ON h.k = IDIV(a.pos - 1000|100) % 64 JOIN {smallpanel} t ON t.k = IDIV(q.pos - 1000|100) % 64 AND t.hap = h.hap GROUP BY q.w, q.pos, h.hap) AS x) AS y WHERE rn <= :top GROUP BY w, pos""", top=16)
+SELECT q.w, q.pos, h.hap, max(t.allele) AS target, sum(CASE WHEN h.allele = a.state THEN 1 ELSE -1 END * greatest(0.1, a.conf)) AS score, sum(CASE WHEN h.allele = a.state THEN 1 ELSE 0 END) AS agree FROM (SELECT DISTINCT w, pos, IDIV(pos|800) + d AS bucket FROM {scores} CROSS JOIN (VALUES (-1), (0), (1)) AS n(d)) q JOIN (SELECT *, IDIV(pos|800) AS bucket FROM {calls} WHERE state <> 0) a ON a.w = q.w AND a.bucket = q.bucket AND abs(a.pos - q.pos) <= 800 AND a.pos <> q.pos
+JOIN {psites} vh ON vh.pos = a.pos JOIN {panel} h ON h.k = vh.k JOIN {psites} vt ON vt.pos = q.pos JOIN {panel} t ON t.k = vt.k AND t.hap = h.hap GROUP BY q.w, q.pos, h.hap) AS x) AS y WHERE rn <= :top GROUP BY w, pos""", top=16)
 define("D22_realign_features", "w long, qid string, cand string, support double, oppose double", """
 SELECT q.w, q.qid, q.cand, sum(CASE WHEN (t.hp = '1' AND o.allele = q.cstate) OR (t.hp = '2' AND o.allele = -q.cstate) THEN greatest(0.01, abs(o.delta) * greatest(0.01, o.conf)) ELSE 0.0 END) AS support,
 sum(CASE WHEN (t.hp = '1' AND o.allele = q.cstate) OR (t.hp = '2' AND o.allele = -q.cstate) THEN 0.0 ELSE greatest(0.01, abs(o.delta) * greatest(0.01, o.conf)) END) AS oppose FROM {scores} q JOIN {obs} o ON o.w = q.w AND o.pos = q.pos LEFT JOIN {tags} t ON t.w = o.w AND t.read_id = o.read_id WHERE o.allele <> 0 GROUP BY q.w, q.qid, q.cand""")

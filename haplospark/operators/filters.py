@@ -23,14 +23,14 @@ SELECT w, read_id, count(*) AS n, LAGG(pos|pos) AS positions, LAGG(a|pos) AS all
 GROUP BY w, read_id HAVING count(*) >= 2""", min_mapq=20, min_baseq=15)
 define("A13_genetic_map", "bp long, cm double, next_bp long, next_cm double", "SELECT bp, cm, lead(bp) OVER (ORDER BY bp) AS next_bp, lead(cm) OVER (ORDER BY bp) AS next_cm FROM {gmap}")
 define("A14_bed_span", "n long, span long", "SELECT count(*) AS n, sum(e - s) AS span FROM {bed}")
-define("A15_truth_in_bed", "w long, pos long, tstate int", "SELECT w, pos, tstate FROM {truth} t WHERE EXISTS (SELECT 1 FROM {bed} b WHERE b.s <= t.pos - 1 AND t.pos - 1 < b.e) AND length(ref) = 1 AND length(alt) = 1")
+define("A15_truth_in_bed", "w long, pos long, tstate int", "SELECT w, pos, tstate FROM (SELECT *, IDIV(pos - 1|1000) AS bucket FROM {truth}) t WHERE EXISTS (SELECT 1 FROM (SELECT s, e, SERIES[IDIV(s|1000)|IDIV(e|1000)] AS bucket FROM {bed}) b WHERE b.bucket = t.bucket AND b.s <= t.pos - 1 AND t.pos - 1 < b.e) AND length(ref) = 1 AND length(alt) = 1")
 define("A16_leakfree_variants", "w long, pos long, ref string, alt string, gt string", "SELECT w, pos, ref, alt, '0/1' AS gt FROM {truth} WHERE length(ref) = 1 AND length(alt) = 1 AND alt <> 'X'")
 define("A17_external_calls", "w long, pos long, block_id string, state int, confidence double", """
 SELECT s.w, s.pos, CASE WHEN t.pos IS NULL THEN 'unassigned' ELSE 'whatshap_' || CAST(IDIV(t.pos|1000) AS STRING) END AS block_id, coalesce(t.tstate, 0) AS state, CASE WHEN t.pos IS NULL THEN 0.0 ELSE 1.0 END AS confidence
 FROM {sites} s LEFT JOIN {truth} t ON s.w = t.w AND s.pos = t.pos AND s.ref = t.ref AND s.alt = t.alt""")
 define("A18_unphase", "w long, pos long, gt string", "SELECT w, pos, replace(CASE tstate WHEN 1 THEN '0|1' ELSE '1|0' END, CASE tstate WHEN 1 THEN '0|1' ELSE '1|0' END, '0/1') AS gt FROM {truth}")
 define("A19_bootstrap_priors", "w long, pos long, n long, bias double", """
-SELECT s.w, s.pos, count(p.hap) AS n, coalesce(2.0 * avg(CASE WHEN p.allele > 0 THEN 1.0 ELSE 0.0 END) - 1.0, 0.0) AS bias FROM {sites} s LEFT JOIN {smallpanel} p ON p.k = s.i AND s.i % 3 <> 0 GROUP BY s.w, s.pos""")
+SELECT s.w, s.pos, count(p.hap) AS n, coalesce(2.0 * avg(CASE WHEN p.allele > 0 THEN 1.0 ELSE 0.0 END) - 1.0, 0.0) AS bias FROM {sites} s LEFT JOIN {psites} v ON v.pos = s.pos LEFT JOIN {panel} p ON p.k = v.k GROUP BY s.w, s.pos""")
 define("A20_bed_clip", "s long, e long", "SELECT s, e FROM (SELECT greatest(s, :lo) AS s, least(e, :hi) AS e FROM {bed}) AS x WHERE s < e", lo=1500, hi=8000)
 define("A22_manifest_select", "w long, label string, state string", "SELECT w, label, CASE WHEN label NOT LIKE '%phase7a' THEN 'bad_path' WHEN reads = 0 THEN 'no_reads' WHEN e <= s THEN 'empty' ELSE 'ok' END AS state FROM {manifest} WHERE chrom = :chrom", chrom="chr20")
 
@@ -40,7 +40,7 @@ define("B3_penalty", "idx long, penalty double, eff_baseq long, flags string", "
 SELECT idx, penalty, greatest(1, CASE WHEN x - floor(x) = 0.5 THEN 2 * round(x / 2.0) ELSE floor(x + 0.5) END) AS eff_baseq, flags FROM (SELECT *, baseq * penalty AS x FROM (SELECT idx, baseq,
 (CASE WHEN near THEN 0.65 ELSE 1.0 END) * (CASE WHEN clip THEN 0.5 ELSE 1.0 END) * (CASE WHEN nm THEN 0.8 ELSE 1.0 END) * (CASE WHEN dense THEN 0.8 ELSE 1.0 END) AS penalty,
 concat_ws(',', CASE WHEN near THEN 'near_end' END, CASE WHEN clip THEN 'softclip' END, CASE WHEN nm THEN 'high_nm' END, CASE WHEN dense THEN 'dense' END) AS flags
-FROM (SELECT idx, baseq, idx % 5 = 0 AS near, idx % 7 = 0 AS clip, idx % 11 >= 5 AS nm, idx % 3 = 0 AS dense FROM {obs}) AS f) AS g) AS h""")
+FROM (SELECT idx, baseq, near_end = 1 AS near, softclip = 1 AS clip, high_nm = 1 AS nm, dense = 1 AS dense FROM {obs}) AS f) AS g) AS h""")
 define("B4_context_score", "w long, read_id long, pos long, compared long, delta double, confidence double, ambiguous int", """
 SELECT w, read_id, pos, compared, alt - ref AS delta, CASE WHEN alt + ref = 0 THEN 0.0 ELSE abs(alt - ref) / (abs(alt) + abs(ref)) END AS confidence, CASE WHEN compared < 3 OR abs(alt - ref) < 0.20 THEN 1 ELSE 0 END AS ambiguous FROM (
 SELECT a.w, a.read_id, a.pos, count(*) AS compared, sum(CASE WHEN b.allele > 0 THEN wt ELSE -0.35 * wt END) AS alt, sum(CASE WHEN b.allele < 0 THEN wt ELSE -0.35 * wt END) AS ref
@@ -52,7 +52,7 @@ define("B7_nonzero_mask", "w long, pos long, state int", "SELECT a.w, a.pos, CAS
 define("B8_obs_at_calls", "idx long", "SELECT idx FROM {obs} o WHERE EXISTS (SELECT 1 FROM {calls2} c WHERE o.w = c.w AND o.pos = c.pos)")
 define("B9_priors_at_positions", "w long, pos long, n long", "SELECT w, pos, count(*) AS n FROM {obs} o WHERE EXISTS (SELECT 1 FROM {calls2} c WHERE c.w = o.w AND c.pos = o.pos) GROUP BY w, pos")
 define("B10_common_scaffold", "w long, pos long, af double", """
-SELECT s.w, s.pos, p.af FROM {sites} s JOIN (SELECT k, avg(CASE WHEN allele > 0 THEN 1.0 ELSE 0.0 END) AS af FROM {panel} GROUP BY k) p ON s.i = p.k WHERE p.af BETWEEN :min_af AND :max_af""", min_af=0.45, max_af=0.55)
+SELECT s.w, s.pos, p.af FROM {sites} s JOIN {psites} v ON v.pos = s.pos JOIN (SELECT k, avg(CASE WHEN allele > 0 THEN 1.0 ELSE 0.0 END) AS af FROM {panel} GROUP BY k) p ON v.k = p.k WHERE p.af BETWEEN :min_af AND :max_af""", min_af=0.45, max_af=0.55)
 define("B11_panel_conformity", "w long, status string, n long", """
 SELECT w, status, count(*) AS n FROM (SELECT coalesce(s.w, t.w) AS w, CASE WHEN t.pos IS NULL THEN 'target_only' WHEN s.pos IS NULL THEN 'panel_only' WHEN s.ref = t.ref AND s.alt = t.alt THEN 'match' ELSE 'mismatch' END AS status
 FROM {sites} s FULL OUTER JOIN {truth} t ON s.w = t.w AND s.pos = t.pos) AS x GROUP BY w, status""")
@@ -68,6 +68,6 @@ SELECT c.w, c.pos, CASE WHEN c.state = 0 AND f.pos IS NOT NULL THEN f.pred ELSE
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY prob DESC, block_id) AS rn FROM {fills} WHERE prob >= :threshold) AS x WHERE rn = 1) f ON c.w = f.w AND c.pos = f.pos""", threshold=0.6)
 define("B16_guard_sweep", "cfg string, w long, n long", """
 SELECT cfg, w, count(*) AS n FROM {obsedges} CROSS JOIN (VALUES ('loose', 1, 0.5), ('mid', 2, 0.7), ('strict', 3, 0.9)) AS t(cfg, reads, conf) WHERE plus + minus >= reads AND greatest(pw, mw) / (pw + mw) >= conf GROUP BY cfg, w""")
-define("B17_split_assignment", "w long, split string", "SELECT w, CASE WHEN w % 5 = 0 THEN 'holdout' WHEN reads >= :reads AND snps >= :snps AND e > s THEN 'train' ELSE 'skip' END AS split FROM {manifest}", reads=40, snps=60)
+define("B17_split_assignment", "w long, split string", "SELECT m.w, CASE WHEN h.w IS NOT NULL THEN 'holdout' WHEN reads >= :reads AND snps >= :snps AND e > s THEN 'train' ELSE 'skip' END AS split FROM {manifest} m LEFT JOIN {holdout} h ON h.w = m.w", reads=40, snps=60)
 # The suffixes of window labels that tell replicate depths apart.
 define("B18_physical_group", "w long, grp string", "SELECT w, replace(replace(replace(label, '_illumina30x_phase7a', ''), '_illumina35x_phase7a', ''), '_phase7a', '') AS grp FROM {manifest}")

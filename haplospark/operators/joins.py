@@ -14,8 +14,8 @@ JOIN (SELECT w, pos, block_id, state, IDIV(pos|:width) AS bucket FROM {calls} WH
 define("C1_truth_match", "w long, pos long, state int, tstate int, at_position int", """
 SELECT c.w, c.pos, c.state, t.tstate, CASE WHEN t.pos IS NULL AND p.pos IS NOT NULL THEN 1 ELSE 0 END AS at_position FROM {calls} c JOIN {sites} s ON c.w = s.w AND c.pos = s.pos
 LEFT JOIN {truth} t ON t.w = s.w AND t.pos = s.pos AND t.ref = s.ref AND t.alt = s.alt LEFT JOIN (SELECT DISTINCT w, pos FROM {truth}) p ON p.w = s.w AND p.pos = s.pos""")
-define("C2_in_interval", "w long, pos long", "SELECT DISTINCT s.w, s.pos FROM {sites} s JOIN (SELECT s, e, IDIV(s|1000) + d AS bucket FROM {bed} CROSS JOIN (VALUES (0), (1)) AS n(d)) b ON IDIV(s.pos - 1|1000) = b.bucket AND b.s <= s.pos - 1 AND s.pos - 1 < b.e")
-define("C3_position_to_block", "w long, pos long, block_id string", "SELECT s.w, s.pos, b.block_id FROM {sites} s JOIN {blocks} b ON s.w = b.w AND s.pos BETWEEN b.s AND b.e")
+define("C2_in_interval", "w long, pos long", "SELECT DISTINCT s.w, s.pos FROM {sites} s JOIN (SELECT s, e, SERIES[IDIV(s|1000)|IDIV(e|1000)] AS bucket FROM {bed}) b ON IDIV(s.pos - 1|1000) = b.bucket AND b.s <= s.pos - 1 AND s.pos - 1 < b.e")
+define("C3_position_to_block", "w long, pos long, block_id string", "SELECT s.w, s.pos, b.block_id FROM (SELECT *, IDIV(pos|:width) AS bucket FROM {sites}) s JOIN (SELECT *, SERIES[IDIV(s|:width)|IDIV(e|:width)] AS bucket FROM {blocks}) b ON s.w = b.w AND s.bucket = b.bucket AND s.pos BETWEEN b.s AND b.e", width=1000)
 define("C4_nearest_each_side", "w long, pos long, side string, rn int, apos long, astate int, dist long", _NEAR.replace("EXTRA", ""), width=500, k=4)
 define("C5_nearest_same_block", "w long, pos long, side string, rn int, apos long, astate int, dist long", _NEAR.replace("EXTRA", "AND a.block_id = t.block_id"), width=2000, k=4)
 _CM = """(SELECT c.w, c.pos, c.block_id, c.state, m.cm + (m.ncm - m.cm) * (c.pos - m.bp) / (m.nbp - m.bp) AS cm FROM {calls} c
@@ -37,11 +37,11 @@ define("C9_set_difference", "w long, side string, n long", """
 SELECT w, side, count(*) AS n FROM (SELECT coalesce(a.w, b.w) AS w, CASE WHEN b.pos IS NULL THEN 'only_a' WHEN a.pos IS NULL THEN 'only_b' ELSE 'both' END AS side FROM (SELECT w, pos FROM {calls} WHERE state <> 0) a
 FULL OUTER JOIN (SELECT w, pos FROM {calls2} WHERE state <> 0) b ON a.w = b.w AND a.pos = b.pos) AS x GROUP BY w, side""")
 define("C10_read_pairs", "w long, a long, b long, n long, agree long", "SELECT x.w, x.pos AS a, y.pos AS b, count(*) AS n, sum(CASE WHEN x.allele = y.allele THEN 1 ELSE 0 END) AS agree FROM {frags} x JOIN {frags} y ON x.w = y.w AND x.read_id = y.read_id AND x.pos < y.pos GROUP BY x.w, x.pos, y.pos")
-define("C11_panel_sample_pairs", "a long, b long, shared long", "SELECT x.k AS a, y.k AS b, count(*) AS shared FROM {smallpanel} x JOIN {smallpanel} y ON x.donor = y.donor AND x.hap_id = y.hap_id AND x.k < y.k AND x.allele = y.allele GROUP BY x.k, y.k HAVING count(*) >= :least", least=25)
+define("C11_panel_sample_pairs", "a long, b long, shared long", "SELECT x.k AS a, y.k AS b, count(*) AS shared FROM {panel} x JOIN {panel} y ON x.donor = y.donor AND x.hap_id = y.hap_id AND x.k < y.k AND x.allele = y.allele GROUP BY x.k, y.k HAVING count(*) >= :least", least=25)
 define("C12_feature_merge", "w long, qid string, cand string, score double, prior double, support long", """
 SELECT q.w, q.qid, q.cand, q.score, coalesce(p.bias, 0.0) AS prior, coalesce(o.n, 0) AS support FROM {scores} q LEFT JOIN (SELECT w, pos, avg(allele) AS bias FROM {obs} WHERE allele <> 0 GROUP BY w, pos) p ON p.w = q.w AND p.pos = q.pos
 LEFT JOIN (SELECT w, pos, allele, count(*) AS n FROM {obs} GROUP BY w, pos, allele) o ON o.w = q.w AND o.pos = q.pos AND o.allele = q.cstate""")
-define("C13_hap_lookup", "w long, pos long, hap long, allele int", "SELECT s.w, s.pos, p.hap, p.allele FROM {sites} s JOIN {panel} p ON p.donor = s.w % 20 AND p.hap_id = s.i % 2 AND p.k = s.i")
+define("C13_hap_lookup", "w long, pos long, hap long, allele int", "SELECT q.w, q.pos, p.hap, p.allele FROM {lookups} q JOIN {psites} v ON v.pos = q.pos JOIN {panel} p ON p.donor = q.donor AND p.hap_id = q.hap_id AND p.k = v.k")
 _PAIRS = """SELECT a.w, a.block_id AS a, b.block_id AS b, b.s - a.e AS gap, b.r - a.r AS step FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY s, e) AS r FROM {blocks}) a
 JOIN (SELECT *, row_number() OVER (PARTITION BY w ORDER BY s, e) AS r FROM {blocks}) b ON a.w = b.w AND b.r BETWEEN a.r + 1 AND a.r + :ahead WHERE b.s - a.e BETWEEN 0 AND :max_gap"""
 define("C14_next_blocks", "w long, a string, b string, gap long, step long", _PAIRS, ahead=3, max_gap=1500)

@@ -8,9 +8,9 @@ define("I4_decision_ladder", "w long, pos long, state int, conf double, source s
 SELECT w, pos, CASE WHEN source = 'forced_abstain' THEN 0 WHEN source IN ('donor_only') THEN ds ELSE rs END AS state, CASE source WHEN 'forced_abstain' THEN 0.0 WHEN 'conflict' THEN least(0.30, rc * 0.35) WHEN 'donor_only' THEN least(0.49, dc) WHEN 'weak_read' THEN least(0.70, rc * 0.75 + 0.15 * dc) ELSE least(1.0, rc + 0.08 * dc) END AS conf, source FROM (
 SELECT *, CASE WHEN rs = 0 AND ds = 0 THEN 'forced_abstain' WHEN rs = 0 THEN 'donor_only' WHEN ds = -rs AND dc >= 0.5 THEN 'conflict' WHEN rc < 0.5 THEN 'weak_read' ELSE 'read' END AS source FROM (SELECT r.w, r.pos, CASE WHEN round(r.rc, 9) = 0 THEN 0 ELSE r.rs END AS rs, r.rc, d.state AS ds, d.conf AS dc FROM {_READ} AS r JOIN ({COMBINE}) d ON d.w = r.w AND d.pos = r.pos) AS x) AS y""")
 define("I5_two_pass", "w long, pos long, first int, second int", """
-SELECT c.w, c.pos, c.state AS first, CASE WHEN s.v > 0 THEN 1 WHEN s.v < 0 THEN -1 ELSE c.state END AS second FROM {calls} c LEFT JOIN (SELECT r.w, k, sum(p.allele * r.raw) AS v FROM (SELECT * FROM (SELECT w, hap, raw, row_number() OVER (PARTITION BY w ORDER BY raw DESC, hap) AS rn FROM (SELECT c.w, p.hap, sum(p.allele * c.state) AS raw FROM {calls} c JOIN {smallpanel} p ON p.k = IDIV(c.pos - 1000|100) GROUP BY c.w, p.hap) AS d) AS e WHERE rn <= :top) r
-JOIN {smallpanel} p ON p.hap = r.hap GROUP BY r.w, k) s ON s.w = c.w AND s.k = IDIV(c.pos - 1000|100)""", top=8)
-define("I8_window_donor_support", "w long, win long, support long, oppose long", "SELECT c.w, IDIV(c.pos|1000) AS win, sum(CASE WHEN p.allele = c.state THEN 1 ELSE 0 END) AS support, sum(CASE WHEN p.allele = -c.state THEN 1 ELSE 0 END) AS oppose FROM {calls} c JOIN {smallpanel} p ON p.k = IDIV(c.pos - 1000|100) WHERE c.state <> 0 GROUP BY c.w, IDIV(c.pos|1000)")
+SELECT c.w, c.pos, c.state AS first, CASE WHEN s.v > 0 THEN 1 WHEN s.v < 0 THEN -1 ELSE c.state END AS second FROM {calls} c LEFT JOIN {psites} vc ON vc.pos = c.pos LEFT JOIN (SELECT r.w, k, sum(p.allele * r.raw) AS v FROM (SELECT * FROM (SELECT w, hap, raw, row_number() OVER (PARTITION BY w ORDER BY raw DESC, hap) AS rn FROM (SELECT c.w, p.hap, sum(p.allele * c.state) AS raw FROM {calls} c JOIN {psites} vp ON vp.pos = c.pos JOIN {panel} p ON p.k = vp.k GROUP BY c.w, p.hap) AS d) AS e WHERE rn <= :top) r
+JOIN {panel} p ON p.hap = r.hap GROUP BY r.w, k) s ON s.w = c.w AND s.k = vc.k""", top=8)
+define("I8_window_donor_support", "w long, win long, support long, oppose long", "SELECT c.w, IDIV(c.pos|1000) AS win, sum(CASE WHEN p.allele = c.state THEN 1 ELSE 0 END) AS support, sum(CASE WHEN p.allele = -c.state THEN 1 ELSE 0 END) AS oppose FROM {calls} c JOIN {psites} vp ON vp.pos = c.pos JOIN {panel} p ON p.k = vp.k WHERE c.state <> 0 GROUP BY c.w, IDIV(c.pos|1000)")
 define("I11_informative_base_score", "w long, read_id long, n long, score double", "SELECT w, read_id, count(*) AS n, count(*) * count(*) + 0.002 * (max(pos) - min(pos)) + 2.0 * (count(*) - 1) + 0.5 * sum(coalesce(w2, 0.5)) * 0.5 - 0.5 * sum(amb) AS score FROM {obs} WHERE allele <> 0 GROUP BY w, read_id")
 EVIDENCE = f"""SELECT w, block_id AS a, nb AS b, least(informative, ninf) AS inf, rel, 0.5 * (1.0 - rel) + sqrt(abs(bias) * abs(nbias)) * CASE WHEN bias * nbias > 0 THEN 1.0 ELSE 0.0 END AS same, 0.5 * (1.0 - rel) + sqrt(abs(bias) * abs(nbias)) * CASE WHEN bias * nbias < 0 THEN 1.0 ELSE 0.0 END AS flip FROM (
 SELECT *, 0.22 * least(1.0, informative / 8.0) + 0.18 * mean_conf + 0.16 * coherence + 0.16 * least(1.0, ninf / 8.0) + 0.18 * nconf + 0.10 * ncoh AS rel FROM (SELECT *, lead(block_id) OVER (PARTITION BY w ORDER BY s) AS nb, lead(informative) OVER (PARTITION BY w ORDER BY s) AS ninf, lead(mean_conf) OVER (PARTITION BY w ORDER BY s) AS nconf,
@@ -18,10 +18,11 @@ lead(coherence) OVER (PARTITION BY w ORDER BY s) AS ncoh, lead(bias) OVER (PARTI
 define("I12_boundary_evidence", "w long, a string, b string, rel double, same double, flip double", EVIDENCE)
 DECIDE = f"SELECT w, a, b, CASE WHEN inf < :min_inf THEN 'Abstain' WHEN round(greatest(same, flip), 9) < :min_conf THEN 'Abstain' WHEN round(same - flip, 9) >= 0 THEN 'Join' ELSE 'Abstain' END AS decision, CASE WHEN inf < :min_inf THEN 'insufficient_sites' WHEN round(greatest(same, flip), 9) < :min_conf THEN 'low_confidence' WHEN round(same - flip, 9) >= 0 THEN 'same' ELSE 'flip_suppressed' END AS reason FROM ({EVIDENCE}) AS ev"
 define("I13_boundary_decision", "w long, a string, b string, decision string, reason string", DECIDE, min_inf=2, min_conf=0.4)
-STITCH = """SELECT w, block_id, s, seg, CASE WHEN sum(flip) OVER (PARTITION BY w, seg ORDER BY s) % 2 = 1 THEN -1 ELSE 1 END AS orientation FROM (SELECT w, block_id, s, CASE WHEN decision = 'Flip' THEN 1 ELSE 0 END AS flip, sum(CASE WHEN decision IS NULL OR decision = 'Abstain' THEN 1 ELSE 0 END) OVER (PARTITION BY w ORDER BY s) AS seg
-FROM (SELECT w, block_id, s, CASE WHEN lag(block_id) OVER (PARTITION BY w ORDER BY s) IS NULL THEN NULL WHEN (s + w) % 5 = 0 THEN 'Abstain' WHEN (s + w) % 3 = 0 THEN 'Flip' ELSE 'Join' END AS decision FROM {blocks}) AS x) AS y"""
-define("I14_stitch", "w long, block_id string, seg long, orientation int", STITCH)
-define("I15_project", "w long, pos long, local int, stitched int, conf double, block_id string", f"SELECT c.w, c.pos, c.state AS local, CASE WHEN s.block_id IS NULL THEN 0 ELSE c.state * s.orientation END AS stitched, CASE WHEN s.block_id IS NULL THEN 0.0 ELSE c.conf END AS conf, coalesce(s.block_id, 'unassigned') AS block_id FROM {{calls}} c LEFT JOIN {{blocks}} b ON b.w = c.w AND c.pos BETWEEN b.s AND b.e LEFT JOIN ({STITCH}) s ON s.w = b.w AND s.block_id = b.block_id")
+#: A block follows its predecessor's orientation by the decision at their boundary; without one, or an abstention, it starts anew.
+STITCH = """SELECT w, block_id, s, e, seg, CASE WHEN sum(flip) OVER (PARTITION BY w, seg ORDER BY s) % 2 = 1 THEN -1 ELSE 1 END AS orientation, source FROM (SELECT w, block_id, s, e, CASE WHEN decision = 'Flip' THEN 1 ELSE 0 END AS flip, sum(CASE WHEN decision IN ('Join', 'Keep', 'Flip') THEN 0 ELSE 1 END) OVER (PARTITION BY w ORDER BY s) AS seg,
+CASE WHEN prev IS NULL THEN 'seed' WHEN decision IN ('Join', 'Keep') THEN 'join' WHEN decision = 'Flip' THEN 'flip' ELSE 'reseed_after_abstain' END AS source FROM (SELECT x.w, x.block_id, x.s, x.e, x.prev, d.decision FROM (SELECT *, lag(block_id) OVER (PARTITION BY w ORDER BY s) AS prev FROM {blocks}) AS x LEFT JOIN {decisions} d ON d.w = x.w AND d.a = x.prev AND d.b = x.block_id) AS y) AS z"""
+define("I14_stitch", "w long, block_id string, seg long, orientation int, source string", STITCH)
+define("I15_project", "w long, pos long, local int, stitched int, conf double, block_id string", f"SELECT c.w, c.pos, c.state AS local, CASE WHEN s.block_id IS NULL THEN 0 ELSE c.state * s.orientation END AS stitched, CASE WHEN s.block_id IS NULL THEN 0.0 ELSE c.conf END AS conf, coalesce(s.block_id, 'unassigned') AS block_id FROM (SELECT *, IDIV(pos|:width) AS bucket FROM {{calls}}) c LEFT JOIN (SELECT *, SERIES[IDIV(s|:width)|IDIV(e|:width)] AS bucket FROM ({STITCH}) AS st) s ON s.w = c.w AND s.bucket = c.bucket AND c.pos BETWEEN s.s AND s.e", width=1000)
 define("I19_site_confidence", "w long, pos long, support double, conflict double, conf double", """
 SELECT w, pos, support, conflict, CASE WHEN support + conflict > 0 THEN support / (support + conflict) ELSE 0.0 END AS conf FROM (SELECT f.w, f.pos, sum(CASE WHEN f.allele * r.o = c.state THEN f.weight ELSE 0.0 END) AS support, sum(CASE WHEN f.allele * r.o = -c.state THEN f.weight ELSE 0.0 END) AS conflict FROM {frags} f JOIN {comps} c ON c.w = f.w AND c.pos = f.pos
 JOIN (SELECT f.w, f.read_id, CASE WHEN round(sum(f.weight * f.allele * c.state), 9) >= 0 THEN 1 ELSE -1 END AS o FROM {frags} f JOIN {comps} c ON c.w = f.w AND c.pos = f.pos GROUP BY f.w, f.read_id) r ON r.w = f.w AND r.read_id = f.read_id GROUP BY f.w, f.pos) AS x""")
@@ -34,18 +35,18 @@ SELECT c.w, c.pos, CASE WHEN action = 'flip' THEN -c.state ELSE c.state END AS s
 define("I34a_bridge_candidates", "w long, a long, b long, prob double, gain long, rn int", """
 SELECT w, a, b, prob, gain, row_number() OVER (PARTITION BY w ORDER BY prob DESC, gain DESC, a, b) AS rn FROM (SELECT e.w, e.a, e.b, round(greatest(e.pw, e.mw) / (e.pw + e.mw), 6) AS prob, least(x.span, y.span) AS gain FROM {obsedges} e JOIN (SELECT w, comp, max(pos) - min(pos) + 100 AS span FROM {comps} GROUP BY w, comp) x ON x.w = e.w AND x.comp = e.a JOIN (SELECT w, comp, max(pos) - min(pos) + 100 AS span FROM {comps} GROUP BY w, comp) y ON y.w = e.w AND y.comp = e.b) AS z WHERE prob >= :prob AND gain >= :gain""", prob=0.6, gain=200)
 define("I36_neighbour_retrieval", "w long, seed long, hap long, dist long", """
-SELECT x.w, x.hap AS seed, y.hap, abs(y.rk - x.rk) AS dist FROM (SELECT w, hap, row_number() OVER (PARTITION BY w ORDER BY key, hap) AS rk FROM KEYS) x JOIN (SELECT w, hap, row_number() OVER (PARTITION BY w ORDER BY key, hap) AS rk FROM KEYS) y ON x.w = y.w AND y.rk BETWEEN x.rk - :radius AND x.rk + :radius AND x.hap <> y.hap WHERE x.hap < 6""".replace("KEYS", "(SELECT v.w, p.hap, LAGG(CASE WHEN p.allele > 0 THEN 1 ELSE 0 END|v.pos DESC) AS key FROM (SELECT w, pos, i FROM {sites} WHERE i < 12) v JOIN {smallpanel} p ON p.k = v.i GROUP BY v.w, p.hap)"), radius=4)
+SELECT x.w, x.hap AS seed, y.hap, abs(y.rk - x.rk) AS dist FROM (SELECT w, hap, row_number() OVER (PARTITION BY w ORDER BY key, hap) AS rk FROM KEYS) x JOIN (SELECT w, hap, row_number() OVER (PARTITION BY w ORDER BY key, hap) AS rk FROM KEYS) y ON x.w = y.w AND y.rk BETWEEN x.rk - :radius AND x.rk + :radius AND x.hap <> y.hap JOIN {seeds} d ON d.w = x.w AND d.hap = x.hap""".replace("KEYS", "(SELECT v.w, p.hap, LAGG(CASE WHEN p.allele > 0 THEN 1 ELSE 0 END|v.pos DESC) AS key FROM (SELECT w, pos FROM {sites} WHERE pos BETWEEN :lo AND :hi) v JOIN {psites} vp ON vp.pos = v.pos JOIN {panel} p ON p.k = vp.k GROUP BY v.w, p.hap)"), radius=4, lo=1000, hi=2199)
 define("I37_path_match", "w long, hap long, score double, left_run long, right_run long, total double", """
 SELECT w, hap, score, left_run, right_run, score + 0.75 * (left_run + right_run) + 0.10 * matched AS total FROM (SELECT w, hap, sum(CASE WHEN ok THEN wt ELSE -0.25 * wt END) AS score, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS matched, coalesce(min(CASE WHEN NOT ok AND d < 0 THEN lr END) - 1, max(CASE WHEN d < 0 THEN lr END), 0) AS left_run, coalesce(min(CASE WHEN NOT ok AND d >= 0 THEN rr END) - 1, max(CASE WHEN d >= 0 THEN rr END), 0) AS right_run FROM (
-SELECT c.w, p.hap, c.pos - 2500 AS d, p.allele = c.state AS ok, 1.0 / (1.0 + abs(c.pos - 2500) / 1000.0) AS wt, row_number() OVER (PARTITION BY c.w, p.hap, c.pos < 2500 ORDER BY c.pos DESC) AS lr, row_number() OVER (PARTITION BY c.w, p.hap, c.pos < 2500 ORDER BY c.pos) AS rr FROM {calls} c JOIN {smallpanel} p ON p.k = IDIV(c.pos - 1000|100) WHERE c.state <> 0) AS x GROUP BY w, hap) AS y""")
+SELECT c.w, p.hap, c.pos - g.centre AS d, p.allele = c.state AS ok, 1.0 / (1.0 + abs(c.pos - g.centre) / 1000.0) AS wt, row_number() OVER (PARTITION BY c.w, p.hap, c.pos < g.centre ORDER BY c.pos DESC) AS lr, row_number() OVER (PARTITION BY c.w, p.hap, c.pos < g.centre ORDER BY c.pos) AS rr FROM {calls} c JOIN {centres} g ON g.w = c.w JOIN {psites} vp ON vp.pos = c.pos JOIN {panel} p ON p.k = vp.k WHERE c.state <> 0) AS x GROUP BY w, hap) AS y""")
 define("I39_block_prediction", "w long, pos long, plus double, minus double, pred int, donors long", """
 SELECT w, pos, plus, minus, CASE WHEN plus >= minus THEN 1 ELSE -1 END AS pred, donors FROM (SELECT f.w, f.pos, sum(CASE WHEN t.allele > 0 THEN d.m ELSE 0 END) AS plus, sum(CASE WHEN t.allele < 0 THEN d.m ELSE 0 END) AS minus, count(*) AS donors FROM {fills} f JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY m DESC, hap) AS rn FROM (
-SELECT c.w, p.hap, sum(CASE WHEN p.allele = c.state THEN 1 ELSE 0 END) AS m FROM {calls} c JOIN {smallpanel} p ON p.k = IDIV(c.pos - 1000|100) WHERE c.state <> 0 GROUP BY c.w, p.hap) AS q) AS r WHERE rn <= :top) d ON d.w = f.w JOIN {smallpanel} t ON t.hap = d.hap AND t.k = IDIV(f.pos - 1000|100) GROUP BY f.w, f.pos) AS x""", top=16)
-define("I40_fill_candidates", "w long, pos long, block_id string, anchors long", "SELECT f.w, f.pos, c.block_id, count(*) AS anchors FROM {fills} f JOIN {calls} c ON c.w = f.w AND c.pos BETWEEN f.pos - :width AND f.pos + :width AND c.pos <> f.pos AND c.state <> 0 GROUP BY f.w, f.pos, c.block_id HAVING count(*) >= 2", width=500)
-define("I43_mode_merge", "w long, pos long, pred int, source string", "SELECT w, pos, pred, source FROM (SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY pri, prob DESC, block_id) AS rn FROM (SELECT w, pos, block_id, pred, prob, 'pbwt' AS source, 2 AS pri FROM {fills} WHERE prob >= 0.3 UNION ALL SELECT w, pos, block_id, -pred AS pred, prob, 'hmm' AS source, 1 AS pri FROM {fills} WHERE prob >= 0.7) AS u) AS x WHERE rn = 1")
+SELECT c.w, p.hap, sum(CASE WHEN p.allele = c.state THEN 1 ELSE 0 END) AS m FROM {calls} c JOIN {psites} vp ON vp.pos = c.pos JOIN {panel} p ON p.k = vp.k WHERE c.state <> 0 GROUP BY c.w, p.hap) AS q) AS r WHERE rn <= :top) d ON d.w = f.w JOIN {psites} vt ON vt.pos = f.pos JOIN {panel} t ON t.hap = d.hap AND t.k = vt.k GROUP BY f.w, f.pos) AS x""", top=16)
+define("I40_fill_candidates", "w long, pos long, block_id string, anchors long", "SELECT f.w, f.pos, c.block_id, count(*) AS anchors FROM (SELECT *, IDIV(pos|:width) + d AS bucket FROM {fills} CROSS JOIN (VALUES (-1), (0), (1)) AS n(d)) f JOIN (SELECT *, IDIV(pos|:width) AS bucket FROM {calls} WHERE state <> 0) c ON c.w = f.w AND c.bucket = f.bucket AND abs(c.pos - f.pos) <= :width AND c.pos <> f.pos GROUP BY f.w, f.pos, c.block_id HAVING count(*) >= 2", width=500)
+define("I43_mode_merge", "w long, pos long, pred int, source string", "SELECT w, pos, pred, source FROM (SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY pri, prob DESC, block_id) AS rn FROM (SELECT w, pos, block_id, pred, prob, 'pbwt' AS source, 2 AS pri FROM {fills} WHERE prob >= :pbwt UNION ALL SELECT w, pos, block_id, pred, prob, 'hmm' AS source, 1 AS pri FROM {hmmfills} WHERE prob >= :hmm) AS u) AS x WHERE rn = 1", hmm=0.7, pbwt=0.3)
 _SCAF = """SELECT w, a, b, gap, donors, same, flip, CASE WHEN donors < :donors THEN 'few_donors' WHEN gap > :max_gap THEN 'gap' WHEN greatest(same, flip) / (same + flip + 0.000001) < :conf THEN 'low_confidence' WHEN abs(same - flip) < :margin THEN 'low_margin' WHEN same >= flip THEN 'same' ELSE 'flip' END AS reason FROM (
 SELECT p.w, p.a, p.b, p.s, max(p.gap) AS gap, count(*) AS donors, sum(CASE WHEN x.m * y.m > 0 THEN least(abs(x.m), abs(y.m)) ELSE 0 END) AS same, sum(CASE WHEN x.m * y.m < 0 THEN least(abs(x.m), abs(y.m)) ELSE 0 END) AS flip FROM (SELECT w, block_id AS a, s, lead(block_id) OVER (PARTITION BY w ORDER BY s) AS b, lead(s) OVER (PARTITION BY w ORDER BY s) - e AS gap FROM {blocks}) p
-JOIN HB x ON x.w = p.w AND x.block_id = p.a JOIN HB y ON y.w = p.w AND y.block_id = p.b AND y.hap = x.hap GROUP BY p.w, p.a, p.b, p.s) AS z""".replace("HB", "(SELECT c.w, c.block_id, h.hap, sum(h.allele * c.state) AS m FROM {calls} c JOIN {smallpanel} h ON h.k = IDIV(c.pos - 1000|100) WHERE c.state <> 0 GROUP BY c.w, c.block_id, h.hap)")
+JOIN HB x ON x.w = p.w AND x.block_id = p.a JOIN HB y ON y.w = p.w AND y.block_id = p.b AND y.hap = x.hap GROUP BY p.w, p.a, p.b, p.s) AS z""".replace("HB", "(SELECT c.w, c.block_id, h.hap, sum(h.allele * c.state) AS m FROM {calls} c JOIN {psites} vh ON vh.pos = c.pos JOIN {panel} h ON h.k = vh.k WHERE c.state <> 0 GROUP BY c.w, c.block_id, h.hap)")
 _SP = dict(donors=32, max_gap=1000, conf=0.55, margin=4)
 define("I44_panel_scaffold", "w long, a string, b string, gap long, donors long, same long, flip long, reason string", _SCAF, **_SP)
 define("I45_scaffold_assignment", "w long, block_id string, scaffold long, orientation int", f"""

@@ -1,7 +1,8 @@
-"""Combinatorial, sequence and order-dependent operators: one Arrow-backed call per window.
+"""Combinatorial, sequence and order-dependent operators: one Arrow-backed call per window or component.
 
 A window is a few megabases, so its rows are bounded by the panel and the depth,
-not by the genome or the cohort; windows run in parallel.  Each function takes
+not by the genome or the cohort; windows run in parallel, and what can be solved
+by component is dealt by (window, component).  Each function takes
 and returns pandas frames and knows nothing of Spark.
 """
 
@@ -57,19 +58,23 @@ class SignedSets:
         return True
 
 
-def components(frags: pd.DataFrame) -> pd.DataFrame:
-    """Connected components of sites that fragments link, numbered by (first, last) position."""
+def links(frags: pd.DataFrame) -> pd.DataFrame:
+    """Distinct (w, a, b): the first site of a read and each of its sites."""
+    return pd.DataFrame({"w": frags["w"], "a": frags.groupby("read_id")["pos"].transform("min"), "b": frags["pos"]}).drop_duplicates()
+
+
+def components(linked: pd.DataFrame) -> pd.DataFrame:
+    """Connected components of sites that links (w, a, b) join, numbered by (first, last) position."""
     sets = SignedSets()
-    for _, g in frags.groupby("read_id"):
-        pos = g["pos"].tolist()
-        sets.find(pos[0])
-        for p in pos[1:]:
-            sets.union(pos[0], p, 1)
+    for a, b in zip(linked["a"].tolist(), linked["b"].tolist()):
+        sets.find(a)
+        if a != b:
+            sets.union(a, b, 1)
     groups: dict = {}
-    for p in sorted(frags["pos"].unique().tolist()):
+    for p in sorted({*linked["a"].tolist(), *linked["b"].tolist()}):
         groups.setdefault(sets.find(p)[0], []).append(p)
     order = sorted(groups.values(), key=lambda g: (g[0], g[-1]))
-    w = frags["w"].iloc[0]
+    w = linked["w"].iloc[0]
     return pd.DataFrame([(w, p, i) for i, g in enumerate(order) for p in g], columns=["w", "pos", "comp"])
 
 
@@ -120,14 +125,16 @@ def solve_exact(m: np.ndarray) -> tuple[np.ndarray, float, float]:
 
 
 def refine(m: np.ndarray, x: np.ndarray, sweeps: int = 5) -> np.ndarray:
+    """Flip single sites while it helps; a flip changes the agreement of the fragments at the site only."""
     x = x.copy()
+    agree = m @ x
+    at = [np.flatnonzero(m[:, k]) for k in range(len(x))]
     for _ in range(sweeps):
         moved = False
-        for k in range(len(x)):
-            y = x.copy()
-            y[k] = -y[k]
-            if (cost(m, y) - cost(m, x))[0] < -1e-9:
-                x, moved = y, True
+        for k, own in enumerate(at):
+            after = agree[own] - 2 * m[own, k] * x[k]
+            if (np.abs(agree[own]) - np.abs(after)).sum() / 2 < -1e-9:
+                agree[own], x[k], moved = after, -x[k], True
         if not moved:
             break
     return x
@@ -153,68 +160,87 @@ def solve_greedy(m: np.ndarray, most: int = 20) -> tuple[np.ndarray, float]:
     return x, float(cost(m, x)[0])
 
 
-def solve_window(frags: pd.DataFrame, exact_sites: int = EXACT_SITES, chunk: int = 256) -> pd.DataFrame:
-    """Components, in chunks of fixed size, solved exactly or greedily; support and conflict of each site."""
-    comp = components(frags)
+def solve_component(frags: pd.DataFrame, exact_sites: int = EXACT_SITES, chunk: int = 256) -> pd.DataFrame:
+    """One component (w, comp), in chunks of fixed size, solved exactly or greedily; support and conflict of each site."""
+    w, c = frags["w"].iloc[0], frags["comp"].iloc[0]
+    number = pd.Series(np.arange(frags["pos"].nunique()), index=np.sort(frags["pos"].unique()))
     rows = []
-    for c, sites in comp.groupby("comp"):
-        pos = sites["pos"].tolist()
-        for at in range(0, len(pos), chunk):
-            own = frags[frags["pos"].isin(pos[at : at + chunk])]
-            own = own[own.groupby("read_id")["pos"].transform("size") >= 2]
-            if own.empty:
-                continue
-            where, m = _matrix(own)
-            if len(where) < 2:
-                continue
-            if len(where) <= exact_sites:
-                x, value, margin = solve_exact(m)
-                solver = "exact"
-            else:
-                x, value = solve_greedy(m)
-                solver, margin = "greedy", None
-            side = np.sign(m @ x)
-            side[side == 0] = 1
-            vote = m * x * side[:, None]
-            for k, p in enumerate(where.tolist()):
-                s, f = float(vote[:, k].clip(0).sum()), float((-vote[:, k]).clip(0).sum())
-                rows.append((frags["w"].iloc[0], p, f"c{c}_{at // chunk}", int(x[k]), solver, round(value, 6), margin, round(s / (s + f), 6) if s + f else 0.0))
+    for at, own in frags.groupby(frags["pos"].map(number) // chunk):
+        own = own[own.groupby("read_id")["pos"].transform("size") >= 2]
+        if own.empty:
+            continue
+        where, m = _matrix(own)
+        if len(where) < 2:
+            continue
+        if len(where) <= exact_sites:
+            x, value, margin = solve_exact(m)
+            solver = "exact"
+        else:
+            x, value = solve_greedy(m)
+            solver, margin = "greedy", None
+        side = np.sign(m @ x)
+        side[side == 0] = 1
+        vote = m * x * side[:, None]
+        for k, p in enumerate(where.tolist()):
+            s, f = float(vote[:, k].clip(0).sum()), float((-vote[:, k]).clip(0).sum())
+            rows.append((w, p, f"c{c}_{at}", int(x[k]), solver, round(value, 6), margin, round(s / (s + f), 6) if s + f else 0.0))
     return pd.DataFrame(rows, columns=["w", "pos", "block_id", "state", "solver", "objective", "margin", "conf"])
 
 
+def solve_window(frags: pd.DataFrame, exact_sites: int = EXACT_SITES, chunk: int = 256) -> pd.DataFrame:
+    """All components of a window."""
+    own = frags.merge(components(links(frags)), on=["w", "pos"])
+    return pd.concat([solve_component(g, exact_sites, chunk) for _, g in own.groupby("comp")], ignore_index=True)
+
+
 SOLVED = "w long, pos long, block_id string, state int, solver string, objective double, margin double, conf double"
 
 
-def solve_with_priors(frags: pd.DataFrame, beam: int = 256, anchor: float = 0.75, switch: float = 0.10, exact_sites: int = EXACT_SITES) -> pd.DataFrame:
-    """Regions of at most 24 sites with site priors and a cost for each switch; exact, or beam search rescored."""
+def solve_with_priors(frags: pd.DataFrame, beam: int = 256, donor: float = 0.05, ranker: float = 0.04, anchor: float = 0.75, switch: float = 0.10, exact_sites: int = EXACT_SITES) -> pd.DataFrame:
+    """Regions of at most 24 sites, exact or by beam search and rescored.
+
+    Beside the error weight a phasing pays, for each site, ``donor`` times its
+    donor bias and ``ranker`` times the ranker's margin where it goes against
+    them, ``anchor`` where an end goes against the phased call next to it (lft of
+    the first site, rgt of the last), and ``switch`` for each change of state.
+    The beam is ordered by these costs alone.
+    """
     w = frags["w"].iloc[0]
     rows = []
+    meta = frags.drop_duplicates("pos").set_index("pos")[["donor_bias", "top_state", "margin", "lft", "rgt"]].fillna(0)
     for piece, g in split_component(frags[["w", "pos"]].drop_duplicates()).groupby("piece"):
         own = frags[frags["pos"].isin(g["pos"])]
         sites, m = _matrix(own)
         if len(sites) < 2:
             continue
-        prior = np.array([((int(p) // 100 * 13) % 21 - 10) / 10 for p in sites])
-
-        def total(x):
-            x = np.atleast_2d(x)
-            return cost(m, x) - anchor * (x @ prior) * 0.1 + switch * (x[:, 1:] != x[:, :-1]).sum(1)
-
-        if len(sites) <= exact_sites:
-            n, solver = len(sites), "exact"
+        prior = meta.loc[sites]
+        against = lambda state, weight, s: weight * (state == -s)
+        pay = {s: against(np.sign(prior["donor_bias"]), donor * prior["donor_bias"].abs().clip(upper=1), s) + against(prior["top_state"], ranker * prior["margin"].clip(0, 2), s) for s in (1, -1)}
+        pay = {s: v.to_numpy() for s, v in pay.items()}
+        ends = {s: (anchor * (prior["lft"].iloc[0] == -s), anchor * (prior["rgt"].iloc[-1] == -s)) for s in (1, -1)}
+
+        def priors(x):
+            out = np.where(x > 0, pay[1], pay[-1]).sum(1) + switch * (x[:, 1:] != x[:, :-1]).sum(1)
+            return out + np.where(x[:, 0] > 0, ends[1][0], ends[-1][0]) + np.where(x[:, -1] > 0, ends[1][1], ends[-1][1])
+
+        n = len(sites)
+        if n <= exact_sites:
+            solver = "exact"
             masks = np.arange(1 << n)
             signs = lambda own: np.where(own[:, None] >> np.arange(n - 1, -1, -1) & 1, -1.0, 1.0)
-            c = np.concatenate([np.round(total(signs(masks[a : a + MASKS])), 9) for a in range(0, len(masks), MASKS)])
+            c = np.concatenate([np.round(cost(m, x := signs(masks[a : a + MASKS])) + priors(x), 9) for a in range(0, len(masks), MASKS)])
             x = signs(np.argsort(c, kind="stable")[:2])
         else:
-            x = np.array([[1.0], [-1.0]])
-            for k in range(1, len(sites)):
-                x = np.concatenate([np.c_[x, np.ones(len(x))], np.c_[x, -np.ones(len(x))]])
-                part = m[:, : k + 1]
-                c = cost(part, x) - anchor * (x @ prior[: k + 1]) * 0.1 + switch * (x[:, 1:] != x[:, :-1]).sum(1)
-                x = x[np.argsort(np.round(c, 9), kind="stable")[:beam]]
             solver = "beam"
-        c = np.round(total(x), 9)
+            x, held = np.zeros((1, 0)), np.zeros(1)
+            for k in range(n):
+                both = np.tile([1.0, -1.0], len(x))
+                held = np.repeat(held, 2) + np.where(both > 0, pay[1][k], pay[-1][k])
+                held += np.where(both > 0, ends[1][0], ends[-1][0]) if not k else switch * (np.repeat(x[:, -1], 2) != both)
+                x = np.c_[np.repeat(x, 2, axis=0), both]
+                best = np.argsort(np.round(held, 9), kind="stable")[:beam]
+                x, held = x[best], held[best]
+        c = np.round(cost(m, x) + priors(x), 9)
         order = np.argsort(c, kind="stable")
         margin = float(c[order[1]] - c[order[0]]) if len(order) > 1 else 999.0
         rows += [(w, int(p), int(piece), int(v), solver, round(margin, 6)) for p, v in zip(sites, x[order[0]])]
@@ -372,10 +398,21 @@ def path_beam(states: pd.DataFrame, beam: int = 8) -> pd.DataFrame:
     return pd.DataFrame([(states["w"].iloc[0], i, h, int(i > 0 and p[i - 1] == h), round(margin, 6)) for i, h in enumerate(p)], columns=["w", "step", "hap", "stay", "margin"])
 
 
+def panel_matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
+    """Positions, haplotypes, alleles (sites x haplotypes: 1, -1, 0 missing) and the rows in order, of rows with an array of alleles; haps is on any one."""
+    rows = rows.sort_values("pos").reset_index(drop=True)
+    haps = np.array(next(h for h in rows["haps"] if h is not None))
+    return rows["pos"].to_numpy(), haps, np.stack(rows["alleles"].tolist()).astype(np.int8), rows
+
+
 def site_viterbi(rows: pd.DataFrame) -> pd.DataFrame:
-    """Site-level path over haplotypes without restarts; rows (w, pos, hap, match)."""
-    table = rows.pivot_table(index="pos", columns="hap", values="match", aggfunc="first").fillna(0).sort_index()
-    emission = np.where(table.to_numpy() > 0, 1.5, -0.5)
+    """Site-level path over haplotypes without restarts, at the sites that have a state."""
+    pos, haps, a, rows = panel_matrix(rows)
+    state = rows["state"].to_numpy()
+    pos, a, state = pos[state != 0], a[state != 0], state[state != 0]
+    if not len(pos):
+        return pd.DataFrame(columns=["w", "pos", "hap"])
+    emission = np.where(a == state[:, None], 1.5, -0.5)
     stay, move = 0.4, -0.2
     score, back = emission[0], []
     for e in emission[1:]:
@@ -389,8 +426,7 @@ def site_viterbi(rows: pd.DataFrame) -> pd.DataFrame:
     for come in reversed(back):
         k = int(come[k])
         path.append(k)
-    haps = table.columns.to_numpy()
-    return pd.DataFrame({"w": rows["w"].iloc[0], "pos": table.index, "hap": haps[path[::-1]]})
+    return pd.DataFrame({"w": rows["w"].iloc[0], "pos": pos, "hap": haps[path[::-1]]})
 
 
 def forward_backward(match: np.ndarray, dcm: np.ndarray, scale: float = 1.0, error: float = 0.01) -> np.ndarray:
@@ -416,16 +452,41 @@ def forward_backward(match: np.ndarray, dcm: np.ndarray, scale: float = 1.0, err
     return p / p.sum(1, keepdims=True)
 
 
-def hmm_predict(rows: pd.DataFrame) -> pd.DataFrame:
-    """Posterior weight of alternate alleles at unphased sites, from paths that copy the phased ones; rows (w, pos, state, hap, allele)."""
-    allele = rows.pivot_table(index="pos", columns="hap", values="allele", aggfunc="first").sort_index()
-    state = rows.groupby("pos")["state"].first().sort_index().to_numpy()
-    a = allele.to_numpy()
-    match = np.where(state[:, None] == 0, np.nan, (a == state[:, None]).astype(float))
-    pos = allele.index.to_numpy()
-    post = forward_backward(match, np.diff(pos, prepend=pos[0]) / 1e3)
-    alt = (post * (a > 0)).sum(1)
-    return pd.DataFrame({"w": rows["w"].iloc[0], "pos": pos, "state": state, "alt": np.round(alt, 6), "pred": np.where(alt >= 0.5, 1, -1)})
+def path_stats(pos: np.ndarray, state: np.ndarray, a: np.ndarray, centre: int, side: int) -> tuple[np.ndarray, ...]:
+    """Of each haplotype against the phased sites, read as they are (side 1) or flipped: score by distance, matches, and unbroken matches to the left and right of the centre."""
+    at = np.flatnonzero(state != 0)
+    ok = a[at] == side * state[at][:, None]
+    wt = 1 / (1 + np.abs(pos[at] - centre) / 1000)
+    score = np.where(a[at] == 0, 0.0, np.where(ok, wt[:, None], -0.25 * wt[:, None])).sum(0)
+    left, right = ok[pos[at] < centre][::-1], ok[pos[at] >= centre]
+    run = lambda x: np.logical_and.accumulate(x, axis=0).sum(0) if len(x) else np.zeros(a.shape[1], int)
+    return np.round(score, 9), ok.sum(0), run(left), run(right)
+
+
+def hmm_predict(rows: pd.DataFrame, donors: int = 32) -> pd.DataFrame:
+    """Chance of the alternate allele at unphased sites.
+
+    The median of these sites is the centre of retrieval.  For each side the
+    ``donors`` best haplotypes copy the phased sites, read as they are (plus) or
+    flipped (minus); the chance is the mean of the plus path's posterior of the
+    alternate and the minus path's posterior of the reference allele, each among
+    donors that have one.
+    """
+    pos, haps, a, rows = panel_matrix(rows)
+    state, cm = rows["state"].to_numpy(), rows["cm"].to_numpy(float)
+    open_ = pos[state == 0]
+    centre = int(open_[len(open_) // 2]) if len(open_) else int(pos[len(pos) // 2])
+    terms = []
+    for side in (1, -1):
+        score = path_stats(pos, state, a, centre, side)[0]
+        own = a[:, np.lexsort((haps, -score))[:donors]]
+        match = np.where((state[:, None] == 0) | (own == 0), np.nan, (own == side * state[:, None]).astype(float))
+        post = forward_backward(match, np.abs(np.diff(cm, prepend=cm[0])))
+        whole = (post * (own != 0)).sum(1)
+        terms.append(np.where(whole > 0, (post * (own == side)).sum(1) / np.where(whole > 0, whole, 1), np.nan))
+    seen = ~np.isnan(terms)
+    alt = np.where(seen.any(0), np.nansum(terms, 0) / np.maximum(seen.sum(0), 1), 0.5)
+    return pd.DataFrame({"w": rows["w"].iloc[0], "pos": pos, "state": state, "alt": np.round(alt, 6), "pred": np.where(np.round(alt, 6) >= 0.5, 1, -1)})
 
 
 # ---- positional prefix index ---------------------------------------------
@@ -439,51 +500,66 @@ def prefix_index(alleles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n):
         new_order, new_div = [], []
         for kind in (0, 1, -1):
-            top = i + 1
-            for o, d in zip(order.tolist(), div.tolist()):
-                top = max(top, d)
-                if alleles[i, o] == kind:
-                    new_order.append(o)
-                    new_div.append(top)
-                    top = 0
-        order, div = np.array(new_order), np.array(new_div)
+            own = np.flatnonzero(alleles[i, order] == kind)
+            if len(own):  # each takes the largest divergence since the one of its kind before it
+                top = np.maximum.reduceat(div[: own[-1] + 1], np.append(0, own[:-1] + 1))
+                top[0] = i + 1
+                new_order.append(order[own]), new_div.append(top)
+        order, div = np.concatenate(new_order), np.concatenate(new_div)
         orders[i], divs[i] = order, div
     return orders, divs
 
 
-def _panel(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    table = rows.pivot_table(index="pos", columns="hap", values="allele", aggfunc="first").sort_index()
-    return table.index.to_numpy(), table.columns.to_numpy(), np.where(table.isna(), -1, (table.fillna(0) > 0).astype(int)).astype(int)
+def _coded(a: np.ndarray) -> np.ndarray:
+    return np.where(a > 0, 1, np.where(a < 0, 0, -1))
 
 
 def prefix_order(rows: pd.DataFrame) -> pd.DataFrame:
-    pos, haps, a = _panel(rows)
-    orders, divs = prefix_index(a)
+    pos, haps, a, rows = panel_matrix(rows)
+    orders, divs = prefix_index(_coded(a))
     i = len(pos) - 1
     return pd.DataFrame({"w": rows["w"].iloc[0], "rank": np.arange(len(haps)), "hap": haps[orders[i]], "divergence": divs[i]})
 
 
-def prefix_retrieval(rows: pd.DataFrame, bound: int = 4, most: int = 16) -> pd.DataFrame:
-    """Haplotypes around the first one's rank that share at least the last ``bound`` sites, going both ways through the divergence."""
-    pos, haps, a = _panel(rows)
-    orders, divs = prefix_index(a)
-    last = len(pos) - 1
-    order, div = orders[last], divs[last]
-    at = int(np.flatnonzero(order == 0)[0])
-    found, reach = [], 0
-    for k in range(at, 0, -1):
-        reach = max(reach, int(div[k]))
-        if last + 1 - reach < bound:
-            break
-        found.append((int(order[k - 1]), last + 1 - reach))
-    reach = 0
-    for k in range(at + 1, len(order)):
-        reach = max(reach, int(div[k]))
-        if last + 1 - reach < bound:
-            break
-        found.append((int(order[k]), last + 1 - reach))
-    found = sorted(found, key=lambda x: (-x[1], haps[x[0]]))[:most]
-    return pd.DataFrame([(rows["w"].iloc[0], int(haps[o]), n) for o, n in found], columns=["w", "hap", "length"])
+def prefix_retrieval(rows: pd.DataFrame, seeds: int = 8, least: int = 4, most: int = 16) -> pd.DataFrame:
+    """Donors of each path from the neighbours of the best haplotypes in the prefix order.
+
+    Seeds are the haplotypes with the longest unbroken matches around the centre.
+    Their neighbours in the order at the last phased site up to the centre, as far
+    as the divergence shows a match as long as the seed's own (``least`` sites at
+    least), are candidates; mode "both" adds those at the next site to the right.
+    """
+    pos, haps, a, rows = panel_matrix(rows)
+    state = rows["state"].to_numpy()
+    orders, divs = prefix_index(_coded(a))
+    ranks = np.argsort(orders, axis=1)
+    at = np.flatnonzero(state != 0)
+    centre = int(pos[len(pos) // 2])
+    out = []
+
+    def near(seed: int, site: int, length: int) -> set[int]:
+        low, order, div, k = max(0, site - max(length, least) + 1), orders[site], divs[site], int(ranks[site, seed])
+        lo = hi = k
+        while lo > 0 and div[lo] <= low:
+            lo -= 1
+        while hi + 1 < len(order) and div[hi + 1] <= low:
+            hi += 1
+        return set(order[lo : hi + 1].tolist())
+
+    for side in (1, -1):
+        score, matched, left, right = path_stats(pos, state, a, centre, side)
+        best = np.lexsort((haps, -score, -matched, -(left + right)))
+        good = [k for k in best.tolist() if score[k] > 0 and left[k] + right[k] >= least][: max(seeds, most)]
+        for mode in ("exact_prefix", "both"):
+            found: set[int] = set()
+            before, after = at[pos[at] <= centre], at[pos[at] > centre]
+            for k in good:
+                found |= near(k, before[-1], left[k]) if len(before) else {k}
+                if mode == "both":
+                    found |= near(k, after[0], right[k]) if len(after) else {k}
+            kept = [k for k in best.tolist() if score[k] > 0 and (k in found or not found)][:most]
+            out += [(rows["w"].iloc[0], mode, side, int(haps[k]), int(left[k]), int(right[k]), int(matched[k])) for k in kept]
+    return pd.DataFrame(out, columns=["w", "mode", "path", "hap", "left_run", "right_run", "matched"])
 
 
 # ---- bridges -------------------------------------------------------------
@@ -565,24 +641,51 @@ def two_colour(edges: pd.DataFrame, prob: float = 0.8) -> pd.DataFrame:
     return _labelled(fresh, nodes, edges["w"].iloc[0])
 
 
-def bridge_forest(edges: pd.DataFrame, prob: float = 0.6, degree: int = 2, size: int = 8, span: int = 20, gain: int = 0) -> pd.DataFrame:
-    """Greedy forest under caps of degree, size and span; with ``gain`` a join must lengthen the shorter side by it when it is made."""
-    sets = SignedSets()
-    deg: dict = {}
-    ends: dict = {n: (n, n) for n in {*edges["a"], *edges["b"]}}
-    e = _strongest(edges)
-    for r in e[e["prob"] >= prob].sort_values(["prob", "margin", "total", "a", "b"], ascending=[False, False, False, True, True]).itertuples():
+SORTS = {
+    "forest": ["prob", "conf", "margin", "total", "near"],
+    "prob_first": ["prob", "conf", "margin", "gain", "near"],
+    "utility_first": ["gain", "prob", "conf", "margin", "near"],
+    "hybrid": ["mixed", "conf", "margin", "gain", "near"],
+}
+
+
+def bridge_forest(
+    edges: pd.DataFrame, mode: str = "forest", prob: float = 0.995, conf: float = 0.5, margin: float = 50.0, total: float = 0.0, gap: int = 75_000, degree: int = 1, blocks: int = 3, span: int = 150_000, gain: int = 0, merged: int = 0, weight: float = 1e-5
+) -> pd.DataFrame:
+    """I33, and I34b with ``gain``: greedy forest of signed bridges under caps of degree, blocks and span in base pairs.
+
+    Edges are taken in the order of ``mode``.  With ``gain`` an edge must lengthen
+    the longer of its two blocks by it, and again the longer of the two sets when
+    it is taken; ``merged`` is the least span of the two blocks together.
+    """
+    sets, deg, ends = SignedSets(), {}, {}
+    for r in edges.itertuples():
+        ends[r.a], ends[r.b] = (r.a_s, r.a_e), (r.b_s, r.b_e)
+    long = lambda x: x[1] - x[0] + 1
+    union = lambda x, y: (min(x[0], y[0]), max(x[1], y[1]))
+    e = edges.assign(near=-edges["gap"], whole=[long(union(ends[a], ends[b])) for a, b in zip(edges["a"], edges["b"])])
+    e["gain"] = [w - max(long(ends[a]), long(ends[b])) for a, b, w in zip(e["a"], e["b"], e["whole"])]
+    e["mixed"] = (e["prob"] + e["gain"] * weight).round(9)
+    e = e[(e["prob"] >= prob) & (e["conf"] >= conf) & (e["margin"] >= margin) & (e["total"] >= total) & (e["gap"] <= gap) & (e["gain"] >= gain) & (e["whole"] >= merged)]
+    for r in e.sort_values([*SORTS[mode], "a", "b"], ascending=[False] * 5 + [True, True]).itertuples():
         ra, rb = sets.find(r.a)[0], sets.find(r.b)[0]
-        if ra == rb or deg.get(r.a, 0) >= degree or deg.get(r.b, 0) >= degree or sets.size[ra] + sets.size[rb] > size:
+        if deg.get(r.a, 0) >= degree or deg.get(r.b, 0) >= degree or ra != rb and sets.size[ra] + sets.size[rb] > blocks:
+            continue
+        if ra == rb:  # agrees with what is joined, or is refused
+            if not gain and sets.union(r.a, r.b, r.sign) is False:
+                deg[r.a], deg[r.b] = deg.get(r.a, 0) + 1, deg.get(r.b, 0) + 1
             continue
-        lo, hi = min(ends[ra][0], ends[rb][0]), max(ends[ra][1], ends[rb][1])
-        if hi - lo > span or gain and (hi - lo) - max(ends[ra][1] - ends[ra][0], ends[rb][1] - ends[rb][0]) < gain:
+        x, y = ends[ra], ends[rb]
+        both = union(x, y)
+        if long(both) > span or gain and long(both) - max(long(x), long(y)) < gain:
             continue
         sets.union(r.a, r.b, r.sign)
-        ends[sets.find(r.a)[0]] = (lo, hi)
+        ends[sets.find(r.a)[0]] = both
         deg[r.a], deg[r.b] = deg.get(r.a, 0) + 1, deg.get(r.b, 0) + 1
     return _labelled(sets, list(ends), edges["w"].iloc[0])
 
 
-def utility_forest(edges: pd.DataFrame) -> pd.DataFrame:
-    return bridge_forest(edges, gain=1)
+def utility_forest(edges: pd.DataFrame, **limits) -> pd.DataFrame:
+    """I34b in its three orders."""
+    limits = dict(gain=10_000, merged=25_000, gap=500_000, blocks=6, span=1_000_000) | limits
+    return pd.concat([bridge_forest(edges, mode, **limits).assign(mode=mode) for mode in ("prob_first", "utility_first", "hybrid")], ignore_index=True)

@@ -28,9 +28,9 @@ define("E14_posterior_margins", "w long, qid string, weight double, margin doubl
 
 _DONOR = """SELECT c.w, p.hap, p.donor, p.hap_id, p.grp, count(*) AS n, sum(CASE WHEN p.allele = c.state THEN 1 ELSE 0 END) AS matched, sum(CASE WHEN p.allele = c.state THEN 1 ELSE -1 END) AS raw,
 sum(CASE WHEN p.allele = c.state THEN 1 ELSE -1 END) + 0.75 * sum(CASE WHEN p.allele = c.state THEN 1.0 ELSE 0.0 END) / count(*) + 0.5 * max(CASE p.grp WHEN 'g1' THEN 1.0 WHEN 'g2' THEN 0.5 ELSE 0.0 END) AS score
-FROM {calls} c JOIN {panel} p ON p.k = IDIV(c.pos - 1000|100) WHERE c.state <> 0 GROUP BY c.w, p.hap, p.donor, p.hap_id, p.grp"""
+FROM {calls} c JOIN {psites} vp ON vp.pos = c.pos JOIN {panel} p ON p.k = vp.k WHERE c.state <> 0 GROUP BY c.w, p.hap, p.donor, p.hap_id, p.grp"""
 define("I1_donor_score", "w long, hap long, n long, matched long, raw long, score double", _DONOR)
-define("I1b_stub_score", "w long, hap long, score double, n long", "SELECT c.w, p.hap, sum(c.state * p.allele) * (0.5 + max(CASE p.grp WHEN 'g1' THEN 1.0 WHEN 'g2' THEN 0.5 ELSE 0.0 END)) AS score, count(*) AS n FROM {calls} c JOIN {smallpanel} p ON p.k = IDIV(c.pos - 1000|100) GROUP BY c.w, p.hap")
+define("I1b_stub_score", "w long, hap long, score double, n long", "SELECT c.w, p.hap, sum(c.state * p.allele) * (0.5 + max(CASE p.grp WHEN 'g1' THEN 1.0 WHEN 'g2' THEN 0.5 ELSE 0.0 END)) AS score, count(*) AS n FROM {calls} c JOIN {psites} vp ON vp.pos = c.pos JOIN {panel} p ON p.k = vp.k GROUP BY c.w, p.hap")
 _RANK = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY round(score, 9) DESC, raw DESC, matched DESC, donor, hap_id) AS rn FROM ({_DONOR}) AS d) AS r WHERE rn <= :top)"
 define("F1_donor_ranking", "w long, rn int, donor long, hap_id long, score double", f"SELECT w, rn, donor, hap_id, score FROM {_RANK} AS r", top=32)
 define("F2_composite_pairs", "w long, a long, b long, mean double, comp double, score double, rn int", f"""
@@ -38,12 +38,12 @@ SELECT w, a, b, mean, comp, score, rn FROM (SELECT *, row_number() OVER (PARTITI
 SELECT x.w, x.hap AS a, y.hap AS b, max((x.score + y.score) / 2.0) AS mean, avg(CASE WHEN p.allele <> q.allele THEN 1.0 ELSE 0.0 END) AS comp FROM {_RANK} AS x JOIN {_RANK} AS y ON x.w = y.w AND x.rn < y.rn JOIN {{panel}} p ON p.hap = x.hap JOIN {{panel}} q ON q.hap = y.hap AND q.k = p.k GROUP BY x.w, x.hap, y.hap) AS m) AS s) AS z WHERE rn <= 16""", top=8)
 _STATES = """SELECT w, win, hap, donor, grp, r, h, r + 0.5 * h + 0.25 * ln(1.0 + greatest(0.0, anc)) AS emission FROM (SELECT s.w, s.win, p.hap, p.donor, p.grp, sum(p.allele * (s.alt - s.ref)) AS r, sum(p.allele * s.state * 1.0) AS h, max(CASE p.grp WHEN 'g1' THEN 1.0 WHEN 'g2' THEN 0.5 ELSE 0.0 END) AS anc FROM (
 SELECT v.w, v.pos, v.i, IDIV(row_number() OVER (PARTITION BY v.w ORDER BY v.pos) - 1|4) AS win, coalesce(o.alt, 0) AS alt, coalesce(o.ref, 0) AS ref, c.state FROM {sites} v JOIN {calls} c ON c.w = v.w AND c.pos = v.pos LEFT JOIN (SELECT w, pos, sum(CASE WHEN allele > 0 THEN 1 ELSE 0 END) AS alt, sum(CASE WHEN allele < 0 THEN 1 ELSE 0 END) AS ref FROM {obs} GROUP BY w, pos) o ON o.w = v.w AND o.pos = v.pos) s
-JOIN {smallpanel} p ON p.k = s.i GROUP BY s.w, s.win, p.hap, p.donor, p.grp) AS x"""
+JOIN {psites} vp ON vp.pos = s.pos JOIN {panel} p ON p.k = vp.k GROUP BY s.w, s.win, p.hap, p.donor, p.grp) AS x"""
 define("I2_window_states", "w long, win long, hap long, r double, h double, emission double", _STATES)
 define("F3_top_states", "w long, win long, rn int, hap long, emission double", f"SELECT w, win, rn, hap, emission FROM (SELECT *, row_number() OVER (PARTITION BY w, win ORDER BY round(emission, 9) DESC, hap) AS rn FROM ({_STATES}) AS s) AS x WHERE rn <= :top", top=4)
 define("F4_hap_ranking", "w long, rn int, hap long, run long, matched long", """
 SELECT w, rn, hap, run, matched FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY run DESC, matched DESC, hap) AS rn FROM (SELECT w, hap, coalesce(min(CASE WHEN NOT ok THEN r END) - 1, max(r)) AS run, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS matched FROM (
-SELECT c.w, p.hap, p.allele = c.state AS ok, row_number() OVER (PARTITION BY c.w, p.hap ORDER BY c.pos) AS r FROM {calls} c JOIN {smallpanel} p ON p.k = IDIV(c.pos - 1000|100) WHERE c.state <> 0) AS x GROUP BY w, hap) AS y) AS z WHERE rn <= :top""", top=16)
+SELECT c.w, p.hap, p.allele = c.state AS ok, row_number() OVER (PARTITION BY c.w, p.hap ORDER BY c.pos) AS r FROM {calls} c JOIN {psites} vp ON vp.pos = c.pos JOIN {panel} p ON p.k = vp.k WHERE c.state <> 0) AS x GROUP BY w, hap) AS y) AS z WHERE rn <= :top""", top=16)
 define("F5_window_shortlist", "w long, reads long, snps long, rn int", "SELECT w, reads, snps, rn FROM (SELECT *, row_number() OVER (ORDER BY snps DESC, reads DESC, w) AS rn FROM {manifest}) AS x WHERE rn <= :top", top=10)
 
 define("G1_union_windows", "source string, w long, pos long, state int, prob double", "SELECT 'calls' AS source, w, pos, state, NULL AS prob FROM {calls} UNION ALL SELECT 'fills' AS source, w, pos, pred AS state, prob FROM {fills}")

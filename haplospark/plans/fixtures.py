@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.phasing import DECIDE
 from .operator import REGISTRY, Operator, render
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
@@ -17,7 +18,8 @@ FIXTURES: dict[str, str] = {
         1000 + 100 * (5 * IDIV(l_orderkey % 200|8) + l_partkey % 5 + CASE WHEN l_partkey % 17 = 0 THEN 1 ELSE 0 END) AS pos,
         CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END AS allele, CAST(l_quantity AS BIGINT) AS baseq, 20 + l_suppkey % 41 AS mapq,
         CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS amb, ((l_partkey * 7 + l_linenumber) % 41 - 20) / 20.0 AS delta, (l_partkey * 13 % 100) / 100.0 AS conf,
-        CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE (l_suppkey % 10 + 1) / 10.0 END AS w2, l_orderkey * 10 + l_linenumber AS idx FROM {lineitem}""",
+        CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE (l_suppkey % 10 + 1) / 10.0 END AS w2, l_orderkey * 10 + l_linenumber AS idx,
+        CASE WHEN l_linenumber % 5 = 0 THEN 1 ELSE 0 END AS near_end, CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END AS softclip, CASE WHEN l_suppkey % 11 >= 5 THEN 1 ELSE 0 END AS high_nm, CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS dense FROM {lineitem}""",
     "sites": """SELECT w, pos, i, CASE i % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'G' ELSE 'T' END AS ref, CASE i % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'G' WHEN 2 THEN 'T' ELSE 'A' END AS alt
         FROM (SELECT DISTINCT w, pos, IDIV(pos - 1000|100) AS i FROM {obs}) AS x""",
     "calls": """SELECT w, pos, CASE WHEN s = 0 THEN 'unassigned' ELSE 'b' || CAST(sum(CASE WHEN s = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY w ORDER BY pos) AS STRING) END AS block_id,
@@ -31,9 +33,15 @@ FIXTURES: dict[str, str] = {
     "fills": """SELECT w, pos, 'b' || CAST(i * 3 % 4 AS STRING) AS block_id, CASE WHEN i * 7 % 5 < 3 THEN 1 ELSE -1 END AS pred, i * 11 % 37 / 1.0 AS plus, (i + w) * 5 % 23 / 1.0 AS minus,
         (i * 17 + w) % 100 / 100.0 AS prob, 10 + i % 50 AS donors, 1 + i % 4 AS anchors, i % 6 AS orient_sites, (i + w) % 4 AS orient_margin FROM (SELECT *, IDIV(pos|100) AS i FROM {calls}) AS c WHERE state = 0 OR IDIV(pos|100) % 5 = 0""",
     "panel": f"SELECT vec_id AS hap, IDIV(vec_id|2) AS donor, vec_id % 2 AS hap_id, 'g' || CAST(label AS STRING) AS grp, k, CASE WHEN ELEM(embedding, k + 1) > 0 THEN 1 ELSE -1 END AS allele FROM {{embeddings}} CROSS JOIN (VALUES {_K}) AS t(k)",
-    "smallpanel": "SELECT * FROM {panel} WHERE hap < 60",
+    "psites": f"SELECT 1000 + 100 * (64 * h + k) AS pos, k FROM (VALUES {_K}) AS t(k) CROSS JOIN (VALUES (0), (1)) AS u(h)",
+    "bias": "SELECT w, pos, ((pos * 13 + w) % 21 - 10) / 10.0 AS bias FROM {sites} WHERE i % 8 <> 0",
+    "seeds": "SELECT w, hap FROM (SELECT DISTINCT w FROM {sites}) AS s CROSS JOIN (SELECT DISTINCT hap FROM {panel}) AS p WHERE (hap * 7 + w) % 83 = 0",
+    "centres": "SELECT w, min(pos) + 1500 AS centre FROM {sites} GROUP BY w",
+    "lookups": "SELECT w, pos, (w * 3 + i) % 20 AS donor, i % 2 AS hap_id FROM {sites}",
+    "holdout": "SELECT w FROM (SELECT DISTINCT w FROM {sites}) AS s WHERE w % 5 = 0",
+    "hmmfills": "SELECT w, pos, block_id, CASE WHEN (IDIV(pos|100) * 5 + w) % 3 = 0 THEN -1 ELSE 1 END AS pred, (IDIV(pos|100) * 29 + w * 3) % 100 / 100.0 AS prob FROM {fills} WHERE (pos + w) % 4 <> 0",
     "gmap": "SELECT 1000 + 500 * n_nationkey AS bp, n_nationkey * 0.25 + n_regionkey * 0.01 AS cm FROM {nation}",
-    "bed": "SELECT s_suppkey * 700 AS s, s_suppkey * 700 + 400 AS e FROM {supplier} WHERE s_suppkey < 200",
+    "bed": "SELECT s_suppkey * 700 AS s, s_suppkey * 700 + 400 AS e FROM {supplier}",
     "tags": "SELECT DISTINCT w, read_id, CASE read_id % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE 'UNK' END AS hp, 'p' || CAST(IDIV(read_id % 200|40) AS STRING) AS ps FROM {obs}",
     "selected": "SELECT DISTINCT w, read_id FROM {obs} WHERE read_id % 4 <> 0",
     "comps": "SELECT w, pos, IDIV(pos - 1000|500) AS comp, state FROM {calls} WHERE state <> 0",
@@ -47,6 +55,10 @@ FIXTURES: dict[str, str] = {
         event_id % 40 AS support, user_id % 13 AS anchors FROM {events}""",
     "manifest": """SELECT w, 'chr20' AS chrom, 'w' || CAST(w AS STRING) || CASE w % 3 WHEN 0 THEN '_illumina30x_phase7a' WHEN 1 THEN '_illumina35x_phase7a' ELSE '_phase7a' END AS label,
         count(DISTINCT read_id) AS reads, count(DISTINCT pos) AS snps, min(pos) AS s, max(pos) + 1 AS e FROM {obs} GROUP BY w""",
+    "decisions": DECIDE.replace(":min_inf", "2").replace(":min_conf", "0.4"),
+    "siteprior": """SELECT s.w, s.pos, coalesce(b.bias, 0.0) AS donor_bias, coalesce(q.cstate, 0) AS top_state, coalesce(q.margin, 0.0) AS margin, a.lft, a.rgt FROM {sites} s LEFT JOIN {bias} b ON b.w = s.w AND b.pos = s.pos
+        LEFT JOIN (SELECT w, pos, cstate, score - nxt AS margin FROM (SELECT *, row_number() OVER (PARTITION BY w, qid ORDER BY score DESC, cand) AS rn, lead(score) OVER (PARTITION BY w, qid ORDER BY score DESC, cand) AS nxt FROM {scores}) AS r WHERE rn = 1) q ON q.w = s.w AND q.pos = s.pos
+        LEFT JOIN (SELECT w, pos, lag(state) OVER (PARTITION BY w ORDER BY pos) AS lft, lead(state) OVER (PARTITION BY w ORDER BY pos) AS rgt FROM {calls2}) a ON a.w = s.w AND a.pos = s.pos""",
     "obsedges": """SELECT w, a, b, sum(CASE WHEN sg > 0 THEN 1 ELSE 0 END) AS plus, sum(CASE WHEN sg < 0 THEN 1 ELSE 0 END) AS minus, sum(CASE WHEN sg > 0 THEN wt ELSE 0.0 END) AS pw, sum(CASE WHEN sg < 0 THEN wt ELSE 0.0 END) AS mw FROM (
         SELECT x.w, x.comp AS a, y.comp AS b, x.v * y.v AS sg, least(abs(x.v), abs(y.v)) AS wt FROM
         (SELECT o.w, o.read_id, c.comp, sum(o.allele * c.state * 1.0) AS v FROM {obs} o JOIN {comps} c ON o.w = c.w AND o.pos = c.pos WHERE o.allele <> 0 GROUP BY o.w, o.read_id, c.comp) AS x JOIN

@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 _INPUT = re.compile(r"\{(\w+)\}")
 _DECIMAL = re.compile(r"(?<![\w.])(\d+\.\d+)(?![\w.])")
 _IDIV = re.compile(r"IDIV\(([^|]*)\|([^)]*)\)")
+_SERIES = re.compile(r"SERIES\[([^|\]]*)\|([^\]]*)\]")
 _LAGG = re.compile(r"LAGG\(([^|]*)\|([^)]*)\)")
 
 
 def render(sql: str, spark: bool) -> str:
-    """IDIV(a|b) whole division, LAGG(x|order) comma list, ELEM(array, 1-based); decimals are doubles."""
+    """IDIV(a|b) whole division, SERIES[a|b] a row for each whole number from a to b, LAGG(x|order) comma list, ELEM(array, 1-based); decimals are doubles."""
     sql = _DECIMAL.sub(r"\1e0", sql)
     sql = _IDIV.sub(r"((\1) div (\2))" if spark else r"((\1) // (\2))", sql)
+    sql = _SERIES.sub(r"explode(sequence(\1, \2))" if spark else r"unnest(generate_series(\1, \2))", sql)
     sql = _LAGG.sub(r"listagg(CAST(\1 AS STRING), ',') WITHIN GROUP (ORDER BY \2)" if spark else r"string_agg(CAST(\1 AS STRING), ',' ORDER BY \2)", sql)
     return sql.replace("ELEM(", "element_at(" if spark else "list_extract(")
 

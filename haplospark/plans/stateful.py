@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import learning, stateful as st
 from ..operators.aggregates import ORIENT  # noqa: F401
@@ -26,8 +26,48 @@ def _sql(t: Tables, text: str, out: str) -> DataFrame:
     return op.run(t.spark, {n: t[n] for n in op.inputs})
 
 
-def _panel_rows(t: Tables, state: bool = False) -> DataFrame:
-    return _sql(t, "SELECT c.w, c.pos, c.state, h.hap, h.allele FROM {calls} c JOIN {smallpanel} h ON h.k = IDIV(c.pos - 1000|100) WHERE h.hap < 40", "w long, pos long, state int, hap long, allele int")
+#: Centimorgans by linear interpolation in the genetic map, held at its ends.
+_SITES = """SELECT c.w, c.pos, c.state, v.k, CASE WHEN m.bp IS NULL THEN CASE WHEN c.pos < r.lo THEN r.locm ELSE r.hicm END ELSE m.cm + (m.ncm - m.cm) * (c.pos - m.bp) / (m.nbp - m.bp) END AS cm FROM {calls} c JOIN {psites} v ON v.pos = c.pos
+CROSS JOIN (SELECT min(bp) AS lo, min(cm) AS locm, max(cm) AS hicm FROM {gmap}) r LEFT JOIN (SELECT bp, cm, lead(bp) OVER (ORDER BY bp) AS nbp, lead(cm) OVER (ORDER BY bp) AS ncm FROM {gmap}) m ON c.pos >= m.bp AND c.pos < m.nbp"""
+
+
+def _panel_rows(t: Tables) -> DataFrame:
+    """Called sites with the alleles of all haplotypes as an array, 0 where the panel has none; one row of a window names the haplotypes."""
+    panel = t["panel"].select("hap", "k", F.col("allele").cast("tinyint").alias("allele"))
+    names = panel.select("hap").distinct().agg(F.sort_array(F.collect_list("hap")).alias("names"))
+    seen = panel.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("hap", "allele"))).alias("of"))
+    rows = seen.crossJoin(F.broadcast(names)).select("k", "names", F.transform("names", lambda h: F.coalesce(F.element_at("of", h), F.lit(0).cast("tinyint"))).alias("alleles"))
+    first = F.row_number().over(Window.partitionBy("w").orderBy("pos")) == 1
+    sites = _sql(t, _SITES, "w long, pos long, state int, k long, cm double").withColumn("first", first)
+    return sites.join(F.broadcast(rows), "k").select("w", "pos", "state", "cm", "alleles", F.when(F.col("first"), F.col("names")).alias("haps"))
+
+
+#: Bridges between components with their places in base pairs.
+_BRIDGES = """SELECT e.w, e.a, e.b, CASE WHEN e.pw >= e.mw THEN 1 ELSE -1 END AS sign, greatest(e.pw, e.mw) / (e.pw + e.mw) AS prob, greatest(e.pw, e.mw) / (e.pw + e.mw + 1.0) AS conf, abs(e.pw - e.mw) AS margin, e.pw + e.mw AS total, greatest(0, greatest(x.s, y.s) - least(x.e, y.e)) AS gap, x.s AS a_s, x.e AS a_e, y.s AS b_s, y.e AS b_e
+FROM {obsedges} e JOIN (SELECT w, comp, min(pos) AS s, max(pos) AS e FROM {comps} GROUP BY w, comp) x ON x.w = e.w AND x.comp = e.a JOIN (SELECT w, comp, min(pos) AS s, max(pos) AS e FROM {comps} GROUP BY w, comp) y ON y.w = e.w AND y.comp = e.b"""
+
+
+def _bridges(t: Tables) -> DataFrame:
+    return _sql(t, _BRIDGES, "w long, a long, b long, sign int, prob double, conf double, margin double, total double, gap long, a_s long, a_e long, b_s long, b_e long")
+
+
+_LINKS = "SELECT DISTINCT w, min(pos) OVER (PARTITION BY w, read_id) AS a, pos AS b FROM {frags}"
+
+
+def _components(t: Tables) -> DataFrame:
+    return st.per_window(_sql(t, _LINKS, "w long, a long, b long"), st.components, "w long, pos long, comp long")
+
+
+def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return st.per_window(t["frags"].join(_components(t), ["w", "pos"]), st.solve_component, st.SOLVED, "w", "comp")
+
+
+_PRIORS = "SELECT f.w, f.read_id, f.pos, f.allele, f.weight, p.donor_bias, p.top_state, p.margin, p.lft, p.rgt FROM {frags} f LEFT JOIN {siteprior} p ON p.w = f.w AND p.pos = f.pos"
+
+
+def _with_priors(t: Tables) -> DataFrame:
+    return _sql(t, _PRIORS, "w long, read_id long, pos long, allele int, weight double, donor_bias double, top_state int, margin double, lft int, rgt int")
 
 
 _CHAIN = """SELECT k.w, k.comp, sum(CASE WHEN k.state = t.tstate THEN 1 ELSE 0 END) AS plus, sum(CASE WHEN k.state = -t.tstate THEN 1 ELSE 0 END) AS minus, round(coalesce(max(e.pw - e.mw), 0.0), 6) AS link
@@ -72,26 +112,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "E8_component_split": _window("comps", lambda p: st.split_component(p[["w", "pos"]]), "w long, pos long, piece long"),
         "I3_window_viterbi": _window(_states, st.window_viterbi, "w long, win long, hap long, score double"),
-        "I6_site_viterbi": _window(lambda t: _panel_rows(t).where("state <> 0").select("w", "pos", "hap", (F.col("allele") == F.col("state")).cast("int").alias("match")), st.site_viterbi, "w long, pos long, hap long"),
+        "I6_site_viterbi": _window(_panel_rows, st.site_viterbi, "w long, pos long, hap long"),
         "I7_path_beam": _window(_states, st.path_beam, "w long, step long, hap long, stay int, margin double"),
         "I9_coverage_selection": _window("frags", st.coverage_selection, _READS + ", n long, rank long"),
         "I10_superread_merge": _window("frags", st.superread_merge, _READS + ", superread long"),
         "I11_informative_reads": _window("frags", st.informative_reads, _READS + ", score double, rank long"),
-        "I16_components": _window("frags", st.components, "w long, pos long, comp long"),
-        "I17_I18_wmec_solve": _window("frags", st.solve_window, st.SOLVED),
-        "I21_wmec_legacy": _window("frags", st.solve_window, st.SOLVED),
-        "I22_connectivity_regions": _window("frags", lambda p: st.split_component(st.components(p)[["w", "pos"]]), "w long, pos long, piece long"),
+        "I16_components": lambda spark, sf_dir: _components(Tables(spark, sf_dir)),
+        "I17_I18_wmec_solve": _solved,
+        "I21_wmec_legacy": _solved,
+        "I22_connectivity_regions": _window(_components, lambda p: st.split_component(p[["w", "pos"]]), "w long, pos long, piece long"),
         "I23_active_reads": _window("frags", st.active_reads, "w long, region long, read_id long, score double"),
         "I24_probabilistic_merge": _window("frags", st.probabilistic_merge, _READS + ", cluster long"),
-        "I26_wmec_priors": _window("frags", st.solve_with_priors, "w long, pos long, region long, state int, solver string, margin double"),
+        "I26_wmec_priors": _window(_with_priors, st.solve_with_priors, "w long, pos long, region long, state int, solver string, margin double"),
         "I27_chain_orientation": _window(_chain, st.chain_orientation, "w long, comp long, orientation int, margin double"),
         "I28_region_resolve": _window("scores", st.resolve_region, "w long, region long, pos long, state int, margin double"),
         "I31_component_stitching": _window("obsedges", st.stitch_components, _LABELS),
         "I32_two_colouring": _window("obsedges", st.two_colour, _LABELS),
-        "I33_bridge_forest": _window("obsedges", st.bridge_forest, _LABELS),
-        "I34b_utility_forest": _window("obsedges", st.utility_forest, _LABELS),
+        "I33_bridge_forest": _window(_bridges, lambda e: st.bridge_forest(e, prob=0.6, margin=0.5, degree=2, gap=1_000, blocks=8, span=10_000), _LABELS),
+        "I34b_utility_forest": _window(_bridges, lambda e: st.utility_forest(e, prob=0.6, margin=0.5, degree=2, gain=100, merged=500, weight=0.001), _LABELS + ", mode string"),
         "I35_prefix_index": _window(_panel_rows, st.prefix_order, "w long, rank long, hap long, divergence long"),
-        "I38_prefix_retrieval": _window(_panel_rows, st.prefix_retrieval, "w long, hap long, length long"),
+        "I38_prefix_retrieval": _window(_panel_rows, st.prefix_retrieval, "w long, mode string, path int, hap long, left_run long, right_run long, matched long"),
         "I41_I42_hmm_predict": _window(_panel_rows, st.hmm_predict, "w long, pos long, state int, alt double, pred int"),
         "I46_acceptance_model": _learn(lambda s, t: learning.out_of_fold(_labelled(t), _FEATURES, "grp").select("id", "fold", "prob")),
         "I47_bridge_model": _learn(lambda s, t: learning.out_of_fold(_labelled(t), learning.useful_features(_labelled(t), [*_FEATURES, "label"], {"label"}), "grp", k=2).select("id", "fold", "prob")),

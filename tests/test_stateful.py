@@ -94,8 +94,6 @@ def test_conflicted_bridge_component_is_left_alone():
     assert got["block"].to_dict() == {1: 1, 2: 2, 3: 3, 7: 7, 8: 7} and got["orientation"][8] == -1
     stitched = st.stitch_components(e).set_index("comp")
     assert set(stitched["block"].loc[[1, 2, 3]]) == {1}
-    forest = st.bridge_forest(e)
-    assert set(forest["comp"]) == {1, 2, 3, 7, 8}
 
 
 def test_component_split_counts_from_the_chunk_start():
@@ -123,7 +121,102 @@ def test_limits_of_the_reference():
     x = np.where(masks[:, None] >> np.arange(15) & 1, -1.0, 1.0)
     c = np.round(st.cost(m, np.c_[np.ones(len(x)), x]), 9)
     assert set(got["solver"]) == {"exact"} and got["objective"].iloc[0] == c.min() and got["margin"].iloc[0] == np.sort(c)[1] - c.min()
-    assert set(st.solve_with_priors(f)["solver"]) == {"exact"}
+    assert set(st.solve_with_priors(f.assign(donor_bias=0.0, top_state=0, margin=0.0, lft=0, rgt=0))["solver"]) == {"exact"}
     assert set(st.solve_window(chain(18))["solver"]) == {"exact"} and set(st.solve_window(chain(19))["solver"]) == {"greedy"}
     reads = pd.DataFrame([(0, r, 1000 * r + k, 1, 1.0) for r in range(100) for k in (1, 2)], columns=["w", "read_id", "pos", "allele", "weight"])
     assert len(st.informative_reads(reads)) == 100
+
+
+def test_priors_against_enumeration():
+    """Ends, donor bias, ranker and switches count as stated, wherever the sites lie."""
+    for seed in range(6):
+        f, _ = frags(seed, sites=6, reads=12, noise=0.3)
+        f["pos"] = 7_000_000 + 37 * (f["pos"] // 100)
+        rng = np.random.default_rng(seed)
+        sites = sorted(f["pos"].unique())
+        meta = pd.DataFrame({"pos": sites, "donor_bias": rng.uniform(-2, 2, len(sites)), "top_state": rng.integers(-1, 2, len(sites)), "margin": rng.uniform(-1, 3, len(sites)), "lft": rng.integers(-1, 2, len(sites)), "rgt": rng.integers(-1, 2, len(sites))})
+        meta.loc[0, "donor_bias"] = None
+        f = f.merge(meta, on="pos")
+        _, m = st._matrix(f)
+        costs = []
+        for x in product((1, -1), repeat=len(sites)):
+            c = sum(min(sum(abs(v) for v, y in zip(r, x) if v and np.sign(v) != y), sum(abs(v) for v, y in zip(r, x) if v and np.sign(v) == y)) for r in m)
+            for k, s in enumerate(x):
+                q = meta.iloc[k]
+                if q.donor_bias and q.donor_bias == q.donor_bias and s != np.sign(q.donor_bias):
+                    c += 0.05 * min(abs(q.donor_bias), 1)
+                if q.top_state and s != q.top_state:
+                    c += 0.04 * min(max(q.margin, 0), 2)
+            c += 0.75 * (meta["lft"].iloc[0] == -x[0]) + 0.75 * (meta["rgt"].iloc[-1] == -x[-1]) + 0.1 * sum(a != b for a, b in zip(x, x[1:]))
+            costs.append((round(c, 9), x))
+        costs.sort(key=lambda c: c[0])
+        got = st.solve_with_priors(f)
+        assert abs(got["margin"].iloc[0] - (costs[1][0] - costs[0][0])) < 1e-6
+        assert tuple(got["state"]) in {x for c, x in costs if c == costs[0][0]}
+        assert set(st.solve_with_priors(f, exact_sites=2)["solver"]) == {"beam"} and tuple(st.solve_with_priors(f, exact_sites=2)["state"]) in {x for c, x in costs if c == costs[0][0]}
+
+
+def test_components_solved_apart_equal_the_window():
+    f, _ = frags(4, sites=12, reads=9)
+    comp = st.components(st.links(f))
+    parts = [st.solve_component(g) for _, g in f.merge(comp, on=["w", "pos"]).groupby("comp")]
+    assert pd.concat(parts, ignore_index=True).equals(st.solve_window(f))
+    m = st._matrix(f)[1]
+    x = np.ones(m.shape[1])
+    y = st.refine(m, x)
+    assert st.cost(m, y)[0] <= st.cost(m, x)[0] and all(st.cost(m, y * np.where(np.arange(len(y)) == k, -1, 1))[0] >= st.cost(m, y)[0] - 1e-9 for k in range(len(y)))
+
+
+def bridges(rows):
+    return pd.DataFrame([(0, a, b, s, p, c, mg, 100.0, gap, *sa, *sb) for a, b, s, p, c, mg, gap, sa, sb in rows], columns=["w", "a", "b", "sign", "prob", "conf", "margin", "total", "gap", "a_s", "a_e", "b_s", "b_e"])
+
+
+def test_forest_orders_and_caps():
+    at = {1: (0, 20_000), 2: (30_000, 31_000), 3: (40_000, 80_000), 4: (90_000, 200_000)}
+    edge = lambda a, b, p, s=1: (a, b, s, p, 0.9, 60.0, at[b][0] - at[a][1], at[a], at[b])
+    e = bridges([edge(1, 2, 0.999), edge(2, 3, 0.996, -1), edge(1, 3, 0.997), edge(3, 4, 0.998, -1)])
+    joined = lambda f: {tuple(sorted(g["comp"])) for _, g in f.groupby("block") if len(g) > 1}
+    assert joined(st.bridge_forest(e)) == {(1, 2)}  # 3 and 4 together span more than 150 kb
+    assert joined(st.bridge_forest(e, span=10**6)) == {(1, 2), (3, 4)}
+    wide = st.utility_forest(e, gain=10_000, degree=2)
+    by = {m: g for m, g in wide.groupby("mode")}
+    assert joined(by["prob_first"]) == {(1, 2, 3, 4)} and set(by) == {"prob_first", "utility_first", "hybrid"}
+    assert by["prob_first"].set_index("comp")["orientation"].to_dict() == {1: 1, 2: 1, 3: 1, 4: -1}
+    one = st.utility_forest(e, gain=15_000, degree=1)
+    assert joined(one[one["mode"] == "utility_first"]) == {(3, 4)} and joined(st.bridge_forest(e, "hybrid", gain=10**6)) == set()
+
+
+def panel(alleles, state, first=10):
+    n = len(state)
+    return pd.DataFrame({"w": 0, "pos": [first + 1000 * k for k in range(n)], "state": state, "cm": [0.1 * k for k in range(n)], "alleles": list(np.array(alleles).T), "haps": [list(range(100, 100 + len(alleles)))] + [None] * (n - 1)})
+
+
+def test_hmm_copies_both_paths():
+    up = [1, 1, -1, 1, -1, 1]
+    rows = panel([up, [-x for x in up], [1, -1, 1, -1, 1, 1]], [1, 1, 0, 1, 0, 1])
+    got = st.hmm_predict(rows, donors=1)
+    assert got["pred"].tolist()[2] == -1 and got["pred"].tolist()[4] == -1 and got["alt"][2] < 0.01
+    flipped = st.hmm_predict(panel([up, [-x for x in up]], [-1, -1, 0, -1, 0, -1]), donors=1)
+    assert flipped["alt"][2] > 0.99 and flipped["alt"][4] > 0.99
+    missing = st.hmm_predict(panel([[1, 1, 0, 1], [-1, -1, 0, -1]], [1, 1, 0, 1]), donors=1)
+    assert missing["alt"][2] == 0.5
+
+
+def test_retrieval_finds_the_longest_matches():
+    rng = np.random.default_rng(3)
+    truth = rng.choice([1, -1], 30)
+    a = rng.choice([1, -1], (40, 30))
+    a[7], a[9] = truth, np.where(np.arange(30) < 16, truth, -truth)
+    state = np.where(np.arange(30) % 7 == 3, 0, truth)
+    got = st.prefix_retrieval(panel(a.tolist(), state.tolist()))
+    plus = got[got["path"] == 1]
+    for mode in ("exact_prefix", "both"):
+        own = plus[plus["mode"] == mode]
+        assert own["hap"].iloc[0] == 107 and 109 in set(own["hap"]) and (own["left_run"] + own["right_run"]).is_monotonic_decreasing
+    brute = [sum(1 for _ in __import__("itertools").takewhile(lambda k: a[h, k] == state[k], [k for k in range(14, -1, -1) if state[k]])) for h in range(40)]
+    assert all(brute[r.hap - 100] == r.left_run for r in plus.itertuples())
+
+
+def test_site_path_stays_on_the_matching_haplotype():
+    rows = panel([[1] * 6, [-1] * 6, [1, 1, 1, -1, -1, -1]], [1, 1, 1, -1, 0, -1])
+    assert set(st.site_viterbi(rows)["hap"]) == {102} and len(st.site_viterbi(rows)) == 5
