@@ -122,3 +122,15 @@ def removal_report(docs: DataFrame, length: int = WORDS, hot: int = 4096) -> Dat
     spans = repeated_spans(rows, spec(length, hot), extend_blocks, np.uint64)
     rows = rows.join(spans, ["t1", "t2"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
     return rows.mapInArrow(_report, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def sql(length: int = WORDS) -> str:
+    """The report in SQL over ``documents``: every window spelt out, counted, and its words left out."""
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    windows AS (SELECT r, i, array_to_string(ws[i : i + {length - 1}], ' ') AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - {length - 2})) AS i FROM d WHERE len(ws) >= {length}) AS x),
+    twice AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + {length})) AS j FROM windows JOIN twice USING (s)),
+    words AS (SELECT doc_id, r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS text FROM words ANTI JOIN gone USING (r, j) GROUP BY r),
+    removed AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+    SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN removed USING (r)"""

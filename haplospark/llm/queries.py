@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.sql()}
+    return {"op2_mixing": mixing.sql(), "op8_substring_dedup": block_dedup.sql()}
