@@ -27,7 +27,7 @@ def _vector(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df.na.fill(0, features))
 
 
-def out_of_fold(df: DataFrame, features: list[str], group: str, k: int = 3, rounds: int = 5, depth: int = 3) -> DataFrame:
+def out_of_fold(df: DataFrame, features: list[str], group: str, k: int = 5, rounds: int = 5, depth: int = 3) -> DataFrame:
     """Out-of-fold probability of each row; a fold without both classes gets the training mean."""
     rows = group_folds(df, group, k)
     data = _vector(rows, features).cache()
@@ -47,20 +47,40 @@ def out_of_fold(df: DataFrame, features: list[str], group: str, k: int = 3, roun
     return out
 
 
+def metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row: n, auc, ap, accuracy, brier of ``label`` and ``prob``; auc and ap null without both classes."""
+    both = scored.select("label").distinct().count() == 2
+    area = lambda name: float(BinaryClassificationEvaluator(rawPredictionCol="prob", labelCol="label", metricName=name).evaluate(scored)) if both else None
+    hit = ((F.col("prob") >= threshold).cast("int") == F.col("label")).cast("double")
+    out = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"), F.avg((F.col("prob") - F.col("label")) ** 2).alias("brier"))
+    return out.select("n", F.lit(area("areaUnderROC")).cast("double").alias("auc"), F.lit(area("areaUnderPR")).cast("double").alias("ap"), "accuracy", "brier")
+
+
 def importances(df: DataFrame, features: list[str], rounds: int = 5) -> list[tuple[str, float]]:
     """Features by gain, largest first."""
     model = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=rounds, maxDepth=3, seed=7).fit(_vector(df, features))
     return sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda x: (-round(x[1], 9), x[0]))
 
 
-def rank_candidates(df: DataFrame, features: list[str], query: list[str], rounds: int = 5) -> DataFrame:
-    """Pointwise ranker: regressed relevance, ranked inside each query."""
-    model = GBTRegressor(featuresCol="_x", labelCol="label", maxIter=rounds, maxDepth=3, seed=7).fit(_vector(df, features))
-    scored = model.transform(_vector(df, features)).withColumn("rank_score", F.col("prediction"))
+def rank_candidates(df: DataFrame, features: list[str], query: list[str], weight: str | None = None, rounds: int = 5) -> DataFrame:
+    """Ranker by regressed relevance, ranked inside each query; ``weight`` names a column of sample weights.
+
+    MLlib has no pairwise objective: relevance is taken relative to its query's
+    mean, so that only differences inside a query count.
+    """
+    centred = df.withColumn("_rel", F.col("label") - F.avg("label").over(Window.partitionBy(*query)))
+    data = _vector(centred, features)
+    model = GBTRegressor(featuresCol="_x", labelCol="_rel", maxIter=rounds, maxDepth=3, seed=7, **({"weightCol": weight} if weight else {})).fit(data)
+    scored = model.transform(data).withColumn("rank_score", F.col("prediction"))
     order = Window.partitionBy(*query).orderBy(F.desc(F.round("rank_score", 9)), "cand")
     return scored.withColumn("rank", F.row_number().over(order)).select(*df.columns, "rank_score", "rank")
 
 
+def top_one(ranked: DataFrame) -> DataFrame:
+    """Queries and the share of them whose first candidate is right."""
+    return ranked.where("rank = 1").agg(F.count(F.lit(1)).alias("queries"), F.avg(F.col("label").cast("double")).alias("top1"))
+
+
 def holdout_by_group(df: DataFrame, features: list[str], category: str, group: str, share: int = 25) -> DataFrame:
     """Site confidence: groups hashed to a held-out quarter; categories indexed; logistic regression."""
     split = df.withColumn("held", (F.pmod(F.xxhash64(group), F.lit(100)) < share).cast("int"))
@@ -70,21 +90,29 @@ def holdout_by_group(df: DataFrame, features: list[str], category: str, group: s
     return model.transform(data).select(*df.columns, "held", vector_to_array("probability")[1].alias("prob"))
 
 
-def prune(df: DataFrame, families: dict[str, list[str]], tolerance: float = 0.01) -> list[tuple[int, str, float]]:
-    """Greedy removal of feature families while the metric stays within ``tolerance`` of the round before."""
-    def metric(features: list[str]) -> float:
+def prune(df: DataFrame, families: dict[str, list[str]], tolerance: float = 0.01) -> list[tuple[int, str, str, float, float, int, int]]:
+    """Greedy removal while the metric stays within ``tolerance`` of the round before: whole families, then single features.
+
+    Rows (step, phase, dropped, auc, ap, features left, best); best marks the
+    step with the largest (auc, ap), of equal ones that with fewest features.
+    """
+    def measure(features: list[str]) -> tuple[float, float]:
         data = _vector(df, features)
-        model = LogisticRegression(featuresCol="_x", labelCol="label", maxIter=10).fit(data)
-        return round(BinaryClassificationEvaluator(labelCol="label").evaluate(model.transform(data)), 6)
+        scored = LogisticRegression(featuresCol="_x", labelCol="label", maxIter=10).fit(data).transform(data)
+        return tuple(round(BinaryClassificationEvaluator(labelCol="label", metricName=m).evaluate(scored), 6) for m in ("areaUnderROC", "areaUnderPR"))
 
     left = dict(families)
-    base = metric([f for v in left.values() for f in v])
-    steps = [(0, "all", base)]
-    while len(left) > 1:
-        tried = sorted(((metric([f for k, v in left.items() if k != drop for f in v]), drop) for drop in left), key=lambda x: (-x[0], x[1]))
-        if tried[0][0] < base - tolerance:
-            break
-        base = tried[0][0]
-        del left[tried[0][1]]
-        steps.append((len(steps), tried[0][1], base))
-    return steps
+    base = measure([f for v in left.values() for f in v])
+    steps = [(0, "all", "", *base, sum(map(len, left.values())))]
+    for phase in ("family", "feature"):
+        while len(left) > 1:
+            tried = sorted(((measure([f for k, v in left.items() if k != gone for f in v]), gone) for gone in left), key=lambda x: (-x[0][0], -x[0][1], x[1]))
+            now, gone = tried[0]
+            if now[0] < base[0] - tolerance:
+                break
+            base = now
+            del left[gone]
+            steps.append((len(steps), phase, gone, *base, sum(map(len, left.values()))))
+        left = {f: [f] for v in left.values() for f in v}
+    best = max(steps, key=lambda x: (x[3], x[4], -x[5]))[0]
+    return [(*s, int(s[0] == best)) for s in steps]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators import learning, stateful as st
 from ..operators.aggregates import ORIENT  # noqa: F401
 from ..operators.windows import _STATES
+from ..sources import readers
 from .fixtures import FIXTURES, Tables, _INPUT, needed
 from .operator import Operator, render
 
@@ -105,7 +106,28 @@ _FEATURES = ["score", "support", "anchors"]
 
 def _ranker(spark, t):
     rows = _sql(t, "SELECT q.w, q.qid, q.cand, q.score, q.conf, CASE WHEN r.tstate = q.cstate THEN 1 ELSE 0 END AS label FROM {scores} q JOIN {truth} r ON r.w = q.w AND r.pos = q.pos", "w long, qid string, cand string, score double, conf double, label int")
-    return learning.rank_candidates(rows, ["score", "conf"], ["w", "qid"])
+    return learning.rank_candidates(rows.withColumn("sample", 0.5 + F.col("conf")), ["score", "conf"], ["w", "qid"], "sample")
+
+
+def _json_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments as a table with JSON cells, read back."""
+    at = F.sort_array(F.collect_list(F.struct("pos", F.col("allele").cast("int").alias("allele"), F.col("weight").cast("double").alias("weight"))))
+    cells = Tables(spark, sf_dir)["frags"].groupBy("w", "read_id").agg(at.alias("x"))
+    return readers.fragments_from_cells(cells.select("w", "read_id", F.to_json("x.pos").alias("positions"), F.to_json("x.allele").alias("alleles"), F.to_json("x.weight").alias("weights")), "w", "read_id").withColumn("weight", F.round("weight", 6))
+
+
+_SINKS = {"calls": "json", "blocks": "csv", "fills": "parquet"}
+
+
+def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written in each format and read back."""
+    t, folder = Tables(spark, sf_dir), readers.scratch_dir(spark)
+    readers.write_results({n: t[n] for n in _SINKS}, folder, _SINKS)
+    parts = []
+    for name, kind in _SINKS.items():
+        back = spark.read.schema(t[name].schema).format(kind).option("header", True).load(f"{folder}/{name}")
+        parts.append(back.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum("w").cast("long").alias("windows"), F.countDistinct("block_id").alias("blocks")))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -134,10 +156,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "I38_prefix_retrieval": _window(_panel_rows, st.prefix_retrieval, "w long, mode string, path int, hap long, left_run long, right_run long, matched long"),
         "I41_I42_hmm_predict": _window(_panel_rows, st.hmm_predict, "w long, pos long, state int, alt double, pred int"),
         "I46_acceptance_model": _learn(lambda s, t: learning.out_of_fold(_labelled(t), _FEATURES, "grp").select("id", "fold", "prob")),
+        "I46b_model_metrics": _learn(lambda s, t: learning.metrics(learning.out_of_fold(_labelled(t), _FEATURES, "grp"))),
         "I47_bridge_model": _learn(lambda s, t: learning.out_of_fold(_labelled(t), learning.useful_features(_labelled(t), [*_FEATURES, "label"], {"label"}), "grp", k=2).select("id", "fold", "prob")),
         "I48_candidate_ranker": _learn(lambda s, t: _ranker(s, t).select("w", "qid", "cand", "rank_score", "rank")),
+        "I48b_ranker_top1": _learn(lambda s, t: learning.top_one(_ranker(s, t))),
         "I49_site_confidence": _learn(lambda s, t: learning.holdout_by_group(_labelled(t), _FEATURES, "method", "grp").select("id", "held", "prob")),
-        "I50_feature_pruning": _learn(lambda s, t: s.createDataFrame(learning.prune(_labelled(t), {f: [f] for f in _FEATURES}), "step int, dropped string, metric double")),
+        "I50_feature_pruning": _learn(lambda s, t: s.createDataFrame(learning.prune(_labelled(t), {"evidence": ["support", "anchors"], "model": ["score"]}), "step int, phase string, dropped string, auc double, ap double, features int, best int")),
+        "H9_json_cells": _json_cells,
+        "A21_sinks": _sinks,
         "F6_importances": _learn(lambda s, t: s.createDataFrame(learning.importances(_labelled(t), _FEATURES), "feature string, gain double")),
     }
 
@@ -169,6 +195,30 @@ def oracle_sql() -> dict[str, str]:
             SELECT f.w, f.i, f.comp, CASE WHEN g.s = 1 THEN g.k1 ELSE g.k0 END, f.k0, f.k1, f.plus, f.minus, f.link FROM g JOIN f ON f.w = g.w AND f.i = g.i - 1)""",
             "SELECT CAST(w AS BIGINT) AS w, CAST(comp AS BIGINT) AS comp, CAST(CASE WHEN s = 1 AND NOT (abs(minus - plus) < 0.75 AND link = 0) THEN -1 ELSE 1 END AS INT) AS orientation, CAST(abs(minus - plus) AS DOUBLE) AS margin FROM g",
         ),
+        "H9_json_cells": _recursive(["frags"], "x AS (SELECT 1)", "SELECT CAST(w AS BIGINT) AS w, CAST(read_id AS BIGINT) AS read_id, CAST(pos AS BIGINT) AS pos, CAST(allele AS INT) AS allele, round(CAST(weight AS DOUBLE), 6) AS weight FROM frags"),
+        "A21_sinks": _recursive(list(_SINKS), "x AS (SELECT 1)", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, CAST(sum(w) AS BIGINT) AS windows, count(DISTINCT block_id) AS blocks FROM {n}" for n in _SINKS)),
+        "I22_connectivity_regions": _recursive(
+            ["frags"],
+            f"""r AS (SELECT w, pos, row_number() OVER (PARTITION BY w ORDER BY pos) AS rn FROM (SELECT DISTINCT w, pos FROM frags) AS f),
+            s AS (SELECT w, rn, pos, pos AS start, 1 AS n, 0 AS piece FROM r WHERE rn = 1 UNION ALL
+            SELECT r.w, r.rn, r.pos, CASE WHEN {split} THEN r.pos ELSE s.start END, CASE WHEN {split} THEN 1 ELSE s.n + 1 END, s.piece + CASE WHEN {split} THEN 1 ELSE 0 END FROM s JOIN r ON r.w = s.w AND r.rn = s.rn + 1)""",
+            "SELECT CAST(w AS BIGINT) AS w, CAST(pos AS BIGINT) AS pos, CAST(piece AS BIGINT) AS piece FROM s",
+        ),
+        "I32_two_colouring": _recursive(
+            ["obsedges"],
+            """nodes AS (SELECT w, a AS n FROM obsedges UNION SELECT w, b FROM obsedges), one AS (SELECT w, a, b, CASE WHEN pw >= mw THEN 1 ELSE -1 END AS s FROM obsedges WHERE round(greatest(pw, mw) / round(pw + mw, 9), 9) >= 0.8),
+            step AS (SELECT w, a, b, s FROM one UNION ALL SELECT w, b, a, s FROM one),
+            reach AS (SELECT w, n, n AS m, 1 AS s FROM nodes UNION SELECT r.w, r.n, t.b, r.s * t.s FROM reach r JOIN step t ON t.w = r.w AND t.a = r.m),
+            broken AS (SELECT DISTINCT w, n FROM reach WHERE n = m AND s = -1), low AS (SELECT w, n, min(m) AS m FROM reach GROUP BY w, n)""",
+            """SELECT CAST(r.w AS BIGINT) AS w, CAST(r.n AS BIGINT) AS comp, CAST(CASE WHEN b.n IS NULL THEN r.m ELSE r.n END AS BIGINT) AS block, CAST(max(CASE WHEN b.n IS NULL THEN r.s ELSE 1 END) AS INT) AS orientation
+            FROM reach r JOIN low l ON l.w = r.w AND l.n = r.n AND l.m = r.m LEFT JOIN broken b ON b.w = r.w AND b.n = r.n GROUP BY r.w, r.n, r.m, b.n""",
+        ),
+        "I35_prefix_index": _recursive(
+            ["calls", "psites", "panel"],
+            """keyed AS (SELECT c.w, p.hap, string_agg(CASE WHEN p.allele > 0 THEN '1' ELSE '0' END, '' ORDER BY c.pos DESC) AS word, count(*) AS n FROM calls c JOIN psites v ON v.pos = c.pos JOIN panel p ON p.k = v.k GROUP BY c.w, p.hap),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY word, hap) - 1 AS rank, lag(word) OVER (PARTITION BY w ORDER BY word, hap) AS prev FROM keyed)""",
+            "SELECT CAST(w AS BIGINT) AS w, CAST(rank AS BIGINT) AS rank, CAST(hap AS BIGINT) AS hap, CAST(CASE WHEN prev IS NULL THEN n ELSE n - len(list_filter(range(1, n + 1), lambda j: substr(word, 1, j) = substr(prev, 1, j))) END AS BIGINT) AS divergence FROM ranked",
+        ),
         "E8_component_split": _recursive(
             ["comps"],
             f"""r AS (SELECT w, pos, row_number() OVER (PARTITION BY w ORDER BY pos) AS rn FROM comps),

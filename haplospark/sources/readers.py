@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -57,6 +59,39 @@ class RunConfig:
         return RunConfig(**{k: v for k, v in values.items() if k in names}, extra={k: v for k, v in values.items() if k not in names})
 
 
+def read_config(path: str) -> RunConfig:
+    """Run parameters from a YAML or JSON file on the driver; only mappings of plain values."""
+    import yaml
+
+    with open(path) as f:
+        values = yaml.safe_load(f)
+    if not isinstance(values, dict):
+        raise ValueError(f"not a mapping: {path!r}")
+    return RunConfig.of(values)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; only in local mode one of this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="results-")
+    return f"{path.rstrip('/')}/results-{uuid.uuid4().hex}"
+
+
+def fragments_from_cells(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each observation of cells that hold JSON lists: ``positions``, ``alleles``, ``weights``.
+
+    Numbers in quotes count; a cell that is null, empty or no list gives no
+    observations; a missing weight is 1; positions without an allele are dropped.
+    """
+    listed = lambda c: F.transform(F.from_json(F.col(c).cast("string"), "array<string>"), lambda x: x.try_cast("double"))
+    cells = rows.select(*keys, F.arrays_zip(listed("positions").alias("pos"), listed("alleles").alias("allele"), F.coalesce(listed("weights"), F.array().cast("array<double>")).alias("weight")).alias("x"))
+    out = cells.select(*keys, F.explode("x").alias("x")).where("x.pos IS NOT NULL AND x.allele IS NOT NULL")
+    return out.select(*keys, F.col("x.pos").cast("long").alias("pos"), F.col("x.allele").cast("int").alias("allele"), F.coalesce("x.weight", F.lit(1.0)).alias("weight"))
+
+
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
