@@ -54,3 +54,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = sorted(map(tuple, spark.table("support").collect()))
     assert got == sorted(map(tuple, streaming_support(df).collect())) == [(0, 100, 0.5, 1.0, 2), (0, 200, 1.0, 0.0, 1)]
+
+
+def test_json_cells_and_config(spark, tmp_path):
+    rows = [("a", "[10, 20]", "[1, -1]", "[0.5, 2]"), ("b", '["30"]', '["-1"]', None), ("c", "[]", "[]", "[]"), ("d", "oops", "[1]", "[1]"), ("e", None, None, None), ("f", "[1, 2]", "[1]", "[]")]
+    got = readers.fragments_from_cells(spark.createDataFrame(rows, "read_id string, positions string, alleles string, weights string"), "read_id").collect()
+    assert sorted(map(tuple, got)) == [("a", 10, 1, 0.5), ("a", 20, -1, 2.0), ("b", 30, -1, 1.0), ("f", 1, 1, 1.0)]
+    (tmp_path / "run.yaml").write_text("sample_id: s1\ntop_k: 5\nmore: [1, 2]\n")
+    c = readers.read_config(str(tmp_path / "run.yaml"))
+    assert (c.sample_id, c.top_k, c.extra) == ("s1", 5, {"more": [1, 2]})
+    (tmp_path / "bad.yaml").write_text("- 1")
+    with pytest.raises(ValueError):
+        readers.read_config(str(tmp_path / "bad.yaml"))
