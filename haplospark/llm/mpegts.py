@@ -182,10 +182,10 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 
 DECODED = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "timestamps array<long>, random_access array<struct<pts: long, packet: long>>"
+    "timestamps array<long>, random_access array<struct<pts: long, packet: long>>, continuity_errors int"
 )
-_DECODED_TYPES = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64())]))]
-_DECODED_NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access"]
+_DECODED_TYPES = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64())])), pa.int32()]
+_DECODED_NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access", "continuity_errors"]
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +195,13 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = demux(media)
             level = np.bincount(np.frombuffer(s.payload, np.uint8), minlength=256)
             feature = f"packets={s.packets};units={len(s.timestamps)};errors={s.continuity_errors};last_pts={s.timestamps[-1]};points={len(s.random_access)};sum={int(level @ np.arange(256))};levels={int((level > 0).sum())}"
-            rows.append((doc_id, size, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.timestamps, [{"pts": p, "packet": k} for p, k in s.random_access]))
+            rows.append((doc_id, size, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.timestamps, [{"pts": p, "packet": k} for p, k in s.random_access], s.continuity_errors))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _DECODED_TYPES)], names=_DECODED_NAMES)
 
 
 def decode_media(media: DataFrame) -> DataFrame:
-    """Demultiplex a stored media column; timestamps and random-access points come with the digests."""
+    """Demultiplex a stored media column; timestamps, random-access points and the number of gaps in the counters come with the digests: a stream with gaps has lost payload."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, DECODED)
 
 
