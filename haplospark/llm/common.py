@@ -71,7 +71,7 @@ def hub_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inne
     if hubs.isEmpty():
         return big.join(small, keys, how)
     hubs = hubs.drop("rows")
-    warm = big.join(F.broadcast(hubs), keys, how)
+    warm = big.join(F.broadcast(hubs), keys, "inner" if how == "left" else how)
     return big.join(F.broadcast(hubs.select(*keys)), keys, "left_anti").join(small, keys, how).unionByName(warm)
 
 

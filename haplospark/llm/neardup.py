@@ -271,9 +271,12 @@ def _proposals(dealt: DataFrame, radius: int, similarity: float, nearest: int, l
 
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose texts have the similarity."""
-    pairs = edges.distinct().join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b")
+    edges = cut(edges.distinct(), "edges")
+    pairs = edges.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return cut(pairs.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "verified")
+    verified = cut(pairs.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "verified")
+    drop(edges)
+    return verified
 
 
 def _merged(known: DataFrame, linked: DataFrame) -> DataFrame:

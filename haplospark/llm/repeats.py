@@ -291,7 +291,7 @@ def repeated_spans(docs: DataFrame, spec: Spec, solver, dtype, block_bytes: int
     many = F.sum(F.col("copies") * F.size("packs"))
     at = F.min(F.struct("t1", "t2", F.col("packs")[0].alias("pack")))
     distinct = cut(kept.groupBy("akey", "seg").agg(many.alias("many"), F.count(F.lit(1)).alias("rows"), at.alias("at")), "distinct")
-    over = distinct.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > spec.hot).select("akey", F.lit(True).alias("hot"))
+    over = cut(distinct.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > spec.hot).select("akey", F.lit(True).alias("hot")), "over")
     want = (
         distinct.join(over, "akey", "left")
         .groupBy("at.t1", "at.t2")
@@ -304,7 +304,7 @@ def repeated_spans(docs: DataFrame, spec: Spec, solver, dtype, block_bytes: int
     runs = _runs(fetched.select("akey", "seg", "off", "lo", "many", "hot", "content"), spec, solver, block_bytes, np.dtype(dtype).itemsize, widths)
     runs = runs.groupBy("akey", "seg").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("r"))
     runs = cut(runs.join(distinct.select("akey", "seg", "rows"), ["akey", "seg"]), "runs")
-    drop(fetched, want, distinct)
+    drop(fetched, want, distinct, over)
     shift = lambda p, x: F.struct((F.shiftright(p, 24) + x["a"]).alias("a"), (F.shiftright(p, 24) + x["b"] + (spec.length - 1)).alias("b"))
     spans = hub_join(kept, runs, ["akey", "seg"]).select("t1", "t2", F.flatten(F.transform("packs", lambda p: F.transform("r", lambda x: shift(p, x)))).alias("r"))
     spans = cut(spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("r")).alias("spans")), "spans")

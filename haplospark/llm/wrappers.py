@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, hub_join
 
 # HTML elements by their role.
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "button", "head", "title", "object", "canvas", "datalist"}
@@ -406,9 +406,10 @@ HOSTS = 200
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Wrapper] = {}
+    count: dict[str, int] = {}
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([w.dumps() for w in held.values()], pa.binary())], names=["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([w.dumps() for w in held.values()], pa.binary()), pa.array([count[h] for h in held], pa.int64())], names=["host", "wrapper", "rows"])
 
     for b in batches:
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -417,8 +418,9 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host = host_of(url)
                 if host not in held and len(held) >= HOSTS:
                     yield out()
-                    held = {}
+                    held, count = {}, {}
                 held.setdefault(host, Wrapper()).add(found)
+                count[host] = count.get(host, 0) + 1
     if held:
         yield out()
 
@@ -428,24 +430,24 @@ def _merged(frame: pd.DataFrame) -> pd.DataFrame:
     for raw in sorted(frame["wrapper"]):
         w.merge(Wrapper.loads(raw))
     first = frame.iloc[0]
-    return pd.DataFrame({"host": [first["host"]], "salt": [first["salt"] // 32], "wrapper": [w.dumps()]})
+    return pd.DataFrame({"host": [first["host"]], "salt": [first["salt"]], "wrapper": [w.dumps()], "rows": [frame["rows"].sum()]})
 
 
 def _ruled(frame: pd.DataFrame) -> pd.DataFrame:
     w = Wrapper.loads(_merged(frame)["wrapper"][0])
-    return pd.DataFrame({"host": [frame.iloc[0]["host"]], "rule": [json.dumps(w.rule())]})
+    return pd.DataFrame({"host": [frame.iloc[0]["host"]], "rule": [json.dumps(w.rule())], "rows": [frame["rows"].sum()]})
 
 
 def host_rules(pages: DataFrame) -> DataFrame:
-    """``host, rule``: a rule for each host, from all its pages.
+    """``host, rule, rows``: a rule for each host, from all its pages, and their number.
 
     A task aligns the pages it reads into one partial wrapper a host, so that a
     host with a third of all pages sends one small row a task; these are merged
     in two rounds, dealt by 32 salts first.
     """
-    schema = "host string, salt int, wrapper binary"
-    partial = pages.select("url", "html").mapInArrow(_partial, "host string, wrapper binary").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)).cast("int"))
-    return partial.groupBy("host", "salt").applyInPandas(_merged, schema).groupBy("host").applyInPandas(_ruled, "host string, rule string")
+    schema = "host string, salt int, wrapper binary, rows long"
+    partial = pages.select("url", "html").mapInArrow(_partial, "host string, wrapper binary, rows long").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)).cast("int"))
+    return partial.groupBy("host", "salt").applyInPandas(_merged, schema).groupBy("host").applyInPandas(_ruled, "host string, rule string, rows long")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,5 +482,5 @@ def extract(pages: DataFrame) -> DataFrame:
     def host(url: pd.Series) -> pd.Series:
         return url.map(host_of)
 
-    joined = rows.withColumn("host", host(F.col("url"))).join(rules.select("host", "rule"), "host", "left")
+    joined = hub_join(rows.withColumn("host", host(F.col("url"))), rules, ["host"], "left")
     return joined.select("page_id", "url", "html", "rule").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
