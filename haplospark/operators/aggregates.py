@@ -35,9 +35,16 @@ _ANCHORED = """(SELECT w, pos, apos, state, block_id, abs(apos - pos) AS d, CASE
 SELECT *, row_number() OVER (PARTITION BY w, pos, CASE WHEN apos < pos THEN 'L' ELSE 'R' END ORDER BY abs(apos - pos), apos) AS rn FROM (SELECT f.w, f.pos, c.pos AS apos, c.state, c.block_id FROM (SELECT DISTINCT w, pos, IDIV(pos|500) + d AS bucket FROM {fills} CROSS JOIN (VALUES (-1), (0), (1)) AS n(d)) f
 JOIN (SELECT w, pos, state, block_id, IDIV(pos|500) AS bucket FROM {calls} WHERE state <> 0) c ON f.w = c.w AND f.bucket = c.bucket AND abs(c.pos - f.pos) <= 500 AND c.pos <> f.pos) AS q) AS t WHERE rn <= 4)"""
 _HAPS = f"""(SELECT n.w, n.pos, n.apos, n.block_id, n.state, n.d, n.side, x.hap, x.donor, x.grp, x.allele AS target, y.allele AS anchor FROM {_ANCHORED} n JOIN {{psites}} vx ON vx.pos = n.pos JOIN {{panel}} x ON x.k = vx.k JOIN {{psites}} vy ON vy.pos = n.apos JOIN {{panel}} y ON y.k = vy.k AND y.hap = x.hap)"""
+#: On Spark the panel is one array of alleles a site (al, 0: none), in the order of haplotypes; a pair of sites or an anchor costs one array expression.
+_ARRAYS = """hj AS (SELECT hap, donor, grp, CAST(row_number() OVER (ORDER BY hap) - 1 AS INT) AS j FROM (SELECT DISTINCT hap, donor, grp FROM {panel}) AS u),
+P AS (SELECT k, a.hap AS hs, a.donor AS dn, a.grp AS gn, transform(a.hap, h -> CAST(coalesce(element_at(m, h), 0) AS TINYINT)) AS al FROM (SELECT k, map_from_entries(collect_list(struct(hap, allele))) AS m FROM {panel} GROUP BY k) AS e CROSS JOIN (SELECT array_sort(collect_list(struct(j, hap, donor, grp))) AS a FROM hj) AS names)"""
+_PLACED = f"""n AS (SELECT n.*, vx.k, vy.k AS ka FROM {_ANCHORED} n JOIN {{psites}} vx ON vx.pos = n.pos JOIN {{psites}} vy ON vy.pos = n.apos), {_ARRAYS}"""
+_SITED = f"""{_PLACED}, Z AS (SELECT q.k, q.ka, x.dn, zip_with(x.al, y.al, (a, b) -> CAST(a * b AS INT)) AS z FROM (SELECT DISTINCT k, ka FROM n) q JOIN P x ON x.k = q.k JOIN P y ON y.k = q.ka)"""
 define("D9_panel_ld_vote", "w long, pos long, block_id string, plus double, minus double, haps long, samples long, anchors long", f"""
 SELECT w, pos, block_id, sum(CASE WHEN target * anchor * state > 0 THEN 1.0 / (1.0 + d / 5000.0) ELSE 0.0 END) AS plus, sum(CASE WHEN target * anchor * state < 0 THEN 1.0 / (1.0 + d / 5000.0) ELSE 0.0 END) AS minus,
-count(*) AS haps, count(DISTINCT donor) AS samples, count(DISTINCT apos) AS anchors FROM {_HAPS} AS h GROUP BY w, pos, block_id HAVING count(DISTINCT donor) >= :min_samples""", min_samples=5)
+count(*) AS haps, count(DISTINCT donor) AS samples, count(DISTINCT apos) AS anchors FROM {_HAPS} AS h GROUP BY w, pos, block_id HAVING count(DISTINCT donor) >= :min_samples""", f"""WITH {_SITED}, ld AS (SELECT k, ka, size(filter(z, v -> v > 0)) AS up, size(filter(z, v -> v < 0)) AS down, size(array_distinct(filter(zip_with(z, dn, (v, d) -> CASE WHEN v <> 0 THEN d END), d -> d IS NOT NULL))) AS samples FROM Z)
+SELECT w, pos, block_id, sum((CASE WHEN state > 0 THEN up ELSE down END) / (1.0 + d / 5000.0)) AS plus, sum((CASE WHEN state > 0 THEN down ELSE up END) / (1.0 + d / 5000.0)) AS minus,
+sum(up + down) AS haps, max(samples) AS samples, count(DISTINCT apos) AS anchors FROM n JOIN ld ON ld.k = n.k AND ld.ka = n.ka GROUP BY w, pos, block_id HAVING max(samples) >= :min_samples""", min_samples=5)
 define("D10_template_fill", "w long, pos long, comp long, plus double, minus double, templates long", """
 SELECT f.w, f.pos, o.comp, sum(CASE WHEN f.allele * o.orient > 0 THEN f.weight ELSE 0.0 END) AS plus, sum(CASE WHEN f.allele * o.orient < 0 THEN f.weight ELSE 0.0 END) AS minus, count(DISTINCT f.read_id) AS templates
 FROM {frags} f JOIN (SELECT f.w, f.read_id, c.comp, CASE WHEN sum(f.weight * f.allele * c.state) > 0 THEN 1 ELSE -1 END AS orient FROM {frags} f JOIN {comps} c ON f.w = c.w AND f.pos = c.pos GROUP BY f.w, f.read_id, c.comp HAVING round(abs(sum(f.weight * f.allele * c.state)), 6) >= :margin) o ON o.w = f.w AND o.read_id = f.read_id
@@ -52,18 +59,34 @@ JOIN {frags} x ON x.w = a.w AND x.pos = a.pos JOIN {frags} y ON y.w = a.w AND y.
 define("D13_donor_features", "w long, pos long, plus double, minus double, lft double, rgt double, top1 double, effn double, entropy double, two_sided int, agree int, log_margin double", f"""
 SELECT w, pos, sum(greatest(s, 0.0)) AS plus, sum(greatest(-s, 0.0)) AS minus, sum(l) AS lft, sum(r) AS rgt, max(abs(s)) AS top1, CASE WHEN sum(s * s) > 0 THEN sum(abs(s)) * sum(abs(s)) / sum(s * s) ELSE 0.0 END AS effn,
 ln(sum(abs(s)) + 0.000001) - sum(abs(s) * ln(abs(s) + 0.000001)) / (sum(abs(s)) + 0.000001) AS entropy, CASE WHEN sum(abs(l)) > 0 AND sum(abs(r)) > 0 THEN 1 ELSE 0 END AS two_sided, CASE WHEN sum(l) * sum(r) > 0.000001 THEN 1 ELSE 0 END AS agree, ln(1.0 + abs(sum(s))) AS log_margin
-FROM (SELECT w, pos, donor, sum(v) AS s, sum(CASE WHEN side = 'L' THEN v ELSE 0.0 END) AS l, sum(CASE WHEN side = 'R' THEN v ELSE 0.0 END) AS r FROM (SELECT w, pos, donor, side, target * anchor * state * exp(-d / 50000.0) AS v FROM {_HAPS} AS h) AS g GROUP BY w, pos, donor) AS x GROUP BY w, pos""")
+FROM (SELECT w, pos, donor, sum(v) AS s, sum(CASE WHEN side = 'L' THEN v ELSE 0.0 END) AS l, sum(CASE WHEN side = 'R' THEN v ELSE 0.0 END) AS r FROM (SELECT w, pos, donor, side, target * anchor * state * exp(-d / 50000.0) AS v FROM {_HAPS} AS h) AS g GROUP BY w, pos, donor) AS x GROUP BY w, pos""", f"""WITH {_SITED}, ix AS (SELECT collect_list(js) AS js FROM (SELECT donor, collect_list(j) AS js FROM hj GROUP BY donor) AS e),
+ld AS (SELECT k, ka, transform(js, e -> aggregate(e, 0, (s, j) -> s + z[j])) AS dv FROM Z CROSS JOIN ix),
+g AS (SELECT n.w, n.pos, collect_list(struct(n.side, n.state * exp(-n.d / 50000.0) AS c, ld.dv)) AS xs FROM n JOIN ld ON ld.k = n.k AND ld.ka = n.ka GROUP BY n.w, n.pos),
+v AS (SELECT w, pos, aggregate(filter(xs, x -> x.side = 'L'), transform(xs[0].dv, e -> 0.0), (s, x) -> zip_with(s, x.dv, (a, b) -> a + x.c * b)) AS l, aggregate(filter(xs, x -> x.side = 'R'), transform(xs[0].dv, e -> 0.0), (s, x) -> zip_with(s, x.dv, (a, b) -> a + x.c * b)) AS r FROM g),
+t AS (SELECT w, pos, s, aggregate(l, 0.0, (a, x) -> a + x) AS lft, aggregate(r, 0.0, (a, x) -> a + x) AS rgt, aggregate(l, 0.0, (a, x) -> a + abs(x)) AS la, aggregate(r, 0.0, (a, x) -> a + abs(x)) AS ra, aggregate(s, 0.0, (a, x) -> a + greatest(x, 0.0)) AS plus, aggregate(s, 0.0, (a, x) -> a + greatest(-x, 0.0)) AS minus, aggregate(s, 0.0, (a, x) -> a + x * x) AS sq,
+aggregate(s, 0.0, (a, x) -> a + abs(x) * ln(abs(x) + 0.000001)) AS logs FROM (SELECT *, zip_with(l, r, (a, b) -> a + b) AS s FROM v) AS v1)
+SELECT w, pos, plus, minus, lft, rgt, array_max(transform(s, x -> abs(x))) AS top1, CASE WHEN sq > 0 THEN (plus + minus) * (plus + minus) / sq ELSE 0.0 END AS effn, ln(plus + minus + 0.000001) - logs / (plus + minus + 0.000001) AS entropy,
+CASE WHEN la > 0 AND ra > 0 THEN 1 ELSE 0 END AS two_sided, CASE WHEN lft * rgt > 0.000001 THEN 1 ELSE 0 END AS agree, ln(1.0 + abs(plus - minus)) AS log_margin FROM t""")
 _SCORED = f"""(SELECT w, pos, hap, grp, max(target) AS target, sum(CASE WHEN anchor = state THEN exp(-d / 1000.0) ELSE 0.0 END) AS score, sum(CASE WHEN anchor <> state THEN exp(-d / 1000.0) ELSE 0.0 END) AS other,
 sum(CASE WHEN anchor = state AND side = 'L' THEN exp(-d / 1000.0) ELSE 0.0 END) AS ls, min(d) AS nearest FROM {_HAPS} AS h GROUP BY w, pos, hap, grp)"""
 _TOP = f"""(SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY round(score, 9) DESC, hap) AS rn FROM {_SCORED} AS hs)"""
+_WEIGHED = f"""{_PLACED}, g AS (SELECT n.w, n.pos, n.k, min(n.d) AS nearest, collect_list(struct(n.side, n.state, exp(-n.d / 1000.0) AS c, y.al)) AS xs FROM n JOIN P y ON y.k = n.ka GROUP BY n.w, n.pos, n.k),
+S AS (SELECT g.w, g.pos, g.nearest, x.hs, x.gn, x.al AS target, aggregate(xs, transform(x.hs, e -> 0.0), (s, a) -> zip_with(s, a.al, (u, b) -> CASE WHEN b = a.state THEN u + a.c ELSE u END)) AS score,
+aggregate(filter(xs, a -> a.side = 'L'), transform(x.hs, e -> 0.0), (s, a) -> zip_with(s, a.al, (u, b) -> CASE WHEN b = a.state THEN u + a.c ELSE u END)) AS ls FROM g JOIN P x ON x.k = g.k)"""
+_BEST = f"""{_WEIGHED}, T AS (SELECT w, pos, nearest, inline(slice(array_sort(transform(sequence(0, size(hs) - 1), i -> struct(-round(score[i], 9) AS o, hs[i] AS hap, target[i] AS target, score[i] AS score, ls[i] AS ls))), 1, :top)) FROM S)"""
 define("D14_match_features", "w long, pos long, alt_support double, ref_support double, haps long, best double", f"""
-SELECT w, pos, sum(CASE WHEN target > 0 THEN score ELSE 0.0 END) AS alt_support, sum(CASE WHEN target < 0 THEN score ELSE 0.0 END) AS ref_support, count(*) AS haps, max(score) AS best FROM {_TOP} AS t WHERE rn <= :top GROUP BY w, pos""", top=16)
+SELECT w, pos, sum(CASE WHEN target > 0 THEN score ELSE 0.0 END) AS alt_support, sum(CASE WHEN target < 0 THEN score ELSE 0.0 END) AS ref_support, count(*) AS haps, max(score) AS best FROM {_TOP} AS t WHERE rn <= :top GROUP BY w, pos""", f"""WITH {_BEST}
+SELECT w, pos, sum(CASE WHEN target > 0 THEN score ELSE 0.0 END) AS alt_support, sum(CASE WHEN target < 0 THEN score ELSE 0.0 END) AS ref_support, count(*) AS haps, max(score) AS best FROM T GROUP BY w, pos""", top=16)
 define("D15_copying_features", "w long, pos long, context string, alt_prob double, entropy double, nearest double", f"""
 SELECT w, pos, context, sum(CASE WHEN target > 0 THEN p ELSE 0.0 END) AS alt_prob, -sum(p * ln(p + 0.000000001)) AS entropy, avg(nearest) AS nearest FROM (SELECT w, pos, context, target, nearest, exp(v - max(v) OVER (PARTITION BY w, pos, context)) / sum(exp(v)) OVER (PARTITION BY w, pos, context) * exp(max(v) OVER (PARTITION BY w, pos, context)) AS p
-FROM (SELECT w, pos, target, nearest, context, CASE context WHEN 'all' THEN score WHEN 'left' THEN ls ELSE score - ls END AS v FROM {_TOP} AS t CROSS JOIN (VALUES ('all'), ('left'), ('right')) AS c(context) WHERE rn <= :top) AS a) AS b GROUP BY w, pos, context""", top=16)
+FROM (SELECT w, pos, target, nearest, context, CASE context WHEN 'all' THEN score WHEN 'left' THEN ls ELSE score - ls END AS v FROM {_TOP} AS t CROSS JOIN (VALUES ('all'), ('left'), ('right')) AS c(context) WHERE rn <= :top) AS a) AS b GROUP BY w, pos, context""", f"""WITH {_BEST}
+SELECT w, pos, context, sum(CASE WHEN target > 0 THEN p ELSE 0.0 END) AS alt_prob, -sum(p * ln(p + 0.000000001)) AS entropy, avg(nearest) AS nearest FROM (SELECT w, pos, context, target, nearest, exp(v - max(v) OVER (PARTITION BY w, pos, context)) / sum(exp(v)) OVER (PARTITION BY w, pos, context) * exp(max(v) OVER (PARTITION BY w, pos, context)) AS p
+FROM (SELECT w, pos, target, nearest, context, CASE context WHEN 'all' THEN score WHEN 'left' THEN ls ELSE score - ls END AS v FROM T CROSS JOIN (VALUES ('all'), ('left'), ('right')) AS c(context)) AS a) AS b GROUP BY w, pos, context""", top=16)
 define("D16_ancestry_features", "w long, pos long, weighted double, plain double, delta double, groups long", f"""
 SELECT w, pos, sum(sg * mass / whole) AS weighted, sum(sg) AS plain, sum(sg * mass / whole) - sum(sg) AS delta, count(*) AS groups FROM (SELECT *, sum(mass) OVER (PARTITION BY w, pos) AS whole FROM (
-SELECT w, pos, grp, sum(target * score) AS sg, avg(score) + 0.000001 AS mass FROM {_SCORED} AS h GROUP BY w, pos, grp) AS g) AS p GROUP BY w, pos""")
+SELECT w, pos, grp, sum(target * score) AS sg, avg(score) + 0.000001 AS mass FROM {_SCORED} AS h GROUP BY w, pos, grp) AS g) AS p GROUP BY w, pos""", f"""WITH {_WEIGHED}, gx AS (SELECT collect_list(js) AS js FROM (SELECT grp, collect_list(j) AS js FROM hj GROUP BY grp) AS e)
+SELECT w, pos, sum(sg * mass / whole) AS weighted, sum(sg) AS plain, sum(sg * mass / whole) - sum(sg) AS delta, count(*) AS groups FROM (SELECT *, sum(mass) OVER (PARTITION BY w, pos) AS whole FROM (
+SELECT w, pos, aggregate(e, 0.0, (s, j) -> s + target[j] * score[j]) AS sg, aggregate(e, 0.0, (s, j) -> s + score[j]) / size(e) + 0.000001 AS mass FROM (SELECT w, pos, target, score, explode(js) AS e FROM S CROSS JOIN gx) AS q) AS g) AS p GROUP BY w, pos""")
 define("D17_scaffold_block_choice", "w long, pos long, block_id string, two_sided int, n long, mean_d double", f"""
 SELECT w, pos, block_id, two_sided, n, mean_d FROM (SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY two_sided DESC, n DESC, round(mean_d, 6), min_d, block_id) AS rn FROM (SELECT w, pos, block_id, CASE WHEN count(DISTINCT side) = 2 THEN 1 ELSE 0 END AS two_sided, count(*) AS n, avg(d) AS mean_d, min(d) AS min_d
 FROM {_ANCHORED} AS n GROUP BY w, pos, block_id) AS x) AS y WHERE rn = 1""")

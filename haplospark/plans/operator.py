@@ -34,13 +34,14 @@ class Operator:
     sql: str
     out: str  #: result columns, "name type, ..."; types long, int, double, string
     params: dict = field(default_factory=dict)
+    spark: str | None = None  #: the plan on Spark where it is another than the comparison's
 
     @property
     def inputs(self) -> list[str]:
-        return list(dict.fromkeys(_INPUT.findall(self.sql)))
+        return list(dict.fromkeys(_INPUT.findall(self.sql + (self.spark or ""))))
 
-    def text(self, params: dict | None = None) -> str:
-        sql = self.sql
+    def text(self, params: dict | None = None, spark: bool = False) -> str:
+        sql = self.spark if spark and self.spark else self.sql
         for k, v in sorted((self.params | (params or {})).items(), key=lambda x: -len(x[0])):
             sql = re.sub(rf":{k}\b", repr(v), sql)
         cols = []
@@ -52,12 +53,12 @@ class Operator:
 
     def run(self, spark: SparkSession, frames: dict[str, DataFrame], **params) -> DataFrame:
         """Apply to DataFrames named as the operator's inputs."""
-        return spark.sql(render(self.text(params), True), **{k: frames[k] for k in self.inputs})
+        return spark.sql(render(self.text(params, True), True), **{k: frames[k] for k in self.inputs})
 
 
 REGISTRY: dict[str, Operator] = {}
 
 
-def define(name: str, out: str, sql: str, **params) -> Operator:
-    op = REGISTRY[name] = Operator(name, sql.strip(), " ".join(out.split()), params)
+def define(name: str, out: str, sql: str, spark: str | None = None, **params) -> Operator:
+    op = REGISTRY[name] = Operator(name, sql.strip(), " ".join(out.split()), params, spark)
     return op
