@@ -99,7 +99,14 @@ SELECT w, a, b, same, flip, CASE WHEN same >= flip THEN 1 ELSE -1 END AS relatio
 SELECT w, a, b, sum(s) AS same, sum(f) AS flip, sum(s + f) * sum(s + f) / (sum((s + f) * (s + f)) + 0.000001) AS effn FROM (SELECT *, row_number() OVER (PARTITION BY w, a, b ORDER BY round(s + f, 9) DESC, hap) AS rn FROM (SELECT w, a, b, hap, least(ap, bp) + least(am, bm) AS s, least(ap, bm) + least(am, bp) AS f FROM (
 SELECT e.w, e.a, e.b, h.hap, sum(CASE WHEN e.side = 'a' AND h.allele = e.state THEN 1.0 ELSE 0.0 END) AS ap, sum(CASE WHEN e.side = 'a' AND h.allele <> e.state THEN 1.0 ELSE 0.0 END) AS am, sum(CASE WHEN e.side = 'b' AND h.allele = e.state THEN 1.0 ELSE 0.0 END) AS bp, sum(CASE WHEN e.side = 'b' AND h.allele <> e.state THEN 1.0 ELSE 0.0 END) AS bm
 FROM (SELECT p.w, p.a, p.b, 'a' AS side, x.pos, x.state FROM {_PAIR} AS p JOIN {_EDGE} AS x ON x.w = p.w AND x.block_id = p.a AND x.last_rn <= 12 UNION ALL SELECT p.w, p.a, p.b, 'b' AS side, x.pos, x.state FROM {_PAIR} AS p JOIN {_EDGE} AS x ON x.w = p.w AND x.block_id = p.b AND x.first_rn <= 12) AS e
-JOIN {{psites}} vh ON vh.pos = e.pos JOIN {{panel}} h ON h.k = vh.k GROUP BY e.w, e.a, e.b, h.hap) AS m) AS n) AS o WHERE rn <= :top GROUP BY w, a, b) AS z""", top=64)
+JOIN {{psites}} vh ON vh.pos = e.pos JOIN {{panel}} h ON h.k = vh.k GROUP BY e.w, e.a, e.b, h.hap) AS m) AS n) AS o WHERE rn <= :top GROUP BY w, a, b) AS z""", f"""WITH {_ARRAYS}, e AS (SELECT p.w, p.a, p.b, 'a' AS side, x.pos, x.state FROM {_PAIR} AS p JOIN {_EDGE} AS x ON x.w = p.w AND x.block_id = p.a AND x.last_rn <= 12 UNION ALL SELECT p.w, p.a, p.b, 'b' AS side, x.pos, x.state FROM {_PAIR} AS p JOIN {_EDGE} AS x ON x.w = p.w AND x.block_id = p.b AND x.first_rn <= 12),
+ex AS (SELECT e.w, e.a, e.b, collect_list(struct(e.side, e.state, y.al)) AS xs FROM e JOIN {{psites}} v ON v.pos = e.pos JOIN P y ON y.k = v.k GROUP BY e.w, e.a, e.b),
+m AS (SELECT w, a, b, size(filter(xs, x -> x.side = 'a')) AS na, size(filter(xs, x -> x.side = 'b')) AS nb, aggregate(filter(xs, x -> x.side = 'a'), transform(xs[0].al, c -> 0), (s, x) -> zip_with(s, x.al, (u, c) -> CASE WHEN c = x.state THEN u + 1 ELSE u END)) AS ap,
+aggregate(filter(xs, x -> x.side = 'b'), transform(xs[0].al, c -> 0), (s, x) -> zip_with(s, x.al, (u, c) -> CASE WHEN c = x.state THEN u + 1 ELSE u END)) AS bp FROM ex),
+sf AS (SELECT w, a, b, zip_with(ap, bp, (x, y) -> struct(least(x, y) + least(na - x, nb - y) AS s, least(x, nb - y) + least(na - x, y) AS f)) AS q FROM m),
+o AS (SELECT w, a, b, slice(array_sort(transform(q, (x, i) -> struct(-(x.s + x.f) AS o, i, x.s, x.f))), 1, :top) AS t FROM sf)
+SELECT w, a, b, same, flip, CASE WHEN same >= flip THEN 1 ELSE -1 END AS relation, greatest(same, flip) / (same + flip + 0.000001) AS confidence, abs(same - flip) AS margin, effn FROM (
+SELECT w, a, b, aggregate(t, 0.0, (u, x) -> u + x.s) AS same, aggregate(t, 0.0, (u, x) -> u + x.f) AS flip, aggregate(t, 0.0, (u, x) -> u - x.o) * aggregate(t, 0.0, (u, x) -> u - x.o) / (aggregate(t, 0.0, (u, x) -> u + x.o * x.o) + 0.000001) AS effn FROM o) AS z""", top=64)
 define("D20_group_donor_prior", "w long, pos long, grp string, score double, rn int", """
 SELECT w, pos, grp, score, rn FROM (SELECT w, pos, grp, score, row_number() OVER (PARTITION BY w, pos ORDER BY round(score, 9) DESC, grp) AS rn FROM (SELECT q.w, q.pos, p.grp, sum(a.conf / (1.0 + abs(a.pos - q.pos) / 100.0) * ln((p.pl + 1.0) / (p.mi + 1.0)) * a.state) AS score
 FROM (SELECT DISTINCT w, pos, IDIV(pos|1200) + d AS bucket FROM {scores} CROSS JOIN (VALUES (-1), (0), (1)) AS n(d)) q JOIN (SELECT *, IDIV(pos|1200) AS bucket FROM {calls} WHERE state <> 0) a ON a.w = q.w AND a.bucket = q.bucket AND abs(a.pos - q.pos) <= 1200 AND a.pos <> q.pos

@@ -1,7 +1,7 @@
 """Donor scoring, decision ladders, boundaries, panel retrieval, gates and scoring metrics that are relational (I)."""
 
 from ..plans.operator import define
-from .aggregates import COMBINE, SUMMARY
+from .aggregates import _ARRAYS, COMBINE, SUMMARY
 
 _READ = "(SELECT w, pos, CASE WHEN v > 0 THEN 1 WHEN v < 0 THEN -1 ELSE 0 END AS rs, abs(v) AS rc FROM (SELECT w, pos, sum(allele * coalesce(w2, 0.5)) / sum(coalesce(w2, 0.5)) AS v FROM {obs} WHERE allele <> 0 GROUP BY w, pos) AS q)"
 define("I4_decision_ladder", "w long, pos long, state int, conf double, source string", f"""
@@ -47,10 +47,16 @@ define("I43_mode_merge", "w long, pos long, pred int, source string", "SELECT w,
 _SCAF = """SELECT w, a, b, gap, donors, same, flip, CASE WHEN donors < :donors THEN 'few_donors' WHEN gap > :max_gap THEN 'gap' WHEN greatest(same, flip) / (same + flip + 0.000001) < :conf THEN 'low_confidence' WHEN abs(same - flip) < :margin THEN 'low_margin' WHEN same >= flip THEN 'same' ELSE 'flip' END AS reason FROM (
 SELECT p.w, p.a, p.b, p.s, max(p.gap) AS gap, count(*) AS donors, sum(CASE WHEN x.m * y.m > 0 THEN least(abs(x.m), abs(y.m)) ELSE 0 END) AS same, sum(CASE WHEN x.m * y.m < 0 THEN least(abs(x.m), abs(y.m)) ELSE 0 END) AS flip FROM (SELECT w, block_id AS a, s, lead(block_id) OVER (PARTITION BY w ORDER BY s) AS b, lead(s) OVER (PARTITION BY w ORDER BY s) - e AS gap FROM {blocks}) p
 JOIN HB x ON x.w = p.w AND x.block_id = p.a JOIN HB y ON y.w = p.w AND y.block_id = p.b AND y.hap = x.hap GROUP BY p.w, p.a, p.b, p.s) AS z""".replace("HB", "(SELECT c.w, c.block_id, h.hap, sum(h.allele * c.state) AS m FROM {calls} c JOIN {psites} vh ON vh.pos = c.pos JOIN {panel} h ON h.k = vh.k WHERE c.state <> 0 GROUP BY c.w, c.block_id, h.hap)")
+_SCAF_ARRAYS = f"""WITH {_ARRAYS}, bx AS (SELECT c.w, c.block_id, collect_list(struct(c.state, y.al)) AS xs FROM {{calls}} c JOIN {{psites}} v ON v.pos = c.pos JOIN P y ON y.k = v.k WHERE c.state <> 0 GROUP BY c.w, c.block_id),
+hb AS (SELECT w, block_id, aggregate(xs, transform(xs[0].al, c -> 0), (s, x) -> zip_with(s, x.al, (u, c) -> u + CAST(x.state * c AS INT))) AS m FROM bx),
+nx AS (SELECT w, block_id AS a, s, lead(block_id) OVER (PARTITION BY w ORDER BY s) AS b, lead(s) OVER (PARTITION BY w ORDER BY s) - e AS gap FROM {{blocks}}),
+z AS (SELECT p.w, p.a, p.b, p.gap, size(x.m) AS donors, aggregate(zip_with(x.m, y.m, (u, v) -> CASE WHEN u * v > 0 THEN least(abs(u), abs(v)) ELSE 0 END), 0, (s, v) -> s + v) AS same, aggregate(zip_with(x.m, y.m, (u, v) -> CASE WHEN u * v < 0 THEN least(abs(u), abs(v)) ELSE 0 END), 0, (s, v) -> s + v) AS flip
+FROM nx p JOIN hb x ON x.w = p.w AND x.block_id = p.a JOIN hb y ON y.w = p.w AND y.block_id = p.b)
+SELECT w, a, b, gap, donors, same, flip, {_SCAF[_SCAF.index("CASE WHEN donors"):_SCAF.index(" AS reason")]} AS reason FROM z"""
 _SP = dict(donors=32, max_gap=1000, conf=0.55, margin=4)
-define("I44_panel_scaffold", "w long, a string, b string, gap long, donors long, same long, flip long, reason string", _SCAF, **_SP)
-define("I45_scaffold_assignment", "w long, block_id string, scaffold long, orientation int", f"""
-SELECT w, block_id, scaffold, CASE WHEN sum(flp) OVER (PARTITION BY w, scaffold ORDER BY s) % 2 = 1 THEN -1 ELSE 1 END AS orientation FROM (SELECT k.w, k.block_id, k.s, CASE WHEN j.reason = 'flip' THEN 1 ELSE 0 END AS flp, sum(CASE WHEN j.reason IN ('same', 'flip') THEN 0 ELSE 1 END) OVER (PARTITION BY k.w ORDER BY k.s) AS scaffold FROM {{blocks}} k LEFT JOIN ({_SCAF}) j ON j.w = k.w AND j.b = k.block_id) AS x""", **_SP)
+define("I44_panel_scaffold", "w long, a string, b string, gap long, donors long, same long, flip long, reason string", _SCAF, _SCAF_ARRAYS, **_SP)
+_ASSIGN = """SELECT w, block_id, scaffold, CASE WHEN sum(flp) OVER (PARTITION BY w, scaffold ORDER BY s) % 2 = 1 THEN -1 ELSE 1 END AS orientation FROM (SELECT k.w, k.block_id, k.s, CASE WHEN j.reason = 'flip' THEN 1 ELSE 0 END AS flp, sum(CASE WHEN j.reason IN ('same', 'flip') THEN 0 ELSE 1 END) OVER (PARTITION BY k.w ORDER BY k.s) AS scaffold FROM {blocks} k LEFT JOIN (SCAF) j ON j.w = k.w AND j.b = k.block_id) AS x"""
+define("I45_scaffold_assignment", "w long, block_id string, scaffold long, orientation int", _ASSIGN.replace("SCAF", _SCAF), _ASSIGN.replace("SCAF", _SCAF_ARRAYS), **_SP)
 define("I51_ranking_metrics", "method string, n long, auc double, ap double, accuracy double, f1 double", """
 SELECT a.method, a.n, (a.ranks - a.p * (a.p + 1) / 2.0) / (a.p * (a.n - a.p) * 1.0) AS auc, b.ap, a.accuracy, a.f1 FROM (SELECT method, count(*) AS n, sum(label) AS p, sum(CASE WHEN label = 1 THEN rk ELSE 0.0 END) AS ranks, avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS accuracy, 2.0 * sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) / (sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) + sum(label)) AS f1
 FROM (SELECT *, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2.0 AS rk FROM {labelled}) AS x GROUP BY method) a JOIN (SELECT method, sum(CASE WHEN label = 1 THEN tp / (r * 1.0) ELSE 0.0 END) / sum(label) AS ap FROM (SELECT method, label, row_number() OVER (PARTITION BY method ORDER BY score DESC, id) AS r, sum(label) OVER (PARTITION BY method ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS tp FROM {labelled}) AS y GROUP BY method) b ON b.method = a.method""")

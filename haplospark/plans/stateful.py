@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import learning, stateful as st
 from ..operators.aggregates import ORIENT  # noqa: F401
-from ..operators.windows import _STATES
+from ..operators.windows import TOP_STATES
 from ..sources import readers
 from .fixtures import FIXTURES, Tables, _INPUT, needed
 from .operator import Operator, render
@@ -17,9 +17,8 @@ _READS = "w long, read_id long"
 
 
 def _states(t: Tables) -> DataFrame:
-    sql = f"SELECT w, win, rn, hap, donor, grp, emission FROM (SELECT *, row_number() OVER (PARTITION BY w, win ORDER BY round(emission, 9) DESC, hap) AS rn FROM ({_STATES}) AS s) AS x WHERE rn <= 4"
-    op = Operator("states", sql, "w long, win long, rn int, hap long, donor long, grp string, emission double")
-    return op.run(t.spark, {n: t[n] for n in dict.fromkeys(_INPUT.findall(sql))})
+    """The four best states of each window."""
+    return _sql(t, TOP_STATES.replace(":top", "4"), "w long, win long, rn int, hap long, donor long, grp string, emission double")
 
 
 def _sql(t: Tables, text: str, out: str) -> DataFrame:
