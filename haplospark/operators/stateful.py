@@ -110,18 +110,15 @@ def cost(m: np.ndarray, x: np.ndarray) -> np.ndarray:
 def solve_exact(m: np.ndarray) -> tuple[np.ndarray, float, float]:
     """All phasings with the first site +1: the first minimum, its cost, and the margin to the next."""
     n = m.shape[1]
-
-    def phasings(masks):
-        x = np.ones((len(masks), n))
-        for k in range(1, n):
-            x[:, k] = np.where(masks >> (k - 1) & 1, -1, 1)
-        return x
-
-    most = 1 << (n - 1)
-    c = np.concatenate([np.round(cost(m, phasings(np.arange(a, min(a + MASKS, most)))), 9) for a in range(0, most, MASKS)])
+    low = min(n - 1, 9)
+    signs = lambda bits: np.where(np.arange(1 << bits)[:, None] >> np.arange(bits) & 1, -1.0, 1.0)
+    near, far = m[:, 0] + signs(low) @ m[:, 1 : 1 + low].T, signs(n - 1 - low) @ m[:, 1 + low :].T
+    agree = np.concatenate([np.abs(near + f).sum(1) for f in far])  # mask: the bits of far, then of near
+    c = np.round((np.abs(m).sum() - agree) / 2, 9)
     best = int(c.argmin())
     rest = np.delete(c, best)
-    return phasings(np.array([best]))[0], float(c[best]), float(rest.min() - c[best]) if len(rest) else 0.0
+    x = np.append(1.0, np.where(best >> np.arange(n - 1) & 1, -1.0, 1.0))
+    return x, float(c[best]), float(rest.min() - c[best]) if len(rest) else 0.0
 
 
 def refine(m: np.ndarray, x: np.ndarray, sweeps: int = 5) -> np.ndarray:
