@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, mixing, mpegts, quality, simhash, suffix_dedup, tiling, toxicity, warc, wrappers
+from . import block_dedup, collisions, merkle, mixing, mpegts, quality, simhash, suffix_dedup, tiling, toxicity, warc, whitening, wrappers
 from .common import table
 
 
@@ -50,7 +50,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-OPS = (op1_html_extraction, op2_mixing, op3_toxicity, op4_media_columns, op5_decontamination, op6_suffix_array_dedup, op7_quality_classifier, op8_substring_dedup, op9_warc, op10_simhash_near_dedup)
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+OPS = (op1_html_extraction, op2_mixing, op3_toxicity, op4_media_columns, op5_decontamination, op6_suffix_array_dedup, op7_quality_classifier, op8_substring_dedup, op9_warc, op10_simhash_near_dedup, op11_embedding_whitening, op12_nearest_neighbours, op13_merkle_manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -58,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.sql(), "op8_substring_dedup": block_dedup.sql()}
+    return {"op2_mixing": mixing.sql(), "op8_substring_dedup": block_dedup.sql(), "op13_merkle_manifest": merkle.sql()}
