@@ -27,7 +27,6 @@ define("I19_site_confidence", "w long, pos long, support double, conflict double
 SELECT w, pos, support, conflict, CASE WHEN support + conflict > 0 THEN support / (support + conflict) ELSE 0.0 END AS conf FROM (SELECT f.w, f.pos, sum(CASE WHEN f.allele * r.o = c.state THEN f.weight ELSE 0.0 END) AS support, sum(CASE WHEN f.allele * r.o = -c.state THEN f.weight ELSE 0.0 END) AS conflict FROM {frags} f JOIN {comps} c ON c.w = f.w AND c.pos = f.pos
 JOIN (SELECT f.w, f.read_id, CASE WHEN round(sum(f.weight * f.allele * c.state), 9) >= 0 THEN 1 ELSE -1 END AS o FROM {frags} f JOIN {comps} c ON c.w = f.w AND c.pos = f.pos GROUP BY f.w, f.read_id) r ON r.w = f.w AND r.read_id = f.read_id GROUP BY f.w, f.pos) AS x""")
 define("I20_fragment_projection", "w long, comp long, read_id long, n long, positions string", "SELECT f.w, c.comp, f.read_id, count(*) AS n, LAGG(f.pos|f.pos) AS positions FROM {frags} f JOIN {comps} c ON c.w = f.w AND c.pos = f.pos GROUP BY f.w, c.comp, f.read_id HAVING count(*) >= 2")
-define("I25_scaffold_fragments", "w long, block_id string, n long, weight double", "SELECT w, block_id, count(*) AS n, sum(greatest(0.1, 8.0 * conf)) AS weight FROM {calls} WHERE state <> 0 AND conf >= 0.65 GROUP BY w, block_id HAVING count(*) >= 2")
 define("I29_apply_regions", "w long, pos long, state int, applied int", """
 SELECT c.w, c.pos, CASE WHEN f.pos IS NOT NULL AND round(abs(f.plus - f.minus), 6) >= :margin AND f.anchors >= 1 AND (f.orient_sites > 0 OR f.prob >= 0.5) THEN f.pred ELSE c.state END AS state, CASE WHEN f.pos IS NOT NULL AND round(abs(f.plus - f.minus), 6) >= :margin AND f.anchors >= 1 AND (f.orient_sites > 0 OR f.prob >= 0.5) THEN 1 ELSE 0 END AS applied FROM {calls} c LEFT JOIN {fills} f ON f.w = c.w AND f.pos = c.pos""", margin=5.0)
 define("I30_bridge_gated_flips", "w long, pos long, state int, action string", """

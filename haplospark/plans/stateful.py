@@ -10,6 +10,7 @@ from ..operators import learning, stateful as st
 from ..operators.aggregates import ORIENT  # noqa: F401
 from ..operators.windows import TOP_STATES
 from ..sources import readers
+from . import regions
 from .fixtures import FIXTURES, Tables, _INPUT, needed
 from .operator import Operator, render
 
@@ -70,14 +71,6 @@ def _with_priors(t: Tables) -> DataFrame:
     return _sql(t, _PRIORS, "w long, read_id long, pos long, allele int, weight double, donor_bias double, top_state int, margin double, lft int, rgt int")
 
 
-_CHAIN = """SELECT k.w, k.comp, sum(CASE WHEN k.state = t.tstate THEN 1 ELSE 0 END) AS plus, sum(CASE WHEN k.state = -t.tstate THEN 1 ELSE 0 END) AS minus, round(coalesce(max(e.pw - e.mw), 0.0), 6) AS link
-FROM {comps} k LEFT JOIN {truth} t ON t.w = k.w AND t.pos = k.pos LEFT JOIN {obsedges} e ON e.w = k.w AND e.b = k.comp AND e.a = k.comp - 1 GROUP BY k.w, k.comp"""
-
-
-def _chain(t: Tables) -> DataFrame:
-    return _sql(t, _CHAIN, "w long, comp long, plus long, minus long, link double")
-
-
 _LABELS = "w long, comp long, block long, orientation int"
 
 
@@ -130,23 +123,15 @@ def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "E8_component_split": _window("comps", lambda p: st.split_component(p[["w", "pos"]]), "w long, pos long, piece long"),
+    return regions.queries() | {
         "I3_window_viterbi": _window(_states, st.window_viterbi, "w long, win long, hap long, score double"),
         "I6_site_viterbi": _window(_panel_rows, st.site_viterbi, "w long, pos long, hap long"),
         "I7_path_beam": _window(_states, st.path_beam, "w long, step long, hap long, stay int, margin double"),
-        "I9_coverage_selection": _window("frags", st.coverage_selection, _READS + ", n long, rank long"),
-        "I10_superread_merge": _window("frags", st.superread_merge, _READS + ", superread long"),
         "I11_informative_reads": _window("frags", st.informative_reads, _READS + ", score double, rank long"),
         "I16_components": lambda spark, sf_dir: _components(Tables(spark, sf_dir)),
         "I17_I18_wmec_solve": _solved,
         "I21_wmec_legacy": _solved,
-        "I22_connectivity_regions": _window(_components, lambda p: st.split_component(p[["w", "pos"]]), "w long, pos long, piece long"),
-        "I23_active_reads": _window("frags", st.active_reads, "w long, region long, read_id long, score double"),
-        "I24_probabilistic_merge": _window("frags", st.probabilistic_merge, _READS + ", cluster long"),
         "I26_wmec_priors": _window(_with_priors, st.solve_with_priors, "w long, pos long, region long, state int, solver string, margin double"),
-        "I27_chain_orientation": _window(_chain, st.chain_orientation, "w long, comp long, orientation int, margin double"),
-        "I28_region_resolve": _window("scores", st.resolve_region, "w long, region long, pos long, state int, margin double"),
         "I31_component_stitching": _window("obsedges", st.stitch_components, _LABELS),
         "I32_two_colouring": _window("obsedges", st.two_colour, _LABELS),
         "I33_bridge_forest": _window(_bridges, lambda e: st.bridge_forest(e, prob=0.6, margin=0.5, degree=2, gap=1_000, blocks=8, span=10_000), _LABELS),
@@ -175,8 +160,7 @@ def _recursive(uses: list[str], ctes: str, select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """Recursive SQL of those that have a practical form."""
-    split = "s.n >= 24 OR r.pos - s.start > 1500"
-    return {
+    return regions.oracle_sql() | {
         "I16_components": _recursive(
             ["frags"],
             """link AS (SELECT DISTINCT x.w, x.pos AS a, y.pos AS b FROM frags x JOIN frags y ON x.w = y.w AND x.read_id = y.read_id),
@@ -184,25 +168,8 @@ def oracle_sql() -> dict[str, str]:
             root AS (SELECT w, a AS pos, min(b) AS root FROM reach GROUP BY w, a)""",
             "SELECT CAST(w AS BIGINT) AS w, CAST(pos AS BIGINT) AS pos, CAST(dense_rank() OVER (PARTITION BY w ORDER BY root) - 1 AS BIGINT) AS comp FROM root",
         ),
-        "I27_chain_orientation": _recursive(
-            ["comps", "truth", "obsedges"],
-            f"""chain AS ({_CHAIN}), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY comp) AS i, count(*) OVER (PARTITION BY w) AS n FROM chain),
-            f AS (SELECT w, i, n, comp, CAST(minus AS DOUBLE) AS b0, CAST(plus AS DOUBLE) AS b1, 0 AS k0, 0 AS k1, plus, minus, link FROM r WHERE i = 1 UNION ALL
-            SELECT r.w, r.i, r.n, r.comp, r.minus + CASE WHEN f.b1 + r.link < f.b0 - 1e-9 THEN f.b1 + r.link ELSE f.b0 END, r.plus + CASE WHEN f.b1 < f.b0 + r.link - 1e-9 THEN f.b1 ELSE f.b0 + r.link END,
-            CASE WHEN f.b1 + r.link < f.b0 - 1e-9 THEN 1 ELSE 0 END, CASE WHEN f.b1 < f.b0 + r.link - 1e-9 THEN 1 ELSE 0 END, r.plus, r.minus, r.link FROM f JOIN r ON r.w = f.w AND r.i = f.i + 1),
-            g AS (SELECT w, i, comp, CASE WHEN b1 < b0 - 1e-9 THEN 1 ELSE 0 END AS s, k0, k1, plus, minus, link FROM f WHERE i = n UNION ALL
-            SELECT f.w, f.i, f.comp, CASE WHEN g.s = 1 THEN g.k1 ELSE g.k0 END, f.k0, f.k1, f.plus, f.minus, f.link FROM g JOIN f ON f.w = g.w AND f.i = g.i - 1)""",
-            "SELECT CAST(w AS BIGINT) AS w, CAST(comp AS BIGINT) AS comp, CAST(CASE WHEN s = 1 AND NOT (abs(minus - plus) < 0.75 AND link = 0) THEN -1 ELSE 1 END AS INT) AS orientation, CAST(abs(minus - plus) AS DOUBLE) AS margin FROM g",
-        ),
         "H9_json_cells": _recursive(["frags"], "x AS (SELECT 1)", "SELECT CAST(w AS BIGINT) AS w, CAST(read_id AS BIGINT) AS read_id, CAST(pos AS BIGINT) AS pos, CAST(allele AS INT) AS allele, round(CAST(weight AS DOUBLE), 6) AS weight FROM frags"),
         "A21_sinks": _recursive(list(_SINKS), "x AS (SELECT 1)", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, CAST(sum(w) AS BIGINT) AS windows, count(DISTINCT block_id) AS blocks FROM {n}" for n in _SINKS)),
-        "I22_connectivity_regions": _recursive(
-            ["frags"],
-            f"""r AS (SELECT w, pos, row_number() OVER (PARTITION BY w ORDER BY pos) AS rn FROM (SELECT DISTINCT w, pos FROM frags) AS f),
-            s AS (SELECT w, rn, pos, pos AS start, 1 AS n, 0 AS piece FROM r WHERE rn = 1 UNION ALL
-            SELECT r.w, r.rn, r.pos, CASE WHEN {split} THEN r.pos ELSE s.start END, CASE WHEN {split} THEN 1 ELSE s.n + 1 END, s.piece + CASE WHEN {split} THEN 1 ELSE 0 END FROM s JOIN r ON r.w = s.w AND r.rn = s.rn + 1)""",
-            "SELECT CAST(w AS BIGINT) AS w, CAST(pos AS BIGINT) AS pos, CAST(piece AS BIGINT) AS piece FROM s",
-        ),
         "I32_two_colouring": _recursive(
             ["obsedges"],
             """nodes AS (SELECT w, a AS n FROM obsedges UNION SELECT w, b FROM obsedges), one AS (SELECT w, a, b, CASE WHEN pw >= mw THEN 1 ELSE -1 END AS s FROM obsedges WHERE round(greatest(pw, mw) / round(pw + mw, 9), 9) >= 0.8),
@@ -218,11 +185,4 @@ def oracle_sql() -> dict[str, str]:
             ranked AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY word, hap) - 1 AS rank, lag(word) OVER (PARTITION BY w ORDER BY word, hap) AS prev FROM keyed)""",
             "SELECT CAST(w AS BIGINT) AS w, CAST(rank AS BIGINT) AS rank, CAST(hap AS BIGINT) AS hap, CAST(CASE WHEN prev IS NULL THEN n ELSE n - len(list_filter(range(1, n + 1), lambda j: substr(word, 1, j) = substr(prev, 1, j))) END AS BIGINT) AS divergence FROM ranked",
         ),
-        "E8_component_split": _recursive(
-            ["comps"],
-            f"""r AS (SELECT w, pos, row_number() OVER (PARTITION BY w ORDER BY pos) AS rn FROM comps),
-            s AS (SELECT w, rn, pos, pos AS start, 1 AS n, 0 AS piece FROM r WHERE rn = 1 UNION ALL
-            SELECT r.w, r.rn, r.pos, CASE WHEN {split} THEN r.pos ELSE s.start END, CASE WHEN {split} THEN 1 ELSE s.n + 1 END, s.piece + CASE WHEN {split} THEN 1 ELSE 0 END FROM s JOIN r ON r.w = s.w AND r.rn = s.rn + 1)""",
-            "SELECT CAST(w AS BIGINT) AS w, CAST(pos AS BIGINT) AS pos, CAST(piece AS BIGINT) AS piece FROM s",
-        ),
     }

@@ -80,6 +80,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/results-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for what several plans read: computed once, and not again when an executor is lost."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fragments_from_cells(rows: DataFrame, *keys: str) -> DataFrame:
     """One row for each observation of cells that hold JSON lists: ``positions``, ``alleles``, ``weights``.
 
