@@ -167,8 +167,14 @@ SELECT w, pos, CASE min(rk) WHEN 0 THEN 'exact' WHEN 1 THEN 'nonbiallelic' WHEN
 define("D38_feature_bins", "feature string, bin long, n long, accuracy double, mean double", "SELECT feature, CAST(floor(v * 5) AS BIGINT) AS bin, count(*) AS n, avg(label * 1.0) AS accuracy, avg(v) AS mean FROM (SELECT label, feature, CASE feature WHEN 'score' THEN score WHEN 'support' THEN support / 40.0 ELSE anchors / 13.0 END AS v FROM {labelled} CROSS JOIN (VALUES ('score'), ('support'), ('anchors')) AS f(feature)) AS x GROUP BY 1, 2")
 define("D39_bad_window_triage", "w long, win long, wrong long, abstain long, correct long, mean_pos double", "SELECT w, IDIV(pos|1000) AS win, sum(CASE WHEN state = -tstate THEN 1 ELSE 0 END) AS wrong, sum(CASE WHEN state = 0 THEN 1 ELSE 0 END) AS abstain, sum(CASE WHEN state = tstate THEN 1 ELSE 0 END) AS correct, avg(pos) AS mean_pos FROM {cmp} GROUP BY w, IDIV(pos|1000)")
 define("D40_window_statistics", "w long, start long, variants long, reads long, truth long, score double, pass int, rn int", """
-SELECT w, start, variants, reads, truth, score, CASE WHEN variants >= :variants AND truth >= :truth THEN 1 ELSE 0 END AS pass, row_number() OVER (PARTITION BY w ORDER BY score DESC, start) AS rn FROM (SELECT b.w, b.start, count(DISTINCT o.pos) AS variants, count(DISTINCT o.read_id) AS reads, count(DISTINCT t.pos) AS truth, count(DISTINCT o.pos) + 0.1 * count(DISTINCT o.read_id) AS score
-FROM (SELECT m.w, m.s + k * :step AS start FROM {manifest} m CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS n(k) WHERE m.s + k * :step < m.e) b JOIN {obs} o ON o.w = b.w AND o.pos >= b.start AND o.pos < b.start + :size LEFT JOIN {truth} t ON t.w = o.w AND t.pos = o.pos GROUP BY b.w, b.start) AS x""", step=1000, size=2000, variants=15, truth=12)
+SELECT w, start, variants, reads, truth, score, CASE WHEN variants >= :variants AND truth >= :truth THEN 1 ELSE 0 END AS pass, row_number() OVER (PARTITION BY w ORDER BY score DESC, start) AS rn
+FROM (
+    SELECT b.w, b.start, count(DISTINCT o.pos) AS variants, count(DISTINCT o.read_id) AS reads, count(DISTINCT t.pos) AS truth, count(DISTINCT o.pos) + 0.1 * count(DISTINCT o.read_id) AS score
+    FROM (SELECT w, s + k * :step AS start FROM (SELECT w, s, SERIES[0|IDIV(e - s - 1|:step)] AS k FROM {manifest}) AS m) b
+    JOIN {obs} o ON o.w = b.w AND o.pos >= b.start AND o.pos < b.start + :size
+    LEFT JOIN {truth} t ON t.w = o.w AND t.pos = o.pos
+    GROUP BY b.w, b.start
+) AS x""", step=1000, size=2000, variants=15, truth=12)
 define("D41_sweep_best", "method string, errors double, switches double, d_errors double, d_switches double, pick int", """
 SELECT m.method, m.errors, m.switches, m.errors - b.errors AS d_errors, m.switches - b.switches AS d_switches, CASE WHEN m.errors <= 1.05 * b.errors AND m.switches <= 1.10 * b.switches AND m.n50 = max(CASE WHEN m.errors <= 1.05 * b.errors AND m.switches <= 1.10 * b.switches THEN m.n50 END) OVER (PARTITION BY b.method) THEN 1 ELSE 0 END AS pick
 FROM (SELECT method, avg(errors) AS errors, avg(switches) AS switches, round(avg(n50), 6) AS n50 FROM {metrics} GROUP BY method) m CROSS JOIN (SELECT method, avg(errors) AS errors, avg(switches) AS switches FROM {metrics} WHERE method = (SELECT min(method) FROM {metrics}) GROUP BY method) b""")

@@ -26,8 +26,9 @@ define("A14_bed_span", "n long, span long", "SELECT count(*) AS n, sum(e - s) AS
 define("A15_truth_in_bed", "w long, pos long, tstate int", "SELECT w, pos, tstate FROM (SELECT *, IDIV(pos - 1|1000) AS bucket FROM {truth}) t WHERE EXISTS (SELECT 1 FROM (SELECT s, e, SERIES[IDIV(s|1000)|IDIV(e|1000)] AS bucket FROM {bed}) b WHERE b.bucket = t.bucket AND b.s <= t.pos - 1 AND t.pos - 1 < b.e) AND length(ref) = 1 AND length(alt) = 1")
 define("A16_leakfree_variants", "w long, pos long, ref string, alt string, gt string", "SELECT w, pos, ref, alt, '0/1' AS gt FROM {truth} WHERE length(ref) = 1 AND length(alt) = 1 AND alt <> 'X'")
 define("A17_external_calls", "w long, pos long, block_id string, state int, confidence double", """
-SELECT s.w, s.pos, CASE WHEN t.pos IS NULL THEN 'unassigned' ELSE 'whatshap_' || CAST(IDIV(t.pos|1000) AS STRING) END AS block_id, coalesce(t.tstate, 0) AS state, CASE WHEN t.pos IS NULL THEN 0.0 ELSE 1.0 END AS confidence
-FROM {sites} s LEFT JOIN {truth} t ON s.w = t.w AND s.pos = t.pos AND s.ref = t.ref AND s.alt = t.alt""")
+SELECT s.w, s.pos, coalesce('whatshap_' || CAST(t.ps AS STRING), 'unassigned') AS block_id, coalesce(t.tstate, 0) AS state, CASE WHEN t.ps IS NULL THEN 0.0 ELSE 1.0 END AS confidence
+FROM {sites} s
+LEFT JOIN {external} t ON s.w = t.w AND s.pos = t.pos AND s.ref = t.ref AND s.alt = t.alt""")
 define("A18_unphase", "w long, pos long, gt string", "SELECT w, pos, replace(CASE tstate WHEN 1 THEN '0|1' ELSE '1|0' END, CASE tstate WHEN 1 THEN '0|1' ELSE '1|0' END, '0/1') AS gt FROM {truth}")
 define("A19_bootstrap_priors", "w long, pos long, n long, bias double", """
 SELECT s.w, s.pos, count(p.hap) AS n, coalesce(2.0 * avg(CASE WHEN p.allele > 0 THEN 1.0 ELSE 0.0 END) - 1.0, 0.0) AS bias FROM {sites} s LEFT JOIN {psites} v ON v.pos = s.pos LEFT JOIN {panel} p ON p.k = v.k GROUP BY s.w, s.pos""")
@@ -50,16 +51,22 @@ define("B6_block_size_mask", "w long, pos long, block_id string, state int", """
 SELECT w, pos, block_id, CASE WHEN state <> 0 AND n < :min_sites THEN 0 ELSE state END AS state FROM (SELECT *, sum(CASE WHEN state <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY w, block_id) AS n FROM {calls}) AS x""", min_sites=4)
 define("B7_nonzero_mask", "w long, pos long, state int", "SELECT a.w, a.pos, CASE WHEN b.pos IS NULL THEN 0 ELSE a.state END AS state FROM {calls} a LEFT JOIN (SELECT w, pos FROM {calls2} WHERE state <> 0) b ON a.w = b.w AND a.pos = b.pos")
 define("B8_obs_at_calls", "idx long", "SELECT idx FROM {obs} o WHERE EXISTS (SELECT 1 FROM {calls2} c WHERE o.w = c.w AND o.pos = c.pos)")
-define("B9_priors_at_positions", "w long, pos long, n long", "SELECT w, pos, count(*) AS n FROM {obs} o WHERE EXISTS (SELECT 1 FROM {calls2} c WHERE c.w = o.w AND c.pos = o.pos) GROUP BY w, pos")
-define("B10_common_scaffold", "w long, pos long, af double", """
-SELECT s.w, s.pos, p.af FROM {sites} s JOIN {psites} v ON v.pos = s.pos JOIN (SELECT k, avg(CASE WHEN allele > 0 THEN 1.0 ELSE 0.0 END) AS af FROM {panel} GROUP BY k) p ON v.k = p.k WHERE p.af BETWEEN :min_af AND :max_af""", min_af=0.45, max_af=0.55)
+define("B9_priors_at_positions", "w long, pos long, bias double", "SELECT w, pos, bias FROM {bias} p WHERE EXISTS (SELECT 1 FROM {calls2} c WHERE c.w = p.w AND c.pos = p.pos)")
+define("B10_common_scaffold", "w long, pos long, af double, reads long", """
+SELECT s.w, s.pos, p.af, coalesce(o.reads, 0) AS reads
+FROM {sites} s
+JOIN {psites} v ON v.pos = s.pos
+JOIN (SELECT k, avg(CASE WHEN allele > 0 THEN 1.0 ELSE 0.0 END) AS af FROM {panel} WHERE allele <> 0 GROUP BY k) p ON p.k = v.k
+LEFT JOIN (SELECT w, pos, count(DISTINCT read_id) AS reads FROM {obs} GROUP BY w, pos) o ON o.w = s.w AND o.pos = s.pos
+WHERE p.af BETWEEN :min_af AND :max_af AND length(s.ref) = 1 AND length(s.alt) = 1""", min_af=0.05, max_af=0.95)
 define("B11_panel_conformity", "w long, status string, n long", """
 SELECT w, status, count(*) AS n FROM (SELECT coalesce(s.w, t.w) AS w, CASE WHEN t.pos IS NULL THEN 'target_only' WHEN s.pos IS NULL THEN 'panel_only' WHEN s.ref = t.ref AND s.alt = t.alt THEN 'match' ELSE 'mismatch' END AS status
 FROM {sites} s FULL OUTER JOIN {truth} t ON s.w = t.w AND s.pos = t.pos) AS x GROUP BY w, status""")
 define("B12_probability_gate", "w long, pos long, state int, reason string", """
 SELECT c.w, c.pos, CASE WHEN f.pos IS NULL THEN c.state WHEN f.prob IS NULL OR f.prob < :threshold THEN 0 ELSE f.pred END AS state,
-CASE WHEN f.pos IS NULL THEN 'not_filled' WHEN f.prob IS NULL THEN 'no_oof_prediction' WHEN f.prob < :threshold THEN 'below_threshold' ELSE 'kept' END AS reason
-FROM {calls} c LEFT JOIN (SELECT w, pos, max(pred) AS pred, max(CASE WHEN anchors = 4 THEN NULL ELSE prob END) AS prob FROM {fills} GROUP BY w, pos) f ON c.w = f.w AND c.pos = f.pos""", threshold=0.8)
+    CASE WHEN f.pos IS NULL THEN 'not_filled' WHEN f.prob IS NULL THEN 'no_oof_prediction' WHEN f.prob < :threshold THEN 'below_threshold' ELSE 'kept' END AS reason
+FROM {calls} c
+LEFT JOIN {gated} f ON f.w = c.w AND f.pos = c.pos""", threshold=0.8)
 define("B13_score_gate", "w long, pos long, state int", "SELECT c.w, c.pos, CASE WHEN coalesce(f.prob, 0.0) >= :threshold THEN c.state ELSE 0 END AS state FROM {calls} c LEFT JOIN {fills} f ON c.w = f.w AND c.pos = f.pos", threshold=0.5)
 define("B14_audit_guard", "w long, pos long, kept int", """
 SELECT w, pos, CASE WHEN orient_sites >= :sites AND orient_margin >= :omargin AND plus / (plus + minus + 1.0) >= :conf AND abs(plus - minus) >= :margin AND prob >= :second AND anchors >= :anchors THEN 1 ELSE 0 END AS kept FROM {fills}""", sites=2, omargin=1, conf=0.4, margin=2.0, second=0.1, anchors=2)

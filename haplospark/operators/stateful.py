@@ -247,361 +247,33 @@ def solve_with_priors(frags: pd.DataFrame, beam: int = 256, donor: float = 0.05,
 # ---- reads ---------------------------------------------------------------
 
 
-def coverage_selection(frags: pd.DataFrame, least: int = 3, depth: int = 12, most: int = 20_000) -> pd.DataFrame:
-    """Reads with at least ``least`` sites, best first, kept if any of their sites is covered less than ``depth`` times."""
-    groups = [(len(g), round(float(g["weight"].sum()), 9), r, g["pos"].tolist()) for r, g in frags.groupby("read_id") if len(g) >= least]
-    cover: dict[int, int] = {}
-    out = []
-    for n, s, r, pos in sorted(groups, key=lambda x: (-x[0], -x[1], x[2])):
-        if len(out) < most and any(cover.get(p, 0) < depth for p in pos):
-            for p in pos:
-                cover[p] = cover.get(p, 0) + 1
-            out.append((frags["w"].iloc[0], r, n, len(out)))
-    return pd.DataFrame(out, columns=["w", "read_id", "n", "rank"])
-
+def informative_reads(rows: pd.DataFrame, most: int = 5000) -> pd.DataFrame:
+    """One read after the other, the one with the largest base score less 0.4 for each time one of its sites is covered already (3 a site at most).
 
-def superread_merge(frags: pd.DataFrame) -> pd.DataFrame:
-    """Each read joins the first superread that shares a site and contradicts none."""
-    supers: list[dict[int, int]] = []
-    out = []
-    for r, g in frags.groupby("read_id"):
-        mine = dict(zip(g["pos"], g["allele"]))
-        for i, s in enumerate(supers):
-            shared = [p for p in mine if p in s]
-            if shared and all(mine[p] == s[p] for p in shared):
-                s.update(mine)
-                break
-        else:
-            i = len(supers)
-            supers.append(dict(mine))
-        out.append((frags["w"].iloc[0], r, i))
-    return pd.DataFrame(out, columns=["w", "read_id", "superread"])
-
-
-def informative_reads(frags: pd.DataFrame, most: int = 5000) -> pd.DataFrame:
-    """Greedy choice by base score less a penalty for sites that are covered already."""
-    base = {}
-    for r, g in frags.groupby("read_id"):
-        n = len(g)
-        base[r] = (n * n + 0.002 * (g["pos"].max() - g["pos"].min()) + 2 * (n - 1) + 0.5 * g["weight"].mean() * n, g["pos"].tolist())
+    ``rows``: w, read_id, base, sites (list).  Scores only fall, so that a read
+    at the head of the queue whose score hasn't fallen since is the best.
+    """
     cover: dict[int, int] = {}
-    out = []
+    base = {r: (b, s) for r, b, s in zip(rows["read_id"].tolist(), rows["base"].tolist(), rows["sites"].tolist())}
     score = lambda r: round(base[r][0] - sum(min(3.0, 0.4 * cover.get(p, 0)) for p in base[r][1]), 9)
     queue = [(-score(r), r) for r in base]
     heapify(queue)
+    out = []
     while queue and len(out) < most:
         bound, r = heappop(queue)
         now = score(r)
-        if now < -bound:  # scores only fall, so that one at the head that has not fallen is the best
+        if now < -bound:
             heappush(queue, (-now, r))
             continue
-        if now <= 0:
-            break
         for p in base[r][1]:
             cover[p] = cover.get(p, 0) + 1
-        out.append((frags["w"].iloc[0], r, now, len(out)))
-    return pd.DataFrame(out, columns=["w", "read_id", "score", "rank"])
-
-
-def active_reads(frags: pd.DataFrame, depth: int = 32, most: int = 96) -> pd.DataFrame:
-    """Per region of fixed width, reads by n * mean weight * ln(span + 10) under caps of depth and number."""
-    out = []
-    for region, part in frags.groupby(frags["pos"] // 1000):
-        ranked = sorted((-round(len(g) * g["weight"].mean() * np.log(g["pos"].max() - g["pos"].min() + 10), 9), r, g["pos"].tolist()) for r, g in part.groupby("read_id"))
-        cover: dict[int, int] = {}
-        n = 0
-        for s, r, pos in ranked:
-            if n < most and any(cover.get(p, 0) < depth for p in pos):
-                n += 1
-                for p in pos:
-                    cover[p] = cover.get(p, 0) + 1
-                out.append((frags["w"].iloc[0], region, r, -s))
-    return pd.DataFrame(out, columns=["w", "region", "read_id", "score"])
-
-
-def probabilistic_merge(frags: pd.DataFrame, overlap: int = 2, accept: float = 6.0) -> pd.DataFrame:
-    """A read joins the cluster with the best log-odds of agreement (0.97 against 0.03) if above ``accept``."""
-    good, bad = np.log(0.97 / 0.5), np.log(0.03 / 0.5)
-    clusters: list[dict[int, float]] = []
-    out = []
-    for r, g in frags.groupby("read_id"):
-        mine = {p: a * wt for p, a, wt in zip(g["pos"], g["allele"], g["weight"])}
-        best, at = -np.inf, None
-        for i, c in enumerate(clusters):
-            shared = [p for p in mine if c.get(p)]
-            if len(shared) >= overlap:
-                odds = sum((good if mine[p] * c[p] > 0 else bad) * 4 for p in shared)
-                if odds > best + 1e-9:
-                    best, at = odds, i
-        if at is None or best <= accept:
-            at = len(clusters)
-            clusters.append({})
-        for p, v in mine.items():
-            clusters[at][p] = clusters[at].get(p, 0.0) + v
-        out.append((frags["w"].iloc[0], r, at))
-    return pd.DataFrame(out, columns=["w", "read_id", "cluster"])
-
-
-# ---- sequence models -----------------------------------------------------
-
-
-def _transition(a, b) -> float:
-    return 1.5 if a[0] == b[0] else -0.75 if a[1] == b[1] else 0.25 if a[2] == b[2] else -0.35
-
-
-def window_viterbi(states: pd.DataFrame, weight: float = 0.35) -> pd.DataFrame:
-    """Best path of haplotypes over the windows; a gap in the window numbers restarts the path."""
-    out, path_rows = [], []
-    last = None
-    steps: list[list] = []
-
-    def finish():
-        if not steps:
-            return
-        end = max(((s[1], -s[0][0], t, i) for t, step in enumerate(steps) for i, s in enumerate(step)), key=lambda x: (round(x[0], 9), x[1], -x[2]))
-        t, i = end[2], end[3]
-        while t >= 0:
-            node = steps[t][i]
-            path_rows.append((node[3], node[0][0], round(node[1], 6)))
-            t, i = t - 1, node[2]
-
-    for win, g in states.sort_values(["win", "rn"]).groupby("win"):
-        nodes = [((h, d, grp), e) for h, d, grp, e in zip(g["hap"], g["donor"], g["grp"], g["emission"])]
-        if last is None or win != last + 1:
-            finish()
-            steps = [[[k, e, -1, win] for k, e in nodes]]
-        else:
-            before = steps[-1]
-            step = []
-            for k, e in nodes:
-                score, i = max(((b[1] + weight * _transition(b[0], k), -i) for i, b in enumerate(before)), key=lambda x: (round(x[0], 9), x[1]))
-                step.append([k, e + score, -i, win])
-            steps.append(step)
-        last = win
-    finish()
-    w = states["w"].iloc[0]
-    out = [(w, win, hap, s) for win, hap, s in sorted(path_rows)]
-    return pd.DataFrame(out, columns=["w", "win", "hap", "score"])
-
-
-def path_beam(states: pd.DataFrame, beam: int = 8) -> pd.DataFrame:
-    """The best ``beam`` paths, their margin, and whether each step stays on its haplotype."""
-    paths: list[tuple[float, list]] = [(0.0, [])]
-    for _, g in states.sort_values(["win", "rn"]).groupby("win"):
-        grown = [(s + e + (0.35 * _transition(p[-1], (h, d, grp)) if p else 0.0), [*p, (h, d, grp)]) for s, p in paths for h, d, grp, e in zip(g["hap"], g["donor"], g["grp"], g["emission"])]
-        paths = sorted(grown, key=lambda x: (-round(x[0], 9), [k[0] for k in x[1]]))[:beam]
-    margin = paths[0][0] - paths[1][0] if len(paths) > 1 else 0.0
-    p = [k[0] for k in paths[0][1]]
-    return pd.DataFrame([(states["w"].iloc[0], i, h, int(i > 0 and p[i - 1] == h), round(margin, 6)) for i, h in enumerate(p)], columns=["w", "step", "hap", "stay", "margin"])
-
-
-def panel_matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
-    """Positions, haplotypes, alleles (sites x haplotypes: 1, -1, 0 missing) and the rows in order, of rows with an array of alleles; haps is on any one."""
-    rows = rows.sort_values("pos").reset_index(drop=True)
-    haps = np.array(next(h for h in rows["haps"] if h is not None))
-    return rows["pos"].to_numpy(), haps, np.stack(rows["alleles"].tolist()).astype(np.int8), rows
-
-
-def site_viterbi(rows: pd.DataFrame) -> pd.DataFrame:
-    """Site-level path over haplotypes without restarts, at the sites that have a state."""
-    pos, haps, a, rows = panel_matrix(rows)
-    state = rows["state"].to_numpy()
-    pos, a, state = pos[state != 0], a[state != 0], state[state != 0]
-    if not len(pos):
-        return pd.DataFrame(columns=["w", "pos", "hap"])
-    emission = np.where(a == state[:, None], 1.5, -0.5)
-    stay, move = 0.4, -0.2
-    score, back = emission[0], []
-    for e in emission[1:]:
-        top = int(score.argmax())
-        jump = score[top] + move
-        come = np.where(score + stay >= jump, np.arange(len(score)), top)
-        score = e + np.maximum(score + stay, jump)
-        back.append(come)
-    k = int(score.argmax())
-    path = [k]
-    for come in reversed(back):
-        k = int(come[k])
-        path.append(k)
-    return pd.DataFrame({"w": rows["w"].iloc[0], "pos": pos, "hap": haps[path[::-1]]})
-
-
-def forward_backward(match: np.ndarray, dcm: np.ndarray, scale: float = 1.0, error: float = 0.01) -> np.ndarray:
-    """Posterior of the copied path at each site (sites x paths).
-
-    The chance to switch is r = clamp(0.01 * dcM * scale, 1e-8, 0.2), to any path
-    alike, so a step costs O(k).  match: 1 equal, 0 differs, nan missing.
-    """
-    n, k = match.shape
-    emit = np.where(np.isnan(match), 1.0, np.where(match > 0, 1 - error, error))
-    r = np.clip(0.01 * dcm * scale, 1e-8, 0.2)
-    f = np.zeros((n, k))
-    f[0] = emit[0] / emit[0].sum()
-    for i in range(1, n):
-        f[i] = emit[i] * ((1 - r[i]) * f[i - 1] + r[i] / k)
-        f[i] /= f[i].sum()
-    b = np.ones((n, k))
-    for i in range(n - 2, -1, -1):
-        v = emit[i + 1] * b[i + 1]
-        b[i] = (1 - r[i + 1]) * v + r[i + 1] * v.sum() / k
-        b[i] /= b[i].sum()
-    p = f * b
-    return p / p.sum(1, keepdims=True)
-
-
-def path_stats(pos: np.ndarray, state: np.ndarray, a: np.ndarray, centre: int, side: int) -> tuple[np.ndarray, ...]:
-    """Of each haplotype against the phased sites, read as they are (side 1) or flipped: score by distance, matches, and unbroken matches to the left and right of the centre."""
-    at = np.flatnonzero(state != 0)
-    ok = a[at] == side * state[at][:, None]
-    wt = 1 / (1 + np.abs(pos[at] - centre) / 1000)
-    score = np.where(a[at] == 0, 0.0, np.where(ok, wt[:, None], -0.25 * wt[:, None])).sum(0)
-    left, right = ok[pos[at] < centre][::-1], ok[pos[at] >= centre]
-    run = lambda x: np.logical_and.accumulate(x, axis=0).sum(0) if len(x) else np.zeros(a.shape[1], int)
-    return np.round(score, 9), ok.sum(0), run(left), run(right)
-
-
-def hmm_predict(rows: pd.DataFrame, donors: int = 32) -> pd.DataFrame:
-    """Chance of the alternate allele at unphased sites.
-
-    The median of these sites is the centre of retrieval.  For each side the
-    ``donors`` best haplotypes copy the phased sites, read as they are (plus) or
-    flipped (minus); the chance is the mean of the plus path's posterior of the
-    alternate and the minus path's posterior of the reference allele, each among
-    donors that have one.
-    """
-    pos, haps, a, rows = panel_matrix(rows)
-    state, cm = rows["state"].to_numpy(), rows["cm"].to_numpy(float)
-    open_ = pos[state == 0]
-    centre = int(open_[len(open_) // 2]) if len(open_) else int(pos[len(pos) // 2])
-    terms = []
-    for side in (1, -1):
-        score = path_stats(pos, state, a, centre, side)[0]
-        own = a[:, np.lexsort((haps, -score))[:donors]]
-        match = np.where((state[:, None] == 0) | (own == 0), np.nan, (own == side * state[:, None]).astype(float))
-        post = forward_backward(match, np.abs(np.diff(cm, prepend=cm[0])))
-        whole = (post * (own != 0)).sum(1)
-        terms.append(np.where(whole > 0, (post * (own == side)).sum(1) / np.where(whole > 0, whole, 1), np.nan))
-    seen = ~np.isnan(terms)
-    alt = np.where(seen.any(0), np.nansum(terms, 0) / np.maximum(seen.sum(0), 1), 0.5)
-    return pd.DataFrame({"w": rows["w"].iloc[0], "pos": pos, "state": state, "alt": np.round(alt, 6), "pred": np.where(np.round(alt, 6) >= 0.5, 1, -1)})
-
-
-# ---- positional prefix index ---------------------------------------------
-
-
-def prefix_index(alleles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order and divergence at each site, by stable partition into 0, 1 and missing (-1)."""
-    n, h = alleles.shape
-    order, div = np.arange(h), np.zeros(h, np.int64)
-    orders, divs = np.empty((n, h), np.int64), np.empty((n, h), np.int64)
-    for i in range(n):
-        new_order, new_div = [], []
-        for kind in (0, 1, -1):
-            own = np.flatnonzero(alleles[i, order] == kind)
-            if len(own):  # each takes the largest divergence since the one of its kind before it
-                top = np.maximum.reduceat(div[: own[-1] + 1], np.append(0, own[:-1] + 1))
-                top[0] = i + 1
-                new_order.append(order[own]), new_div.append(top)
-        order, div = np.concatenate(new_order), np.concatenate(new_div)
-        orders[i], divs[i] = order, div
-    return orders, divs
-
-
-def _coded(a: np.ndarray) -> np.ndarray:
-    return np.where(a > 0, 1, np.where(a < 0, 0, -1))
-
-
-def prefix_order(rows: pd.DataFrame) -> pd.DataFrame:
-    pos, haps, a, rows = panel_matrix(rows)
-    orders, divs = prefix_index(_coded(a))
-    i = len(pos) - 1
-    return pd.DataFrame({"w": rows["w"].iloc[0], "rank": np.arange(len(haps)), "hap": haps[orders[i]], "divergence": divs[i]})
-
-
-def prefix_retrieval(rows: pd.DataFrame, seeds: int = 8, least: int = 4, most: int = 16) -> pd.DataFrame:
-    """Donors of each path from the neighbours of the best haplotypes in the prefix order.
-
-    Seeds are the haplotypes with the longest unbroken matches around the centre.
-    Their neighbours in the order at the last phased site up to the centre, as far
-    as the divergence shows a match as long as the seed's own (``least`` sites at
-    least), are candidates; mode "both" adds those at the next site to the right.
-    """
-    pos, haps, a, rows = panel_matrix(rows)
-    state = rows["state"].to_numpy()
-    orders, divs = prefix_index(_coded(a))
-    ranks = np.argsort(orders, axis=1)
-    at = np.flatnonzero(state != 0)
-    centre = int(pos[len(pos) // 2])
-    out = []
-
-    def near(seed: int, site: int, length: int) -> set[int]:
-        low, order, div, k = max(0, site - max(length, least) + 1), orders[site], divs[site], int(ranks[site, seed])
-        lo = hi = k
-        while lo > 0 and div[lo] <= low:
-            lo -= 1
-        while hi + 1 < len(order) and div[hi + 1] <= low:
-            hi += 1
-        return set(order[lo : hi + 1].tolist())
-
-    for side in (1, -1):
-        score, matched, left, right = path_stats(pos, state, a, centre, side)
-        best = np.lexsort((haps, -score, -matched, -(left + right)))
-        good = [k for k in best.tolist() if score[k] > 0 and left[k] + right[k] >= least][: max(seeds, most)]
-        for mode in ("exact_prefix", "both"):
-            found: set[int] = set()
-            before, after = at[pos[at] <= centre], at[pos[at] > centre]
-            for k in good:
-                found |= near(k, before[-1], left[k]) if len(before) else {k}
-                if mode == "both":
-                    found |= near(k, after[0], right[k]) if len(after) else {k}
-            kept = [k for k in best.tolist() if score[k] > 0 and (k in found or not found)][:most]
-            out += [(rows["w"].iloc[0], mode, side, int(haps[k]), int(left[k]), int(right[k]), int(matched[k])) for k in kept]
-    return pd.DataFrame(out, columns=["w", "mode", "path", "hap", "left_run", "right_run", "matched"])
+        out.append((rows["w"].iloc[0], r, round(base[r][0], 6), now, len(out)))
+    return pd.DataFrame(out, columns=["w", "read_id", "base", "score", "rank"])
 
 
 # ---- bridges -------------------------------------------------------------
 
 
-def chain_orientation(rows: pd.DataFrame, revert: float = 0.75) -> pd.DataFrame:
-    """Two-state chain: unary costs of each region and pair costs between neighbours; ties keep +1, weak flips without a bridge go back."""
-    r = rows.sort_values("comp").reset_index(drop=True)
-    n = len(r)
-    unary = np.stack([r["minus"], r["plus"]], 1).astype(float)  # cost of +1, of -1
-    best, back = unary[0].copy(), np.zeros((n, 2), int)
-    for i in range(1, n):
-        new = np.empty(2)
-        for s in (0, 1):
-            options = [best[t] + (r["link"][i] if t != s else 0.0) for t in (0, 1)]
-            back[i, s] = int(options[1] < options[0] - 1e-9)
-            new[s] = unary[i, s] + options[back[i, s]]
-        best = new
-    s = int(best[1] < best[0] - 1e-9)
-    out = []
-    for i in range(n - 1, -1, -1):
-        margin = abs(unary[i, 0] - unary[i, 1])
-        flip = -1 if s else 1
-        if flip < 0 and margin < revert and r["link"][i] == 0:
-            flip = 1
-        out.append((r["w"][0], int(r["comp"][i]), flip, round(float(margin), 6)))
-        s = back[i, s]
-    return pd.DataFrame(out[::-1], columns=["w", "comp", "orientation", "margin"])
-
-
-def resolve_region(rows: pd.DataFrame, beam: int = 64, pair: float = 0.35) -> pd.DataFrame:
-    """One candidate for each site of a region: sum of scores plus ``pair`` times agreement of neighbours; exact up to 8 sites, else beam."""
-    out = []
-    for region, g in rows.groupby(rows["pos"] // 800):
-        paths: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        sites = sorted(g["pos"].unique())
-        keep = 50_000 if len(sites) <= 8 else beam
-        for p in sites:
-            options = list(zip(g.loc[g["pos"] == p, "cstate"], g.loc[g["pos"] == p, "score"]))
-            paths = sorted(((round(s + sc + (pair * x[-1] * c if x else 0.0), 9), (*x, int(c))) for s, x in paths for c, sc in options), key=lambda z: (-z[0], tuple(-v for v in z[1])))[:keep]
-        margin = paths[0][0] - paths[1][0] if len(paths) > 1 else 999.0
-        out += [(rows["w"].iloc[0], int(region), int(p), c, round(margin, 6)) for p, c in zip(sites, paths[0][1])]
-    return pd.DataFrame(out, columns=["w", "region", "pos", "state", "margin"])
-
-
 def _strongest(edges: pd.DataFrame) -> pd.DataFrame:
     e = edges.assign(sign=np.where(edges["pw"] >= edges["mw"], 1, -1), margin=(edges["pw"] - edges["mw"]).abs().round(9), total=(edges["pw"] + edges["mw"]).round(9))
     return e.assign(prob=(np.maximum(e["pw"], e["mw"]) / e["total"]).round(9))

@@ -32,6 +32,8 @@ FIXTURES: dict[str, str] = {
     "blocks": "SELECT w, block_id, min(pos) AS s, max(pos) AS e, count(*) AS n FROM {calls} WHERE state <> 0 GROUP BY w, block_id",
     "fills": """SELECT w, pos, 'b' || CAST(i * 3 % 4 AS STRING) AS block_id, CASE WHEN i * 7 % 5 < 3 THEN 1 ELSE -1 END AS pred, i * 11 % 37 / 1.0 AS plus, (i + w) * 5 % 23 / 1.0 AS minus,
         (i * 17 + w) % 100 / 100.0 AS prob, 10 + i % 50 AS donors, 1 + i % 4 AS anchors, i % 6 AS orient_sites, (i + w) % 4 AS orient_margin FROM (SELECT *, IDIV(pos|100) AS i FROM {calls}) AS c WHERE state = 0 OR IDIV(pos|100) % 5 = 0""",
+    "external": "SELECT w, pos, ref, alt, tstate, IDIV(pos|1000) AS ps FROM {truth}",
+    "gated": "SELECT w, pos, max(pred) AS pred, max(CASE WHEN anchors < 4 THEN prob END) AS prob FROM {fills} GROUP BY w, pos",
     "panel": f"SELECT vec_id AS hap, IDIV(vec_id|2) AS donor, vec_id % 2 AS hap_id, 'g' || CAST(label AS STRING) AS grp, k, CASE WHEN ELEM(embedding, k + 1) > 0 THEN 1 ELSE -1 END AS allele FROM {{embeddings}} CROSS JOIN (VALUES {_K}) AS t(k)",
     "psites": f"SELECT 1000 + 100 * (64 * h + k) AS pos, k FROM (VALUES {_K}) AS t(k) CROSS JOIN (VALUES (0), (1)) AS u(h)",
     "bias": "SELECT w, pos, ((pos * 13 + w) % 21 - 10) / 10.0 AS bias FROM {sites} WHERE i % 8 <> 0",
@@ -55,7 +57,7 @@ FIXTURES: dict[str, str] = {
         event_id % 40 AS support, user_id % 13 AS anchors FROM {events}""",
     "manifest": """SELECT w, 'chr20' AS chrom, 'w' || CAST(w AS STRING) || CASE w % 3 WHEN 0 THEN '_illumina30x_phase7a' WHEN 1 THEN '_illumina35x_phase7a' ELSE '_phase7a' END AS label,
         count(DISTINCT read_id) AS reads, count(DISTINCT pos) AS snps, min(pos) AS s, max(pos) + 1 AS e FROM {obs} GROUP BY w""",
-    "decisions": DECIDE.replace(":min_inf", "2").replace(":min_conf", "0.4"),
+    "decisions": DECIDE.replace(":min_inf", "2").replace(":min_conf", "0.3"),
     "siteprior": """SELECT s.w, s.pos, coalesce(b.bias, 0.0) AS donor_bias, coalesce(q.cstate, 0) AS top_state, coalesce(q.margin, 0.0) AS margin, a.lft, a.rgt FROM {sites} s LEFT JOIN {bias} b ON b.w = s.w AND b.pos = s.pos
         LEFT JOIN (SELECT w, pos, cstate, score - nxt AS margin FROM (SELECT *, row_number() OVER (PARTITION BY w, qid ORDER BY score DESC, cand) AS rn, lead(score) OVER (PARTITION BY w, qid ORDER BY score DESC, cand) AS nxt FROM {scores}) AS r WHERE rn = 1) q ON q.w = s.w AND q.pos = s.pos
         LEFT JOIN (SELECT w, pos, lag(state) OVER (PARTITION BY w ORDER BY pos) AS lft, lead(state) OVER (PARTITION BY w ORDER BY pos) AS rgt FROM {calls2}) a ON a.w = s.w AND a.pos = s.pos""",

@@ -4,50 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import learning, stateful as st
-from ..operators.aggregates import ORIENT  # noqa: F401
-from ..operators.windows import TOP_STATES
+from ..operators.phasing import BASE_SCORE
 from ..sources import readers
-from . import regions
+from . import copying, regions
 from .fixtures import FIXTURES, Tables, _INPUT, needed
 from .operator import Operator, render
 
 _READS = "w long, read_id long"
 
 
-def _states(t: Tables) -> DataFrame:
-    """The four best states of each window."""
-    return _sql(t, TOP_STATES.replace(":top", "4"), "w long, win long, rn int, hap long, donor long, grp string, emission double")
-
-
 def _sql(t: Tables, text: str, out: str) -> DataFrame:
     op = Operator("q", text, out)
     return op.run(t.spark, {n: t[n] for n in op.inputs})
 
 
-#: Centimorgans by linear interpolation in the genetic map, held at its ends.
-_SITES = """SELECT c.w, c.pos, c.state, v.k, CASE WHEN m.bp IS NULL THEN CASE WHEN c.pos < r.lo THEN r.locm ELSE r.hicm END ELSE m.cm + (m.ncm - m.cm) * (c.pos - m.bp) / (m.nbp - m.bp) END AS cm FROM {calls} c JOIN {psites} v ON v.pos = c.pos
-CROSS JOIN (SELECT min(bp) AS lo, min(cm) AS locm, max(cm) AS hicm FROM {gmap}) r LEFT JOIN (SELECT bp, cm, lead(bp) OVER (ORDER BY bp) AS nbp, lead(cm) OVER (ORDER BY bp) AS ncm FROM {gmap}) m ON c.pos >= m.bp AND c.pos < m.nbp"""
-
-
-def _panel_rows(t: Tables) -> DataFrame:
-    """Called sites with the alleles of all haplotypes as an array, 0 where the panel has none; one row of a window names the haplotypes."""
-    panel = t["panel"].select("hap", "k", F.col("allele").cast("tinyint").alias("allele"))
-    names = panel.select("hap").distinct().agg(F.sort_array(F.collect_list("hap")).alias("names"))
-    seen = panel.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("hap", "allele"))).alias("of"))
-    rows = seen.crossJoin(F.broadcast(names)).select("k", "names", F.transform("names", lambda h: F.coalesce(F.element_at("of", h), F.lit(0).cast("tinyint"))).alias("alleles"))
-    first = F.row_number().over(Window.partitionBy("w").orderBy("pos")) == 1
-    sites = _sql(t, _SITES, "w long, pos long, state int, k long, cm double").withColumn("first", first)
-    return sites.join(F.broadcast(rows), "k").select("w", "pos", "state", "cm", "alleles", F.when(F.col("first"), F.col("names")).alias("haps"))
-
-
 #: Bridges between components with their places in base pairs.
 _BRIDGES = """SELECT e.w, e.a, e.b, CASE WHEN e.pw >= e.mw THEN 1 ELSE -1 END AS sign, greatest(e.pw, e.mw) / (e.pw + e.mw) AS prob, greatest(e.pw, e.mw) / (e.pw + e.mw + 1.0) AS conf, abs(e.pw - e.mw) AS margin, e.pw + e.mw AS total, greatest(0, greatest(x.s, y.s) - least(x.e, y.e)) AS gap, x.s AS a_s, x.e AS a_e, y.s AS b_s, y.e AS b_e
 FROM {obsedges} e JOIN (SELECT w, comp, min(pos) AS s, max(pos) AS e FROM {comps} GROUP BY w, comp) x ON x.w = e.w AND x.comp = e.a JOIN (SELECT w, comp, min(pos) AS s, max(pos) AS e FROM {comps} GROUP BY w, comp) y ON y.w = e.w AND y.comp = e.b"""
 
 
+def _bases(t: Tables) -> DataFrame:
+    """The base score of each read and its sites."""
+    base = _sql(t, BASE_SCORE.replace(":least", "2"), "w long, read_id long, n long, score double")
+    sites = t["obs"].where("allele <> 0").groupBy("w", "read_id").agg(F.sort_array(F.collect_set("pos")).alias("sites"))
+    return base.join(sites, ["w", "read_id"]).select("w", "read_id", F.col("score").alias("base"), "sites")
+
+
 def _bridges(t: Tables) -> DataFrame:
     return _sql(t, _BRIDGES, "w long, a long, b long, sign int, prob double, conf double, margin double, total double, gap long, a_s long, a_e long, b_s long, b_e long")
 
@@ -123,11 +108,8 @@ def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return regions.queries() | {
-        "I3_window_viterbi": _window(_states, st.window_viterbi, "w long, win long, hap long, score double"),
-        "I6_site_viterbi": _window(_panel_rows, st.site_viterbi, "w long, pos long, hap long"),
-        "I7_path_beam": _window(_states, st.path_beam, "w long, step long, hap long, stay int, margin double"),
-        "I11_informative_reads": _window("frags", st.informative_reads, _READS + ", score double, rank long"),
+    return regions.queries() | copying.queries() | {
+        "I11_informative_reads": _window(_bases, st.informative_reads, _READS + ", base double, score double, rank long"),
         "I16_components": lambda spark, sf_dir: _components(Tables(spark, sf_dir)),
         "I17_I18_wmec_solve": _solved,
         "I21_wmec_legacy": _solved,
@@ -136,9 +118,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "I32_two_colouring": _window("obsedges", st.two_colour, _LABELS),
         "I33_bridge_forest": _window(_bridges, lambda e: st.bridge_forest(e, prob=0.6, margin=0.5, degree=2, gap=1_000, blocks=8, span=10_000), _LABELS),
         "I34b_utility_forest": _window(_bridges, lambda e: st.utility_forest(e, prob=0.6, margin=0.5, degree=2, gain=100, merged=500, weight=0.001), _LABELS + ", mode string"),
-        "I35_prefix_index": _window(_panel_rows, st.prefix_order, "w long, rank long, hap long, divergence long"),
-        "I38_prefix_retrieval": _window(_panel_rows, st.prefix_retrieval, "w long, mode string, path int, hap long, left_run long, right_run long, matched long"),
-        "I41_I42_hmm_predict": _window(_panel_rows, st.hmm_predict, "w long, pos long, state int, alt double, pred int"),
         "I46_acceptance_model": _learn(lambda s, t: learning.out_of_fold(_labelled(t), _FEATURES, "grp").select("id", "fold", "prob")),
         "I46b_model_metrics": _learn(lambda s, t: learning.metrics(learning.out_of_fold(_labelled(t), _FEATURES, "grp"))),
         "I47_bridge_model": _learn(lambda s, t: learning.out_of_fold(_labelled(t), learning.useful_features(_labelled(t), [*_FEATURES, "label"], {"label"}), "grp", k=2).select("id", "fold", "prob")),
@@ -160,7 +139,7 @@ def _recursive(uses: list[str], ctes: str, select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """Recursive SQL of those that have a practical form."""
-    return regions.oracle_sql() | {
+    return regions.oracle_sql() | copying.oracle_sql() | {
         "I16_components": _recursive(
             ["frags"],
             """link AS (SELECT DISTINCT x.w, x.pos AS a, y.pos AS b FROM frags x JOIN frags y ON x.w = y.w AND x.read_id = y.read_id),
@@ -179,10 +158,4 @@ def oracle_sql() -> dict[str, str]:
             """SELECT CAST(r.w AS BIGINT) AS w, CAST(r.n AS BIGINT) AS comp, CAST(CASE WHEN b.n IS NULL THEN r.m ELSE r.n END AS BIGINT) AS block, CAST(max(CASE WHEN b.n IS NULL THEN r.s ELSE 1 END) AS INT) AS orientation
             FROM reach r JOIN low l ON l.w = r.w AND l.n = r.n AND l.m = r.m LEFT JOIN broken b ON b.w = r.w AND b.n = r.n GROUP BY r.w, r.n, r.m, b.n""",
         ),
-        "I35_prefix_index": _recursive(
-            ["calls", "psites", "panel"],
-            """keyed AS (SELECT c.w, p.hap, string_agg(CASE WHEN p.allele > 0 THEN '1' ELSE '0' END, '' ORDER BY c.pos DESC) AS word, count(*) AS n FROM calls c JOIN psites v ON v.pos = c.pos JOIN panel p ON p.k = v.k GROUP BY c.w, p.hap),
-            ranked AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY word, hap) - 1 AS rank, lag(word) OVER (PARTITION BY w ORDER BY word, hap) AS prev FROM keyed)""",
-            "SELECT CAST(w AS BIGINT) AS w, CAST(rank AS BIGINT) AS rank, CAST(hap AS BIGINT) AS hap, CAST(CASE WHEN prev IS NULL THEN n ELSE n - len(list_filter(range(1, n + 1), lambda j: substr(word, 1, j) = substr(prev, 1, j))) END AS BIGINT) AS divergence FROM ranked",
-        ),
     }

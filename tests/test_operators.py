@@ -59,8 +59,8 @@ def test_nearest_counts_equal_side_and_limit(spark):
 
 def test_gate_reasons(spark):
     calls = frame(spark, [(0, p, "b", 0, 1.0) for p in (1, 2, 3, 4)], "w long, pos long, block_id string, state int, conf double")
-    fills = frame(spark, [(0, 1, 1, 0.9, 1), (0, 2, 1, 0.1, 1), (0, 3, 1, 0.9, 4)], "w long, pos long, pred int, prob double, anchors int")
-    got = {r.pos: (r.state, r.reason) for r in REGISTRY["B12_probability_gate"].run(spark, {"calls": calls, "fills": fills}).collect()}
+    fills = frame(spark, [(0, 1, 1, 0.9), (0, 2, 1, 0.1), (0, 3, 1, None)], "w long, pos long, pred int, prob double")
+    got = {r.pos: (r.state, r.reason) for r in REGISTRY["B12_probability_gate"].run(spark, {"calls": calls, "gated": fills}).collect()}
     assert got == {1: (1, "kept"), 2: (0, "below_threshold"), 3: (0, "no_oof_prediction"), 4: (0, "not_filled")}
 
 
@@ -106,3 +106,55 @@ def test_modes_are_merged_from_two_tables(spark):
     fills = frame(spark, [(0, 1, "b", 1, 0.9), (0, 2, "b", 1, 0.9), (0, 3, "b", 1, 0.2)], shape)
     other = frame(spark, [(0, 2, "b", -1, 0.8), (0, 3, "b", -1, 0.6)], shape)
     assert sorted(map(tuple, REGISTRY["I43_mode_merge"].run(spark, {"fills": fills, "hmmfills": other}).collect())) == [(0, 1, 1, "pbwt"), (0, 2, -1, "hmm")]
+
+
+def test_boundary_evidence_by_hand(spark):
+    """Two blocks of 4 sites with confidence 0.8: support 3.2, all terms by hand."""
+    def calls(second):
+        return frame(spark, [(0, 10 * b + i, f"b{b}", s, 0.8) for b, s in ((1, 1), (2, second)) for i in range(4)] + [(0, 99, "unassigned", 0, 0.0)], "w long, pos long, block_id string, state int, conf double")
+
+    own = 0.22 + 0.18 * 0.8 + 0.16 + 0.16 * 0.8 + 0.18 + 0.10  # bias 1, 3.2 / 4, 4 / 4, 0.8, coherence 1, nothing abstained
+    row = REGISTRY["I12_boundary_evidence"].run(spark, {"calls": calls(1)}).first()
+    assert abs(row.rel - own) < 1e-6 and abs(row.same - (own + 0.5 * (1 - own))) < 1e-6 and abs(row.flip - 0.5 * (1 - own)) < 1e-6
+    row = REGISTRY["I12_boundary_evidence"].run(spark, {"calls": calls(-1)}).first()
+    assert abs(row.flip - (own + 0.5 * (1 - own))) < 1e-6 and abs(row.same - 0.5 * (1 - own)) < 1e-6
+    said = lambda x, **p: tuple(REGISTRY["I13_boundary_decision"].run(spark, {"calls": calls(x)}, **p).first())[3:5]
+    assert said(1) == ("Join", "same") and said(-1) == ("Abstain", "flip_suppressed_no_flip_ablation")
+    assert said(1, min_inf=5) == ("Abstain", "insufficient_informative_sites") and said(1, min_conf=0.95) == ("Abstain", "low_confidence")
+
+
+def test_weak_blocks_stay_close(spark):
+    """One block with bias (0.9 - 0.6) / 1.5 = 0.2 and an abstained site, one of a single site."""
+    rows = [(0, 1, "b1", 1, 0.9), (0, 2, "b1", -1, 0.6), (0, 3, "b1", 0, 0.0), (0, 7, "b2", 1, 0.5)]
+    row = REGISTRY["I12_boundary_evidence"].run(spark, {"calls": frame(spark, rows, "w long, pos long, block_id string, state int, conf double")}).first()
+    left = 0.22 * 0.2 + 0.18 * 1.5 / 4 + 0.16 * 2 / 4 + 0.16 * 0.75 + 0.18 * 0.2 + 0.10 * 2 / 3
+    right = 0.22 + 0.18 * 0.5 / 4 + 0.16 / 4 + 0.16 * 0.5 + 0.18 + 0.10
+    rel = (left * right) ** 0.5
+    assert abs(row.rel - rel) < 1e-6 and abs(row.same - (rel * 0.2 + 0.5 * (1 - rel))) < 1e-6
+
+
+def test_base_score_by_hand(spark):
+    shape = "w long, read_id long, pos long, allele int, amb int, w2 double"
+    rows = [(0, 1, 100, 1, 0, 0.8), (0, 1, 100, -1, 1, None), (0, 1, 600, 1, 0, 0.4), (0, 1, 700, 0, 1, 1.2), (0, 2, 100, 1, 0, 1.0)]
+    got = REGISTRY["I11_informative_base_score"].run(spark, {"obs": frame(spark, rows, shape)}).collect()
+    # 2 sites over 500 bases, 4 observations of mean weight 0.6, two of them ambiguous; read 2 has one site
+    assert [(r.read_id, r.n, r.score) for r in got] == [(1, 2, 4 + 0.002 * 500 + 2 + 0.25 * 0.6 * 4 - 1.0)]
+
+
+def test_all_starts_of_a_window_are_seen(spark):
+    man = frame(spark, [(0, 1000, 13_501)], "w long, s long, e long")
+    obs = frame(spark, [(0, 1, 13_200), (0, 1, 1_500)], "w long, read_id long, pos long")
+    truth = frame(spark, [(0, 13_200)], "w long, pos long")
+    got = sorted((r.start, r.variants, r.truth) for r in REGISTRY["D40_window_statistics"].run(spark, {"manifest": man, "obs": obs, "truth": truth}).collect())
+    assert got == [(1000, 1, 0), (12_000, 1, 1), (13_000, 1, 1)]
+
+
+def test_neighbours_use_all_sites_up_to_the_centre(spark):
+    calls = frame(spark, [(0, p, "b", 1, 1.0) for p in (10, 20, 90_000)], "w long, pos long, block_id string, state int, conf double")
+    psites = frame(spark, [(10, 0), (20, 1), (90_000, 2)], "pos long, k int")
+    words = {0: "110", 1: "010", 2: "100", 3: "001"}
+    panel = frame(spark, [(h, k, 1 if x == "1" else -1) for h, word in words.items() for k, x in enumerate(word)], "hap long, k int, allele int")
+    got = lambda c: {(r.hap, r.dist) for r in REGISTRY["I36_neighbour_retrieval"].run(spark, {"calls": calls, "psites": psites, "panel": panel, "centres": frame(spark, [(0, c)], "w long, centre long"), "seeds": frame(spark, [(0, 1)], "w long, hap long")}, radius=1).collect()}
+    # at 20 the words are read from site 20 back: 3 "00", 2 "01", 1 "10", 0 "11"; at 90,000: 2 "001", 1 "010", 0 "011", 3 "100"
+    assert got(20) == {(2, 1), (0, 1)} and got(95_000) == {(2, 1), (0, 1)}
+    assert got(10) == {(3, 1)}  # by site 10 alone: 1, 3, 0, 2; ties by haplotype

@@ -49,45 +49,6 @@ def test_signed_sets():
     assert rel[1] * rel[2] == -1 and rel[2] * rel[3] == -1 and rel[4] * rel[5] == 1 and rel[3] * rel[5] == -1
 
 
-def test_prefix_index_sorts_reversed_prefixes():
-    a = np.random.default_rng(0).integers(0, 2, (9, 30))
-    orders, divs = st.prefix_index(a)
-    for i in range(9):
-        keys = [tuple(a[i::-1, h]) for h in orders[i]]
-        assert keys == sorted(keys)
-        for k in range(1, 30):
-            x, y = orders[i][k - 1], orders[i][k]
-            same = 0
-            while same <= i and a[i - same, x] == a[i - same, y]:
-                same += 1
-            assert i + 1 - divs[i][k] == same
-
-
-def test_forward_backward_against_full_chain():
-    rng = np.random.default_rng(0)
-    match = rng.integers(0, 2, (6, 3)).astype(float)
-    match[2] = np.nan
-    dcm = rng.random(6) * 30
-    got = st.forward_backward(match, dcm)
-    r = np.clip(0.01 * dcm, 1e-8, 0.2)
-    want = np.zeros((6, 3))
-    for path in product(range(3), repeat=6):
-        p = 1.0
-        for i, k in enumerate(path):
-            p *= 1.0 if np.isnan(match[i, k]) else 0.99 if match[i, k] else 0.01
-            if i:
-                p *= (1 - r[i]) * (path[i - 1] == k) + r[i] / 3
-        for i, k in enumerate(path):
-            want[i, k] += p
-    assert np.allclose(got, want / want.sum(1, keepdims=True)) and np.allclose(got.sum(1), 1)
-
-
-def test_viterbi_restarts_and_prefers_one_haplotype():
-    rows = [(0, win, rn, h, h // 2, "g", 1.0 if h == 1 else 0.9) for win in (0, 1, 3) for rn, h in enumerate((1, 4), 1)]
-    got = st.window_viterbi(pd.DataFrame(rows, columns=["w", "win", "rn", "hap", "donor", "grp", "emission"]))
-    assert got["hap"].tolist() == [1, 1, 1] and got["win"].tolist() == [0, 1, 3]
-
-
 def test_conflicted_bridge_component_is_left_alone():
     e = pd.DataFrame([(0, 1, 2, 5.0, 0.0), (0, 2, 3, 5.0, 0.0), (0, 1, 3, 0.0, 5.0), (0, 7, 8, 0.0, 4.0)], columns=["w", "a", "b", "pw", "mw"])
     got = st.two_colour(e).set_index("comp")
@@ -101,16 +62,6 @@ def test_component_split_counts_from_the_chunk_start():
     assert st.split_component(p, max_sites=2, max_span=1500)["piece"].tolist() == [0, 0, 1, 1, 2, 3]
 
 
-def test_read_selection():
-    f, _ = frags(3)
-    assert set(st.coverage_selection(f)["read_id"]) <= set(f["read_id"])
-    merged = st.superread_merge(f).set_index("read_id")["superread"]
-    for s in merged.unique():
-        own = f[f["read_id"].isin(merged[merged == s].index)]
-        assert (own.groupby("pos")["allele"].nunique() == 1).all()
-    assert st.informative_reads(f)["rank"].is_monotonic_increasing and len(st.active_reads(f)) and len(st.probabilistic_merge(f))
-
-
 def test_limits_of_the_reference():
     rng = np.random.default_rng(8)
     chain = lambda n: pd.DataFrame([(0, r, 100 * p, int(rng.choice([-1, 1])), float(rng.integers(1, 9))) for r in range(3 * n) for p in (r % (n - 1), r % (n - 1) + 1)], columns=["w", "read_id", "pos", "allele", "weight"])
@@ -123,8 +74,21 @@ def test_limits_of_the_reference():
     assert set(got["solver"]) == {"exact"} and got["objective"].iloc[0] == c.min() and got["margin"].iloc[0] == np.sort(c)[1] - c.min()
     assert set(st.solve_with_priors(f.assign(donor_bias=0.0, top_state=0, margin=0.0, lft=0, rgt=0))["solver"]) == {"exact"}
     assert set(st.solve_window(chain(18))["solver"]) == {"exact"} and set(st.solve_window(chain(19))["solver"]) == {"greedy"}
-    reads = pd.DataFrame([(0, r, 1000 * r + k, 1, 1.0) for r in range(100) for k in (1, 2)], columns=["w", "read_id", "pos", "allele", "weight"])
-    assert len(st.informative_reads(reads)) == 100
+
+
+def test_informative_reads_equal_a_scan_of_all():
+    rng = np.random.default_rng(11)
+    rows = pd.DataFrame([(0, r, float(rng.integers(-30, 80)) / 10, sorted(rng.choice(9, rng.integers(2, 5), replace=False).tolist())) for r in range(40)], columns=["w", "read_id", "base", "sites"])
+    cover, left, want = {}, dict(zip(rows["read_id"], zip(rows["base"], rows["sites"]))), []
+    while left and len(want) < 30:
+        now = {r: round(b - sum(min(3.0, 0.4 * cover.get(p, 0)) for p in s), 9) for r, (b, s) in left.items()}
+        best = min(now, key=lambda r: (-now[r], r))
+        want.append((best, now[best]))
+        for p in left.pop(best)[1]:
+            cover[p] = cover.get(p, 0) + 1
+    got = st.informative_reads(rows, most=30)
+    assert list(zip(got["read_id"], got["score"])) == want and min(s for _, s in want) < 0  # no stop at 0
+    assert len(st.informative_reads(rows)) == 40
 
 
 def test_priors_against_enumeration():
@@ -186,37 +150,3 @@ def test_forest_orders_and_caps():
     assert joined(one[one["mode"] == "utility_first"]) == {(3, 4)} and joined(st.bridge_forest(e, "hybrid", gain=10**6)) == set()
 
 
-def panel(alleles, state, first=10):
-    n = len(state)
-    return pd.DataFrame({"w": 0, "pos": [first + 1000 * k for k in range(n)], "state": state, "cm": [0.1 * k for k in range(n)], "alleles": list(np.array(alleles).T), "haps": [list(range(100, 100 + len(alleles)))] + [None] * (n - 1)})
-
-
-def test_hmm_copies_both_paths():
-    up = [1, 1, -1, 1, -1, 1]
-    rows = panel([up, [-x for x in up], [1, -1, 1, -1, 1, 1]], [1, 1, 0, 1, 0, 1])
-    got = st.hmm_predict(rows, donors=1)
-    assert got["pred"].tolist()[2] == -1 and got["pred"].tolist()[4] == -1 and got["alt"][2] < 0.01
-    flipped = st.hmm_predict(panel([up, [-x for x in up]], [-1, -1, 0, -1, 0, -1]), donors=1)
-    assert flipped["alt"][2] > 0.99 and flipped["alt"][4] > 0.99
-    missing = st.hmm_predict(panel([[1, 1, 0, 1], [-1, -1, 0, -1]], [1, 1, 0, 1]), donors=1)
-    assert missing["alt"][2] == 0.5
-
-
-def test_retrieval_finds_the_longest_matches():
-    rng = np.random.default_rng(3)
-    truth = rng.choice([1, -1], 30)
-    a = rng.choice([1, -1], (40, 30))
-    a[7], a[9] = truth, np.where(np.arange(30) < 16, truth, -truth)
-    state = np.where(np.arange(30) % 7 == 3, 0, truth)
-    got = st.prefix_retrieval(panel(a.tolist(), state.tolist()))
-    plus = got[got["path"] == 1]
-    for mode in ("exact_prefix", "both"):
-        own = plus[plus["mode"] == mode]
-        assert own["hap"].iloc[0] == 107 and 109 in set(own["hap"]) and (own["left_run"] + own["right_run"]).is_monotonic_decreasing
-    brute = [sum(1 for _ in __import__("itertools").takewhile(lambda k: a[h, k] == state[k], [k for k in range(14, -1, -1) if state[k]])) for h in range(40)]
-    assert all(brute[r.hap - 100] == r.left_run for r in plus.itertuples())
-
-
-def test_site_path_stays_on_the_matching_haplotype():
-    rows = panel([[1] * 6, [-1] * 6, [1, 1, 1, -1, -1, -1]], [1, 1, 1, -1, 0, -1])
-    assert set(st.site_viterbi(rows)["hap"]) == {102} and len(st.site_viterbi(rows)) == 5
