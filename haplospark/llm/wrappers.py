@@ -52,7 +52,7 @@ _PART = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Share of a host's content that the main container holds at least; different pages on which equal text in one slot is template text; members of a list of tokens from which it is written as one repeated group of optionals; levels of nesting that are told apart.
-MAIN_SHARE, SAME_ON, LONG, DEPTH = 0.6, 3, 40, 100
+MAIN_SHARE, SAME_ON, LONG, DEPTH = 0.6, 3, 1_000, 100
 
 
 def _role(tag: str, attrs: dict[str, str], inside_main: bool) -> int:
@@ -193,33 +193,55 @@ def _join(a: list, b: list, repeated: bool = False) -> list:
 
 
 def matching(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two lists of signatures; of very long and different ones a common one found in one pass."""
+    """A longest common subsequence of two lists of signatures, of any length.
+
+    Row i of the usual table is one whole number: bit j is 0 where the tail of b
+    from j has one more in common with the tail of a from i than the tail from
+    j + 1.  Rows are made from the last one back; each root-n-th is kept, and
+    those between are made again when the walk from the front gets there.
+    """
     low = 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
         low += 1
     n, m = len(a) - low, len(b) - low
     pairs = [(k, k) for k in range(low)]
-    if n * m > 1_000_000:
-        j = low
-        for i in range(low, len(a)):
-            k = next((k for k in range(j, len(b)) if a[i] == b[k]), None)
-            if k is not None:
-                pairs.append((i, k))
-                j = k + 1
+    if not n or not m:
         return pairs
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    places: dict[str, int] = {}
+    for j in range(m):
+        places[b[low + j]] = places.get(b[low + j], 0) | 1 << (m - 1 - j)
+    full = (1 << m) - 1
+
+    def row(i: int, after: int) -> int:
+        own = after & places.get(a[low + i], 0)
+        return (after + own | after - own) & full
+
+    width = int(n**0.5) + 1
+    kept, last = {n: full}, full
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[low + i] == b[low + j] else max(best[i + 1][j], best[i][j + 1])
+        last = row(i, last)
+        if i % width == 0:
+            kept[i] = last
+    rows: dict[int, int] = {0: kept[0]}
+    shared = m - last.bit_count()
     i = j = 0
-    while i < n and j < m:
+    while i < n and j < m and shared:
+        if i + 1 not in rows:
+            end = min(n, (i // width + 1) * width)
+            rows = {end: kept[end]}
+            for k in range(end - 1, i - 1, -1):
+                rows[k] = row(k, rows[k + 1])
         if a[low + i] == b[low + j]:
             pairs.append((low + i, low + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+            i, j, shared = i + 1, j + 1, shared - 1
+        elif not rows[i] >> (m - 1 - j) & 1:
             i += 1
-        else:
-            j += 1
+        else:  # the tails from j and from j + 1 are alike; which one is skipped doesn't matter, a's if that loses nothing
+            tail = rows[i + 1] & ((1 << (m - j)) - 1)
+            if m - j - tail.bit_count() >= shared:
+                i += 1
+            else:
+                j += 1
     return pairs
 
 

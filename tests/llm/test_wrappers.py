@@ -116,3 +116,39 @@ def test_deep_and_long_pages(spark):
     df = spark.createDataFrame([(1, "http://d.org/", deep), (2, "http://l.org/", long), (3, "http://b.org/", "<p <div><<a href=' </p> &#xZZ; &bogus; <article")], "page_id long, url string, html string")
     got = {r.page_id: r for r in wrappers.extract(df).collect()}
     assert got[1].text == prose(1) and got[2].text.count("word") == 24000 and got[3].n_chars == len(got[3].text)
+
+
+def plain_matching(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_matching_is_longest_at_every_length():
+    import random
+
+    rng = random.Random(2)
+    for n in (0, 1, 5, 40, 200):
+        for _ in range(30):
+            letters = "abcdefghij"[: rng.choice([1, 2, 4, 10])]
+            a, b = ([rng.choice(letters) for _ in range(rng.randrange(n + 1))] for _ in range(2))
+            pairs = wrappers.matching(a, b)
+            assert len(pairs) == plain_matching(a, b) and all(a[i] == b[j] for i, j in pairs)
+            assert all(x < y and u < v for (x, u), (y, v) in zip(pairs, pairs[1:]))
+
+
+def test_long_levels_align_exactly():
+    for n in (900, 1_040, 6_000):
+        common = [f"t{i}" for i in range(n)]
+        a, b = ["x", *common], [*common, "y"]
+        assert wrappers.matching(a, b) == [(i + 1, i) for i in range(n)]
+        assert wrappers.matching(a + a, b) == [(i + 1, i) for i in range(n)] and len(wrappers.matching(["p"] * n, ["q"] * n)) == 0
+
+
+def test_order_is_kept_beyond_forty_tokens():
+    level = lambda names: [[x, False, False, [], None, []] for x in names]
+    names = [f"t{i}" for i in range(60)]
+    out = wrappers.align(level(names), level(names[:30] + ["new"] + names[30:]))
+    assert [x[0] for x in out] == names[:30] + ["new"] + names[30:] and [x[1] for x in out] == [x == "new" for x in (*names[:30], "new", *names[30:])]
