@@ -112,10 +112,6 @@ def _subsequences(m: int) -> list[tuple[tuple[int, ...], float]]:
     return [(at, DECAY ** (at[-1] - at[0] + 1)) for at in combinations(range(m), ORDER)]
 
 
-def _pairs(s: str, gap: int) -> set[str]:
-    return {s[i] + s[j] for i in range(len(s)) for j in range(i + 1, min(len(s), i + 2 + gap))}
-
-
 class Landmarks:
     """Landmark strings; the first ``n_toxic`` come from toxic text."""
 
@@ -124,13 +120,6 @@ class Landmarks:
         self.n_toxic = len(toxic)
         self.codes = _codes(self.strings, STEM)
         self.norm = np.sqrt(np.maximum(self_kernel(self.codes), 1e-12))
-        self.index: dict[str, list[int]] = {}
-        self.need = []
-        for k, s in enumerate(self.strings[: self.n_toxic]):
-            own = _pairs(s, 0) - {START}
-            self.need.append(-(-len(own) * 3 // 5))
-            for p in own:
-                self.index.setdefault(p, []).append(k)
         self.letters = np.unique(self.codes[self.codes > 0])
         n = len(self.letters) + 1
         self.weights = np.zeros((n**ORDER if n <= MOST_LETTERS else 0, len(self.strings)), np.float32)
@@ -164,20 +153,6 @@ class Landmarks:
             out[~short] = raw_kernel(codes[~short], self.codes)
         return out
 
-    def near(self, piece: str) -> bool:
-        """Has three fifths of the adjacent letter pairs of some toxic landmark, at most one character inserted in each.
-
-        Chooses strings to learn from; no string that is scored is passed over.
-        """
-        count: dict[int, int] = {}
-        index = self.index
-        for p in _pairs(piece[1:] if piece.startswith(START) else piece, 1):
-            for k in index.get(p, ()):
-                count[k] = c = count.get(k, 0) + 1
-                if c >= self.need[k]:
-                    return True
-        return False
-
     def similarity(self, strings: list[str]) -> np.ndarray:
         """Kernel to each landmark."""
         out = np.zeros((len(strings), len(self.strings)), np.float32)
@@ -332,10 +307,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, n_toxic: i
 
     def closeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [(s, p) for s in b.column(0).to_pylist() for p in pieces(s) if first.near(p)]
-            if near:
-                best = first.similarity([p for _, p in near]).max(1)
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in near]), pa.array(best.astype(np.float64))], names=["s", "close"])
+            own = [(s, p) for s in b.column(0).to_pylist() for p in pieces(s)]
+            if own:
+                best = first.similarity([p for _, p in own]).max(1)
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in own]), pa.array(best.astype(np.float64))], names=["s", "close"])
 
     plain = counts.where((ratio < 1) & (F.col("neg") > 1)).select("s").mapInArrow(closeness, "s string, close double")
     close = [r["s"] for r in plain.groupBy("s").agg(F.max("close").alias("close")).orderBy(F.desc(F.round("close", 4)), "s").limit(8 * n_other).collect()]
@@ -353,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, n_toxic: i
                     if label and not found & bad:
                         continue
                     held.append((found & bad if label else found, label))
-            fresh = [(s, p) for s in set().union(*(f for f, _ in held)) for p in pieces(s) if marks.near(p)] if held else []
+            fresh = [(s, p) for s in set().union(*(f for f, _ in held)) for p in pieces(s)] if held else []
             if fresh:
                 for (s, p), v in zip(fresh, marks.similarity([p for _, p in fresh])[:, : marks.n_toxic].max(1).tolist()):
                     cache[s] = max(cache.get(s, (0.0, "")), (v, p))
