@@ -358,9 +358,23 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RA
 
     Groups are told apart by their texts: a group without ids keeps one row, and
     different texts that share a doc_id, or have none, stay if their groups differ.
+    A text's identity in the search is a hash of 64 bits; different texts that
+    share one (told apart by another 64) are all kept, once each.
     """
     _, known = _known(docs, similarity, radius, recall)
     first = known.groupBy("label").agg(F.min(F.struct(F.col("low").isNull(), "low", "t")).alias("x")).select(F.col("x.t").alias("__t"), F.col("x.low").alias("__low"))
-    marked = docs.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    marked = _identified(docs)
+    shared = marked.groupBy("__t").agg(F.min("__u").alias("__a"), F.max("__u").alias("__b")).where("__a <> __b").select("__t")
     own = (marked["__t"] == first["__t"]) & marked["doc_id"].cast("long").eqNullSafe(first["__low"])
-    return marked.join(first, own, "left_semi").dropDuplicates(["__t"]).drop("__t")
+    return _once(marked.join(first, own, "left_semi"), marked, shared).select(*docs.columns)
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({"__t": F.xxhash64(text), "__u": F.xxhash64(F.lit(1), text)})
+
+
+def _once(chosen: DataFrame, marked: DataFrame, shared: DataFrame) -> DataFrame:
+    """``chosen``, and of the texts that share a hash all, one row of each text."""
+    also = marked.join(shared, "__t", "left_semi")
+    return chosen.unionByName(also).dropDuplicates(["__t", "__u"])

@@ -84,3 +84,15 @@ def test_different_texts_with_one_id_or_none_stay(spark):
     rows = [(None, words(k)) for k in range(6)] + [(None, words(0)), (1, words(10)), (1, words(11)), (2, words(12)), (None, words(12)), (3, words(12)), (2, words(12))]
     kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, words(k)) for k in range(6)] + [(1, words(10)), (1, words(11)), (2, words(12))])
+
+
+def test_texts_that_share_a_hash_are_kept(spark):
+    """With a hash of one value for all, the second one tells texts apart."""
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c")], "doc_id long, text string")
+    marked = neardup._identified(docs)
+    assert marked.select("__t", "__u").distinct().count() == 3 and marked.where("__t = __u").isEmpty()
+    same = marked.selectExpr("doc_id", "text", "5L AS __t", "__u")
+    shared = same.groupBy("__t").agg({"__u": "max"}).select("__t")
+    out = neardup._once(same.where("doc_id = 1"), same, shared)
+    assert sorted(r.text for r in out.collect()) == ["a", "b", "c"]
+    assert neardup._once(same.where("doc_id = 1"), same, shared.limit(0)).count() == 1
