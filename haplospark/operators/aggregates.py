@@ -82,11 +82,49 @@ SELECT w, pos, context, sum(CASE WHEN target > 0 THEN p ELSE 0.0 END) AS alt_pro
 FROM (SELECT w, pos, target, nearest, context, CASE context WHEN 'all' THEN score WHEN 'left' THEN ls ELSE score - ls END AS v FROM {_TOP} AS t CROSS JOIN (VALUES ('all'), ('left'), ('right')) AS c(context) WHERE rn <= :top) AS a) AS b GROUP BY w, pos, context""", f"""WITH {_BEST}
 SELECT w, pos, context, sum(CASE WHEN target > 0 THEN p ELSE 0.0 END) AS alt_prob, -sum(p * ln(p + 0.000000001)) AS entropy, avg(nearest) AS nearest FROM (SELECT w, pos, context, target, nearest, exp(v - max(v) OVER (PARTITION BY w, pos, context)) / sum(exp(v)) OVER (PARTITION BY w, pos, context) * exp(max(v) OVER (PARTITION BY w, pos, context)) AS p
 FROM (SELECT w, pos, target, nearest, context, CASE context WHEN 'all' THEN score WHEN 'left' THEN ls ELSE score - ls END AS v FROM T CROSS JOIN (VALUES ('all'), ('left'), ('right')) AS c(context)) AS a) AS b GROUP BY w, pos, context""", top=16)
-define("D16_ancestry_features", "w long, pos long, weighted double, plain double, delta double, groups long", f"""
-SELECT w, pos, sum(sg * mass / whole) AS weighted, sum(sg) AS plain, sum(sg * mass / whole) - sum(sg) AS delta, count(*) AS groups FROM (SELECT *, sum(mass) OVER (PARTITION BY w, pos) AS whole FROM (
-SELECT w, pos, grp, sum(target * score) AS sg, avg(score) + 0.000001 AS mass FROM {_SCORED} AS h GROUP BY w, pos, grp) AS g) AS p GROUP BY w, pos""", f"""WITH {_WEIGHED}, gx AS (SELECT collect_list(js) AS js FROM (SELECT grp, collect_list(j) AS js FROM hj GROUP BY grp) AS e)
-SELECT w, pos, sum(sg * mass / whole) AS weighted, sum(sg) AS plain, sum(sg * mass / whole) - sum(sg) AS delta, count(*) AS groups FROM (SELECT *, sum(mass) OVER (PARTITION BY w, pos) AS whole FROM (
-SELECT w, pos, aggregate(e, 0.0, (s, j) -> s + target[j] * score[j]) AS sg, aggregate(e, 0.0, (s, j) -> s + score[j]) / size(e) + 0.000001 AS mass FROM (SELECT w, pos, target, score, explode(js) AS e FROM S CROSS JOIN gx) AS q) AS g) AS p GROUP BY w, pos""")
+#: Each open site with its anchors (nearest ones of each side within the map distance) and what a centimorgan takes off.
+_NEAR_IN_CM = """(
+    SELECT w, pos, apos, state, exp(-dcm / :decay_cm) AS wt
+    FROM (
+        SELECT f.w, f.pos, c.pos AS apos, c.state, abs(x.cm - y.cm) AS dcm, row_number() OVER (PARTITION BY f.w, f.pos, CASE WHEN c.pos < f.pos THEN 0 ELSE 1 END ORDER BY abs(c.pos - f.pos)) AS rn
+        FROM (SELECT DISTINCT w, pos FROM {fills}) f
+        JOIN {calls} c ON c.w = f.w AND c.pos <> f.pos AND c.state <> 0
+        JOIN {sitecm} x ON x.pos = f.pos
+        JOIN {sitecm} y ON y.pos = c.pos
+        WHERE abs(x.cm - y.cm) <= :max_cm
+    ) AS q
+    WHERE rn <= :each_side
+)"""
+#: Per haplotype, as the words go: a prior for each population, and support from haplotypes that copy the anchors (or their opposites) by what they carry at the site.
+_ANCESTRY_BY_HAPLOTYPE = f"""
+WITH n AS {_NEAR_IN_CM},
+size AS (SELECT grp, count(DISTINCT hap) AS haps FROM {{panel}} GROUP BY grp),
+seen AS (SELECT n.w, n.pos, n.wt, n.state, n.apos, p.hap, p.grp, p.allele FROM n JOIN {{psites}} v ON v.pos = n.apos JOIN {{panel}} p ON p.k = v.k WHERE p.allele <> 0),
+prior AS (SELECT w, pos, grp, share / sum(share) OVER (PARTITION BY w, pos) AS prior FROM (SELECT s.w, s.pos, s.grp, sum(s.wt) / max(z.haps) AS share FROM seen s JOIN size z ON z.grp = s.grp GROUP BY s.w, s.pos, s.grp) AS q),
+hap AS (SELECT w, pos, hap, grp, sum(CASE WHEN allele = state THEN wt ELSE 0.0 END) AS copies, sum(CASE WHEN allele = -state THEN wt ELSE 0.0 END) AS opposes FROM seen GROUP BY w, pos, hap, grp),
+vote AS (SELECT h.w, h.pos, h.grp, CASE WHEN t.allele > 0 THEN h.copies ELSE h.opposes END AS plus, CASE WHEN t.allele > 0 THEN h.opposes ELSE h.copies END AS minus FROM hap h JOIN {{psites}} v ON v.pos = h.pos JOIN {{panel}} t ON t.k = v.k AND t.hap = h.hap WHERE t.allele <> 0),
+total AS (SELECT v.w, v.pos, sum(v.plus * p.prior) AS wp, sum(v.minus * p.prior) AS wm, sum(v.plus) AS up, sum(v.minus) AS um FROM vote v JOIN prior p ON p.w = v.w AND p.pos = v.pos AND p.grp = v.grp GROUP BY v.w, v.pos),
+spread AS (SELECT w, pos, max(prior) AS top, sum(CASE WHEN prior > 0 THEN -prior * ln(prior) ELSE 0.0 END) AS entropy, sum(prior) * sum(prior) / sum(prior * prior) AS effective, sum(CASE WHEN prior > 0.001 THEN 1 ELSE 0 END) AS pops FROM prior GROUP BY w, pos)
+"""
+#: On Spark a pair of sites is counted once for each population; a site then costs a row for each anchor and population, whatever the number of haplotypes.
+_ANCESTRY_BY_PAIR = f"""
+WITH n AS (SELECT a.*, vx.k, vy.k AS ka FROM {_NEAR_IN_CM} AS a JOIN {{psites}} vx ON vx.pos = a.pos JOIN {{psites}} vy ON vy.pos = a.apos), {_ARRAYS},
+members AS (SELECT grp, collect_list(j) AS js FROM hj GROUP BY grp),
+pairs AS (SELECT q.k, q.ka, x.al AS target, y.al AS anchor FROM (SELECT DISTINCT k, ka FROM n) q JOIN P x ON x.k = q.k JOIN P y ON y.k = q.ka),
+ld AS (SELECT k, ka, grp, size(js) AS haps, size(filter(js, j -> target[j] * anchor[j] > 0)) AS same, size(filter(js, j -> target[j] * anchor[j] < 0)) AS other, size(filter(js, j -> anchor[j] <> 0)) AS known FROM pairs CROSS JOIN members),
+vote AS (SELECT n.w, n.pos, ld.grp, sum(n.wt * CASE WHEN n.state > 0 THEN same ELSE other END) AS plus, sum(n.wt * CASE WHEN n.state > 0 THEN other ELSE same END) AS minus, sum(n.wt * known) / max(haps) AS share FROM n JOIN ld ON ld.k = n.k AND ld.ka = n.ka GROUP BY n.w, n.pos, ld.grp),
+prior AS (SELECT *, share / sum(share) OVER (PARTITION BY w, pos) AS prior FROM vote),
+total AS (SELECT w, pos, sum(plus * prior) AS wp, sum(minus * prior) AS wm, sum(plus) AS up, sum(minus) AS um FROM prior GROUP BY w, pos),
+spread AS (SELECT w, pos, max(prior) AS top, sum(CASE WHEN prior > 0 THEN -prior * ln(prior) ELSE 0.0 END) AS entropy, sum(prior) * sum(prior) / sum(prior * prior) AS effective, sum(CASE WHEN prior > 0.001 THEN 1 ELSE 0 END) AS pops FROM prior GROUP BY w, pos)
+"""
+_ANCESTRY = """
+SELECT t.w, t.pos, wp AS plus, wm AS minus, c AS confidence, u AS plain_confidence, c - u AS delta, ln((wp + 1.0) / (wm + 1.0)) AS log_margin, s.top AS top_prior, s.entropy, s.effective, s.pops
+FROM (SELECT *, CASE WHEN wp + wm > 0 THEN greatest(wp, wm) / (wp + wm) ELSE 0.0 END AS c, CASE WHEN up + um > 0 THEN greatest(up, um) / (up + um) ELSE 0.0 END AS u FROM total) AS t
+JOIN spread s ON s.w = t.w AND s.pos = t.pos"""
+define(
+    "D16_ancestry_features", "w long, pos long, plus double, minus double, confidence double, plain_confidence double, delta double, log_margin double, top_prior double, entropy double, effective double, pops long",
+    _ANCESTRY_BY_HAPLOTYPE + _ANCESTRY, _ANCESTRY_BY_PAIR + _ANCESTRY, decay_cm=0.05, max_cm=0.25, each_side=16,
+)
 define("D17_scaffold_block_choice", "w long, pos long, block_id string, two_sided int, n long, mean_d double", f"""
 SELECT w, pos, block_id, two_sided, n, mean_d FROM (SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY two_sided DESC, n DESC, round(mean_d, 6), min_d, block_id) AS rn FROM (SELECT w, pos, block_id, CASE WHEN count(DISTINCT side) = 2 THEN 1 ELSE 0 END AS two_sided, count(*) AS n, avg(d) AS mean_d, min(d) AS min_d
 FROM {_ANCHORED} AS n GROUP BY w, pos, block_id) AS x) AS y WHERE rn = 1""")

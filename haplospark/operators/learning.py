@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.readers import written
+
 
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """A fold for each group, larger groups first, dealt in turn; rows of a group never part."""
@@ -27,26 +29,28 @@ def _vector(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df.na.fill(0, features))
 
 
-def out_of_fold(df: DataFrame, features: list[str], group: str, k: int = 5, rounds: int = 5, depth: int = 3) -> DataFrame:
-    """Out-of-fold probability of each row; a fold without both classes gets the training mean."""
-    rows = group_folds(df, group, k)
-    data = _vector(rows, features).cache()
+def _by_fold(data: DataFrame, k: int, model) -> DataFrame:
+    """``prob`` of each row from a model of the other folds; where those have one class only, its label."""
     parts = []
     for i in range(k):
         train, test = data.where(F.col("fold") != i), data.where(F.col("fold") == i)
-        classes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+        classes = {r["label"] for r in train.select("label").distinct().collect()}
         if len(classes) < 2:
-            mean = float(next(iter(classes), 0))
-            parts.append(test.withColumn("prob", F.lit(mean)))
+            parts.append(test.withColumn("prob", F.lit(float(next(iter(classes), 0)))))
             continue
-        model = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=rounds, maxDepth=depth, seed=7).fit(train)
-        parts.append(model.transform(test).withColumn("prob", vector_to_array("probability")[1]))
-    out = parts[0].select(*df.columns, "fold", "prob")
+        parts.append(model.fit(train).transform(test).withColumn("prob", vector_to_array("probability")[1]))
+    out = parts[0].select(*data.columns, "prob")
     for p in parts[1:]:
-        out = out.unionByName(p.select(*df.columns, "fold", "prob"))
+        out = out.unionByName(p.select(*data.columns, "prob"))
     return out
 
 
+def out_of_fold(df: DataFrame, features: list[str], group: str, k: int = 5, rounds: int = 5, depth: int = 3) -> DataFrame:
+    """Out-of-fold probability of each row; rows of a group share a fold.  The folds are a table, read by every model."""
+    data = _vector(written(group_folds(df, group, k)), features)
+    return _by_fold(data, k, GBTClassifier(featuresCol="_x", labelCol="label", maxIter=rounds, maxDepth=depth, seed=7)).select(*df.columns, "fold", "prob")
+
+
 def metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row: n, auc, ap, accuracy, brier of ``label`` and ``prob``; auc and ap null without both classes."""
     both = scored.select("label").distinct().count() == 2
@@ -90,16 +94,23 @@ def holdout_by_group(df: DataFrame, features: list[str], category: str, group: s
     return model.transform(data).select(*df.columns, "held", vector_to_array("probability")[1].alias("prob"))
 
 
-def prune(df: DataFrame, families: dict[str, list[str]], tolerance: float = 0.01) -> list[tuple[int, str, str, float, float, int, int]]:
+def prune(df: DataFrame, families: dict[str, list[str]], group: str, k: int = 3, tolerance: float = 0.01) -> list[tuple[int, str, str, float, float, int, int]]:
     """Greedy removal while the metric stays within ``tolerance`` of the round before: whole families, then single features.
 
+    Every trial is measured out of fold, over the same folds of whole groups
+    (written once), so that a feature that only memorises its rows doesn't help.
     Rows (step, phase, dropped, auc, ap, features left, best); best marks the
     step with the largest (auc, ap), of equal ones that with fewest features.
     """
+    folds = written(group_folds(df, group, k))
+    model = LogisticRegression(featuresCol="_x", labelCol="label", maxIter=10)
+
     def measure(features: list[str]) -> tuple[float, float]:
-        data = _vector(df, features)
-        scored = LogisticRegression(featuresCol="_x", labelCol="label", maxIter=10).fit(data).transform(data)
-        return tuple(round(BinaryClassificationEvaluator(labelCol="label", metricName=m).evaluate(scored), 6) for m in ("areaUnderROC", "areaUnderPR"))
+        scored = _by_fold(_vector(folds, features), k, model).select("label", "prob").persist()
+        try:
+            return tuple(round(BinaryClassificationEvaluator(rawPredictionCol="prob", labelCol="label", metricName=m).evaluate(scored), 6) for m in ("areaUnderROC", "areaUnderPR"))
+        finally:
+            scored.unpersist()
 
     left = dict(families)
     base = measure([f for v in left.values() for f in v])

@@ -128,9 +128,29 @@ define("I45_scaffold_assignment", "w long, block_id string, scaffold long, orien
 define("I51_ranking_metrics", "method string, n long, auc double, ap double, accuracy double, f1 double", """
 SELECT a.method, a.n, (a.ranks - a.p * (a.p + 1) / 2.0) / (a.p * (a.n - a.p) * 1.0) AS auc, b.ap, a.accuracy, a.f1 FROM (SELECT method, count(*) AS n, sum(label) AS p, sum(CASE WHEN label = 1 THEN rk ELSE 0.0 END) AS ranks, avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS accuracy, 2.0 * sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) / (sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) + sum(label)) AS f1
 FROM (SELECT *, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2.0 AS rk FROM {labelled}) AS x GROUP BY method) a JOIN (SELECT method, sum(CASE WHEN label = 1 THEN tp / (r * 1.0) ELSE 0.0 END) / sum(label) AS ap FROM (SELECT method, label, row_number() OVER (PARTITION BY method ORDER BY score DESC, id) AS r, sum(label) OVER (PARTITION BY method ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS tp FROM {labelled}) AS y GROUP BY method) b ON b.method = a.method""")
-define("I52_acceptance_ladder", "w long, qid string, cand string, reason string", """
-SELECT w, qid, cand, CASE WHEN cand = 'ABSTAIN' THEN 'abstain' WHEN score < :best THEN 'low_score' WHEN margin < :margin THEN 'low_margin' WHEN modifies AND score < :mod_score THEN 'modify_score' WHEN modifies AND margin < :mod_margin THEN 'modify_margin' ELSE 'accept' END AS reason FROM (
-SELECT q.w, q.qid, q.cand, q.score, round(q.score - coalesce(q.nxt, 0.0), 9) AS margin, c.state <> 0 AND c.state <> q.cstate AS modifies FROM (SELECT *, row_number() OVER (PARTITION BY w, qid ORDER BY score DESC, cand) AS rn, lead(score) OVER (PARTITION BY w, qid ORDER BY score DESC, cand) AS nxt FROM {scores}) q JOIN {calls} c ON c.w = q.w AND c.pos = q.pos WHERE q.rn = 1) AS x""", best=0.6, margin=0.05, mod_score=0.72, mod_margin=0.15)
+#: Gates in order; the first that holds is the reason.  ``modifies``: the candidate isn't the call.
+_GATES = (
+    ("top_is_abstain", "cstate = 0"),
+    ("weak_top", "score < :best OR margin < :margin"),
+    ("weak_modify", "modifies AND (score < :mod_score OR margin < :mod_margin)"),
+    ("anchor_disagree", "modifies AND anchor_agreement < :agreement AND nearest_anchor < 1000000000.0"),
+    ("switch_risk_guard", "modifies AND switch_risk = 1 AND margin < greatest(:mod_margin, 0.20)"),
+    ("donor_disagree", "modifies AND donor_bias < -0.05"),
+    ("donor_uncertain", "modifies AND donor_entropy > 0.95 AND margin < 0.20"),
+)
+_LADDER_PARAMS = dict(best=0.6, margin=0.05, mod_score=0.72, mod_margin=0.15, agreement=0.0)
+define("I52_acceptance_ladder", "w long, pos long, cand string, proposed int, score double, margin double, reason string", f"""
+SELECT b.w, b.pos, b.cand, b.cstate AS proposed, b.score, b.margin, CASE WHEN count(g.nr) = 0 THEN 'accept' ELSE min(g.nr || g.name) END AS reason
+FROM (SELECT *, cstate <> state AS modifies FROM (SELECT e.*, round(e.score - (SELECT coalesce(max(o.score), 0.0) FROM {{evidence}} o WHERE o.w = e.w AND o.pos = e.pos AND (o.score < e.score OR (o.score = e.score AND o.cand > e.cand))), 9) AS margin
+    FROM {{evidence}} e WHERE NOT EXISTS (SELECT 1 FROM {{evidence}} o WHERE o.w = e.w AND o.pos = e.pos AND (o.score > e.score OR (o.score = e.score AND o.cand < e.cand)))) AS t) AS b
+LEFT JOIN (VALUES {", ".join(f"('{i} ', '{name}')" for i, (name, _) in enumerate(_GATES))}) AS g(nr, name) ON CASE g.name {" ".join(f"WHEN '{name}' THEN {gate}" for name, gate in _GATES)} END
+GROUP BY b.w, b.pos, b.cand, b.cstate, b.score, b.margin""".replace("min(g.nr || g.name)", "substr(min(g.nr || g.name), 3)"), f"""
+SELECT w, pos, cand, cstate AS proposed, score, margin, CASE {" ".join(f"WHEN {gate} THEN '{name}'" for name, gate in _GATES)} ELSE 'accept' END AS reason
+FROM (
+    SELECT *, round(score - coalesce(nxt, 0.0), 9) AS margin, cstate <> state AS modifies
+    FROM (SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY score DESC, cand) AS rn, lead(score) OVER (PARTITION BY w, pos ORDER BY score DESC, cand) AS nxt FROM {{evidence}}) AS r
+    WHERE rn = 1
+) AS x""", **_LADDER_PARAMS)
 define("I53_candidate_features", "w long, qid string, cand string, left_agree int, right_agree int, hp_imbalance double", """
 SELECT q.w, q.qid, q.cand, CASE WHEN l.state = q.cstate THEN 1 ELSE 0 END AS left_agree, CASE WHEN r.state = q.cstate THEN 1 ELSE 0 END AS right_agree, coalesce(h.imb, 0.0) AS hp_imbalance FROM {scores} q JOIN (SELECT w, pos, max(CASE WHEN state <> 0 THEN pos END) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, min(CASE WHEN state <> 0 THEN pos END) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM {calls}) a ON a.w = q.w AND a.pos = q.pos
 LEFT JOIN {calls} l ON l.w = q.w AND l.pos = a.p LEFT JOIN {calls} r ON r.w = q.w AND r.pos = a.n LEFT JOIN (SELECT o.w, o.pos, abs(sum(CASE t.hp WHEN '1' THEN 1 WHEN '2' THEN -1 ELSE 0 END)) / (count(*) * 1.0) AS imb FROM {obs} o JOIN {tags} t ON t.w = o.w AND t.read_id = o.read_id GROUP BY o.w, o.pos) h ON h.w = q.w AND h.pos = q.pos""")

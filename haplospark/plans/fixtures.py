@@ -43,6 +43,8 @@ FIXTURES: dict[str, str] = {
     "holdout": "SELECT w FROM (SELECT DISTINCT w FROM {sites}) AS s WHERE w % 5 = 0",
     "hmmfills": "SELECT w, pos, block_id, CASE WHEN (IDIV(pos|100) * 5 + w) % 3 = 0 THEN -1 ELSE 1 END AS pred, (IDIV(pos|100) * 29 + w * 3) % 100 / 100.0 AS prob FROM {fills} WHERE (pos + w) % 4 <> 0",
     "gmap": "SELECT 1000 + 500 * n_nationkey AS bp, n_nationkey * 0.25 + n_regionkey * 0.01 AS cm FROM {nation}",
+    "sitecm": """SELECT p.pos, m.cm + coalesce((m.ncm - m.cm) * (p.pos - m.bp) / (m.nbp - m.bp), 0.0) AS cm FROM (SELECT DISTINCT pos FROM {sites}) p
+        JOIN (SELECT bp, cm, lead(bp) OVER (ORDER BY bp) AS nbp, lead(cm) OVER (ORDER BY bp) AS ncm FROM {gmap}) m ON p.pos >= m.bp AND (p.pos < m.nbp OR m.nbp IS NULL)""",
     "bed": "SELECT s_suppkey * 700 AS s, s_suppkey * 700 + 400 AS e FROM {supplier}",
     "tags": "SELECT DISTINCT w, read_id, CASE read_id % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE 'UNK' END AS hp, 'p' || CAST(IDIV(read_id % 200|40) AS STRING) AS ps FROM {obs}",
     "selected": "SELECT DISTINCT w, read_id FROM {obs} WHERE read_id % 4 <> 0",
@@ -53,6 +55,9 @@ FIXTURES: dict[str, str] = {
         FROM (SELECT event_type AS method, user_id % 17 AS win, event_id FROM {events}) AS x GROUP BY method, win""",
     "scores": """SELECT w, 'q' || CAST(pos AS STRING) AS qid, pos, cand, cstate, ((pos * 31 + cstate * 17 + w * 7 + 100) % 97) / 97.0 AS score, conf FROM (SELECT * FROM {calls} WHERE conf < 0.7) AS x
         CROSS JOIN (VALUES ('A', 1), ('B', -1), ('ABSTAIN', 0)) AS t(cand, cstate)""",
+    "evidence": """SELECT q.w, q.pos, q.cand, q.cstate, q.score, c.state, coalesce((coalesce(a.lft, 0) + coalesce(a.rgt, 0)) * q.cstate / nullif(abs(coalesce(a.lft, 0)) + abs(coalesce(a.rgt, 0)), 0), 0.0) AS anchor_agreement,
+        CASE WHEN a.lft * a.rgt < 0 THEN 1 ELSE 0 END AS switch_risk, q.cstate * coalesce(b.bias, 0.0) AS donor_bias, 1.0 - abs(coalesce(b.bias, 0.0)) AS donor_entropy, CASE WHEN coalesce(a.lft, 0) <> 0 OR coalesce(a.rgt, 0) <> 0 THEN 100.0 ELSE 1000000000.0 END AS nearest_anchor
+        FROM {scores} q JOIN {calls} c ON c.w = q.w AND c.pos = q.pos LEFT JOIN {bias} b ON b.w = q.w AND b.pos = q.pos LEFT JOIN (SELECT w, pos, lag(state) OVER (PARTITION BY w ORDER BY pos) AS lft, lead(state) OVER (PARTITION BY w ORDER BY pos) AS rgt FROM {calls2}) a ON a.w = q.w AND a.pos = q.pos""",
     "labelled": """SELECT event_id AS id, event_type AS method, user_id % 9 AS grp, CASE WHEN (event_id * 7 + user_id) % 10 < 6 THEN 1 ELSE 0 END AS label, ((event_id * 37 + user_id * 11) % 50 + CASE WHEN (event_id * 7 + user_id) % 10 < 6 THEN 20 ELSE 0 END) / 70.0 AS score,
         event_id % 40 AS support, user_id % 13 AS anchors FROM {events}""",
     "manifest": """SELECT w, 'chr20' AS chrom, 'w' || CAST(w AS STRING) || CASE w % 3 WHEN 0 THEN '_illumina30x_phase7a' WHEN 1 THEN '_illumina35x_phase7a' ELSE '_phase7a' END AS label,

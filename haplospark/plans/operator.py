@@ -48,7 +48,7 @@ class Operator:
         for c in self.out.split(", "):
             name, kind = c.split()
             cast = {"long": "BIGINT", "int": "INT", "double": "DOUBLE", "string": "STRING"}[kind]
-            cols.append(f"round(CAST({name} AS DOUBLE), 6) AS {name}" if kind == "double" else f"CAST({name} AS {cast}) AS {name}")
+            cols.append(f"round(CAST({name} AS DOUBLE), 6) + 0.0 AS {name}" if kind == "double" else f"CAST({name} AS {cast}) AS {name}")
         return f"SELECT {', '.join(cols)} FROM ({sql}) AS body"
 
     def run(self, spark: SparkSession, frames: dict[str, DataFrame], **params) -> DataFrame:

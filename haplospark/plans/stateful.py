@@ -124,7 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "I48_candidate_ranker": _learn(lambda s, t: _ranker(s, t).select("w", "qid", "cand", "rank_score", "rank")),
         "I48b_ranker_top1": _learn(lambda s, t: learning.top_one(_ranker(s, t))),
         "I49_site_confidence": _learn(lambda s, t: learning.holdout_by_group(_labelled(t), _FEATURES, "method", "grp").select("id", "held", "prob")),
-        "I50_feature_pruning": _learn(lambda s, t: s.createDataFrame(learning.prune(_labelled(t), {"evidence": ["support", "anchors"], "model": ["score"]}), "step int, phase string, dropped string, auc double, ap double, features int, best int")),
+        "I50_feature_pruning": _learn(lambda s, t: s.createDataFrame(learning.prune(_labelled(t), {"evidence": ["support", "anchors"], "model": ["score"]}, "grp"), "step int, phase string, dropped string, auc double, ap double, features int, best int")),
         "H9_json_cells": _json_cells,
         "A21_sinks": _sinks,
         "F6_importances": _learn(lambda s, t: s.createDataFrame(learning.importances(_labelled(t), _FEATURES), "feature string, gain double")),

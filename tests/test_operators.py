@@ -158,3 +158,49 @@ def test_neighbours_use_all_sites_up_to_the_centre(spark):
     # at 20 the words are read from site 20 back: 3 "00", 2 "01", 1 "10", 0 "11"; at 90,000: 2 "001", 1 "010", 0 "011", 3 "100"
     assert got(20) == {(2, 1), (0, 1)} and got(95_000) == {(2, 1), (0, 1)}
     assert got(10) == {(3, 1)}  # by site 10 alone: 1, 3, 0, 2; ties by haplotype
+
+
+def test_population_prior_by_hand(spark):
+    """Two populations over one anchor: the one whose haplotypes are known there gets the larger prior."""
+    fills = frame(spark, [(0, 2_000)], "w long, pos long")
+    calls = frame(spark, [(0, 1_000, "b", 1, 1.0), (0, 90_000, "b", 1, 1.0)], "w long, pos long, block_id string, state int, conf double")
+    cm = frame(spark, [(1_000, 0.0), (2_000, 0.1), (90_000, 9.0)], "pos long, cm double")
+    psites = frame(spark, [(1_000, 0), (2_000, 1), (90_000, 2)], "pos long, k int")
+    alleles = {0: ("e", 1, 1), 1: ("e", 1, 1), 2: ("f", 1, -1), 3: ("f", 0, -1)}  # population, anchor, open site
+    panel = frame(spark, [(h, h, 0, g, k, x) for h, (g, *xs) in alleles.items() for k, x in enumerate(xs)], "hap long, donor long, hap_id long, grp string, k int, allele int")
+    row = REGISTRY["D16_ancestry_features"].run(spark, {"fills": fills, "calls": calls, "sitecm": cm, "psites": psites, "panel": panel}).first()
+    import math
+
+    wt = math.exp(-0.1 / 0.05)  # the anchor 9 centimorgans away is too far
+    e, f = 1 / 1.5, 0.5 / 1.5  # shares wt * 2 / 2 and wt * 1 / 2
+    assert abs(row.plus - 2 * wt * e) < 1e-6 and abs(row.minus - wt * f) < 1e-6 and abs(row.top_prior - e) < 1e-6
+    conf = 2 * e / (2 * e + f)
+    assert abs(row.confidence - conf) < 1e-6 and abs(row.plain_confidence - 2 / 3) < 1e-6 and abs(row.delta - (conf - 2 / 3)) < 1e-6
+    assert abs(row.entropy + e * math.log(e) + f * math.log(f)) < 1e-6 and abs(row.effective - 1 / (e * e + f * f)) < 1e-6 and row.pops == 2
+
+
+def test_every_gate_of_the_ladder(spark):
+    shape = "w long, pos long, cand string, cstate int, score double, state int, anchor_agreement double, switch_risk int, donor_bias double, donor_entropy double, nearest_anchor double"
+    top = lambda pos, **x: (0, pos, "A", *({"cstate": 1, "score": 0.9, "state": -1, "agree": 1.0, "risk": 0, "bias": 0.3, "entropy": 0.1, "near": 100.0} | x).values())
+    tops = {
+        "top_is_abstain": top(1, cstate=0), "weak_top": top(2, score=0.55), "weak_modify": top(3, score=0.7), "anchor_disagree": top(4, agree=-0.5), "switch_risk_guard": top(5, risk=1, score=0.78),
+        "donor_disagree": top(6, bias=-0.1), "donor_uncertain": top(7, entropy=0.99, score=0.78), "accept": top(8),
+    }
+    more = [top(9, agree=-0.5, near=1e9), top(10, state=1, score=0.7, agree=-1.0, bias=-1.0), top(11, risk=1)]
+    rows = [*tops.values(), *more] + [(*r[:2], "B", -1, 0.6 if r[1] in (5, 7) else 0.1, *r[5:]) for r in [*tops.values(), *more]]
+    got = {r.pos: r.reason for r in REGISTRY["I52_acceptance_ladder"].run(spark, {"evidence": frame(spark, rows, shape)}).collect()}
+    assert got == {r[1]: name for name, r in tops.items()} | {9: "accept", 10: "accept", 11: "accept"}
+
+
+def test_noise_does_not_raise_the_pruned_measure(spark):
+    import numpy as np
+
+    from haplospark.operators import learning
+
+    rng = np.random.default_rng(0)
+    rows = [(i % 9, y := int(rng.random() < 0.5), float(y + rng.normal()), float(rng.normal()), float(i)) for i in range(240)]
+    df = frame(spark, rows, "grp long, label int, signal double, noise double, id double")
+    steps = learning.prune(df, {"signal": ["signal"], "noise": ["noise", "id"]}, "grp")
+    assert [s[2] for s in steps][:2] == ["", "noise"] and steps[-1][5] == 1
+    best = next(s for s in steps if s[-1])
+    assert best[2] == "noise" and best[3] >= steps[0][3] and best[3] > 0.65
