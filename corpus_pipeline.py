@@ -10,7 +10,8 @@ from haplospark.llm import mixing, neardup, quality, suffix_dedup, tiling
 from haplospark.llm.common import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Length of a repeat that is cut: 50 words of five bytes, the space included, so that a longer passage holds one whatever its words.
+#: Length of a repeat that is cut: 50 words of five bytes, the space included.  A passage of more words that are shorter (51 words of
+#: one or two letters are about 130 bytes) holds no repeat of this length and stays, as do the first words of one that ends sooner.
 PASSAGE_BYTES = 250
 
 
