@@ -18,12 +18,48 @@ define("C2_in_interval", "w long, pos long", "SELECT DISTINCT s.w, s.pos FROM {s
 define("C3_position_to_block", "w long, pos long, block_id string", "SELECT s.w, s.pos, b.block_id FROM (SELECT *, IDIV(pos|:width) AS bucket FROM {sites}) s JOIN (SELECT *, SERIES[IDIV(s|:width)|IDIV(e|:width)] AS bucket FROM {blocks}) b ON s.w = b.w AND s.bucket = b.bucket AND s.pos BETWEEN b.s AND b.e", width=1000)
 define("C4_nearest_each_side", "w long, pos long, side string, rn int, apos long, astate int, dist long", _NEAR.replace("EXTRA", ""), width=500, k=4)
 define("C5_nearest_same_block", "w long, pos long, side string, rn int, apos long, astate int, dist long", _NEAR.replace("EXTRA", "AND a.block_id = t.block_id"), width=2000, k=4)
-_CM = """(SELECT c.w, c.pos, c.block_id, c.state, m.cm + (m.ncm - m.cm) * (c.pos - m.bp) / (m.nbp - m.bp) AS cm FROM {calls} c
-JOIN (SELECT bp, cm, lead(bp) OVER (ORDER BY bp) AS nbp, lead(cm) OVER (ORDER BY bp) AS ncm FROM {gmap}) m ON c.pos >= m.bp AND c.pos < m.nbp)"""
-define("C6_nearest_in_centimorgan", "w long, pos long, apos long, rn int, dcm double", f"""
-SELECT w, pos, apos, rn, dcm FROM (SELECT t.w, t.pos, a.pos AS apos, abs(a.cm - t.cm) AS dcm, row_number() OVER (PARTITION BY t.w, t.pos ORDER BY round(abs(a.cm - t.cm), 9), a.pos) AS rn
-FROM (SELECT *, CAST(floor(cm / :max_cm) AS BIGINT) + d AS bucket FROM {_CM} AS q CROSS JOIN (VALUES (-1), (0), (1)) AS n(d) WHERE state = 0) t
-JOIN (SELECT *, CAST(floor(cm / :max_cm) AS BIGINT) AS bucket FROM {_CM} AS q WHERE state <> 0) a ON a.w = t.w AND a.bucket = t.bucket AND abs(a.cm - t.cm) <= :max_cm) AS x WHERE rn <= :k""", max_cm=0.25, k=16)
+#: Neighbouring points of the genetic map.
+_SEGMENTS = "SELECT bp, cm, lead(bp) OVER (ORDER BY bp) AS nbp, lead(cm) OVER (ORDER BY bp) AS ncm FROM {gmap}"
+#: Linear between two points of the map, held at its ends.
+_INTERPOLATED = """CASE WHEN m.bp IS NOT NULL THEN m.cm + (m.ncm - m.cm) * (r.pos - m.bp) / (m.nbp - m.bp) WHEN r.pos < (SELECT min(bp) FROM {gmap}) THEN (SELECT min(cm) FROM {gmap}) ELSE (SELECT max(cm) FROM {gmap}) END AS cm"""
+
+
+def in_centimorgans(rows: str, *also: str) -> str:
+    """``rows`` (with ``pos``) and their place in the map: segments meet positions in buckets of ``:map_width`` bases."""
+    columns = ", ".join(f"r.{c}" for c in ("pos", *also))
+    return f"""SELECT {columns}, {_INTERPOLATED}
+FROM (SELECT *, IDIV(pos|:map_width) AS bucket FROM ({rows}) AS r0) r
+LEFT JOIN (SELECT *, SERIES[IDIV(bp|:map_width)|IDIV(nbp|:map_width)] AS bucket FROM ({_SEGMENTS}) AS m0 WHERE nbp > bp) m ON m.bucket = r.bucket AND r.pos >= m.bp AND r.pos < m.nbp"""
+
+
+def in_centimorgans_by_range(rows: str, *also: str) -> str:
+    """The same without buckets."""
+    columns = ", ".join(f"r.{c}" for c in ("pos", *also))
+    return f"SELECT {columns}, {_INTERPOLATED} FROM ({rows}) r LEFT JOIN ({_SEGMENTS}) m ON r.pos >= m.bp AND r.pos < m.nbp"
+
+
+_TARGETS = "SELECT DISTINCT w, pos, block_id FROM {fills}"
+_KNOWN = "SELECT w, pos, block_id, state FROM {calls} WHERE state <> 0 AND block_id NOT IN ('', '0', 'unassigned')"
+#: Walking out from the position on each side, as long as the map distance allows; a call at the position itself is on the right.
+_NEAR_CM = """
+SELECT w, pos, block_id, side, rn, apos, state, dcm
+FROM (
+    SELECT *, row_number() OVER (PARTITION BY w, pos, block_id, side ORDER BY abs(apos - pos)) AS rn
+    FROM (
+        SELECT t.w, t.pos, t.block_id, a.pos AS apos, a.state, abs(a.cm - t.cm) AS dcm, CASE WHEN a.pos < t.pos THEN 'L' ELSE 'R' END AS side
+        FROM TARGETS t
+        JOIN ANCHORS a ON a.w = t.w AND a.block_id = t.block_id MEET AND round(abs(a.cm - t.cm), 9) <= :max_cm
+    ) AS q
+) AS x
+WHERE rn <= :k"""
+define(
+    "C6_nearest_in_centimorgan", "w long, pos long, block_id string, side string, rn int, apos long, state int, dcm double",
+    _NEAR_CM.replace("MEET ", "").replace("TARGETS", f"({in_centimorgans_by_range(_TARGETS, 'w', 'block_id')})").replace("ANCHORS", f"({in_centimorgans_by_range(_KNOWN, 'w', 'block_id', 'state')})"),
+    _NEAR_CM.replace("MEET", "AND a.near = t.near")
+    .replace("TARGETS", f"(SELECT *, CAST(floor(cm / :max_cm) AS BIGINT) + d AS near FROM ({in_centimorgans(_TARGETS, 'w', 'block_id')}) AS t0 CROSS JOIN (VALUES (-1), (0), (1)) AS n(d))")
+    .replace("ANCHORS", f"(SELECT *, CAST(floor(cm / :max_cm) AS BIGINT) AS near FROM ({in_centimorgans(_KNOWN, 'w', 'block_id', 'state')}) AS a0)"),
+    max_cm=0.25, k=16, map_width=100_000,
+)
 define("C7_asof_anchors", "w long, pos long, prev long, next long", """
 SELECT w, pos, CASE WHEN pos - p <= :max_gap THEN p END AS prev, CASE WHEN n - pos <= :max_gap THEN n END AS next FROM (SELECT w, pos, state,
 max(CASE WHEN state <> 0 THEN pos END) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,

@@ -2,6 +2,7 @@
 
 from ..plans.operator import define
 from .aggregates import _ARRAYS
+from .joins import in_centimorgans
 
 define("E1_blockify", "w long, pos long, block long", """
 SELECT w, pos, dense_rank() OVER (PARTITION BY w ORDER BY brk) AS block FROM (SELECT w, pos, state, sum(CASE WHEN state = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY w ORDER BY pos) AS brk FROM {calls}) AS x WHERE state <> 0""")
@@ -78,7 +79,7 @@ define("H1_math_family", "id long, clamped double, log1p_pos double, entropy_e d
 define("H2_logsumexp", "method string, lse double, effn double, entropy double", "SELECT method, max(mx) + ln(sum(exp(score - mx))) AS lse, sum(score) * sum(score) / sum(score * score) AS effn, -sum(score / tot * ln(score / tot + 0.000000001)) AS entropy FROM (SELECT *, max(score) OVER (PARTITION BY method) AS mx, sum(score) OVER (PARTITION BY method) AS tot FROM {labelled}) AS x GROUP BY method")
 define("H3_interpolate_cm", "w long, pos long, cm double", """
 SELECT s.w, s.pos, CASE WHEN m.bp IS NULL THEN CASE WHEN s.pos < lim.b0 THEN lim.c0 ELSE lim.c1 END ELSE m.cm + (m.ncm - m.cm) * (s.pos - m.bp) / (m.nbp - m.bp) END AS cm FROM {sites} s CROSS JOIN (SELECT min(bp) AS b0, min(cm) AS c0, max(cm) AS c1 FROM {gmap}) lim
-LEFT JOIN (SELECT bp, cm, lead(bp) OVER (ORDER BY bp) AS nbp, lead(cm) OVER (ORDER BY bp) AS ncm FROM {gmap}) m ON s.pos >= m.bp AND s.pos < m.nbp""")
+LEFT JOIN (SELECT bp, cm, lead(bp) OVER (ORDER BY bp) AS nbp, lead(cm) OVER (ORDER BY bp) AS ncm FROM {gmap}) m ON s.pos >= m.bp AND s.pos < m.nbp""", in_centimorgans("SELECT w, pos FROM {sites}", "w"), map_width=100_000)
 define("H4_decay_weights", "w long, pos long, hyper double, expo double, excm double, hypercm double", "SELECT w, pos, 1.0 / (1.0 + d / 5000.0) AS hyper, exp(-d / 50000.0) AS expo, exp(-d / 1000000.0 / 0.05) AS excm, 1.0 / (1.0 + d / 1000000.0 / 0.05) AS hypercm FROM (SELECT w, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY w ORDER BY pos) AS d FROM {sites}) AS x")
 define("H5_sequence_context", "key long, gc double, entropy double", """
 SELECT key, (length(s) - length(replace(replace(s, 'g', ''), 'c', ''))) / (length(s) * 1.0) AS gc, (SELECT 0.0) - (CASE WHEN a > 0 THEN a / n * log2(a / n) ELSE 0.0 END + CASE WHEN c > 0 THEN c / n * log2(c / n) ELSE 0.0 END + CASE WHEN g > 0 THEN g / n * log2(g / n) ELSE 0.0 END + CASE WHEN t > 0 THEN t / n * log2(t / n) ELSE 0.0 END) AS entropy

@@ -204,3 +204,89 @@ def test_noise_does_not_raise_the_pruned_measure(spark):
     assert [s[2] for s in steps][:2] == ["", "noise"] and steps[-1][5] == 1
     best = next(s for s in steps if s[-1])
     assert best[2] == "noise" and best[3] >= steps[0][3] and best[3] > 0.65
+
+
+def test_map_is_held_at_its_ends_and_blocks_keep_their_anchors(spark):
+    gmap = frame(spark, [(1_000, 2.0), (2_000, 2.1), (900_000, 2.5)], "bp long, cm double")
+    sites = frame(spark, [(0, p) for p in (5, 1_000, 1_500, 900_000, 2_000_000)], "w long, pos long")
+    assert {r.pos: r.cm for r in REGISTRY["H3_interpolate_cm"].run(spark, {"sites": sites, "gmap": gmap}).collect()} == {5: 2.0, 1_000: 2.0, 1_500: 2.05, 900_000: 2.5, 2_000_000: 2.5}
+    fills = frame(spark, [(0, 1_500, "b"), (0, 1_500, "c"), (0, 1_500, "unassigned")], "w long, pos long, block_id string")
+    rows = [("b", 5), ("b", 900), ("b", 1_400), ("b", 1_500), ("b", 1_600), ("b", 890_000), ("c", 1_700), ("unassigned", 1_450)]
+    calls = frame(spark, [(0, p, b, 1) for b, p in rows], "w long, pos long, block_id string, state int")
+    got = sorted((r.block_id, r.side, r.rn, r.apos) for r in REGISTRY["C6_nearest_in_centimorgan"].run(spark, {"fills": fills, "calls": calls, "gmap": gmap}, k=2).collect())
+    # 5 and 900 lie 0.05 centimorgans away, before the map's start; 890,000 is too far
+    assert got == [("b", "L", 1, 1_400), ("b", "L", 2, 900), ("b", "R", 1, 1_500), ("b", "R", 2, 1_600), ("c", "R", 1, 1_700)]
+
+
+def _scaffold(spark, name, blocks, alleles, **params):
+    """Blocks as lists of (position, state); each haplotype's alleles at all positions in order."""
+    calls = [(0, p, b, s) for b, xs in blocks.items() for p, s in xs]
+    ends = [(0, b, xs[0][0], xs[-1][0], len(xs)) for b, xs in blocks.items()]
+    at = sorted(p for _, p, _, _ in calls)
+    tables = {
+        "blocks": frame(spark, ends, "w long, block_id string, s long, e long, n long"), "calls": frame(spark, calls, "w long, pos long, block_id string, state int"),
+        "psites": frame(spark, [(p, k) for k, p in enumerate(at)], "pos long, k int"), "gmap": frame(spark, [(0, 0.0), (10_000_000, 10.0)], "bp long, cm double"),
+        "panel": frame(spark, [(h, h // 2, h % 2, "g", k, x) for h, xs in enumerate(alleles) for k, x in enumerate(xs)], "hap long, donor long, hap_id long, grp string, k int, allele int"),
+    }
+    op = REGISTRY[name]
+    return {r[1]: r for r in op.run(spark, {n: tables[n] for n in op.inputs}, **params).collect()}
+
+
+def test_panel_scaffold_by_hand(spark):
+    """One centimorgan a megabase, the middle between the blocks at 150,000: anchors 0.05 away weigh 1/2, those 0.1 away 1/3."""
+    blocks = {"a": [(50_000, 1), (100_000, -1)], "b": [(200_000, 1), (250_000, 1)]}
+    near, far = 1 / 2, 1 / 3
+    haps = [
+        (1, -1, 1, 1),  # as called: kept, kept
+        (-1, 1, -1, -1),  # both turned: another path of the same relation
+        (1, -1, -1, -1),  # kept, turned: a flip
+        (1, 1, 1, 1),  # a's near anchor contradicts: 1/3 - 1/8 kept; turned 1/2 - 1/12; b kept
+        (1, 0, 0, 1),  # unknown alleles neither match nor oppose
+    ]
+    row = _scaffold(spark, "I44_panel_scaffold", blocks, haps, donors=1, margin=0.5)["a"]
+    whole = near + far
+    same = 2 * (2 * whole + 0.4) + (far - near / 4 + whole + 0.2) + (2 * far + 0.2)
+    flip = (2 * whole + 0.4) + (near - far / 4 + whole + 0.2)
+    assert abs(row.same - same) < 1e-5 and abs(row.flip - flip) < 1e-5 and (row.same_donors, row.flip_donors) == (4, 2)
+    assert (row.decision, row.reason, row.gap_bp, round(row.gap_cm, 6), row.left_anchors, row.right_anchors) == ("same", "accepted", 100_000, 0.1, 2, 2)
+    assert abs(row.confidence - same / (same + flip)) < 1e-6 and abs(row.margin - (same - flip)) < 1e-5
+    best = _scaffold(spark, "I44_panel_scaffold", blocks, haps, donors=1, margin=0.5, top=1)["a"]
+    assert abs(best.same - 2 * (2 * whole + 0.4)) < 1e-5 and (best.same_donors, best.flip_donors) == (2, 2)
+    one = _scaffold(spark, "I44_panel_scaffold", blocks, haps, donors=1, most_anchors=1, least_anchors=1)["a"]
+    assert (one.left_anchors, one.right_anchors) == (1, 1) and abs(one.same - 2 * 1.2) < 1e-5 and abs(one.flip - 2 * 1.2) < 1e-5  # the last haplotype is unknown at both
+    said = lambda **p: _scaffold(spark, "I44_panel_scaffold", blocks, haps, **({"donors": 1, "margin": 0.5} | p))["a"].reason
+    assert said(donors=5) == "insufficient_donors" and said(conf=0.9) == "low_confidence" and said(margin=8.0) == "low_margin"
+    assert said(max_gap=99_999) == said(max_gap_cm=0.09) == "gap_exceeds_limit" and said(least_anchors=3) == "insufficient_panel_anchors"
+    lost = _scaffold(spark, "I44_panel_scaffold", blocks, [(0, 0, 0, 0)], donors=1)["a"]
+    assert (lost.reason, lost.decision, lost.same, lost.confidence) == ("no_panel_support", "abstain", 0.0, 0.0)
+
+
+def test_scaffold_assignment_turns_and_restarts(spark):
+    blocks = {"a": [(10_000, 1), (20_000, 1)], "b": [(30_000, 1), (40_000, 1)], "c": [(50_000, 1), (60_000, 1)], "d": [(5_000_000, 1), (5_010_000, 1)]}
+    haps = [(1, 1, -1, -1, 1, 1, 1, 1)] * 3
+    got = _scaffold(spark, "I45_scaffold_assignment", blocks, haps, donors=3, margin=0.5)
+    assert {b: (r.scaffold, r.orientation, r.joined) for b, r in got.items()} == {"a": (1, 1, 0), "b": (1, -1, 1), "c": (1, 1, 1), "d": (2, 1, 0)}
+
+
+def test_scaffold_with_many_anchors_equals_a_plain_loop(spark):
+    """More anchors than one number holds, missing alleles, more haplotypes than are kept."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    blocks = {"a": [(1_000 * i, int(s)) for i, s in enumerate(rng.choice([-1, 1], 40), 1)], "b": [(100_000 + 1_000 * i, int(s)) for i, s in enumerate(rng.choice([-1, 1], 35))]}
+    states, at = np.array([s for b in "ab" for _, s in blocks[b]]), np.array([p for b in "ab" for p, _ in blocks[b]])
+    haps = [tuple(int(x) for x in np.where(rng.random(75) < 0.1, 0, np.where(rng.random(75) < 0.2, -1, 1) * states * rng.choice([-1, 1]))) for _ in range(30)]
+    row = _scaffold(spark, "I44_panel_scaffold", blocks, haps, donors=1, top=5)["a"]
+    wt, want = 1 / (1 + np.abs(at - 70_000) / 1e6 / 0.05), {1: (0.0, 0), -1: (0.0, 0)}
+    for turn in (1, -1):
+        for relation in (1, -1):
+            scores = []
+            for h in haps:
+                hit = np.array(h) * states * np.where(np.arange(75) < 40, turn, turn * relation)
+                left, right = ((wt[x] * np.where(hit[x] > 0, 1, np.where(hit[x] < 0, -0.25, 0))).sum() for x in (slice(0, 40), slice(40, 75)))
+                if left > 0 and right > 0:
+                    scores.append(left + right + 0.2 * min((hit[:40] > 0).sum(), (hit[40:] > 0).sum()))
+            best = sorted(scores, reverse=True)[:5]
+            want[relation] = (want[relation][0] + sum(best), want[relation][1] + len(best))
+    assert (row.left_anchors, row.right_anchors) == (40, 35) and abs(row.same - want[1][0]) < 1e-4 and abs(row.flip - want[-1][0]) < 1e-4
+    assert (row.same_donors, row.flip_donors) == (want[1][1], want[-1][1])
