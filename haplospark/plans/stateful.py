@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import learning, stateful as st
+from ..operators import learning, scaffolds, stateful as st
 from ..operators.phasing import BASE_SCORE
 from ..sources import readers
 from . import copying, regions
@@ -67,6 +67,14 @@ def _window(table: str | Callable, fn, schema: str):
     return query
 
 
+def _scaffolds(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = Tables(spark, sf_dir)
+        return scaffolds.scaffold(spark, {n: t[n] for n in ("blocks", "calls", "psites", "gmap", "panel")}, name)
+
+    return query
+
+
 def _labelled(t: Tables) -> DataFrame:
     return t["labelled"].select("id", "method", F.col("grp").cast("long").alias("grp"), F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"), F.col("support").cast("double").alias("support"), F.col("anchors").cast("double").alias("anchors"))
 
@@ -118,6 +126,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "I32_two_colouring": _window("obsedges", st.two_colour, _LABELS),
         "I33_bridge_forest": _window(_bridges, lambda e: st.bridge_forest(e, prob=0.6, margin=0.5, degree=2, gap=1_000, blocks=8, span=10_000), _LABELS),
         "I34b_utility_forest": _window(_bridges, lambda e: st.utility_forest(e, prob=0.6, margin=0.5, degree=2, gain=100, merged=500, weight=0.001), _LABELS + ", mode string"),
+        "I44_panel_scaffold": _scaffolds("I44_panel_scaffold"),
+        "I45_scaffold_assignment": _scaffolds("I45_scaffold_assignment"),
         "I46_acceptance_model": _learn(lambda s, t: learning.out_of_fold(_labelled(t), _FEATURES, "grp").select("id", "fold", "prob")),
         "I46b_model_metrics": _learn(lambda s, t: learning.metrics(learning.out_of_fold(_labelled(t), _FEATURES, "grp"))),
         "I47_bridge_model": _learn(lambda s, t: learning.out_of_fold(_labelled(t), learning.useful_features(_labelled(t), [*_FEATURES, "label"], {"label"}), "grp", k=2).select("id", "fold", "prob")),

@@ -4,6 +4,8 @@ import duckdb
 import pandas as pd
 import pytest
 
+from haplospark.operators import scaffolds
+from haplospark.plans import stateful
 from haplospark.plans.fixtures import sql_queries
 from haplospark.plans.operator import REGISTRY
 
@@ -218,7 +220,7 @@ def test_map_is_held_at_its_ends_and_blocks_keep_their_anchors(spark):
     assert got == [("b", "L", 1, 1_400), ("b", "L", 2, 900), ("b", "R", 1, 1_500), ("b", "R", 2, 1_600), ("c", "R", 1, 1_700)]
 
 
-def _scaffold(spark, name, blocks, alleles, **params):
+def _scaffold(spark, name, blocks, alleles, plain=False, **params):
     """Blocks as lists of (position, state); each haplotype's alleles at all positions in order."""
     calls = [(0, p, b, s) for b, xs in blocks.items() for p, s in xs]
     ends = [(0, b, xs[0][0], xs[-1][0], len(xs)) for b, xs in blocks.items()]
@@ -228,8 +230,9 @@ def _scaffold(spark, name, blocks, alleles, **params):
         "psites": frame(spark, [(p, k) for k, p in enumerate(at)], "pos long, k int"), "gmap": frame(spark, [(0, 0.0), (10_000_000, 10.0)], "bp long, cm double"),
         "panel": frame(spark, [(h, h // 2, h % 2, "g", k, x) for h, xs in enumerate(alleles) for k, x in enumerate(xs)], "hap long, donor long, hap_id long, grp string, k int, allele int"),
     }
-    op = REGISTRY[name]
-    return {r[1]: r for r in op.run(spark, {n: tables[n] for n in op.inputs}, **params).collect()}
+    if plain:
+        return {r[1]: r for r in REGISTRY[name].run(spark, {n: tables[n] for n in REGISTRY[name].inputs}, **params).collect()}
+    return {r[1]: r for r in scaffolds.scaffold(spark, tables, name, **params).collect()}
 
 
 def test_panel_scaffold_by_hand(spark):
@@ -290,3 +293,14 @@ def test_scaffold_with_many_anchors_equals_a_plain_loop(spark):
             want[relation] = (want[relation][0] + sum(best), want[relation][1] + len(best))
     assert (row.left_anchors, row.right_anchors) == (40, 35) and abs(row.same - want[1][0]) < 1e-4 and abs(row.flip - want[-1][0]) < 1e-4
     assert (row.same_donors, row.flip_donors) == (want[1][1], want[-1][1])
+    assert _scaffold(spark, "I44_panel_scaffold", blocks, haps, plain=True, donors=1, top=5)["a"] == row
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["I44_panel_scaffold", "I45_scaffold_assignment"])
+def test_scaffold_query_equals_the_sql_by_haplotype(spark, name):
+    con = duckdb.connect()
+    for t in ("lineitem", "embeddings", "nation"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = norm(stateful.queries()[name](spark, SF).toPandas()), norm(con.execute(SQL[name]).df())
+    assert len(got) and got.equals(want)
