@@ -1,6 +1,7 @@
 """Aggregations (D): evidence, panel votes, features, truth metrics, reports."""
 
 from ..plans.operator import define
+from .filters import _PANEL_RECORDS
 
 _VOTE = "greatest(0.1, coalesce(w2, 0.0)) * greatest(1, baseq) / 40.0"
 define("D1_fragment_collapse", "w long, read_id long, n long, positions string, alleles string, score double", """
@@ -200,8 +201,10 @@ define("D35b_calibration_sets", "method string, scope string, n long, accuracy d
 define("D36_panel_reliance", "w long, read_phased long, method_phased long, filled long, preserved long, changed long, lost long", """
 SELECT w, sum(CASE WHEN a <> 0 THEN 1 ELSE 0 END) AS read_phased, sum(CASE WHEN b <> 0 THEN 1 ELSE 0 END) AS method_phased, sum(CASE WHEN a = 0 AND b <> 0 THEN 1 ELSE 0 END) AS filled, sum(CASE WHEN a <> 0 AND b = a THEN 1 ELSE 0 END) AS preserved, sum(CASE WHEN a <> 0 AND b = -a THEN 1 ELSE 0 END) AS changed, sum(CASE WHEN a <> 0 AND b = 0 THEN 1 ELSE 0 END) AS lost
 FROM (SELECT coalesce(x.w, y.w) AS w, coalesce(x.state, 0) AS a, coalesce(y.state, 0) AS b FROM {calls} x FULL OUTER JOIN {calls2} y ON x.w = y.w AND x.pos = y.pos) AS z GROUP BY w""")
-define("D37_panel_status", "w long, pos long, status string", """
-SELECT w, pos, CASE min(rk) WHEN 0 THEN 'exact' WHEN 1 THEN 'nonbiallelic' WHEN 2 THEN 'mismatch' ELSE 'missing' END AS status FROM (SELECT s.w, s.pos, CASE WHEN t.pos IS NULL THEN 3 WHEN t.ref = s.ref AND t.alt = s.alt THEN 0 WHEN t.alt = 'X' THEN 1 ELSE 2 END AS rk FROM {sites} s LEFT JOIN {truth} t ON t.w = s.w AND t.pos = s.pos) AS x GROUP BY w, pos""")
+define("D37_panel_status", "w long, pos long, status string", f"""
+SELECT w, pos, CASE max(kind) WHEN 3 THEN 'exact' WHEN 2 THEN 'nonbiallelic' WHEN 1 THEN 'mismatch' ELSE 'missing' END AS status
+FROM ({_PANEL_RECORDS}) AS x
+GROUP BY w, pos""")
 define("D38_feature_bins", "feature string, bin long, n long, accuracy double, mean double", "SELECT feature, CAST(floor(v * 5) AS BIGINT) AS bin, count(*) AS n, avg(label * 1.0) AS accuracy, avg(v) AS mean FROM (SELECT label, feature, CASE feature WHEN 'score' THEN score WHEN 'support' THEN support / 40.0 ELSE anchors / 13.0 END AS v FROM {labelled} CROSS JOIN (VALUES ('score'), ('support'), ('anchors')) AS f(feature)) AS x GROUP BY 1, 2")
 define("D39_bad_window_triage", "w long, win long, wrong long, abstain long, correct long, mean_pos double", "SELECT w, IDIV(pos|1000) AS win, sum(CASE WHEN state = -tstate THEN 1 ELSE 0 END) AS wrong, sum(CASE WHEN state = 0 THEN 1 ELSE 0 END) AS abstain, sum(CASE WHEN state = tstate THEN 1 ELSE 0 END) AS correct, avg(pos) AS mean_pos FROM {cmp} GROUP BY w, IDIV(pos|1000)")
 define("D40_window_statistics", "w long, start long, variants long, reads long, truth long, score double, pass int, rn int", """

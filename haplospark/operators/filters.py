@@ -12,11 +12,17 @@ define("A7_region_parse", "region string, chrom string, s long, e long", """
 SELECT region, split_part(region, ':', 1) AS chrom, CAST(replace(split_part(split_part(region, ':', 2), '-', 1), ',', '') AS BIGINT) AS s, CAST(replace(split_part(split_part(region, ':', 2), '-', 2), ',', '') AS BIGINT) AS e
 FROM (SELECT chrom || ':' || CAST(IDIV(s|1000) AS STRING) || ',000-' || CAST(e AS STRING) AS region FROM {manifest}) AS x""")
 define("A8_lenient_table_scan", "id long, value double, flag int", "SELECT event_id AS id, coalesce(TRY_CAST(event_type AS DOUBLE), value, 0.0) AS value, CASE WHEN lower(trim(event_type)) IN ('1', 'true', 'yes', 'y', 't', 'click') THEN 1 ELSE 0 END AS flag FROM {events}")
-define("A9_panel_exact_match", "w long, pos long, status string", """
-SELECT s.w, s.pos, CASE WHEN t.pos IS NULL THEN 'missing' WHEN t.ref = s.ref AND t.alt = s.alt THEN 'match' ELSE 'allele_mismatch' END AS status FROM {sites} s LEFT JOIN {truth} t ON s.w = t.w AND s.pos = t.pos""")
-define("A10_phased_genotype", "gt string, h0 int, h1 int, state int", """
-SELECT gt, CASE WHEN ok THEN CAST(split_part(gt, '|', 1) AS INT) ELSE -1 END AS h0, CASE WHEN ok THEN CAST(split_part(gt, '|', 2) AS INT) ELSE -1 END AS h1,
-CASE gt WHEN '0|1' THEN 1 WHEN '1|0' THEN -1 ELSE 0 END AS state FROM (SELECT gt, gt IN ('0|0', '0|1', '1|0', '1|1') AS ok FROM (VALUES ('0|1'), ('1|0'), ('0/1'), ('1|1'), ('0|0'), ('.|.'), ('1|2'), ('1')) AS t(gt)) AS x CROSS JOIN {region} WHERE r_regionkey = 0""")
+#: The panel's records at a site's position: one with several alternatives counts as such, and only an equal one is used (upper case on both sides).
+_PANEL_RECORDS = """SELECT s.w, s.pos, r.pos AS rpos, CASE WHEN r.pos IS NULL THEN 0 WHEN r.alt LIKE '%,%' THEN 2 WHEN upper(r.ref) = upper(s.ref) AND upper(r.alt) = upper(s.alt) THEN 3 ELSE 1 END AS kind FROM {sites} s LEFT JOIN {panelrecords} r ON r.pos = s.pos"""
+define("A9_panel_exact_match", "w long, found long, missing long, mismatched long, nonbiallelic long", f"""
+SELECT w, count(DISTINCT CASE WHEN kind = 3 THEN pos END) AS found, sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END) AS missing, sum(CASE WHEN kind = 1 THEN 1 ELSE 0 END) AS mismatched, sum(CASE WHEN kind = 2 THEN 1 ELSE 0 END) AS nonbiallelic
+FROM ({_PANEL_RECORDS}) AS x
+GROUP BY w""")
+_ALLELE = "CASE WHEN gt LIKE '%|%' THEN CASE split_part(gt, '|', {}) WHEN '0' THEN 0 WHEN '1' THEN 1 ELSE -1 END ELSE -1 END"
+#: Only phased calls have alleles; one that is neither 0 nor 1 is missing by itself.
+define("A10_phased_genotype", "w long, pos long, gt string, h0 int, h1 int, state int", f"""
+SELECT w, pos, gt, {_ALLELE.format(1)} AS h0, {_ALLELE.format(2)} AS h1, CASE gt WHEN '0|1' THEN 1 WHEN '1|0' THEN -1 ELSE 0 END AS state
+FROM {{genotypes}}""")
 define("A11_pileup_filter", "w long, read_id long, pos long, allele int, baseq long, mapq long", "SELECT w, read_id, pos, allele, baseq, mapq FROM {obs} WHERE mapq >= :min_mapq AND baseq >= :min_baseq AND allele <> 0", min_mapq=20, min_baseq=20)
 define("A12_template_fragments", "w long, read_id long, n long, positions string, alleles string", """
 SELECT w, read_id, count(*) AS n, LAGG(pos|pos) AS positions, LAGG(a|pos) AS alleles FROM (SELECT w, read_id, pos, CASE WHEN sum(allele) > 0 THEN 1 ELSE -1 END AS a FROM {obs} WHERE mapq >= :min_mapq AND baseq >= :min_baseq AND allele <> 0 GROUP BY w, read_id, pos HAVING sum(allele) <> 0) AS x
@@ -73,8 +79,13 @@ SELECT w, pos, CASE WHEN orient_sites >= :sites AND orient_margin >= :omargin AN
 define("B15_scaffold_gate", "w long, pos long, state int, block_id string", """
 SELECT c.w, c.pos, CASE WHEN c.state = 0 AND f.pos IS NOT NULL THEN f.pred ELSE c.state END AS state, CASE WHEN c.state = 0 AND f.pos IS NOT NULL THEN f.block_id ELSE c.block_id END AS block_id FROM {calls} c
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY prob DESC, block_id) AS rn FROM {fills} WHERE prob >= :threshold) AS x WHERE rn = 1) f ON c.w = f.w AND c.pos = f.pos""", threshold=0.6)
-define("B16_guard_sweep", "cfg string, w long, n long", """
-SELECT cfg, w, count(*) AS n FROM {obsedges} CROSS JOIN (VALUES ('loose', 1, 0.5), ('mid', 2, 0.7), ('strict', 3, 0.9)) AS t(cfg, reads, conf) WHERE plus + minus >= reads AND greatest(pw, mw) / (pw + mw) >= conf GROUP BY cfg, w""")
+#: Each set of guards is a row of ``guards``; a bridge passes one if it passes all of its limits.
+define("B16_guard_sweep", "cfg string, w long, n long, total long", """
+SELECT g.cfg, b.w, sum(CASE WHEN b.prob >= g.prob AND b.conf >= g.conf AND b.margin >= g.margin AND b.effective >= g.effective AND b.usable_a >= g.usable AND b.usable_b >= g.usable AND b.gap <= g.gap AND b.support >= g.support THEN 1 ELSE 0 END) AS n,
+    count(*) AS total
+FROM {bridgefeatures} b
+CROSS JOIN {guards} g
+GROUP BY g.cfg, b.w""")
 define("B17_split_assignment", "w long, split string", "SELECT m.w, CASE WHEN h.w IS NOT NULL THEN 'holdout' WHEN reads >= :reads AND snps >= :snps AND e > s THEN 'train' ELSE 'skip' END AS split FROM {manifest} m LEFT JOIN {holdout} h ON h.w = m.w", reads=40, snps=60)
 # The suffixes of window labels that tell replicate depths apart.
 define("B18_physical_group", "w long, grp string", "SELECT w, replace(replace(replace(label, '_illumina30x_phase7a', ''), '_illumina35x_phase7a', ''), '_phase7a', '') AS grp FROM {manifest}")

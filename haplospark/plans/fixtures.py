@@ -36,6 +36,10 @@ FIXTURES: dict[str, str] = {
     "gated": "SELECT w, pos, max(pred) AS pred, max(CASE WHEN anchors < 4 THEN prob END) AS prob FROM {fills} GROUP BY w, pos",
     "panel": f"SELECT vec_id AS hap, IDIV(vec_id|2) AS donor, vec_id % 2 AS hap_id, 'g' || CAST(label AS STRING) AS grp, k, CASE WHEN ELEM(embedding, k + 1) > 0 THEN 1 ELSE -1 END AS allele FROM {{embeddings}} CROSS JOIN (VALUES {_K}) AS t(k)",
     "psites": f"SELECT 1000 + 100 * (64 * h + k) AS pos, k FROM (VALUES {_K}) AS t(k) CROSS JOIN (VALUES (0), (1)) AS u(h)",
+    "genotypes": "SELECT w, pos, CASE i % 9 WHEN 0 THEN '0|1' WHEN 1 THEN '1|0' WHEN 2 THEN '0/1' WHEN 3 THEN '1|1' WHEN 4 THEN '0|0' WHEN 5 THEN '.|.' WHEN 6 THEN '1|2' WHEN 7 THEN '1' ELSE '.|0' END AS gt FROM {sites}",
+    "panelrecords": """SELECT pos, CASE WHEN i % 6 = 1 THEN lower(ref) ELSE ref END AS ref, CASE WHEN i % 7 = 0 THEN alt || ',N' WHEN i % 5 = 0 THEN 'N' ELSE alt END AS alt FROM (SELECT DISTINCT pos, i, ref, alt FROM {sites} WHERE i % 11 <> 0) AS x
+        UNION ALL SELECT DISTINCT pos, ref, alt FROM {sites} WHERE i % 14 = 0""",
+    "guards": "SELECT * FROM (VALUES ('loose', 0.5, 0.4, 0.0, 1, 1, 9000, 0.5), ('mid', 0.6, 0.5, 1.0, 2, 2, 3000, 1.0), ('strict', 0.9, 0.6, 2.0, 3, 3, 1000, 3.0)) AS t(cfg, prob, conf, margin, effective, usable, gap, support)",
     "bias": "SELECT w, pos, ((pos * 13 + w) % 21 - 10) / 10.0 AS bias FROM {sites} WHERE i % 8 <> 0",
     "seeds": "SELECT w, hap FROM (SELECT DISTINCT w FROM {sites}) AS s CROSS JOIN (SELECT DISTINCT hap FROM {panel}) AS p WHERE (hap * 7 + w) % 83 = 0",
     "centres": "SELECT w, min(pos) + 1500 AS centre FROM {sites} GROUP BY w",
@@ -71,6 +75,9 @@ FIXTURES: dict[str, str] = {
         (SELECT o.w, o.read_id, c.comp, sum(o.allele * c.state * 1.0) AS v FROM {obs} o JOIN {comps} c ON o.w = c.w AND o.pos = c.pos WHERE o.allele <> 0 GROUP BY o.w, o.read_id, c.comp) AS x JOIN
         (SELECT o.w, o.read_id, c.comp, sum(o.allele * c.state * 1.0) AS v FROM {obs} o JOIN {comps} c ON o.w = c.w AND o.pos = c.pos WHERE o.allele <> 0 GROUP BY o.w, o.read_id, c.comp) AS y
         ON x.w = y.w AND x.read_id = y.read_id AND x.comp < y.comp WHERE x.v <> 0 AND y.v <> 0) AS p GROUP BY w, a, b""",
+    "bridgefeatures": """SELECT e.w, e.a, e.b, greatest(e.pw, e.mw) / (e.pw + e.mw) AS prob, greatest(e.pw, e.mw) / (e.pw + e.mw + 1.0) AS conf, abs(e.pw - e.mw) AS margin, (e.pw + e.mw) * (e.pw + e.mw) / (e.pw * e.pw + e.mw * e.mw) + (e.a + e.b) % 4 AS effective,
+        x.n AS usable_a, y.n AS usable_b, y.s - x.e AS gap, e.pw + e.mw AS support FROM {obsedges} e JOIN (SELECT w, comp, count(*) AS n, min(pos) AS s, max(pos) AS e FROM {comps} GROUP BY w, comp) x ON x.w = e.w AND x.comp = e.a
+        JOIN (SELECT w, comp, count(*) AS n, min(pos) AS s, max(pos) AS e FROM {comps} GROUP BY w, comp) y ON y.w = e.w AND y.comp = e.b""",
 }
 _INPUT = re.compile(r"\{(\w+)\}")
 

@@ -70,6 +70,14 @@ def read_config(path: str) -> RunConfig:
     return RunConfig.of(values)
 
 
+def branch_configs(text: str, stem: str, branches: tuple[str, ...] = ("selected", "tagged", "superreads")) -> dict[str, str]:
+    """The text of a run's parameters for each read branch: ``target_reads`` names that branch's file, all other lines stay."""
+    line = re.compile(r"^(\s*)target_reads:.*$", re.MULTILINE)
+    if not line.search(text):
+        raise ValueError("no target_reads among the parameters")
+    return {b: line.sub(lambda m: f"{m[1]}target_reads: {stem}_{b}.json", text) for b in branches}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share, under ``spark.checkpoint.dir``; only in local mode one of this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -304,3 +304,68 @@ def test_scaffold_query_equals_the_sql_by_haplotype(spark, name):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = norm(stateful.queries()[name](spark, SF).toPandas()), norm(con.execute(SQL[name]).df())
     assert len(got) and got.equals(want)
+
+
+def test_panel_records_and_genotypes(spark):
+    sites = frame(spark, [(0, p, "A", "C") for p in (1, 2, 3, 4, 5)], "w long, pos long, ref string, alt string")
+    records = frame(spark, [(1, "a", "c"), (2, "A", "C,G"), (3, "A", "G"), (5, "A", "C,G"), (5, "A", "C")], "pos long, ref string, alt string")
+    tables = {"sites": sites, "panelrecords": records}
+    assert tuple(REGISTRY["A9_panel_exact_match"].run(spark, tables).first()) == (0, 2, 1, 1, 2)
+    assert {r.pos: r.status for r in REGISTRY["D37_panel_status"].run(spark, tables).collect()} == {1: "exact", 2: "nonbiallelic", 3: "mismatch", 4: "missing", 5: "exact"}
+    gts = frame(spark, [(0, i, gt) for i, gt in enumerate(["0|1", "1|0", "0/1", "1|2", ".|0", "1", ""])], "w long, pos long, gt string")
+    got = {r.gt: (r.h0, r.h1, r.state) for r in REGISTRY["A10_phased_genotype"].run(spark, {"genotypes": gts}).collect()}
+    assert got == {"0|1": (0, 1, 1), "1|0": (1, 0, -1), "0/1": (-1, -1, 0), "1|2": (1, -1, 0), ".|0": (-1, 0, 0), "1": (-1, -1, 0), "": (-1, -1, 0)}
+
+
+def test_each_guard_of_a_sweep_decides(spark):
+    names = ("prob", "conf", "margin", "effective", "usable_a", "usable_b", "gap", "support")
+    good = dict(zip(names, (0.9, 0.9, 5.0, 3.0, 2, 2, 100, 9.0)))
+    rows = [good] + [good | {n: 101 if n == "gap" else v - 1} for n, v in good.items()]
+    bridges = frame(spark, [(i % 2, *(float(x) for x in r.values())) for i, r in enumerate(rows)], "w long, " + ", ".join(f"{n} double" for n in names))
+    guards = frame(spark, [("exact", 0.9, 0.9, 5.0, 3.0, 2.0, 100.0, 9.0), ("none", 0.0, 0.0, 0.0, 0.0, 0.0, 1e9, 0.0)], "cfg string, prob double, conf double, margin double, effective double, usable double, gap double, support double")
+    got = {(r.cfg, r.w): (r.n, r.total) for r in REGISTRY["B16_guard_sweep"].run(spark, {"bridgefeatures": bridges, "guards": guards}).collect()}
+    assert got[("exact", 0)] == (1, 5) and got[("exact", 1)] == (0, 4) and got[("none", 1)][1] == 4 and got[("none", 0)][0] >= 1
+
+
+def test_read_decisions_equal_a_scan(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    obs = sorted({(0, int(r), int(p)) for r in range(40) for p in rng.choice(12, rng.integers(1, 5))})
+    sites = frame(spark, [(0, p) for p in range(12)], "w long, pos long")
+    df = frame(spark, [(*x, 1, 20, 30) for x in obs], "w long, read_id long, pos long, allele int, baseq long, mapq long")
+    for most in (7, 1_000):
+        got = {r.read_id: r.decision for r in REGISTRY["I55b_read_decisions"].run(spark, {"obs": df, "sites": sites}, depth=3, most=most).collect()}
+        reads = {r: [p for _, x, p in obs if x == r] for r in {x for _, x, _ in obs}}
+        cover, kept, want = dict.fromkeys(range(12), 0), 0, {}
+        for r in sorted(reads, key=lambda r: (-len(reads[r]), r)):  # equal qualities: the score follows the sites
+            if kept >= most:
+                want[r] = "max_reads_reached"
+            elif len(reads[r]) < 2:
+                want[r] = "below_min_sites_per_read"
+            elif all(cover[p] >= 3 for p in reads[r]):
+                want[r] = "no_undercovered_site"
+            else:
+                want[r], kept = "kept", kept + 1
+                cover |= {p: min(3, cover[p] + 1) for p in reads[r]}
+        assert got == want
+
+
+def test_calls_are_judged_after_their_block_is_turned(spark):
+    rows = [(0, 1, "b", 1, -1), (0, 2, "b", -1, 1), (0, 3, "b", 1, 1), (0, 4, "c", 1, 1), (0, 5, "c", 1, -1), (0, 6, "b", 0, 1), (0, 7, "b", 1, None), (0, 8, "unassigned", 1, 1)]
+    cmp = frame(spark, rows, "w long, pos long, block_id string, state int, tstate int")
+    got = {r.pos: (r.orientation, r.oriented, r.verdict) for r in REGISTRY["I55d_oriented_comparison"].run(spark, {"cmp": cmp}).collect()}
+    assert got == {1: (-1, -1, "correct"), 2: (-1, 1, "correct"), 3: (-1, -1, "wrong"), 4: (0, 0, "unknown_orientation"), 5: (0, 0, "unknown_orientation"), 6: (-1, 0, "not_comparable"), 7: (-1, -1, "not_comparable"), 8: (0, 0, "unknown_orientation")}
+    assert tuple(REGISTRY["I55e_orientation_summary"].run(spark, {"cmp": cmp}).first()) == (0, 2, 1, 2, 3, round(2 / 3, 6))
+
+
+def test_site_confidence_holds_out_whole_groups_and_sees_categories(spark):
+    """The label is whether the category is one of two: no order of the categories' codes tells it by one threshold."""
+    from haplospark.operators import learning
+
+    rows = [(i, g, f"m{i % 4}", int(i % 4 in (0, 2)), 0.5) for g in range(10) for i in range(40 * g, 40 * g + 40)]
+    df = frame(spark, rows, "id long, grp long, method string, label int, score double")
+    got = learning.holdout_by_group(df, ["score"], "method", "grp", rounds=3).collect()
+    held = {r.grp for r in got if r.held}
+    assert len(held) == 3 and all(r.held == (r.grp in held) for r in got) and len(got) == 400
+    assert all((r.prob > 0.5) == (r.label == 1) for r in got)

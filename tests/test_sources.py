@@ -66,3 +66,12 @@ def test_json_cells_and_config(spark, tmp_path):
     (tmp_path / "bad.yaml").write_text("- 1")
     with pytest.raises(ValueError):
         readers.read_config(str(tmp_path / "bad.yaml"))
+
+
+def test_branch_configs():
+    text = "inputs:\n  target_reads: old.json  # all\n  panel: p\nother_target_reads: x\n"
+    got = readers.branch_configs(text, "out/w7")
+    assert set(got) == {"selected", "tagged", "superreads"}
+    assert got["tagged"] == "inputs:\n  target_reads: out/w7_tagged.json\n  panel: p\nother_target_reads: x\n"
+    with pytest.raises(ValueError):
+        readers.branch_configs("inputs: {}", "s")
