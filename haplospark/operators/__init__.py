@@ -1,3 +1,3 @@
 """Operators by family; importing this fills the registry."""
 
-from . import aggregates, filters, joins, phasing, reports, scaffolds, windows  # noqa: F401
+from . import aggregates, donors, filters, joins, phasing, reports, scaffolds, windows  # noqa: F401

@@ -57,32 +57,6 @@ define("D12_interval_orientation", "w long, lo long, hi long, pairs long, keep d
 SELECT w, lo, hi, count(*) AS pairs, sum(CASE WHEN sg > 0 THEN wt ELSE 0.0 END) AS keep, sum(CASE WHEN sg < 0 THEN wt ELSE 0.0 END) AS flip, CASE WHEN count(*) >= :pairs AND round(abs(sum(sg * wt)), 6) >= :margin THEN 1 ELSE 0 END AS accepted
 FROM (SELECT x.w, a.pos AS lo, a.nxt AS hi, x.allele * a.state * y.allele * a.nstate AS sg, least(x.weight, y.weight) AS wt FROM (SELECT w, pos, state, lead(pos) OVER (PARTITION BY w ORDER BY pos) AS nxt, lead(state) OVER (PARTITION BY w ORDER BY pos) AS nstate FROM {calls} WHERE state <> 0) a
 JOIN {frags} x ON x.w = a.w AND x.pos = a.pos JOIN {frags} y ON y.w = a.w AND y.pos = a.nxt AND y.read_id = x.read_id) AS z GROUP BY w, lo, hi""", pairs=2, margin=0.5)
-define("D13_donor_features", "w long, pos long, plus double, minus double, lft double, rgt double, top1 double, effn double, entropy double, two_sided int, agree int, log_margin double", f"""
-SELECT w, pos, sum(greatest(s, 0.0)) AS plus, sum(greatest(-s, 0.0)) AS minus, sum(l) AS lft, sum(r) AS rgt, max(abs(s)) AS top1, CASE WHEN sum(s * s) > 0 THEN sum(abs(s)) * sum(abs(s)) / sum(s * s) ELSE 0.0 END AS effn,
-ln(sum(abs(s)) + 0.000001) - sum(abs(s) * ln(abs(s) + 0.000001)) / (sum(abs(s)) + 0.000001) AS entropy, CASE WHEN sum(abs(l)) > 0 AND sum(abs(r)) > 0 THEN 1 ELSE 0 END AS two_sided, CASE WHEN sum(l) * sum(r) > 0.000001 THEN 1 ELSE 0 END AS agree, ln(1.0 + abs(sum(s))) AS log_margin
-FROM (SELECT w, pos, donor, sum(v) AS s, sum(CASE WHEN side = 'L' THEN v ELSE 0.0 END) AS l, sum(CASE WHEN side = 'R' THEN v ELSE 0.0 END) AS r FROM (SELECT w, pos, donor, side, target * anchor * state * exp(-d / 50000.0) AS v FROM {_HAPS} AS h) AS g GROUP BY w, pos, donor) AS x GROUP BY w, pos""", f"""WITH {_SITED}, ix AS (SELECT collect_list(js) AS js FROM (SELECT donor, collect_list(j) AS js FROM hj GROUP BY donor) AS e),
-ld AS (SELECT k, ka, transform(js, e -> aggregate(e, 0, (s, j) -> s + z[j])) AS dv FROM Z CROSS JOIN ix),
-g AS (SELECT n.w, n.pos, collect_list(struct(n.side, n.state * exp(-n.d / 50000.0) AS c, ld.dv)) AS xs FROM n JOIN ld ON ld.k = n.k AND ld.ka = n.ka GROUP BY n.w, n.pos),
-v AS (SELECT w, pos, aggregate(filter(xs, x -> x.side = 'L'), transform(xs[0].dv, e -> 0.0), (s, x) -> zip_with(s, x.dv, (a, b) -> a + x.c * b)) AS l, aggregate(filter(xs, x -> x.side = 'R'), transform(xs[0].dv, e -> 0.0), (s, x) -> zip_with(s, x.dv, (a, b) -> a + x.c * b)) AS r FROM g),
-t AS (SELECT w, pos, s, aggregate(l, 0.0, (a, x) -> a + x) AS lft, aggregate(r, 0.0, (a, x) -> a + x) AS rgt, aggregate(l, 0.0, (a, x) -> a + abs(x)) AS la, aggregate(r, 0.0, (a, x) -> a + abs(x)) AS ra, aggregate(s, 0.0, (a, x) -> a + greatest(x, 0.0)) AS plus, aggregate(s, 0.0, (a, x) -> a + greatest(-x, 0.0)) AS minus, aggregate(s, 0.0, (a, x) -> a + x * x) AS sq,
-aggregate(s, 0.0, (a, x) -> a + abs(x) * ln(abs(x) + 0.000001)) AS logs FROM (SELECT *, zip_with(l, r, (a, b) -> a + b) AS s FROM v) AS v1)
-SELECT w, pos, plus, minus, lft, rgt, array_max(transform(s, x -> abs(x))) AS top1, CASE WHEN sq > 0 THEN (plus + minus) * (plus + minus) / sq ELSE 0.0 END AS effn, ln(plus + minus + 0.000001) - logs / (plus + minus + 0.000001) AS entropy,
-CASE WHEN la > 0 AND ra > 0 THEN 1 ELSE 0 END AS two_sided, CASE WHEN lft * rgt > 0.000001 THEN 1 ELSE 0 END AS agree, ln(1.0 + abs(plus - minus)) AS log_margin FROM t""")
-_SCORED = f"""(SELECT w, pos, hap, grp, max(target) AS target, sum(CASE WHEN anchor = state THEN exp(-d / 1000.0) ELSE 0.0 END) AS score, sum(CASE WHEN anchor <> state THEN exp(-d / 1000.0) ELSE 0.0 END) AS other,
-sum(CASE WHEN anchor = state AND side = 'L' THEN exp(-d / 1000.0) ELSE 0.0 END) AS ls, min(d) AS nearest FROM {_HAPS} AS h GROUP BY w, pos, hap, grp)"""
-_TOP = f"""(SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY round(score, 9) DESC, hap) AS rn FROM {_SCORED} AS hs)"""
-_WEIGHED = f"""{_PLACED}, g AS (SELECT n.w, n.pos, n.k, min(n.d) AS nearest, collect_list(struct(n.side, n.state, exp(-n.d / 1000.0) AS c, y.al)) AS xs FROM n JOIN P y ON y.k = n.ka GROUP BY n.w, n.pos, n.k),
-S AS (SELECT g.w, g.pos, g.nearest, x.hs, x.gn, x.al AS target, aggregate(xs, transform(x.hs, e -> 0.0), (s, a) -> zip_with(s, a.al, (u, b) -> CASE WHEN b = a.state THEN u + a.c ELSE u END)) AS score,
-aggregate(filter(xs, a -> a.side = 'L'), transform(x.hs, e -> 0.0), (s, a) -> zip_with(s, a.al, (u, b) -> CASE WHEN b = a.state THEN u + a.c ELSE u END)) AS ls FROM g JOIN P x ON x.k = g.k)"""
-_BEST = f"""{_WEIGHED}, T AS (SELECT w, pos, nearest, inline(slice(array_sort(transform(sequence(0, size(hs) - 1), i -> struct(-round(score[i], 9) AS o, hs[i] AS hap, target[i] AS target, score[i] AS score, ls[i] AS ls))), 1, :top)) FROM S)"""
-define("D14_match_features", "w long, pos long, alt_support double, ref_support double, haps long, best double", f"""
-SELECT w, pos, sum(CASE WHEN target > 0 THEN score ELSE 0.0 END) AS alt_support, sum(CASE WHEN target < 0 THEN score ELSE 0.0 END) AS ref_support, count(*) AS haps, max(score) AS best FROM {_TOP} AS t WHERE rn <= :top GROUP BY w, pos""", f"""WITH {_BEST}
-SELECT w, pos, sum(CASE WHEN target > 0 THEN score ELSE 0.0 END) AS alt_support, sum(CASE WHEN target < 0 THEN score ELSE 0.0 END) AS ref_support, count(*) AS haps, max(score) AS best FROM T GROUP BY w, pos""", top=16)
-define("D15_copying_features", "w long, pos long, context string, alt_prob double, entropy double, nearest double", f"""
-SELECT w, pos, context, sum(CASE WHEN target > 0 THEN p ELSE 0.0 END) AS alt_prob, -sum(p * ln(p + 0.000000001)) AS entropy, avg(nearest) AS nearest FROM (SELECT w, pos, context, target, nearest, exp(v - max(v) OVER (PARTITION BY w, pos, context)) / sum(exp(v)) OVER (PARTITION BY w, pos, context) * exp(max(v) OVER (PARTITION BY w, pos, context)) AS p
-FROM (SELECT w, pos, target, nearest, context, CASE context WHEN 'all' THEN score WHEN 'left' THEN ls ELSE score - ls END AS v FROM {_TOP} AS t CROSS JOIN (VALUES ('all'), ('left'), ('right')) AS c(context) WHERE rn <= :top) AS a) AS b GROUP BY w, pos, context""", f"""WITH {_BEST}
-SELECT w, pos, context, sum(CASE WHEN target > 0 THEN p ELSE 0.0 END) AS alt_prob, -sum(p * ln(p + 0.000000001)) AS entropy, avg(nearest) AS nearest FROM (SELECT w, pos, context, target, nearest, exp(v - max(v) OVER (PARTITION BY w, pos, context)) / sum(exp(v)) OVER (PARTITION BY w, pos, context) * exp(max(v) OVER (PARTITION BY w, pos, context)) AS p
-FROM (SELECT w, pos, target, nearest, context, CASE context WHEN 'all' THEN score WHEN 'left' THEN ls ELSE score - ls END AS v FROM T CROSS JOIN (VALUES ('all'), ('left'), ('right')) AS c(context)) AS a) AS b GROUP BY w, pos, context""", top=16)
 #: Each open site with its anchors (nearest ones of each side within the map distance) and what a centimorgan takes off.
 _NEAR_IN_CM = """(
     SELECT w, pos, apos, state, exp(-dcm / :decay_cm) AS wt
@@ -126,9 +100,6 @@ define(
     "D16_ancestry_features", "w long, pos long, plus double, minus double, confidence double, plain_confidence double, delta double, log_margin double, top_prior double, entropy double, effective double, pops long",
     _ANCESTRY_BY_HAPLOTYPE + _ANCESTRY, _ANCESTRY_BY_PAIR + _ANCESTRY, decay_cm=0.05, max_cm=0.25, each_side=16,
 )
-define("D17_scaffold_block_choice", "w long, pos long, block_id string, two_sided int, n long, mean_d double", f"""
-SELECT w, pos, block_id, two_sided, n, mean_d FROM (SELECT *, row_number() OVER (PARTITION BY w, pos ORDER BY two_sided DESC, n DESC, round(mean_d, 6), min_d, block_id) AS rn FROM (SELECT w, pos, block_id, CASE WHEN count(DISTINCT side) = 2 THEN 1 ELSE 0 END AS two_sided, count(*) AS n, avg(d) AS mean_d, min(d) AS min_d
-FROM {_ANCHORED} AS n GROUP BY w, pos, block_id) AS x) AS y WHERE rn = 1""")
 _PAIR = """(SELECT a.w, a.block_id AS a, b.block_id AS b, b.s - a.e AS gap FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY s) AS r FROM {blocks}) a JOIN (SELECT *, row_number() OVER (PARTITION BY w ORDER BY s) AS r FROM {blocks}) b ON a.w = b.w AND b.r = a.r + 1)"""
 _EDGE = """(SELECT w, block_id, pos, state, row_number() OVER (PARTITION BY w, block_id ORDER BY pos DESC) AS last_rn, row_number() OVER (PARTITION BY w, block_id ORDER BY pos) AS first_rn FROM {calls} WHERE state <> 0)"""
 define("D19_edge_anchors", "w long, a string, b string, side string, pos long, state int", f"""

@@ -52,14 +52,27 @@ FROM (
     ) AS q
 ) AS x
 WHERE rn <= :k"""
-define(
-    "C6_nearest_in_centimorgan", "w long, pos long, block_id string, side string, rn int, apos long, state int, dcm double",
-    _NEAR_CM.replace("MEET ", "").replace("TARGETS", f"({in_centimorgans_by_range(_TARGETS, 'w', 'block_id')})").replace("ANCHORS", f"({in_centimorgans_by_range(_KNOWN, 'w', 'block_id', 'state')})"),
-    _NEAR_CM.replace("MEET", "AND a.near = t.near")
-    .replace("TARGETS", f"(SELECT *, CAST(floor(cm / :max_cm) AS BIGINT) + d AS near FROM ({in_centimorgans(_TARGETS, 'w', 'block_id')}) AS t0 CROSS JOIN (VALUES (-1), (0), (1)) AS n(d))")
-    .replace("ANCHORS", f"(SELECT *, CAST(floor(cm / :max_cm) AS BIGINT) AS near FROM ({in_centimorgans(_KNOWN, 'w', 'block_id', 'state')}) AS a0)"),
-    max_cm=0.25, k=16, map_width=100_000,
-)
+
+
+def _met(text: str, targets: str, *also: str, spark: bool) -> str:
+    """Targets and called sites in centimorgans; on Spark both come in buckets of ``:max_cm``."""
+    if not spark:
+        return text.replace("MEET ", "").replace("TARGETS", f"({in_centimorgans_by_range(targets, 'w', *also)})").replace("ANCHORS", f"({in_centimorgans_by_range(_KNOWN, 'w', 'block_id', 'state')})")
+    near = f"(SELECT *, CAST(floor(cm / :max_cm) AS BIGINT) + d AS near FROM ({in_centimorgans(targets, 'w', *also)}) AS t0 CROSS JOIN (VALUES (-1), (0), (1)) AS n(d))"
+    return text.replace("MEET", "AND a.near = t.near").replace("TARGETS", near).replace("ANCHORS", f"(SELECT *, CAST(floor(cm / :max_cm) AS BIGINT) AS near FROM ({in_centimorgans(_KNOWN, 'w', 'block_id', 'state')}) AS a0)")
+
+
+NEAR_CM_OTHERWISE = _met(_NEAR_CM, _TARGETS, "block_id", spark=False)
+NEAR_CM = _met(_NEAR_CM, _TARGETS, "block_id", spark=True)
+
+
+def near_any_block(spark: bool) -> str:
+    """Anchors of every block around the sites without a call."""
+    text = _NEAR_CM.replace("t.block_id, a.pos", "a.block_id, a.pos").replace(" AND a.block_id = t.block_id", "")
+    return _met(text, "SELECT DISTINCT w, pos FROM {calls} WHERE state = 0", spark=spark)
+
+
+define("C6_nearest_in_centimorgan", "w long, pos long, block_id string, side string, rn int, apos long, state int, dcm double", NEAR_CM_OTHERWISE, NEAR_CM, max_cm=0.25, k=16, map_width=100_000)
 define("C7_asof_anchors", "w long, pos long, prev long, next long", """
 SELECT w, pos, CASE WHEN pos - p <= :max_gap THEN p END AS prev, CASE WHEN n - pos <= :max_gap THEN n END AS next FROM (SELECT w, pos, state,
 max(CASE WHEN state <> 0 THEN pos END) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import learning, scaffolds, stateful as st
+from ..operators import donors, learning, scaffolds, stateful as st
 from ..operators.phasing import BASE_SCORE
 from ..sources import readers
 from . import copying, regions
@@ -75,6 +75,14 @@ def _scaffolds(name: str):
     return query
 
 
+def _donors(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = Tables(spark, sf_dir)
+        return donors.features(spark, {n: t[n] for n in ("fills", "calls", "psites", "gmap", "panel")}, name)
+
+    return query
+
+
 def _labelled(t: Tables) -> DataFrame:
     return t["labelled"].select("id", "method", F.col("grp").cast("long").alias("grp"), F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"), F.col("support").cast("double").alias("support"), F.col("anchors").cast("double").alias("anchors"))
 
@@ -117,6 +125,7 @@ def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return regions.queries() | copying.queries() | {
+        **{n: _donors(n) for n in ("D13_donor_features", "D14_match_features", "D15_copying_features", "D17_scaffold_block_choice")},
         "I11_informative_reads": _window(_bases, st.informative_reads, _READS + ", base double, score double, rank long"),
         "I16_components": lambda spark, sf_dir: _components(Tables(spark, sf_dir)),
         "I17_I18_wmec_solve": _solved,
