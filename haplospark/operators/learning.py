@@ -12,10 +12,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..sources.readers import written
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """A fold for each group, larger groups first, dealt in turn; rows of a group never part."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    fold = (F.row_number().over(Window.orderBy(F.desc("_n"), group)) - 1) % k  # one row a group
+def group_folds(df: DataFrame, group: str, k: int = 5, stratify: str | None = None) -> DataFrame:
+    """A fold for each group; rows of a group never part.
+
+    Groups are dealt in turn, larger ones first.  With ``stratify`` (a 0/1
+    column) those with more ones come first and every other round is dealt
+    backwards, so that the folds have alike shares of both classes.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(stratify).cast("long") if stratify else F.lit(0)).alias("_ones"))
+    turn = F.row_number().over(Window.orderBy(F.desc("_ones"), F.desc("_n"), group)) - 1  # one row a group
+    fold = F.when((F.floor(turn / k) % 2 == 1) & F.lit(stratify is not None), k - 1 - turn % k).otherwise(turn % k)
     return df.join(sizes.select(group, fold.cast("int").alias("fold")), group)
 
 
@@ -51,6 +57,22 @@ def out_of_fold(df: DataFrame, features: list[str], group: str, k: int = 5, roun
     return _by_fold(data, k, GBTClassifier(featuresCol="_x", labelCol="label", maxIter=rounds, maxDepth=depth, seed=7)).select(*df.columns, "fold", "prob")
 
 
+def bridge_model(df: DataFrame, columns: list[str], group: str, leaks: set[str], k: int = 5, rounds: int = 5, depth: int = 3) -> DataFrame:
+    """Out-of-fold probability of each row by stratified folds of whole groups, without leaks and constants, ones weighed as zeros are.
+
+    Fewer folds where there are fewer than ``k`` groups; one group or one class
+    can't be measured out of fold and raises.
+    """
+    n = df.agg(F.countDistinct(group).alias("groups"), F.sum("label").alias("ones"), F.count(F.lit(1)).alias("rows")).first()
+    if n["groups"] < 2 or not n["ones"] or n["ones"] == n["rows"]:
+        raise ValueError(f"needs two groups and both classes: {n['groups']} groups, {n['ones']} ones of {n['rows']} rows")
+    features = useful_features(df, columns, leaks)
+    k = min(k, n["groups"])
+    data = _vector(written(group_folds(df, group, k, "label").withColumn("_weight", F.when(F.col("label") == 1, (n["rows"] - n["ones"]) / n["ones"]).otherwise(1.0))), features)
+    model = GBTClassifier(featuresCol="_x", labelCol="label", weightCol="_weight", maxIter=rounds, maxDepth=depth, seed=7)
+    return _by_fold(data, k, model).select(*df.columns, "fold", "prob")
+
+
 def metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row: n, auc, ap, accuracy, brier of ``label`` and ``prob``; auc and ap null without both classes."""
     both = scored.select("label").distinct().count() == 2

@@ -137,12 +137,16 @@ def refine(m: np.ndarray, x: np.ndarray, sweeps: int = 5) -> np.ndarray:
     return x
 
 
-def solve_greedy(m: np.ndarray, most: int = 20) -> tuple[np.ndarray, float]:
-    """Grow from site 0 along the strongest pair weights, then flip single sites while it helps."""
+def solve_greedy(m: np.ndarray, most: int = 20, skip: bool = False) -> tuple[np.ndarray, float]:
+    """Grow from site 0 along the strongest pair weights, then flip single sites while it helps.
+
+    Of fragments with over ``most`` sites the first ones pair, or none with ``skip``; all count in the flips.
+    """
     n = m.shape[1]
     pair = np.zeros((n, n))
     for row in m:
-        at = np.flatnonzero(row)[:most]
+        at = np.flatnonzero(row)
+        at = at[: 0 if skip and len(at) > most else most]
         low = np.minimum.outer(np.abs(row[at]), np.abs(row[at])) * np.outer(np.sign(row[at]), np.sign(row[at]))
         pair[np.ix_(at, at)] += low
     np.fill_diagonal(pair, 0)
@@ -193,6 +197,43 @@ def solve_window(frags: pd.DataFrame, exact_sites: int = EXACT_SITES, chunk: int
 SOLVED = "w long, pos long, block_id string, state int, solver string, objective double, margin double, conf double"
 
 
+LEGACY = "w long, pos long, block_id string, state int, solver string, conf double, sites int, fragments int, objective double, margin double, support double, conflict double"
+
+
+def solve_legacy(frags: pd.DataFrame, exact_sites: int = EXACT_SITES, chunk: int = 256) -> pd.DataFrame:
+    """One component (w, comp) as the first solver had it.
+
+    Chunks of ``chunk`` sites, the last one too if it has two; a chunk without a
+    fragment of two sites stays unsolved, while sites that no fragment of the
+    chunk covers are +1 with confidence 0.  Long fragments give no pairs.
+    """
+    w, c = frags["w"].iloc[0], frags["comp"].iloc[0]
+    every = np.sort(frags["pos"].unique())
+    rows = []
+    for at in range(0, len(every), chunk):
+        sites = every[at : at + chunk]
+        own = frags[frags["pos"].isin(sites)]
+        own = own[own.groupby("read_id")["pos"].transform("size") >= 2]
+        if len(sites) < 2 or own.empty:
+            continue
+        where, covered = _matrix(own)
+        m = np.zeros((len(covered), len(sites)))
+        m[:, np.searchsorted(sites, where)] = covered
+        if len(sites) <= exact_sites:
+            x, value, margin = solve_exact(m)
+            solver = "exact"
+        else:
+            x, value = solve_greedy(m, skip=True)
+            solver, margin = "greedy_refine", None
+        side = np.where(m @ x >= 0, 1, -1)
+        vote = m * x * side[:, None]
+        good, bad = vote.clip(0).sum(0), (-vote).clip(0).sum(0)
+        conf = np.divide(good, good + bad, out=np.zeros(len(sites)), where=good + bad > 0)
+        for k, p in enumerate(sites.tolist()):
+            rows.append((w, p, f"c{c}_{at // chunk}", int(x[k]), solver, round(float(conf[k]), 6), len(sites), len(m), round(value, 6), margin, round(float(good[k]), 6), round(float(bad[k]), 6)))
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in LEGACY.split(", ")])
+
+
 def solve_with_priors(frags: pd.DataFrame, beam: int = 256, donor: float = 0.05, ranker: float = 0.04, anchor: float = 0.75, switch: float = 0.10, exact_sites: int = EXACT_SITES) -> pd.DataFrame:
     """Regions of at most 24 sites, exact or by beam search and rescored.
 

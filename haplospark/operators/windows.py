@@ -28,25 +28,40 @@ SELECT w, pos, pred, prob, abs(plus - minus) AS m, CASE WHEN pred = lag(pred) OV
 define("E13_site_windows", "w long, win long, n long, s long, e long", "SELECT w, win, count(*) AS n, min(pos) AS s, max(pos) AS e FROM (SELECT w, pos, IDIV(row_number() OVER (PARTITION BY w ORDER BY pos) - 1|:size) AS win FROM {sites}) AS x GROUP BY w, win", size=4)
 define("E14_posterior_margins", "w long, qid string, weight double, margin double", "SELECT w, qid, max(p) AS weight, greatest(-1.0, least(1.0, sum(p * cstate))) AS margin FROM (SELECT w, qid, cstate, exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY w, qid) AS p FROM (SELECT *, max(score) OVER (PARTITION BY w, qid) AS mx FROM {scores}) AS x) AS y GROUP BY w, qid")
 
-_DONOR = """SELECT c.w, p.hap, p.donor, p.hap_id, p.grp, count(*) AS n, sum(CASE WHEN p.allele = c.state THEN 1 ELSE 0 END) AS matched, sum(CASE WHEN p.allele = c.state THEN 1 ELSE -1 END) AS raw,
-sum(CASE WHEN p.allele = c.state THEN 1 ELSE -1 END) + 0.75 * sum(CASE WHEN p.allele = c.state THEN 1.0 ELSE 0.0 END) / count(*) + 0.5 * max(CASE p.grp WHEN 'g1' THEN 1.0 WHEN 'g2' THEN 0.5 ELSE 0.0 END) AS score
-FROM {calls} c JOIN {psites} vp ON vp.pos = c.pos JOIN {panel} p ON p.k = vp.k WHERE c.state <> 0 GROUP BY c.w, p.hap, p.donor, p.hap_id, p.grp"""
+#: What the ancestry of a haplotype's group counts: ``ancestry`` has one weight a group, others have none.
+_DONOR = """
+SELECT w, hap, donor, hap_id, grp, n, matched, raw, raw + 0.75 * coalesce(matched * 1.0 / nullif(n, 0), 0.0) + 0.5 * anc AS score
+FROM (
+    SELECT c.w, p.hap, p.donor, p.hap_id, p.grp, coalesce(max(y.weight), 0.0) AS anc, sum(CASE WHEN p.allele <> 0 THEN 1 ELSE 0 END) AS n, sum(CASE WHEN p.allele = c.state THEN 1 ELSE 0 END) AS matched, sum(p.allele * c.state) AS raw
+    FROM {calls} c
+    JOIN {psites} vp ON vp.pos = c.pos
+    JOIN {panel} p ON p.k = vp.k
+    LEFT JOIN {ancestry} y ON y.grp = p.grp
+    WHERE c.state <> 0
+    GROUP BY c.w, p.hap, p.donor, p.hap_id, p.grp
+) AS m"""
 define("I1_donor_score", "w long, hap long, n long, matched long, raw long, score double", _DONOR)
-define("I1b_stub_score", "w long, hap long, score double, n long", "SELECT c.w, p.hap, sum(c.state * p.allele) * (0.5 + max(CASE p.grp WHEN 'g1' THEN 1.0 WHEN 'g2' THEN 0.5 ELSE 0.0 END)) AS score, count(*) AS n FROM {calls} c JOIN {psites} vp ON vp.pos = c.pos JOIN {panel} p ON p.k = vp.k GROUP BY c.w, p.hap")
+define("I1b_stub_score", "w long, hap long, score double, n long", """
+SELECT c.w, p.hap, sum(c.state * p.allele) * (0.5 + coalesce(max(y.weight), 0.0)) AS score, count(*) AS n
+FROM {calls} c
+JOIN {psites} vp ON vp.pos = c.pos
+JOIN {panel} p ON p.k = vp.k
+LEFT JOIN {ancestry} y ON y.grp = p.grp
+GROUP BY c.w, p.hap""")
 _RANK = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY round(score, 9) DESC, raw DESC, matched DESC, donor, hap_id) AS rn FROM ({_DONOR}) AS d) AS r WHERE rn <= :top)"
 define("F1_donor_ranking", "w long, rn int, donor long, hap_id long, score double", f"SELECT w, rn, donor, hap_id, score FROM {_RANK} AS r", top=32)
 define("F2_composite_pairs", "w long, a long, b long, mean double, comp double, score double, rn int", f"""
 SELECT w, a, b, mean, comp, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY round(score, 9) DESC, a, b) AS rn FROM (SELECT w, a, b, mean, comp, 0.7 * mean + 0.3 * comp AS score FROM (
 SELECT x.w, x.hap AS a, y.hap AS b, max((x.score + y.score) / 2.0) AS mean, avg(CASE WHEN p.allele <> q.allele THEN 1.0 ELSE 0.0 END) AS comp FROM {_RANK} AS x JOIN {_RANK} AS y ON x.w = y.w AND x.rn < y.rn JOIN {{panel}} p ON p.hap = x.hap JOIN {{panel}} q ON q.hap = y.hap AND q.k = p.k GROUP BY x.w, x.hap, y.hap) AS m) AS s) AS z WHERE rn <= 16""", top=8)
-_STATES = """SELECT w, win, hap, donor, grp, r, h, r + 0.5 * h + 0.25 * ln(1.0 + greatest(0.0, anc)) AS emission FROM (SELECT s.w, s.win, p.hap, p.donor, p.grp, sum(p.allele * (s.alt - s.ref)) AS r, sum(p.allele * s.state * 1.0) AS h, max(CASE p.grp WHEN 'g1' THEN 1.0 WHEN 'g2' THEN 0.5 ELSE 0.0 END) AS anc FROM (
+_STATES = """SELECT w, win, hap, donor, grp, r, h, r + 0.5 * h + 0.25 * ln(1.0 + greatest(0.0, anc)) AS emission FROM (SELECT s.w, s.win, p.hap, p.donor, p.grp, sum(p.allele * (s.alt - s.ref)) AS r, sum(p.allele * s.state * 1.0) AS h, coalesce(max(y.weight), 0.0) AS anc FROM (
 SELECT v.w, v.pos, v.i, IDIV(row_number() OVER (PARTITION BY v.w ORDER BY v.pos) - 1|4) AS win, coalesce(o.alt, 0) AS alt, coalesce(o.ref, 0) AS ref, c.state FROM {sites} v JOIN {calls} c ON c.w = v.w AND c.pos = v.pos LEFT JOIN (SELECT w, pos, sum(CASE WHEN allele > 0 THEN 1 ELSE 0 END) AS alt, sum(CASE WHEN allele < 0 THEN 1 ELSE 0 END) AS ref FROM {obs} GROUP BY w, pos) o ON o.w = v.w AND o.pos = v.pos) s
-JOIN {psites} vp ON vp.pos = s.pos JOIN {panel} p ON p.k = vp.k GROUP BY s.w, s.win, p.hap, p.donor, p.grp) AS x"""
+JOIN {psites} vp ON vp.pos = s.pos JOIN {panel} p ON p.k = vp.k LEFT JOIN {ancestry} y ON y.grp = p.grp GROUP BY s.w, s.win, p.hap, p.donor, p.grp) AS x"""
 define("I2_window_states", "w long, win long, hap long, r double, h double, emission double", _STATES)
 #: The best states of each window by arrays over the haplotypes (Spark).
-TOP_STATES = f"""WITH {_ARRAYS}, N AS (SELECT array_sort(collect_list(struct(j, hap, donor, grp))) AS a FROM hj), sw AS (SELECT v.w, v.pos, IDIV(row_number() OVER (PARTITION BY v.w ORDER BY v.pos) - 1|4) AS win, CAST(coalesce(o.alt, 0) - coalesce(o.ref, 0) AS INT) AS u, c.state FROM {{sites}} v JOIN {{calls}} c ON c.w = v.w AND c.pos = v.pos
+TOP_STATES = f"""WITH {_ARRAYS}, N AS (SELECT array_sort(collect_list(struct(j, hap, donor, hj.grp, coalesce(y.weight, 0.0) AS anc))) AS a FROM hj LEFT JOIN {{ancestry}} y ON y.grp = hj.grp), sw AS (SELECT v.w, v.pos, IDIV(row_number() OVER (PARTITION BY v.w ORDER BY v.pos) - 1|4) AS win, CAST(coalesce(o.alt, 0) - coalesce(o.ref, 0) AS INT) AS u, c.state FROM {{sites}} v JOIN {{calls}} c ON c.w = v.w AND c.pos = v.pos
 LEFT JOIN (SELECT w, pos, sum(CASE WHEN allele > 0 THEN 1 ELSE 0 END) AS alt, sum(CASE WHEN allele < 0 THEN 1 ELSE 0 END) AS ref FROM {{obs}} GROUP BY w, pos) o ON o.w = v.w AND o.pos = v.pos),
 sx AS (SELECT s.w, s.win, collect_list(struct(s.u + 0.5 * s.state AS c, y.al)) AS xs FROM sw s JOIN {{psites}} v ON v.pos = s.pos JOIN P y ON y.k = v.k GROUP BY s.w, s.win),
-em AS (SELECT w, win, a, zip_with(aggregate(xs, transform(a, x -> 0.0), (s, x) -> zip_with(s, x.al, (p, q) -> p + x.c * q)), a, (e, x) -> e + 0.25 * ln(1.0 + CASE x.grp WHEN 'g1' THEN 1.0 WHEN 'g2' THEN 0.5 ELSE 0.0 END)) AS es FROM sx CROSS JOIN N)
+em AS (SELECT w, win, a, zip_with(aggregate(xs, transform(a, x -> 0.0), (s, x) -> zip_with(s, x.al, (p, q) -> p + x.c * q)), a, (e, x) -> e + 0.25 * ln(1.0 + greatest(0.0, x.anc))) AS es FROM sx CROSS JOIN N)
 SELECT w, win, p + 1 AS rn, x.hap, x.donor, x.grp, -x.o AS emission FROM (SELECT w, win, posexplode(slice(array_sort(zip_with(es, a, (e, x) -> struct(-round(e, 9) AS o, x.hap, x.donor, x.grp))), 1, :top)) AS (p, x) FROM em) AS y"""
 define("F3_top_states", "w long, win long, rn int, hap long, emission double", f"SELECT w, win, rn, hap, emission FROM (SELECT *, row_number() OVER (PARTITION BY w, win ORDER BY round(emission, 9) DESC, hap) AS rn FROM ({_STATES}) AS s) AS x WHERE rn <= :top", TOP_STATES, top=4)
 define("F4_hap_ranking", "w long, rn int, hap long, run long, matched long", """

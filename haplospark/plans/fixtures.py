@@ -35,6 +35,7 @@ FIXTURES: dict[str, str] = {
     "external": "SELECT w, pos, ref, alt, tstate, IDIV(pos|1000) AS ps FROM {truth}",
     "gated": "SELECT w, pos, max(pred) AS pred, max(CASE WHEN anchors < 4 THEN prob END) AS prob FROM {fills} GROUP BY w, pos",
     "panel": f"SELECT vec_id AS hap, IDIV(vec_id|2) AS donor, vec_id % 2 AS hap_id, 'g' || CAST(label AS STRING) AS grp, k, CASE WHEN ELEM(embedding, k + 1) > 0 THEN 1 ELSE -1 END AS allele FROM {{embeddings}} CROSS JOIN (VALUES {_K}) AS t(k)",
+    "ancestry": "SELECT 'g' || CAST(r_regionkey AS STRING) AS grp, 1.0 / r_regionkey AS weight FROM {region} WHERE r_regionkey > 0",
     "psites": f"SELECT 1000 + 100 * (64 * h + k) AS pos, k FROM (VALUES {_K}) AS t(k) CROSS JOIN (VALUES (0), (1)) AS u(h)",
     "genotypes": "SELECT w, pos, CASE i % 9 WHEN 0 THEN '0|1' WHEN 1 THEN '1|0' WHEN 2 THEN '0/1' WHEN 3 THEN '1|1' WHEN 4 THEN '0|0' WHEN 5 THEN '.|.' WHEN 6 THEN '1|2' WHEN 7 THEN '1' ELSE '.|0' END AS gt FROM {sites}",
     "panelrecords": """SELECT pos, CASE WHEN i % 6 = 1 THEN lower(ref) ELSE ref END AS ref, CASE WHEN i % 7 = 0 THEN alt || ',N' WHEN i % 5 = 0 THEN 'N' ELSE alt END AS alt FROM (SELECT DISTINCT pos, i, ref, alt FROM {sites} WHERE i % 11 <> 0) AS x

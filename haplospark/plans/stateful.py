@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import donors, learning, scaffolds, stateful as st
 from ..operators.phasing import BASE_SCORE
@@ -49,6 +49,20 @@ def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.per_window(t["frags"].join(_components(t), ["w", "pos"]), st.solve_component, st.SOLVED, "w", "comp")
 
 
+_PAIRED = "SELECT w, read_id, pos, allele, weight FROM (SELECT *, count(*) OVER (PARTITION BY w, read_id) AS n FROM {frags} WHERE weight > 0) AS x WHERE n >= 2"
+
+
+def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each site; sites outside all solved components are unassigned."""
+    t = Tables(spark, sf_dir)
+    frags = _sql(t, _PAIRED, "w long, read_id long, pos long, allele int, weight double")
+    links = frags.select("w", F.min("pos").over(Window.partitionBy("w", "read_id")).alias("a"), F.col("pos").alias("b")).distinct()
+    comps = st.per_window(links, st.components, "w long, pos long, comp long")
+    solved = st.per_window(frags.join(comps, ["w", "pos"]), st.solve_legacy, st.LEGACY, "w", "comp")
+    unsolved = {"block_id": "unassigned", "solver": "unassigned", "state": 0, "conf": 0.0, "sites": 0, "fragments": 0, "support": 0.0, "conflict": 0.0}
+    return t["sites"].select("w", "pos").join(solved, ["w", "pos"], "left").na.fill(unsolved)
+
+
 _PRIORS = "SELECT f.w, f.read_id, f.pos, f.allele, f.weight, p.donor_bias, p.top_state, p.margin, p.lft, p.rgt FROM {frags} f LEFT JOIN {siteprior} p ON p.w = f.w AND p.pos = f.pos"
 
 
@@ -129,7 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "I11_informative_reads": _window(_bases, st.informative_reads, _READS + ", base double, score double, rank long"),
         "I16_components": lambda spark, sf_dir: _components(Tables(spark, sf_dir)),
         "I17_I18_wmec_solve": _solved,
-        "I21_wmec_legacy": _solved,
+        "I21_wmec_legacy": _legacy,
         "I26_wmec_priors": _window(_with_priors, st.solve_with_priors, "w long, pos long, region long, state int, solver string, margin double"),
         "I31_component_stitching": _window("obsedges", st.stitch_components, _LABELS),
         "I32_two_colouring": _window("obsedges", st.two_colour, _LABELS),
@@ -139,7 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "I45_scaffold_assignment": _scaffolds("I45_scaffold_assignment"),
         "I46_acceptance_model": _learn(lambda s, t: learning.out_of_fold(_labelled(t), _FEATURES, "grp").select("id", "fold", "prob")),
         "I46b_model_metrics": _learn(lambda s, t: learning.metrics(learning.out_of_fold(_labelled(t), _FEATURES, "grp"))),
-        "I47_bridge_model": _learn(lambda s, t: learning.out_of_fold(_labelled(t), learning.useful_features(_labelled(t), [*_FEATURES, "label"], {"label"}), "grp", k=2).select("id", "fold", "prob")),
+        "I47_bridge_model": _learn(lambda s, t: learning.bridge_model(_labelled(t), [*_FEATURES, "label", "id"], "grp", {"label", "id"}).select("id", "fold", "prob")),
         "I48_candidate_ranker": _learn(lambda s, t: _ranker(s, t).select("w", "qid", "cand", "rank_score", "rank")),
         "I48b_ranker_top1": _learn(lambda s, t: learning.top_one(_ranker(s, t))),
         "I49_site_confidence": _learn(lambda s, t: learning.holdout_by_group(_labelled(t), _FEATURES, "method", "grp").select("id", "held", "prob")),

@@ -89,7 +89,7 @@ def test_panel_is_found_by_its_sites(spark):
     calls = frame(spark, [(1, 123_457, "b", 1, 1.0), (1, 123_999, "b", -1, 1.0), (1, 5, "b", 1, 1.0)], "w long, pos long, block_id string, state int, conf double")
     psites = frame(spark, [(123_457, 40), (123_999, 7)], "pos long, k int")
     panel = frame(spark, [(h, h // 2, h % 2, "g9", k, 1 if (h + k) % 2 else -1) for h in range(4) for k in (7, 40)], "hap long, donor long, hap_id long, grp string, k int, allele int")
-    got = {r.hap: (r.n, r.matched) for r in REGISTRY["I1_donor_score"].run(spark, {"calls": calls, "psites": psites, "panel": panel}).collect()}
+    got = {r.hap: (r.n, r.matched) for r in REGISTRY["I1_donor_score"].run(spark, {"calls": calls, "psites": psites, "panel": panel, "ancestry": frame(spark, [], "grp string, weight double")}).collect()}
     assert got == {0: (2, 0), 1: (2, 2), 2: (2, 0), 3: (2, 2)}
     fills = frame(spark, [(1, 123_999, "b")], "w long, pos long, block_id string")
     row = REGISTRY["D9_panel_ld_vote"].run(spark, {"calls": calls.where("pos <> 123457").union(frame(spark, [(1, 123_800, "b", 1, 1.0)], "w long, pos long, block_id string, state int, conf double")), "fills": fills, "psites": psites.union(frame(spark, [(123_800, 40)], "pos long, k int")), "panel": panel}, min_samples=1).collect()
