@@ -24,6 +24,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 DIFFER, RADIUS = 0.15, 14
 #: Neighbours that a text proposes in a bucket at first; fingerprints of a bucket that are searched together; 64-bit words of the largest bitmap.
 NEAREST, BLOCK, MOST_WORDS = 3, 16_384, 512
+#: Tables in which texts with more neighbours than that propose at once; in the others they wait until the first ones' pairs are merged.
+AHEAD = 3
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -130,13 +132,14 @@ DEALT = ("table", "key", "sub", "t", "rank", "n", "label", "bits")
 PROPOSED = "table int, key long, sub long, a long, b long"
 
 
-def _propose(radius: int, ratio: float, nearest: int, limit: int):
+def _propose(radius: int, ratio: float, nearest: int, limit: int, ahead: int | None = None):
     """Links of each text to its nearest neighbours of like length and another label in its bucket.
 
     Where bitmaps are there, pairs that they prove to be below the similarity go,
     the rest is nearest by them, and of two labels that meet the best pairs are
     taken only.  Of neighbours beyond these the texts are given back, a null; all
-    of a bucket over ``limit`` (if not 0) likewise, b null.
+    of a bucket over ``limit`` (if not 0) likewise, b null.  From table ``ahead``
+    on no pair is proposed whose texts are both given back.
     """
 
     def links(fp, label):
@@ -173,7 +176,7 @@ def _propose(radius: int, ratio: float, nearest: int, limit: int):
         over[i[~own]] = over[j[~own]] = True
         return i[own], j[own], far[own]
 
-    def out(fp, n, label, bits):
+    def out(table, fp, n, label, bits):
         held, size, over = [], 0, np.zeros(len(fp), bool)
         bound = Bound(n, bits) if bits is not None else None
         for i, j in links(fp, label):
@@ -193,6 +196,9 @@ def _propose(radius: int, ratio: float, nearest: int, limit: int):
         if not size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), over
         i, j, _ = keep(*(np.concatenate(x) for x in zip(*held)), label, bound is not None, over)
+        if ahead is not None and table >= ahead:
+            now = ~(over[i] & over[j])
+            i, j = i[now], j[now]
         return i, j, over
 
     def rows(cols, a, b):
@@ -208,7 +214,7 @@ def _propose(radius: int, ratio: float, nearest: int, limit: int):
                 if like and int(fp[x] ^ fp[x + 1]).bit_count() <= radius:
                     a.append(t[x : x + 1]), b.append(t[x + 1 : x + 2])
             elif y - x > 2:
-                i, j, over = out(fp[x:y], n[x:y], label[x:y], None if bits[x] is None else bits[x:y].tolist())
+                i, j, over = out(cols[0][x], fp[x:y], n[x:y], label[x:y], None if bits[x] is None else bits[x:y].tolist())
                 a.append(t[x + i]), b.append(t[x + j])
                 unfinished.append(x + np.flatnonzero(over))
         own = np.concatenate(unfinished) if unfinished else np.zeros(0, np.int64)
@@ -263,10 +269,10 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(values[x:y]).tobytes() for x, y in zip(at, at[1:])], pa.binary())], names=["t", "bits"])
 
 
-def _proposals(dealt: DataFrame, radius: int, similarity: float, nearest: int, limit: int) -> DataFrame:
+def _proposals(dealt: DataFrame, radius: int, similarity: float, nearest: int, limit: int, ahead: int | None = None) -> DataFrame:
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select(*DEALT).repartition(parts, "table", "key", "sub").sortWithinPartitions("table", "key", "sub", "rank")
-    return cut(dealt.mapInArrow(_propose(radius, similarity, nearest, limit), PROPOSED), "proposals")
+    return cut(dealt.mapInArrow(_propose(radius, similarity, nearest, limit, ahead), PROPOSED), "proposals")
 
 
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -292,7 +298,8 @@ def _known(docs: DataFrame, similarity: float, radius: int, recall: float, limit
     """``doc_id, t`` of each row, and ``t, fp, n, low, label`` of each distinct text.
 
     A first search proposes each text's nearest neighbours by fingerprint, which
-    are verified and merged.  Where a text has more neighbours of another label
+    are verified and merged; texts of a crowd propose in the first tables only
+    and wait in the others, where most are of one label by then.  Where a text has more neighbours of another label
     the bucket is searched again, now with bitmaps, for four times as many, until
     none is left over: then each pair within the radius in any bucket is merged,
     was tested, or is proven to be below the similarity.  A bucket over the limit
@@ -305,14 +312,14 @@ def _known(docs: DataFrame, similarity: float, radius: int, recall: float, limit
     rank = _gray_rank(F.col("fp")).alias("rank")
     none = {"label": F.lit(None).cast("long"), "bits": F.lit(None).cast("binary")}
     dealt = known.where("n > 0").select("t", "fp", "n", rank).mapInArrow(_deal(tables(known.count(), recall)), "table int, key long, t long, n long, rank long")
-    found = [_proposals(dealt.withColumns({"sub": F.lit(0).cast("long"), **none}), radius, similarity, NEAREST, limit)]
+    found = [_proposals(dealt.withColumns({"sub": F.lit(0).cast("long"), **none}), radius, similarity, NEAREST, limit, AHEAD)]
     left = found[0].where("a is null").select("table", "key", "sub", F.col("b").alias("t"))
     over = found[0].where("b is null").select("table", "key", F.col("a").alias("t"))
     if not over.isEmpty():
         of = over.groupBy("table", "key").agg(F.ceil(F.count("t") * 2 / limit).alias("m"))
         split = cut(over.join(of, ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("t"), F.col("m"))), "parts")
         alone = split.withColumn("sub", F.col("own")).join(known.select("t", "n", rank), "t")
-        found.append(_proposals(alone.withColumns(none), radius, similarity, NEAREST, 0))
+        found.append(_proposals(alone.withColumns(none), radius, similarity, NEAREST, 0, AHEAD))
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
         split = split.withColumn("sub", 1 + F.least("own", "other") * F.col("m") + F.greatest("own", "other"))
         left = left.union(split.select("table", "key", "sub", "t"))

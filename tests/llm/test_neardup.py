@@ -72,6 +72,22 @@ def test_crowd_around_one_base(spark):
     assert joined >= 0.97
 
 
+def test_crowd_waits_in_later_tables(spark, monkeypatch):
+    """A text of a crowd costs about one row a table, not one for each of its nearest neighbours in every table."""
+    texts = crowd(np.random.default_rng(3), 1500, edits=1)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    made, search = [], neardup._proposals
+
+    def counted(*args):
+        found = search(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(neardup, "_proposals", counted)
+    assert {r.group_id for r in neardup.near_groups(df).collect()} == {0}
+    assert 0 < sum(made) <= 2 * len(neardup.tables(len(texts), 0.97)) * len(texts)
+
+
 def test_pairs_of_a_split_bucket(spark, monkeypatch):
     texts = crowd(np.random.default_rng(4), 150)
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
