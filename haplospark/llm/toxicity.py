@@ -36,7 +36,8 @@ def strings_of(sentence: str) -> set[str]:
         if len(run) > 2:
             out.add("".join(run))
         run = []
-        token = _EDGE.sub("", token)
+        if not token.isalnum():
+            token = _EDGE.sub("", token)
         if len(token) > 2:
             out.add(token)
             if not token.isalnum() and len(bare := "".join(filter(str.isalnum, token))) > 2:
@@ -51,11 +52,8 @@ def pieces(token: str) -> list[str]:
 
 
 def _codes(strings: list[str], width: int) -> np.ndarray:
-    out = np.zeros((len(strings), width), np.int32)
-    for i, s in enumerate(strings):
-        s = s[:width]
-        out[i, : len(s)] = [ord(c) for c in s]
-    return out
+    padded = "".join([s[:width].ljust(width, "\0") for s in strings])
+    return np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(strings), width)
 
 
 def raw_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -145,10 +143,18 @@ class Landmarks:
             x = codes[own, :m]
             code = np.searchsorted(self.letters, x)
             code = np.where(np.append(self.letters, 0)[code] == x, code + 1, 0)
-            total = np.zeros((len(own), len(self.strings)), np.float32)
-            for at, value in _subsequences(m):
-                total += self.weights[self._place(code, at)] * np.float32(value)
-            out[own] = total
+            base = len(self.letters) + 1
+            scaled = [np.ascontiguousarray(code.T) * base ** (ORDER - 1 - q) for q in range(ORDER)]
+            for a in range(0, len(own), 2000):  # rows whose sums stay in the processor's cache
+                total = np.zeros((min(2000, len(own) - a), len(self.strings)), np.float32)
+                part, row, before = [c[:, a : a + 2000] for c in scaled], np.empty_like(total), None
+                for at, value in _subsequences(m):
+                    if at[:-1] != before:
+                        before, front = at[:-1], sum(c[i] for c, i in zip(part, at[:-1]))
+                    np.take(self.weights, front + part[-1][at[-1]], axis=0, out=row, mode="clip")
+                    row *= np.float32(value)
+                    total += row
+                out[own[a : a + 2000]] = total
         if not short.all():
             out[~short] = raw_kernel(codes[~short], self.codes)
         return out
@@ -196,16 +202,17 @@ class Scorer:
 
     def _learn(self, words: set[str]) -> None:
         known, bias = self.known, self.model.bias
-        todo, owner = [], []
+        held: dict[str, list[str]] = {}  # a piece is compared once, in however many words it occurs
         for w in words:
             known[w] = bias
-            for s in strings_of(w):
+            for s in (w,) if w.isalnum() and len(w) > 2 else strings_of(w):
                 for p in pieces(s):
-                    todo.append(p), owner.append(w)
-        if todo:
-            for w, f in zip(owner, self.model.decisions(todo).tolist()):
-                if f > known[w]:
-                    known[w] = f
+                    held.setdefault(p, []).append(w)
+        if held:
+            for owners, f in zip(held.values(), self.model.decisions(list(held)).tolist()):
+                for w in owners:
+                    if f > known[w]:
+                        known[w] = f
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         known, bias = self.known, self.model.bias
@@ -216,10 +223,10 @@ class Scorer:
             t = t.lower()
             split.append(t.split() + ["".join(r.split()) for r in _LETTERS.findall(t)])
         if split:
-            self._learn({w for w in set().union(*split) if w not in known})
+            self._learn(set().union(*split).difference(known))
         out = np.empty((len(texts), SIGNS))
         for i, words in enumerate(split):
-            f = np.array([known[w] for w in words])
+            f = np.fromiter(map(known.__getitem__, words), float, len(words))
             top = np.sort(f)[-3:] if len(f) < 500 else np.sort(np.partition(f, -3)[-3:])
             hits = int((f > 0).sum())
             out[i, :3] = np.append(np.full(3 - len(top), bias), top)

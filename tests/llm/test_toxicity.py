@@ -39,6 +39,23 @@ def test_short_strings_by_subsequences():
     assert np.allclose(marks.raw(codes), toxicity.raw_kernel(codes, marks.codes), rtol=1e-6)
 
 
+def test_a_string_is_compared_once(monkeypatch):
+    """Words that differ in the marks at their ends only share their string, and all get its value."""
+    model = toxicity.Model(toxicity.Landmarks(["idiot"], ["ideal"]), np.array([1.0, -1.0]), -0.2, np.zeros(toxicity.SIGNS + 1))
+    compared, decide = [], toxicity.Model.decisions
+
+    def counted(self, strings):
+        compared.extend(strings)
+        return decide(self, strings)
+
+    monkeypatch.setattr(toxicity.Model, "decisions", counted)
+    scorer = toxicity.Scorer(model)
+    scorer(["Idiot idiot, (idiot) idiot! ideal ideal. x - é", "\U0001f600idiot ideal\u0301"])
+    assert len(compared) == len(set(compared)) and {"^^idiot", "^^ideal"} <= set(compared)
+    assert len({scorer.known[w] for w in ("idiot", "idiot,", "(idiot)", "idiot!")}) == 1 and scorer.known["idiot"] > 0.5 > scorer.known["ideal."]
+    assert scorer.known["x"] == scorer.known["-"] == model.bias
+
+
 def test_learns_and_tolerates_gaps(spark):
     rng = np.random.default_rng(0)
     vocab = ["".join(chr(97 + k) for k in rng.integers(0, 20, n)) for n in rng.integers(3, 9, 300)]
