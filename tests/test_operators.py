@@ -7,7 +7,7 @@ import pytest
 from haplospark.operators import scaffolds
 from haplospark.plans import stateful
 from haplospark.plans.fixtures import sql_queries
-from haplospark.plans.operator import REGISTRY
+from haplospark.plans.operator import REGISTRY, render
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = sql_queries()
@@ -369,3 +369,17 @@ def test_site_confidence_holds_out_whole_groups_and_sees_categories(spark):
     held = {r.grp for r in got if r.held}
     assert len(held) == 3 and all(r.held == (r.grp in held) for r in got) and len(got) == 400
     assert all((r.prob > 0.5) == (r.label == 1) for r in got)
+
+
+def test_panel_priors_count_each_panel_site_once(spark):
+    """Equal to the join by haplotype, for sites outside the panel, two columns at a position, unknown alleles and columns without haplotypes; no join makes a row for each site and haplotype."""
+    op = REGISTRY["A19_bootstrap_priors"]
+    sites = frame(spark, [(w, p) for w in (1, 2) for p in (10, 20, 30, 40)] + [(2, 10)], "w long, pos long")
+    psites = frame(spark, [(10, 0), (20, 1), (20, 2), (30, 9)], "pos long, k int")
+    panel = frame(spark, [(h, k, (h + k) % 3 - 1) for h in range(5) for k in (0, 1, 2)], "hap long, k int, allele int")
+    tables = {"sites": sites, "psites": psites, "panel": panel}
+    got = op.run(spark, tables)
+    assert norm(got.toPandas()).equals(norm(spark.sql(render(op.text(), True), **tables).toPandas()))
+    assert {(r.w, r.pos): r.n for r in got.collect()}[2, 10] == 10
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("Aggregate [k#")
