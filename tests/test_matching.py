@@ -7,7 +7,7 @@ from haplospark.operators import matching
 from haplospark.plans.operator import REGISTRY, render
 from test_operators import frame, norm
 
-NAMES = ("I1_donor_score",)
+NAMES = ("I1_donor_score", "F1_donor_ranking")
 
 
 def tables(spark, seed=5):
@@ -45,3 +45,9 @@ def test_windows_are_scored_in_groups(spark, name):
     finally:
         matching.per_group = kept
     assert called
+
+
+def test_parameters_reach_the_plan(spark):
+    t = tables(spark)
+    op = REGISTRY["F1_donor_ranking"]
+    assert {r.rn for r in op.run(spark, {n: t[n] for n in op.inputs}, top=3).collect()} == {1, 2, 3}
