@@ -7,7 +7,7 @@ from haplospark.operators import matching
 from haplospark.plans.operator import REGISTRY, render
 from test_operators import frame, norm
 
-NAMES = ("I1_donor_score", "I1b_stub_score", "F1_donor_ranking", "F2_composite_pairs", "F4_hap_ranking", "I37_path_match", "I55c_candidate_ranks")
+NAMES = ("I1_donor_score", "I1b_stub_score", "F1_donor_ranking", "F2_composite_pairs", "F4_hap_ranking", "I37_path_match", "I55c_candidate_ranks", "F3_top_states")
 
 
 def tables(spark, seed=5):
@@ -17,7 +17,10 @@ def tables(spark, seed=5):
     calls = [(w, 100 * i, int(rng.choice([-1, 0, 1]))) for w in windows for i in range(40) if rng.random() < 0.6] + [(5, 100 * i, 0) for i in range(5)] + [(6, 9_999, 1)]
     psites = [(100 * i, i % 20) for i in range(40)] + [(300, 19), (700, 77)]
     panel = [(h, h // 2, h % 2, f"g{h % 3}", k, int(rng.choice([-1, 0, 1]))) for h in range(40, 0, -1) for k in range(20) if h > 3 or rng.random() < 0.8] + [(99, 50, 0, "g9", 3, 1)]
+    obs = [(w, p, int(rng.choice([-1, 0, 1]))) for w, p, _ in calls for _ in range(3) if rng.random() < 0.8]
     return {
+        "obs": frame(spark, obs, "w long, pos long, allele int"),
+        "sites": frame(spark, [(w, p, 0) for w, p, _ in calls] + [(0, 55, 0)], "w long, pos long, i long"),
         "calls": frame(spark, calls, "w long, pos long, state int"),
         "psites": frame(spark, psites, "pos long, k int"),
         "panel": frame(spark, panel, "hap long, donor long, hap_id long, grp string, k int, allele int"),
