@@ -7,7 +7,7 @@ from haplospark.operators import matching
 from haplospark.plans.operator import REGISTRY, render
 from test_operators import frame, norm
 
-NAMES = ("I1_donor_score", "I1b_stub_score", "F1_donor_ranking", "F2_composite_pairs", "F4_hap_ranking", "I37_path_match", "I55c_candidate_ranks", "F3_top_states")
+NAMES = ("I1_donor_score", "I1b_stub_score", "F1_donor_ranking", "F2_composite_pairs", "F4_hap_ranking", "I37_path_match", "I55c_candidate_ranks", "I2_window_states", "F3_top_states")
 
 
 def tables(spark, seed=5):
