@@ -7,7 +7,7 @@ from haplospark.operators import matching
 from haplospark.plans.operator import REGISTRY, render
 from test_operators import frame, norm
 
-NAMES = ("I1_donor_score", "I1b_stub_score", "F1_donor_ranking", "F2_composite_pairs", "F4_hap_ranking", "I37_path_match", "I55c_candidate_ranks", "I2_window_states", "F3_top_states")
+NAMES = ("I1_donor_score", "I1b_stub_score", "F1_donor_ranking", "F2_composite_pairs", "F4_hap_ranking", "I37_path_match", "I55c_candidate_ranks", "I2_window_states", "F3_top_states", "D21_local_donor_prior")
 
 
 def tables(spark, seed=5):
@@ -18,12 +18,14 @@ def tables(spark, seed=5):
     psites = [(100 * i, i % 20) for i in range(40)] + [(300, 19), (700, 77)]
     panel = [(h, h // 2, h % 2, f"g{h % 3}", k, int(rng.choice([-1, 0, 1]))) for h in range(40, 0, -1) for k in range(20) if h > 3 or rng.random() < 0.8] + [(99, 50, 0, "g9", 3, 1)]
     obs = [(w, p, int(rng.choice([-1, 0, 1]))) for w, p, _ in calls for _ in range(3) if rng.random() < 0.8]
+    calls = [(*c, 0.05 * (i % 20)) for i, c in enumerate(calls)]
     return {
         "obs": frame(spark, obs, "w long, pos long, allele int"),
-        "sites": frame(spark, [(w, p, 0) for w, p, _ in calls] + [(0, 55, 0)], "w long, pos long, i long"),
-        "calls": frame(spark, calls, "w long, pos long, state int"),
+        "sites": frame(spark, [(w, p, 0) for w, p, *_ in calls] + [(0, 55, 0)], "w long, pos long, i long"),
+        "calls": frame(spark, calls, "w long, pos long, state int, conf double"),
         "psites": frame(spark, psites, "pos long, k int"),
         "panel": frame(spark, panel, "hap long, donor long, hap_id long, grp string, k int, allele int"),
+        "scores": frame(spark, [(w, p, c) for w, p, *_ in calls[::2] for c in "AB"] + [(0, 3_900, "A"), (5, 300, "A"), (8, 300, "A")], "w long, pos long, cand string"),
         "ancestry": frame(spark, [("g0", 0.7), ("g2", 1.3)], "grp string, weight double"),
         "centres": frame(spark, [(w, 1_550) for w in windows], "w long, centre long"),
     }
